@@ -6,27 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, token_count, token_files
+from . import common, decontam, packing, secret_scan, simhash, token_count, token_files
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find(common.documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "token-files")
     token_files.write_token_files(common.documents(spark, sf_dir), path)
     return token_files.read_token_files(spark, path)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(common.documents(spark, sf_dir))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secret_scan": secret_scan.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}
