@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, packing, secret_scan, simhash, token_count, token_files
+from . import common, decontam, langid, packing, secret_scan, simhash, token_count, token_files, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), lambda c: common.held_out(c, 4, 2))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(common.documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -23,6 +27,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(common.documents(spark, sf_dir), common.held_out("doc_id", 3, 1))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
