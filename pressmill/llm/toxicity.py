@@ -27,7 +27,7 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, id_c
     picked = marked.filter(mix < F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / counts[1]))).otherwise(F.lit(min(1.0, sample / counts[0]))))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter((F.coalesce(F.length("text"), F.lit(0)) > 0) & (F.length("text") <= LONGEST))
     # At most about 2 * sample ids, whatever the table's size.
-    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "toxic", (F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(2)) == 0).alias("check"))
+    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "toxic", (F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3)) == 0).alias("check"))
     found = [(r["toxic"], r["check"], words_of(r["text"])) for r in rows.dropDuplicates(["id"]).toLocalIterator()]
     train = {k: [w for t, check, w in found if t == k and not check] for k in (0, 1)}
     checks = [(t, w) for t, check, w in found if check]
@@ -204,7 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, id_c
         checks = [(t, w) for t, _, w in found]
     if not train[0] or not train[1]:
         return None
-    return calibrate(dictionaries(train[0], train[1]), [w for _, w in checks], np.array([t == 1 for t, _ in checks]))
+    model = calibrate(dictionaries(train[0], train[1]), [w for _, w in checks], np.array([t == 1 for t, _ in checks]))
+    # What is calibrated stays; the dictionaries then learn from the whole sample.
+    whole = dictionaries(*([w for t, _, w in found if t == k] for k in (0, 1)))
+    return replace(whole, weights=model.weights)
 
 
 _table: list = [None, None]
