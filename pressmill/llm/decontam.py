@@ -18,7 +18,7 @@ never a group: hot documents, sources and copies need no care.
 
 Nulls: a null document text has no words; a null item text has none either and
 is never found; null ids are kept, a null item_id is listed as ''.  Repeated
-items are counted each.  Other columns are ignored (``flag`` keeps them); empty
+items are counted each.  Other columns are ignored (``clean`` keeps them); empty
 tables give no rows, or no hits.  Texts of any length are searched whole.
 """
 
@@ -114,8 +114,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, share: int = 20, text_col: str = "text") -> DataFrame:
     """``docs`` without contaminated rows, columns as they are.
 
-    One pass decides by row text: rows are joined to the verdict by a hash of
-    the text that is verified by the text's own words being the same input.
+    The verdict depends on the text alone, so it comes back by a 64-bit hash of it.
     """
     keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     verdict = contamination(keyed, benchmark, window, broadcast_words, share, "__text_key", text_col)

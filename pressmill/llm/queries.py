@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, langid, packing, secret_scan, simhash, token_count, token_files, toxicity
+from . import ann, common, decontam, langid, lm_score, packing, secret_scan, simhash, token_count, token_files, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(common.documents(spark, sf_dir), common.held_out("doc_id", 7, 2))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 

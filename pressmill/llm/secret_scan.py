@@ -112,8 +112,8 @@ def scan_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(f"{rule.regex[:-1]}{{{rule.least},}}" if rule.regex.endswith("]+") else rule.regex), rule_spans(text, rule, order))
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column ``secret_spans``: sorted by start, then kind.
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
+    """``docs`` with a last column ``spans_col``: sorted by start, then kind.
 
     Rows are matched to candidates by a hash of id and text, which may at worst
     verify a text in vain; texts are shuffled once, postings are a few longs.
@@ -131,7 +131,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         else:
             parts.append(scan_spans(text, rule, r))
     spans = F.array_sort(F.concat(*[F.coalesce(p, none) for p in parts]))
-    return joined.select("row", spans.alias("secret_spans")).select("row.*", "secret_spans")
+    return joined.select("row", spans.alias(spans_col)).select("row.*", spans_col)
 
 
 def listed(spans: Column) -> Column:
@@ -146,14 +146,19 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(F.col(id_col).cast("long").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
 
 
-def redact(found: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """``find``'s input again, each span (overlapping ones as one) replaced by ``mark``."""
+def redact(found: DataFrame, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = None, spans_col: str = "secret_spans") -> DataFrame:
+    """``find``'s input again, each span (overlapping ones as one) replaced by ``mark``;
+    ``length_col``, if given, follows the new text where it changed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     step = lambda acc, s: F.when(
         s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
     ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out")))
-    cut = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("secret_spans") > 0, cut).otherwise(F.col(text_col))).drop("secret_spans")
+    cut = F.aggregate(spans_col, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.size(spans_col) > 0
+    out = found.withColumn(text_col, F.when(changed, cut).otherwise(F.col(text_col)))
+    if length_col in found.columns:
+        out = out.withColumn(length_col, F.when(changed, F.length(text_col)).otherwise(F.col(length_col)).cast(found.schema[length_col].dataType))
+    return out.drop(spans_col)
 
 
 #: The digest in DuckDB; ``?`` is replaced by a rule's regex.

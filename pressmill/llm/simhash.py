@@ -183,3 +183,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only fingerprints of several rows or with links need a lookup.
     label = member.filter("linked or n > 1").join(least, F.col("root") == F.col("top"), "left").select(F.col("fp").alias("known"), F.coalesce("reached", "least").alias("component"))
     return rows.join(label, rows.fp == label.known, "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("known").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each component, columns as they are.
+
+    A row goes by a hash of its id and text: rows that repeat both are one, rows
+    that share an id only are not, and null ids need no care.
+    """
+    keyed = docs.withColumn("__near_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    found = near_duplicates(keyed, "__near_key", text_col, words, distance)
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return keyed.join(keep, F.col("__near_key") == F.col("__kept"), "left_semi").dropDuplicates(["__near_key"]).drop("__near_key")

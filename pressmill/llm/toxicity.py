@@ -223,8 +223,8 @@ def score(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, cu
     return with_scores(rows, model, cut).select("doc_id", "held_out", "score", "predicted", "hits")
 
 
-def with_scores(docs: DataFrame, model: Model | None, cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """``docs`` with score, predicted and hits behind its own columns."""
+def with_scores(docs: DataFrame, model: Model | None, cut: float = CUT, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with score, predicted and hits (named with a prefix) behind its own columns."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of fixed size
@@ -242,6 +242,12 @@ def with_scores(docs: DataFrame, model: Model | None, cut: float = CUT, text_col
                 hits = sums(_table[1].matrix[at], lengths)
                 scores = m.score(hits, lengths)
             more = [pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32)), pa.array(hits[:, 0].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "score", "predicted", "hits"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *(f"{prefix}{x}" for x in ("score", "predicted", "hits"))])
 
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int, hits long")
+    return docs.mapInArrow(run, f"{schema}, `{prefix}score` double, `{prefix}predicted` int, `{prefix}hits` long")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows predicted toxic, columns as they are."""
+    scored = with_scores(docs, fit(docs, labels, held_out, sample, id_col, text_col), cut, text_col, "__tox_")
+    return scored.filter("__tox_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
