@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import control_queries, text_queries, view_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (view_queries, text_queries, control_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.ORACLE.items()}
