@@ -1,2 +1,94 @@
-"""Control queries."""
+"""Registered control-plane steps over the adapted queue, with SQL where it has one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import control, enrich
+from ..sources.adapters import Tables, with_tables
+
 QUERIES, ORACLE = {}, {}
+NOW = "1998-01-01 00:00:00"
+
+
+def queue(t: Tables) -> DataFrame:
+    p = t.processing_runs()
+    return p.select(F.col("article_key").alias("key"), "status", "current_step", F.col("automatic_failure_count").cast("int").alias("automatic_failure_count"), "last_error_message", F.when(F.col("status") == "succeeded", F.col("article_id")).alias("last_success_input_hash"), F.col("updated_at").cast("timestamp").alias("last_attempt_started_at"), F.lit(None).cast("string").alias("locked_by"), F.lit(None).cast("timestamp").alias("lock_expires_at"), F.col("updated_at").cast("timestamp").alias("updated_at"), F.lit(0).cast("long").alias("seq"))
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE[name] = with_tables(sql)
+        return f
+
+    return put
+
+
+@query("W10_queue_rank", "select article_key as key, place from (select article_key, row_number() over (order by case status when 'manual_retry_requested' then 0 when 'pending' then 1 else 2 end, updated_at, article_key) as place from proc where status in ('pending', 'failed_retryable', 'manual_retry_requested')) where place <= 50")
+def _(t):
+    from pyspark.sql.window import Window
+
+    top = control.eligible(queue(t), NOW).orderBy(*control.queue_order()).limit(50)
+    return top.select("key", F.row_number().over(Window.orderBy(*control.queue_order())).cast("long").alias("place"))
+
+
+@query("F3_enqueue", "select article_key as key, case when status = 'manual_retry_requested' then status when status = 'succeeded' then 'succeeded' else 'pending' end as status from proc")
+def _(t):
+    arrivals = t.processing_runs().select(F.col("article_key").alias("key"), F.col("article_id").alias("input_hash"))
+    return control.enqueue(queue(t), arrivals, NOW).select("key", "status")
+
+
+@query("F4_claim", "select article_key as key, case when place <= 25 and status = 'manual_retry_requested' then 'running_manual_retry' when place <= 25 then 'running' else status end as status, coalesce(case when place <= 25 then 'worker-1' end, '') as locked_by from (select p.*, case when status in ('pending', 'failed_retryable', 'manual_retry_requested') then row_number() over (partition by status in ('pending', 'failed_retryable', 'manual_retry_requested') order by case status when 'manual_retry_requested' then 0 when 'pending' then 1 else 2 end, updated_at, article_key) else 999999999 end as place from proc p)")
+def _(t):
+    return control.claim(queue(t), "worker-1", NOW, 600, 25).select("key", "status", F.coalesce("locked_by", F.lit("")).alias("locked_by"))
+
+
+@query("F5_settle_failures", "select article_key as key, case when status = 'running' and automatic_failure_count + 1 >= 2 then 'failed_terminal' when status = 'running' then 'failed_retryable' else status end as status, automatic_failure_count + case when status = 'running' then 1 else 0 end as failures from proc")
+def _(t):
+    q = queue(t)
+    lost = q.filter("status = 'running'").select("key", F.lit("failed").alias("outcome"), F.lit("boom").alias("message"), F.lit(None).cast("string").alias("input_hash"))
+    return control.settle(q, lost, NOW).select("key", "status", F.col("automatic_failure_count").cast("long").alias("failures"))
+
+
+@query("F8_recover_stale", "select article_key as key, case when status = 'running' and updated_at <= timestamp '1998-01-01 00:00:00' - interval 3600 second then case when automatic_failure_count + 1 >= 2 then 'failed_terminal' else 'failed_retryable' end else status end as status from proc")
+def _(t):
+    return control.recover_stale(queue(t), NOW, 3600).select("key", "status")
+
+
+@query("F9_batch_retry", "select article_key as key, case when status in ('failed_retryable', 'failed_terminal') and current_step = 'await_summary' then 'manual_retry_requested' else status end as status from proc")
+def _(t):
+    return control.request_retry(queue(t), NOW, condition=F.col("current_step") == "await_summary").select("key", "status")
+
+
+@query("F14_failed_messages", "select run_id, case when bool_or(status = 'failed') then 'pending' else 'resolved' end as state from items group by 1")
+def _(t):
+    return control.failed_messages(t.audit_items().withColumnRenamed("run_id", "message_id")).withColumnRenamed("message_id", "run_id")
+
+
+@query("A12_drain_rollup", "select count(*) filter (status = 'imported') as succeeded, count(*) filter (status <> 'imported') as failed, case when count(*) filter (status <> 'imported') = 0 then 'succeeded' when count(*) filter (status = 'imported') = 0 then 'failed' else 'partial' end as status from items")
+def _(t):
+    return control.drain_result(t.audit_items().select(F.when(F.col("status") == "imported", "succeeded").otherwise("failed").alias("outcome")))
+
+
+@query("F18_enrichment_outcomes", "select conv_id as article_id, case when conv_id % 5 = 0 then 'skipped_advertisement' when conv_id % 5 = 1 then 'failed' when conv_id % 5 = 2 then 'partial' else 'succeeded' end as status from (select distinct conv_id from conversations)")
+def _(t):
+    rows = t.raw("conversations").select(F.col("conv_id").alias("article_id")).distinct().select("article_id", F.concat(F.lit("title "), F.col("article_id").cast("string")).alias("title"), F.col("article_id").cast("string").alias("body_text"))
+    return enrich.outcome(enrich.enrich(rows, scripted)).select("article_id", "status")
+
+
+def scripted():
+    """A stand-in for a chat service that answers by the article's number."""
+    import json
+
+    def send(messages: list[dict]) -> str:
+        n = int(messages[0]["content"].rsplit("\n", 1)[1]) % 5
+        step = len(messages) // 2
+        said = [{"content_type": "advertisement" if n == 0 else "article", "reason": ""}, {} if n == 1 else {"title": "题", "body": "文"}, {} if n == 2 else {"summary": "要"}, {"tags": ["a", "b", " c ", "a"]}]
+        if n == 2 and step == 2 and "tags" in messages[-1]["content"]:
+            return json.dumps(said[3])
+        return json.dumps(said[step])
+
+    return send

@@ -1,2 +1,159 @@
-"""Text queries."""
+"""Registered text functions and pipelines over the documents and pages tables.
+
+Plain texts hold no markdown: every fourth line is made a heading, and pages are
+the text's halves.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import dates, text as tx
+from ..operators import identity, layout, outline, segment
+
 QUERIES, ORACLE = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def docs(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def markdown_pages(spark, d) -> DataFrame:
+    line = F.split(F.coalesce("text", F.lit("")), "\n")
+    marked = F.transform(line, lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("# "), x)).otherwise(x))
+    half = F.floor(F.size(marked) / 2).cast("int")
+    pages = F.array(F.struct(F.lit(1).alias("page_number"), F.slice(marked, 1, F.greatest(half, F.lit(1))).alias("l")), F.struct(F.lit(2).alias("page_number"), F.slice(marked, F.greatest(half, F.lit(1)) + 1, F.size(marked)).alias("l")))
+    return docs(spark, d).select(F.col("doc_id").alias("document_key"), F.explode(pages).alias("p")).select("document_key", "p.page_number", F.array_join("p.l", "\n").alias("markdown_text"))
+
+
+def blocks(spark, d) -> DataFrame:
+    """Lines as blocks: ten a page; the first of a page is its headline."""
+    lines = docs(spark, d).select(F.col("doc_id").alias("document_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block_index", "text"))
+    place = F.col("block_index") % 10
+    kind = F.when(place == 8, "header").when(place == 9, "page_number").otherwise("text")
+    return lines.select("document_key", "block_index", kind.alias("type"), F.when(place == 0, 1).otherwise(0).alias("text_level"), F.floor(F.col("block_index") / 10).cast("int").alias("page_idx"), F.struct(F.lit(0).alias("x0"), (place * 10).cast("int").alias("y0"), F.lit(100).alias("x1"), (place * 10 + 40).cast("int").alias("y1")).alias("bbox"), F.when(place == 8, F.lit("section head")).otherwise(F.col("text")).alias("text"), F.lit("").alias("img_path"))
+
+
+@query("TA_fragments")
+def _(spark, d):
+    return segment.fragments(markdown_pages(spark, d)).select("document_key", "page_number", "source_order", "title", F.sha2(F.col("body_text").cast("binary"), 256).alias("body_sha256"))
+
+
+@query("TC_stitched_articles")
+def _(spark, d):
+    frags = segment.fragments(markdown_pages(spark, d))
+    # Odd fragments claim to go on in the next one.
+    odd = frags.withColumns({"continued_to_page": F.when(F.col("source_order") % 2 == 1, "A2").otherwise(""), "continued_from_page": F.when(F.col("source_order") % 2 == 0, "A1").otherwise("")})
+    pairs = odd.filter("source_order % 2 = 1").select("document_key", F.col("source_order").cast("long").alias("seq"), F.col("source_order").cast("long").alias("front"), (F.col("source_order") + 1).cast("long").alias("back"))
+    done = segment.stitch(odd, segment.decisions(pairs, odd))
+    return done.select("document_key", "article_order", "primary_source_order", "source_fragment_count", "title")
+
+
+@query("J15_pair_decisions")
+def _(spark, d):
+    frags = segment.fragments(markdown_pages(spark, d)).withColumns({"continued_to_page": F.lit("A2"), "continued_from_page": F.lit("A1")})
+    pairs = frags.select("document_key", F.col("source_order").cast("long").alias("seq"), F.col("source_order").cast("long").alias("front"), (F.col("source_order") + F.col("page_number")).cast("long").alias("back"))
+    return segment.decisions(pairs, frags)
+
+
+@query("TD_layout_articles")
+def _(spark, d):
+    return layout.articles(blocks(spark, d)).select("document_key", "title", "section", "start_page", "end_page")
+
+
+@query("J18_pull_quotes")
+def _(spark, d):
+    return layout.pull_quotes(layout.with_keys(blocks(spark, d)))
+
+
+@query("C11_page_kinds")
+def _(spark, d):
+    keyed = layout.with_keys(blocks(spark, d))
+    return layout.page_kinds(keyed, layout.running_sections(keyed))
+
+
+@query("TE_outline_articles")
+def _(spark, d):
+    rows = markdown_pages(spark, d).withColumnRenamed("markdown_text", "raw_text")
+    entries = rows.select("document_key", F.col("page_number").alias("ordinal"), F.lit("t").alias("title"), F.lit("s").alias("section"), F.col("page_number").alias("start_page"), F.lit(True).alias("is_leaf"))
+    total = rows.groupBy("document_key").agg(F.max("page_number").alias("total_pages"))
+    return outline.edition_articles(entries, total, rows).select("document_key", "article_order", "start_page", "end_page")
+
+
+@query("F1_greedy_dedup")
+def _(spark, d):
+    return identity.greedy_dedup(docs(spark, d).select(F.col("doc_id").alias("seq"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.concat_ws("|", "source", "lang", (F.col("doc_id") % 30).cast("string")).alias("issue_key")))
+
+
+@query("J14_article_identity")
+def _(spark, d):
+    bench = spark.read.parquet(f"{d}/benchmark.parquet")
+    runs = F.explode(F.array(F.lit(1), F.lit(2))).alias("run_seq")
+    rows = bench.select((F.col("item_id").cast("string").try_cast("bigint") % 10).alias("document_key"), runs, "item_id", "text")
+    return identity.article_keys(rows.select("document_key", "run_seq", F.concat_ws("-", F.col("item_id").cast("string"), F.col("run_seq").cast("string")).alias("article_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body_text"), F.array(F.lit(1)).alias("pages")))
+
+
+@query("D4_content_hash", "select doc_id, sha256(text) as content_hash from documents where text is not null")
+def _(spark, d):
+    return docs(spark, d).filter("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+
+
+@query("D5_input_hash")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", tx.input_hash(F.col("doc_id").cast("string"), F.col("source"), F.col("lang"), F.col("text")).alias("input_hash"))
+
+
+@query("C6_line_classes", "select doc_id, pos, case when length(l) - length(replace(l, '.', '')) >= 8 then 'dots' when regexp_matches(l, '^#') then 'heading' else 'other' end as kind from (select doc_id, unnest(range(len(string_split(text, chr(10))))) as pos, trim(unnest(string_split(text, chr(10)))) as l from documents where text is not null)")
+def _(spark, d):
+    rows = docs(spark, d).filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "l")).withColumn("l", F.trim("l"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(tx.leader_dots(F.col("l")), "dots").when(F.col("l").startswith("#"), "heading").otherwise("other").alias("kind"))
+
+
+@query("C17_excerpt", "select doc_id, substr(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), 1, 700) as excerpt from documents where text is not null")
+def _(spark, d):
+    return docs(spark, d).filter("text is not null").select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("C18_link_id", "select page_id, 'link:body-' || substr(sha256(trim(url)), 1, 24) as link_id from pages")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", tx.link_id(F.col("url")).alias("link_id"))
+
+
+@query("C19_filename_from_url")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", tx.filename_from_url(F.col("url")).alias("filename"))
+
+
+@query("C20_anchors")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.posexplode(tx.anchors("html")).alias("pos", "a")).select("page_id", "pos", "a.href", "a.label")
+
+
+@query("P7_domain_allowed", "select page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) as host from pages")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", tx.host(F.col("url")).alias("host"))
+
+
+@query("D1_filename_date")
+def _(spark, d):
+    name = F.concat("source", F.lit("-"), F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 500).cast("int")), "yyyy-MM-dd"), F.lit(".pdf"))
+    return docs(spark, d).select("doc_id", dates.filename_date(name, F.lit(None).cast("string"), 2026).alias("issue_date"), dates.source_name(name).alias("source_name"))
+
+
+ORACLE["D1_filename_date"] = "select doc_id, strftime(date '2024-01-01' + cast(doc_id % 500 as int), '%Y-%m-%d') as issue_date, source as source_name from documents"
+
+
+@query("K10_merged_markdown")
+def _(spark, d):
+    return segment.page_markers(markdown_pages(spark, d)).select("document_key", F.length("markdown_text").alias("length"))
