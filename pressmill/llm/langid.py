@@ -131,7 +131,7 @@ def train_models(samples: dict[str, Counter], order: int = ORDER) -> Model:
     """Models from word counts by language."""
     names = sorted(samples)
     parts = [_one_language(samples[x], order) for x in names]
-    alphabet = len({c for s in samples.values() for w in s for c in w}) + 2
+    alphabet = len({c for s in samples.values() for w in s for c in w}) + 1  # and the end; one more for what is unknown
     model = Model(names, order, [], [], [], [], np.full(len(names), 1 / (alphabet + 1), np.float32))
     for n in range(order):
         for keys, values, k, other in ((model.grams, model.probs, 0, 0.0), (model.contexts, model.weights, 2, 1.0)):
