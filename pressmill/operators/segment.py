@@ -106,6 +106,8 @@ def matched_by(frags: DataFrame, matcher) -> DataFrame:
             pairs = [(int(a), int(b)) for a, b in matcher(rows.to_dict("records"))]
         except Exception:  # noqa: BLE001  a matcher that fails leaves fragments unmerged
             pairs = []
+        if not pairs:
+            return pd.DataFrame()
         return pd.DataFrame({"document_key": [rows["document_key"].iloc[0]] * len(pairs), "seq": range(len(pairs)), "front": [p[0] for p in pairs], "back": [p[1] for p in pairs]})
 
     return candidates(frags).groupBy("document_key").applyInPandas(run, f"document_key {key}, seq long, front long, back long")
