@@ -89,35 +89,53 @@ class Aging(dict):
         return value
 
 
+class _Stems(Aging):
+    """pre-token of letters, as spelled -> ids: merges only."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.merge = Tokenizer(tokenizer.model).encode
+
+    def make(self, piece: str) -> bytes:
+        return np.array(self.merge(piece).ids, "<u4").tobytes()
+
+
 class _Table(Aging):
     """piece -> little-endian unsigned 32-bit ids."""
 
     def __init__(self, tokenizer: Tokenizer, kind: str):
         super().__init__()
-        self.encode, self.merge, self.kind = tokenizer.encode, Tokenizer(tokenizer.model).encode, kind
-        self.stems: dict[str, bytes] = {}
+        self.encode, self.kind, self.stems = tokenizer.encode, kind, _Stems(tokenizer)
         self.marks: dict[str, bytes] = {}
 
     def library(self, piece: str) -> bytes:
         return np.array(self.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def make(self, piece: str) -> bytes:
-        if not (m := PLAIN.match(piece)):
-            return self.library(piece if self.kind == "word" else f" {piece}")
-        word, marks = m.groups()
-        word = spelled(word.lower()) if self.kind == "word" else f"Ġ{spelled(word)}"
-        if (ids := self.stems.get(word)) is None:  # a pre-token: merges only
-            if len(self.stems) >= TABLE_ENTRIES // 2:
-                self.stems.clear()
-            ids = self.stems[word] = np.array(self.merge(word).ids, dtype="<u4").tobytes()
-        if marks:
-            if (more := self.marks.get(marks)) is None:
-                more = self.library(marks)
-                if len(self.marks) < 10_000:
-                    self.marks[marks] = more
-            ids += more
+    def marked(self, marks: str) -> bytes:
+        if not marks:
+            return b""
+        if (ids := self.marks.get(marks)) is None:
+            ids = self.library(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = ids
         return ids
 
+    def bare(self, piece: str) -> bytes:
+        """A piece as it stands, with no blank before it."""
+        if m := PLAIN.match(piece):
+            return self.stems[spelled(m[1].lower() if self.kind == "word" else m[1])] + self.marked(m[2])
+        return self.library(piece)
+
+    def make(self, piece: str) -> bytes:
+        if self.kind == "word":
+            return self.bare(piece)
+        if m := PLAIN.match(piece):
+            return self.stems[f"Ġ{spelled(m[1])}"] + self.marked(m[2])
+        left, line_end, right = piece.partition("\n")
+        if left and line_end and PLAIN.match(right):  # a lone line end is a pre-token
+            return self[left] + self.marked("\n") + self.bare(right)
+        return self.library(f" {piece}")
+
 
 def _single_blanks(text: str) -> bool:
     """Every blank stands between two non-spaces (others may hold white space)."""
@@ -144,7 +162,7 @@ class ChunkEncoder:
             return b"".join(map(get, text.split()))
         if self.kind == "byte" and _single_blanks(text):
             first, *rest = text.split(" ")
-            return self.table.library(first) + b"".join(map(get, rest))
+            return self.table.bare(first) + b"".join(map(get, rest))
         return self.table.library(text)
 
 
