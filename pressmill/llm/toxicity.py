@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .chunk_ids import Aging
 from .word_table import WordTable, logistic, sums
 
 SAMPLE, LONGEST, CUT = 2500, 60_000, 0.3
@@ -44,8 +45,6 @@ DICT_BYTES, TOXIC_BYTES = 32 << 10, 6 << 10
 RATIO, CERTAIN = 8, 6
 #: Windows are counted by the bytes they gain at least.
 GAINS = (4, 5, 6, 8)
-#: Windows whose gain a worker remembers.
-MEMO = 300_000
 _CARRIER = b"(the carrier of a window: 0123456789 abcdefghijklmnopqrstuvwxyz) "
 
 
@@ -71,6 +70,17 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=held, compression_params=settings).compress
 
 
+class Gains(Aging):
+    """window -> bytes it gains; a worker remembers those of late."""
+
+    def __init__(self, plain, toxic):
+        super().__init__()
+        self.plain, self.toxic = plain, toxic
+
+    def make(self, piece: bytes) -> int:
+        return len(self.plain(_CARRIER + piece)) - len(self.toxic(_CARRIER + piece))
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -79,19 +89,16 @@ class Model:
 
     def compressors(self) -> tuple:
         """Both, and a table of the gains of windows so far (words differ in marks)."""
-        return _compressor(self.ordinary + _CARRIER), _compressor(self.ordinary + self.toxic + _CARRIER), {}
+        plain, toxic = _compressor(self.ordinary + _CARRIER), _compressor(self.ordinary + self.toxic + _CARRIER)
+        return plain, toxic, Gains(plain, toxic)
 
     def hits(self, words: list[str], press: tuple) -> np.ndarray:
         """For each window and each of GAINS: does it gain as much?"""
-        plain, toxic, memo = press
-        if len(memo) > MEMO:
-            memo.clear()
+        _, _, memo = press
         gains = np.zeros(len(words), np.int16)
         for i, word in enumerate(words):
             data = window(word)
-            if (gain := memo.get(data)) is None:
-                gain = memo[data] = len(plain(_CARRIER + data)) - len(toxic(_CARRIER + data))
-            gains[i] = gain
+            gains[i] = memo[data]
         return (gains[:, None] >= np.array(GAINS)).astype(np.float32)
 
     def score(self, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
