@@ -7,8 +7,9 @@ residuals.  Every vector is then indexed under its centroid with its codes.
 A query probes the centroids with the largest inner products, as many as held
 TARGET of the sample's own neighbours, found by brute force when fitting.  Within a list,
 an asymmetric distance table of the query (its inner product with every
-codebook entry) gives approximate scores by look-ups; the best ``RERANK`` are
-scored exactly in double precision, and the best k of each list meet in the end.
+codebook entry) gives approximate scores by look-ups; the best ``RERANK`` distinct
+vectors and all that are level with the last of them are scored exactly in double
+precision, and the best k of each list meet in the end.
 
 Lists are cut into blocks of about ``BLOCK`` vectors and the queries of a list
 into chunks of about ``CHUNK``, by hashes, from counts of both; a task holds one
@@ -111,12 +112,25 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search_block(index: Index, cell: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): each query's best k of one block, exact scores."""
+    """(query, id, score): each query's best k of one block, exact scores.
+
+    Of equal vectors the k + 1 smallest ids are kept, more cannot be among the best
+    k.  All rows that are level with the ``rerank``-th distinct vector are rescored.
+    """
     slices, _, width = index.books.shape
     ids, order = np.sort(ids), np.argsort(ids, kind="stable")
     x, codes = x[order], codes[order]
-    keep = min(rerank, len(ids))
-    step = max(1, STEP // max(len(ids), keep * x.shape[1]))
+    groups: dict[bytes, list[int]] = {}
+    for i, vector in enumerate(x):
+        rows = groups.setdefault(vector.tobytes(), [])
+        if not rows or (len(rows) <= k and ids[rows[-1]] != ids[i]):
+            rows.append(i)
+    used = np.sort(np.concatenate([np.array(g) for g in groups.values()]))
+    first = np.searchsorted(used, [g[0] for g in groups.values()])
+    ids, x, codes = ids[used], x[used], codes[used]
+    number = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0)  # equal ids, equal numbers
+    keep = min(rerank, len(first))
+    step, some = max(1, STEP // max(len(ids), keep * x.shape[1])), max(1, STEP // x.shape[1])
     outs: list[list[np.ndarray]] = [[], [], []]
     for i in range(0, len(q), step):
         part, own = q[i : i + step], query_ids[i : i + step]
@@ -124,14 +138,17 @@ def search_block(index: Index, cell: int, ids: np.ndarray, x: np.ndarray, codes:
         near = np.zeros((len(part), len(ids)), np.float32)  # + q . centroid, one for all
         for s in range(slices):
             near += (q32[:, s] @ index.books[s].T)[:, codes[:, s]]
-        pick = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.broadcast_to(np.arange(keep), (len(part), keep))
-        pick = np.sort(pick, axis=1)  # ties keep the order of ids
-        score = np.einsum("qrd,qd->qr", x[pick], part)
-        score[ids[pick] == own[:, None]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        score, found = np.take_along_axis(score, best, 1), np.take_along_axis(ids[pick], best, 1)
-        there = score > -np.inf
-        for out, values in zip(outs, (np.broadcast_to(own[:, None], there.shape)[there], found[there], score[there]), strict=True):
+        last = np.partition(near[:, first], len(first) - keep, axis=1)[:, len(first) - keep]
+        row, at = np.nonzero(~(near < last[:, None]))
+        other = ids[at] != own[row]
+        row, at = row[other], at[other]
+        score = np.concatenate([np.einsum("nd,nd->n", x[at[j : j + some]], part[row[j : j + some]]) for j in range(0, max(1, len(at)), some)])
+        best = np.lexsort((ids[at], -score, row))
+        row, at, score = row[best], at[best], score[best]
+        once = np.sort(np.unique(row * len(ids) + number[at], return_index=True)[1])  # an id's best
+        row, at, score = row[once], at[once], score[once]
+        there = np.arange(len(row)) - np.searchsorted(row, row) < k
+        for out, values in zip(outs, (own[row[there]], ids[at[there]], score[there]), strict=True):
             out.append(values)
     return tuple(np.concatenate(o) for o in outs)
 

@@ -117,6 +117,31 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r.vec_id for r in got] == list(range(20))
 
 
+def test_level_candidates_are_all_rescored():
+    rng = np.random.default_rng(8)
+    base = np.pad(rng.standard_normal((400, 8)), ((0, 0), (0, 8)))
+    index = ann.train(base, 1)
+    q = base[:3] * 2
+    for noise in (0.0, 1e-6):  # copies, and near copies of one code
+        x = np.concatenate([base, q[0] * 3 + noise * rng.standard_normal((2700, 16))])
+        ids = rng.permutation(len(x)).astype(np.int64)
+        codes = ann.encode(index, x.astype(np.float32))[1]
+        assert len(np.unique(codes[400:], axis=0)) < 30
+        asked = np.array([-1, ids[450], -3])
+        got = ann.search_block(index, 0, ids, x, codes, asked, q, 20, 100)
+        exact = x @ q[0]
+        assert got[1][got[0] == -1].tolist() == ids[np.lexsort((ids, -exact))][:20].tolist()
+        assert len(got[0]) == 60 and ids[450] not in got[1][got[0] == ids[450]]
+    twice = ann.search_block(index, 0, np.repeat(ids[:30], 2), base[:60], codes[:60], asked, q, 20, 100)
+    assert all(len(set(twice[1][twice[0] == a])) == 20 for a in asked[[0, 2]])
+
+
+def test_many_ties_go_to_the_smaller_id(spark):
+    table = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(700)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(table, F.col("vec_id") % 20 == 0).filter("query_id = 20").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(20))
+
+
 def test_base_scores(spark, monkeypatch):
     monkeypatch.setattr(attention, "STEPS", 5)
     rng = random.Random(5)
