@@ -167,6 +167,31 @@ def test_base_scores(spark, monkeypatch):
     assert lm_score.score(docs.limit(0), held).count() == 0
 
 
+def test_the_model_learns_from_all_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(attention, "STEPS", 150)
+    rows = [(0, "alpha beta " * 7000, "", "", "", ""), (2, "alpha beta alpha beta", "", "", "", ""), (13, "alpha alpha beta beta", "", "", "", "")]
+    held = F.col("doc_id") > 0
+    got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(rows, SCHEMA), held).collect()}
+    assert got[2] > got[13] + 1  # told by one training text of 77,000 characters alone
+
+
+def test_counts_and_windows_grow_with_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 50, n) for n in rng.integers(1, 70, 300)]
+    encoded = spark.createDataFrame([(i, bytearray(t.astype("<u4").tobytes())) for i, t in enumerate(texts)], "rid long, ids binary").repartition(3)
+    want = Counter((int(a), int(b)) for t in texts for a, b in zip([attention.CLASSES, *(t % 7)], t))
+    got = lm_score.summed(encoded, 65 * 50, lambda ids, lengths: attention.follow_ons(ids, lengths, np.arange(50) % 7)).reshape(65, 50)
+    assert {(a, b): got[a, b] for a, b in zip(*np.nonzero(got))} == want
+    n = sum(-(-len(t) // 16) for t in texts)
+    rows = np.concatenate(list(lm_score.window_batches(lm_score.picked_windows(encoded, 50, 1.0))))
+    assert len(rows) == n and (np.sort(rows[:, 32:][rows[:, 32:] < 50]) == np.sort(np.concatenate(texts))).all()
+    assert 0.35 * n < lm_score.picked_windows(encoded, 50, 0.5).count() < 0.65 * n
+    (small, few), (large, many) = attention.share_and_steps(10**7), attention.share_and_steps(10**9)
+    assert few < many / 50 and small >= 1 / 32 and large >= 1 / 32
+    monkeypatch.setattr(attention, "STEPS", 2)
+    assert lm_score.fit(encoded, 50).within.shape == (65, 50)
+
+
 def test_attention_is_a_distribution_and_scores_each_once():
     rng = np.random.default_rng(6)
     lengths = rng.integers(1, 70, 40)
