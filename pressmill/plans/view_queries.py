@@ -306,6 +306,11 @@ def _(t):
     return t.audit_items().filter("run_id % 50 = 3 and status = 'failed'").orderBy(F.desc("id")).limit(100).select("id", "item_type", "status")
 
 
+@query("V11_import_items_all", "select id, item_type, status from items where status = 'failed'")
+def _(t):
+    return t.audit_items().filter("status = 'failed'").select("id", "item_type", "status")
+
+
 @query("V12_lineage", "select r.parse_run_id, r.status, count(a.article_id) as articles from runs r left join arts a using (parse_run_id) group by 1, 2")
 def _(t):
     return t.parse_runs().join(t.articles(), "parse_run_id", "left").groupBy("parse_run_id", "status").agg(F.count("article_id").alias("articles"))

@@ -43,3 +43,9 @@ def test_entry_and_names(spark):
 def test_latest_run_has_one_scan_of_orders(spark):
     plan = registry.queries()["J4_latest_run"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "PushedFilters: []" not in plan.replace(" ", " ") or "o_orderstatus" in plan
+
+
+def test_import_items_of_all_runs(spark):
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    got = registry.queries()["V11_import_items_all"](spark, FOLDER)
+    assert got.count() == events.filter("event_type = 'error'").count() > 100
