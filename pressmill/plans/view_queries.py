@@ -281,6 +281,17 @@ def _(t):
     return v.visible_articles(t).filter("document_key between 1 and 50").select("document_key", "article_id", "title")
 
 
+@query(
+    "V7_document_detail_all",
+    "select d.document_key, coalesce(l.status, 'unknown') as status, coalesce(e.error_summary, '" + v.NO_ERROR + "') as error_summary, v.article_id, v.title from docs d "
+    "left join (select document_key, status from (select *, row_number() over (partition by document_key order by finished_at desc, seq desc) as rn from runs) where rn = 1) l using (document_key) "
+    "left join (select document_key, case when last_error_message is not null then current_step || ': ' || last_error_message end as error_summary from (select r.document_key, p.*, row_number() over (partition by r.document_key order by p.updated_at desc, p.article_key desc) as rn from proc p join runs r using (parse_run_id)) where rn = 1) e using (document_key) "
+    "left join visible v using (document_key)",
+)
+def _(t):
+    return v.document_detail(t)
+
+
 @query("V8_processing_cards", f"select article_key, article_id, document_key, source_name, p.status, current_step, automatic_failure_count, case when last_error_message is not null then current_step || ': ' || last_error_message else '{v.NO_ERROR}' end as error_summary, updated_at from proc p join runs r using (parse_run_id) join docs d using (document_key) where p.status = 'failed_retryable' order by updated_at desc, article_key desc limit 50")
 def _(t):
     return v.processing_cards(t, status="failed_retryable")

@@ -45,6 +45,17 @@ def visible_articles(t: Tables) -> DataFrame:
     return t.articles().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name"), "document_key").join(advertisements(t), "article_id", "left_anti")
 
 
+def document_detail(t: Tables) -> DataFrame:
+    """Every document's visible articles (one row without, if it has none) with the status
+    of its newest run and the error summary of its newest article in the queue."""
+    runs = t.parse_runs()
+    latest = runs.groupBy("document_key").agg(F.max_by("status", F.struct("finished_at", "seq")).alias("status"))
+    queued = t.processing_runs().select("article_key", "parse_run_id", "updated_at", error_summary().alias("error_summary")).join(runs.select("parse_run_id", "document_key"), "parse_run_id")
+    errors = queued.groupBy("document_key").agg(F.max_by("error_summary", F.struct("updated_at", "article_key")).alias("error_summary"))
+    rows = t.documents().select("document_key").join(latest, "document_key", "left").join(errors, "document_key", "left").join(visible_articles(t).select("document_key", "article_id", "title"), "document_key", "left")
+    return rows.select("document_key", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("error_summary", F.lit(NO_ERROR)).alias("error_summary"), "article_id", "title")
+
+
 def paging(page: int | None, size: int | None, limit: int | None = None) -> tuple[int, int]:
     """(page, size), each at least 1; ``limit`` takes the place of the size."""
     return max(1, page or 1), max(1, limit if limit is not None else size or 1)

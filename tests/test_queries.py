@@ -49,3 +49,10 @@ def test_import_items_of_all_runs(spark):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
     got = registry.queries()["V11_import_items_all"](spark, FOLDER)
     assert got.count() == events.filter("event_type = 'error'").count() > 100
+
+
+def test_detail_of_every_document(spark):
+    got = registry.queries()["V7_document_detail_all"](spark, FOLDER)
+    customers = spark.read.parquet(f"{FOLDER}/customer.parquet")
+    assert got.select("document_key").distinct().count() == customers.count() > 50
+    assert {"document_key", "status", "error_summary"} <= set(got.columns) and got.filter("article_id is null").count() > 0
