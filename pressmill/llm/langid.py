@@ -9,13 +9,14 @@ with a column of probabilities or back-off weights a language; look-ups are
 binary searches.  The language with the lowest cross-entropy a character wins.
 
 The score is the chance that the winner is right, a logistic function of its
-lead over the second and of the length, fitted on training documents that the
-models did not see; ``rejected`` marks scores below ``REJECT``.
+lead over the second and of the length, fitted on training documents that models
+of the others did not see; the final models then learn from all of the sample.
+``rejected`` marks scores below ``REJECT``.
 
 Only training rows are learned from: a bounded sample, ``SAMPLE`` documents of a
-language on average (chosen by a hash of the id; longer ones than LONGEST
-characters are left out of the sample), for the ``LANGUAGES`` most frequent
-languages.  Every row is scored over its whole text.
+language on average (chosen by a hash of the id; of those longer than LONGEST
+characters, a passage of that length at a place by hash), for every language.
+Every row is scored over its whole text.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; null ids
 are kept and count as training rows; null languages are not learned from.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from . import common
 from .word_table import WordTable, logistic, sums
 
-ORDER, SAMPLE, LONGEST, LANGUAGES, REJECT = 4, 1500, 100_000, 512, 0.5
+ORDER, SAMPLE, LONGEST, REJECT = 4, 1500, 100_000, 0.5
 #: n-grams kept of a language and order, the most frequent ones.
 KEPT = 200_000
 START, END = "\x02", "\x03"
@@ -152,41 +153,48 @@ def features(logs: np.ndarray) -> np.ndarray:
     return np.column_stack([lead, np.minimum(lead * n, 50), np.log1p(n)])
 
 
-def sample_rows(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
-    """(lang, text, check): a bounded sample of each frequent language."""
+def sample_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text, check): a bounded sample of each language, long texts as passages."""
     known = docs.filter("lang is not null and text is not null and not held_out")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, sample / row["count"]))).otherwise(share)
-    mix = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1e6
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count("*")).alias("share"))  # a row a language
+    mix = lambda what: F.pmod(F.xxhash64("doc_id", F.lit(what)), F.lit(1_000_000)) / 1e6
     check = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
-    return known.filter((mix < share) & (F.length("text") <= LONGEST)).select("lang", "text", check.alias("check"))
+    start = F.floor(mix("passage") * (F.length("text") - LONGEST + 1)).cast("int") + 1
+    text = F.when(F.length("text") > LONGEST, F.substring(F.col("text"), start, F.lit(LONGEST))).otherwise(F.col("text"))
+    return known.join(F.broadcast(shares), "lang").filter(mix("language sample") < F.col("share")).select("lang", text.alias("text"), check.alias("check"))
 
 
 def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model | None:
     """Models and calibration from a bounded sample, on the driver."""
     counts: dict[str, Counter] = {}
+    others: dict[str, Counter] = {}
     checks = []
     for row in sample_rows(docs, sample).toLocalIterator():
-        if not row["check"]:
-            counts.setdefault(row["lang"], Counter()).update(words_of(row["text"]))
-        elif len(checks) < 4000:
-            checks.append((row["lang"], words_of(row["text"])))
-    counts = {k: v for k, v in counts.items() if v}
-    if not counts:
+        words = words_of(row["text"])
+        (others if row["check"] else counts).setdefault(row["lang"], Counter()).update(words)
+        if row["check"] and len(checks) < 4000:
+            checks.append((row["lang"], words))
+    whole = {k: counts.get(k, Counter()) + others.get(k, Counter()) for k in counts | others}
+    whole, counts = {k: v for k, v in whole.items() if v}, {k: v for k, v in counts.items() if v}
+    if not whole:
         return None
-    model = train_models(counts, order)
+    final = train_models(whole, order)
+    final.calibration = calibrated(train_models(counts, order), checks) if counts else UNCALIBRATED
+    return final
+
+
+#: Where nothing can be told apart: a fixed slope on the lead.
+UNCALIBRATED = (np.array([2.0, 2.0, 0.5, 2.0]), np.array([0.05, 5.0, 5.0]), np.array([0.1, 10.0, 2.0]))
+
+
+def calibrated(model: Model, checks: list[tuple[str, list[str]]]) -> tuple:
+    """The logistic function that tells right winners, from documents that ``model`` did not see."""
     table = WordTable(model.log10, len(model.names) + 1)
-    checks = [x for x in checks if x[1] and x[0] in counts]
+    checks = [x for x in checks if x[1] and x[0] in model.names]
     at, lengths = table.rows([w for _, w in checks])
     logs = sums(table.matrix[at], lengths)
     right = np.array([model.names[i] == lang for i, (lang, _) in zip(logs[:, :-1].argmax(1), checks, strict=True)], float) if checks else np.zeros(0)
-    if len(right) and right.min() != right.max():
-        model.calibration = logistic(features(logs), right)
-    else:  # nothing to tell apart: a fixed slope on the lead
-        model.calibration = (np.array([2.0, 2.0, 0.5, 2.0]), np.array([0.05, 5.0, 5.0]), np.array([0.1, 10.0, 2.0]))
-    return model
+    return logistic(features(logs), right) if len(right) and right.min() != right.max() else UNCALIBRATED
 
 
 _table: list = [None, None]

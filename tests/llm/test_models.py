@@ -33,6 +33,23 @@ def test_language(spark):
     assert langid.predict(spark.createDataFrame([], SCHEMA), common.held_out("doc_id", 3, 1)).count() == 0
 
 
+def test_rare_and_long_languages_are_learned(spark):
+    rng = random.Random(10)
+    rows = [(i, made("en", 60, rng), "en", "", "", "") for i in range(200)]
+    spot = spark.range(1000, 1100).filter(F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(4)) == 0).first()[0]
+    rows += [(spot, made("de", 300, rng), "de", "", "", ""), (2000, made("fr", 25_000, rng), "fr", "", "", "")]
+    assert len(rows[-1][1]) > langid.LONGEST
+    rows += [(3000, made("de", 60, rng), None, "", "", ""), (3001, made("fr", 60, rng), None, "", "", "")]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(rows, SCHEMA), F.lit(False)).collect()}
+    assert got[3000] == "de" and got[3001] == "fr" and got[0] == "en"
+
+
+def test_more_than_512_languages_are_learned(spark):
+    rows = [(i, " ".join([chr(0x4E00 + i) * 3] * 5), f"l{i}", "", "", "") for i in range(520)]
+    got = langid.predict(spark.createDataFrame(rows, SCHEMA), F.lit(False)).collect()
+    assert all(r.lang_pred == f"l{r.doc_id}" for r in got) and len(got) == 520
+
+
 def test_kneser_ney_sums_to_one():
     rng = random.Random(2)
     counts = Counter(made("de", 500, rng).split())
