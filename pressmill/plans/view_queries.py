@@ -185,6 +185,11 @@ def _(t):
     return top.select("article_key", F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("article_key"))).cast("long").alias("place"))
 
 
+@query("O1_processing_order_all", "select article_key, row_number() over (order by updated_at desc, article_key desc) as place from proc")
+def _(t):
+    return v.numbered(t.processing_runs().select("article_key", "updated_at"), [F.desc("updated_at"), F.desc("article_key")], "processing-order").select("article_key", "place")
+
+
 @query("O2_page_three", "select v.article_id from visible v order by v.publication_date desc, v.article_order, v.article_id limit 20 offset 40")
 def _(t):
     return v.page_of(v.visible_articles(t), v.card_order(), 3, 20).select("article_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.adapters import Tables
+from ..sources.storage import stored
 
 USABLE = ("succeeded", "partial", "skipped_advertisement")
 AD = "skipped_advertisement"
@@ -45,6 +46,20 @@ def visible_articles(t: Tables) -> DataFrame:
     return t.articles().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name"), "document_key").join(advertisements(t), "article_id", "left_anti")
 
 
+def numbered(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """``rows`` with their ``place`` in a total order: counts of the range partitions
+    before, and a number within each."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stored(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), label)
+    before, at = [], 0
+    for r in sorted(ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()):  # a row a partition
+        before.append((r["__part"], at))
+        at += r["n"]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "__part int, __before long"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(starts, "__part").withColumn("place", F.col("__before") + within).drop("__part", "__before")
+
+
 def document_detail(t: Tables) -> DataFrame:
     """Every document's visible articles (one row without, if it has none) with the status
     of its newest run and the error summary of its newest article in the queue."""

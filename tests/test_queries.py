@@ -56,3 +56,9 @@ def test_detail_of_every_document(spark):
     customers = spark.read.parquet(f"{FOLDER}/customer.parquet")
     assert got.select("document_key").distinct().count() == customers.count() > 50
     assert {"document_key", "status", "error_summary"} <= set(got.columns) and got.filter("article_id is null").count() > 0
+
+
+def test_every_row_has_its_place(spark):
+    got = registry.queries()["O1_processing_order_all"](spark, FOLDER)
+    places = sorted(r.place for r in got.collect())
+    assert places == list(range(1, len(places) + 1)) and len(places) > 100
