@@ -1,136 +1,170 @@
 """Secret scans: a trigram inverted index in front of the regexes, all in SQL.
 
-Each rule's regex is read into a Boolean query over the trigrams that any match
-must hold (an OR of ANDs).  One pass over the texts emits postings
-(trigram, row) for the trigrams that some rule asks for; the postings of a row
-are intersected as a bit set, and rows that satisfy a rule's query become its
-candidates, which alone are verified with the regex.  A rule without mandatory
-trigrams (a run of hex digits) scans every text.
+Each rule's regex is parsed into a Boolean query over the trigrams that any match
+must hold (``trigrams``: an OR of ANDs).  The index has a posting (trigram, row)
+for each distinct trigram of a text that some rule asks for, found in one pass;
+postings are intersected by row, and the rows that satisfy a rule's query are its
+candidates, which alone are verified with the regex.  A rule whose regex has no
+mandatory trigrams (a run of hex digits) scans every text where it lies.
+
+Postings and candidates are a few longs each.  Candidates go to the texts by
+broadcast if there are at most ``BROADCAST`` of them (12 bytes each), so that no
+text moves; beyond it texts and candidates meet in a join by key.
 
 Spans are leftmost and non-overlapping for each rule, in code points, end
 exclusive.  Base rules: assign, access, hex; a match that fails its length is
 dropped and the search goes on behind it.  Further rules add spans of their own
-kinds and change no base span.
+kinds and change no base span.  Work is in proportion to text and matches: sums
+over matches and pieces of a text are made in chunks.
 
 Nulls: a null text is empty; null ids are kept, their postings go by the text.
-Repeated rows each give a row.  Other columns are kept by ``redact`` and ignored
-otherwise; an empty table gives an empty result; texts of any length are
-searched whole.
+Repeated rows each give a row.  Other columns are kept, but for one named like
+the new column of spans, which that replaces; an empty table gives an empty
+result; texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common, trigrams
+
+#: Candidates that are broadcast at most.
+BROADCAST = 4_000_000
+#: Matches that are summed one by one, characters of a text's pieces.
+CHUNK, PIECE = 64, 4096
+SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
+
 
 @dataclass(frozen=True)
 class Rule:
-    """``parts``: alternatives of literals that any match holds, letters in lower
-    case; empty: no such literals.  ``group``: what ``least`` is the length of."""
+    """``group``: what ``least`` is the length of."""
 
     kind: str
     regex: str
-    parts: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 0
 
+    @property
+    def search(self) -> str:
+        """The regex, with ``least`` inside where the whole match is a run of one class."""
+        if self.least and not self.group and re.fullmatch(r"\[[^\]]+\]\+", self.regex):
+            return f"{self.regex[:-1]}{{{self.least},}}"
+        return self.regex
+
 
 #: The base rules in their order, then the added ones.
 BASE = (
-    Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")), 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", (("akia",),), 0, 20),
-    Rule("hex", r"[0-9a-f]+", (), 0, 24),
+    Rule("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
+    Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 ADDED = (
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", (("eyj", ".eyj"),)),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----begin ", "private key-----"),)),
-    Rule("forge", r"gh[oprsu]_[A-Za-z0-9]{36,}", (("gho_",), ("ghp_",), ("ghr_",), ("ghs_",), ("ghu_",))),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("forge", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE + ADDED
 
 
-def trigram_query(rule: Rule) -> list[frozenset[str]]:
-    """The rule's query: one of these sets must be present; [] asks for nothing."""
-    return [frozenset(p[i : i + 3] for p in part for i in range(len(p) - 2)) for part in rule.parts]
+def asked_for(rules: tuple[Rule, ...]) -> list[str]:
+    """The index's trigrams, a list that the rules alone decide."""
+    return sorted({t for r in rules for alternative in trigrams.query(r.regex) for t in alternative})
 
 
-def asked_for(rules: tuple[Rule, ...]) -> list[str]:
-    """The index's trigrams, a bounded list that the rules alone decide."""
-    found = sorted({t for r in rules for alt in trigram_query(r) for t in alt})
-    if len(found) > 126:
-        raise ValueError("more trigrams than two bit sets hold")
-    return found
+def any_of(wanted: list[str]) -> str:
+    """A regex that finds each place of any of these trigrams, overlapping ones too."""
+    heads: dict[str, list[str]] = {}
+    for t in wanted:
+        heads.setdefault(t[0], []).append(t[1:])
+    return "(?s)(?=(" + "|".join(f"{re.escape(a)}(?:{'|'.join(map(re.escape, tails))})" for a, tails in heads.items()) + "))"
 
 
 def postings(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(trigram, key) for each asked-for trigram that a row's text holds; ``rows`` has key and text."""
+    """(trigram, key): the distinct trigrams asked for, as numbers, that a row's text
+    holds; ``rows`` has key and text."""
+    wanted = asked_for(rules)
+    if not wanted:
+        return rows.select(F.lit(0).alias("trigram"), "key").limit(0)
     low = F.lower("text")  # ASCII letters map to ASCII letters: no match is lost
-    hits = [F.when(low.contains(t), F.lit(i)) for i, t in enumerate(asked_for(rules))]
-    return rows.select("key", F.explode(F.array_compact(F.array(*hits))).alias("trigram")).select("trigram", "key")
+    held = F.array_distinct(F.regexp_extract_all(low, F.lit(any_of(wanted)), F.lit(1)))
+    number = F.create_map(*[F.lit(x) for i, t in enumerate(wanted) for x in (t, i)])
+    return rows.select("key", F.explode(held).alias("held")).select(number[F.col("held")].alias("trigram"), "key")
 
 
 def candidates(posted: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, rules): bit r is set if the row's postings satisfy the query of rule r."""
-    number = {t: i for i, t in enumerate(asked_for(rules))}
-    bits = lambda lo: F.bit_or(F.when((F.col("trigram") >= lo) & (F.col("trigram") < lo + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("trigram") - lo)).otherwise(F.lit(0).cast("long")))
-    met = posted.groupBy("key").agg(bits(0).alias("b0"), bits(63).alias("b1"))
+    wanted = asked_for(rules)
+    number = {t: i for i, t in enumerate(wanted)}
+    firsts = range(0, max(1, len(wanted)), 63)
+    bits = [F.bit_or(F.when((F.col("trigram") >= lo) & (F.col("trigram") < lo + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("trigram") - lo)).otherwise(F.lit(0).cast("long"))).alias(f"b{lo}") for lo in firsts]
+    met = posted.groupBy("key").agg(*bits)
     found = F.lit(0).cast("long")
     for r, rule in enumerate(rules):
-        query = F.lit(False)
-        for alternative in trigram_query(rule):
-            need = [sum(1 << (number[t] - lo) for t in alternative if lo <= number[t] < lo + 63) for lo in (0, 63)]
-            query = query | ((F.col("b0").bitwiseAND(F.lit(need[0])) == need[0]) & (F.col("b1").bitwiseAND(F.lit(need[1])) == need[1]))
-        if rule.parts:
-            found = found.bitwiseOR(F.when(query, F.lit(1 << r)).otherwise(F.lit(0)).cast("long"))
+        satisfied = F.lit(False)
+        for alternative in trigrams.query(rule.regex):
+            present = F.lit(True)
+            for lo in firsts:
+                if need := sum(1 << (number[t] - lo) for t in alternative if lo <= number[t] < lo + 63):
+                    present = present & (F.col(f"b{lo}").bitwiseAND(F.lit(need)) == need)
+            satisfied = satisfied | present
+        found = found.bitwiseOR(F.when(satisfied, F.lit(1 << r)).otherwise(F.lit(0)).cast("long"))
     return met.select("key", found.alias("rules")).filter("rules != 0")
 
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start,kind_no,end,kind>> of one rule's spans in a text."""
-    whole = rf"(?s)\G(.*?)({rule.regex})"  # \G: what follows the last match is read once
-    gaps = F.regexp_extract_all(text, F.lit(whole), F.lit(1))
-    hits = F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    if rule.least and rule.group:
-        sized = F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(2 + rule.group)), F.length)
-    else:
-        sized = F.transform(hits, F.length)
-    lengths = F.arrays_zip(F.transform(gaps, F.length).alias("g"), F.transform(hits, F.length).alias("h"), sized.alias("n"))
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["h"]).alias("at"),
-        F.when(x["n"] >= rule.least, F.concat(acc["found"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), F.lit(order).alias("kind_no"), (acc["at"] + x["g"] + x["h"]).alias("end"), F.lit(rule.kind).alias("kind"))))).otherwise(acc["found"]).alias("found"),
-    )
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+def let(value: Column, use) -> Column:
+    """``use(value)``, the value worked out once: lambdas would repeat it at each step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before_each(values: Column) -> Column:
+    """What all earlier values of an array sum to, for each of them.
+
+    Folds that grow an array copy it at each step, so they run over chunks.
+    ``values`` should be a column or a lambda's variable."""
+    sums = lambda part, start: F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    chunks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK)), lambda i: F.slice(values, i + 1, F.lit(CHUNK)))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
+    each = F.arrays_zip(chunks.alias("c"), sums(totals, F.lit(0)).alias("start"))
+    return F.when(F.size(values) > 0, F.flatten(F.transform(each, lambda z: sums(z["c"], z["start"])))).otherwise(F.array().cast("array<int>"))
 
 
-def scan_spans(text: Column, rule: Rule, order: int) -> Column:
-    """The same for a rule that scans all texts: a plain search decides first."""
-    return F.when(text.rlike(f"{rule.regex[:-1]}{{{rule.least},}}" if rule.regex.endswith("]+") else rule.regex), rule_spans(text, rule, order))
+def rule_spans(text: Column, rule: Rule, order: int) -> Column:
+    """array<struct<start,kind_no,end,kind>> of one rule's spans in a text."""
+    whole = rf"(?s)\G(.*?)({rule.search})"  # \G: what follows the last match is read once
+    sizes = lambda group: F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(group)), F.length)
+    both = F.arrays_zip(sizes(1).alias("g"), sizes(2).alias("h"), (sizes(2 + rule.group) if rule.group else sizes(2)).alias("n"))
+    places = lambda z: F.arrays_zip(let(F.transform(z, lambda x: x["g"] + x["h"]), before_each).alias("at"), z.alias("z"))
+    good = F.filter(let(both, places), lambda p: p["z"]["n"] >= rule.least)
+    return F.transform(good, lambda p: F.struct((p["at"] + p["z"]["g"]).alias("start"), F.lit(order).alias("kind_no"), (p["at"] + p["z"]["g"] + p["z"]["h"]).alias("end"), F.lit(rule.kind).alias("kind")))
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "secret_spans", broadcast: int = BROADCAST) -> DataFrame:
     """``docs`` with a last column ``spans_col``: sorted by start, then kind.
 
-    Rows are matched to candidates by a hash of id and text, which may at worst
-    verify a text in vain; texts are shuffled once, postings are a few longs.
+    Rows are matched to candidates by a hash of id and text; rows that share one
+    are candidates together, and at worst a text is verified in vain.
     """
-    names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    found = candidates(postings(docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")), rules), rules).withColumnRenamed("key", "known")
-    joined = keyed.join(found, keyed.key == found.known, "left").withColumn("rules", F.coalesce("rules", F.lit(0).cast("long")))
+    names = [c for c in docs.columns if c != spans_col]
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    found = common.stored(candidates(postings(docs.select(key.alias("key"), F.col(text_col).alias("text")), rules), rules), "secret-candidates").withColumnRenamed("key", "known")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("key"))
+    few = found.count() <= broadcast
+    joined = keyed.join(F.broadcast(found) if few else found, F.col("key") == F.col("known"), "left").withColumn("rules", F.coalesce("rules", F.lit(0).cast("long")))
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>")
     parts = []
     for r, rule in enumerate(rules):
-        if rule.parts:
-            parts.append(F.when(F.col("rules").bitwiseAND(F.lit(1 << r)) != 0, rule_spans(text, rule, r)))
-        else:
-            parts.append(scan_spans(text, rule, r))
-    spans = F.array_sort(F.concat(*[F.coalesce(p, none) for p in parts]))
+        if trigrams.query(rule.regex):
+            asked = F.col("rules").bitwiseAND(F.lit(1 << r)) != 0
+        else:  # it scans all texts: a plain search decides first
+            asked = text.rlike(rule.search)
+        parts.append(F.when(asked, rule_spans(text, rule, r)))
+    spans = F.array_sort(F.concat(*[F.coalesce(p, F.array().cast(SPANS)) for p in parts]))
     return joined.select("row", spans.alias(spans_col)).select("row.*", spans_col)
 
 
@@ -149,18 +183,34 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(found: DataFrame, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = None, spans_col: str = "secret_spans") -> DataFrame:
     """``find``'s input again, each span (overlapping ones as one) replaced by ``mark``;
     ``length_col``, if given, follows the new text where it changed."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    step = lambda acc, s: F.when(
-        s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-    ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out")))
-    cut = F.aggregate(spans_col, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    text, spans = F.coalesce(F.col(text_col), F.lit("")), F.col(spans_col)
+    # A span starts a new mark if none before it reaches beyond its start.
+    before = lambda ends: F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0)).alias("from")))
+    at = let(let(F.transform(spans, lambda s: s["end"]), _furthest), before)
+    kept = F.filter(at, lambda s, i: (i == 0) | (s["start"] >= s["from"]))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    number = lambda x: F.floor(x / PIECE).cast("int")
+    cut = lambda held, a, b: F.when(b > a, F.substring(F.array_join(F.slice(held, number(a) + 1, number(b - 1) - number(a) + 1), ""), a % PIECE + 1, b - a)).otherwise(F.lit(""))
+    heads = lambda held: F.transform(kept, lambda s: F.concat(cut(held, s["from"], s["start"]), F.lit(mark)))
+    tail = lambda held: cut(held, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+    cleaned = let(pieces, lambda held: F.concat(F.array_join(heads(held), ""), tail(held)))
     changed = F.size(spans_col) > 0
-    out = found.withColumn(text_col, F.when(changed, cut).otherwise(F.col(text_col)))
+    out = found.withColumn(text_col, F.when(changed, cleaned).otherwise(F.col(text_col)))
     if length_col in found.columns:
         out = out.withColumn(length_col, F.when(changed, F.length(text_col)).otherwise(F.col(length_col)).cast(found.schema[length_col].dataType))
     return out.drop(spans_col)
 
 
+def _furthest(values: Column) -> Column:
+    """The largest value so far, for each of an array, in chunks as in ``before_each``."""
+    most = lambda part, start: F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct(F.greatest(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(F.greatest(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+    chunks = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK)), lambda i: F.slice(values, i + 1, F.lit(CHUNK)))
+    tops = most(F.transform(chunks, F.array_max), F.lit(0))
+    starts = F.arrays_zip(chunks.alias("c"), F.concat(F.array(F.lit(0)), tops).alias("start"))
+    each = F.filter(F.transform(starts, lambda z: F.when(z["c"].isNotNull(), most(z["c"], z["start"]))), lambda x: x.isNotNull())
+    return F.when(F.size(values) > 0, F.flatten(each)).otherwise(F.array().cast("array<int>"))
+
+
 #: The digest in DuckDB; ``?`` is replaced by a rule's regex.
 def _oracle() -> str:
     parts = []

@@ -5,7 +5,10 @@ import re
 import pytest
 import xxhash
 
-from pressmill.llm import decontam, secret_scan, simhash
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from pressmill.llm import decontam, secret_scan, simhash, trigrams
 
 SCHEMA = "doc_id long, text string, rules string, key string, spans string, w string, rid string, fp string, secret_spans string, known string"
 
@@ -31,9 +34,13 @@ def secret_texts():
     return texts + ["password=token:abcdefgh", "token: = abcdef", "", "AKIAAKIA" + "Z" * 20, "é" * 50_000 + "secret=abcdef1", "AKIA" + "0" * 15]
 
 
-def test_secrets_match_plain_search(spark):
+@pytest.mark.parametrize("broadcast", [secret_scan.BROADCAST, 0])
+def test_secrets_match_plain_search(spark, broadcast):
     rows = list(enumerate(secret_texts())) + [(None, None), (None, "token=abcdefg"), (3, "token=abcdefg"), (3, "token=abcdefg")]
-    got = secret_scan.digest(secret_scan.find(frame(spark, rows).drop("secret_spans"))).collect()
+    rows += [(5000, "secret=abcdefg é AKIA " * 3000), (5001, "f" * 30 + " dead " * 9000)]
+    found = secret_scan.find(frame(spark, rows), broadcast=broadcast)
+    assert found.columns == [c for c in frame(spark, []).columns if c != "secret_spans"] + ["secret_spans"]
+    got = secret_scan.digest(found).collect()
     assert len(got) == len(rows)
     want = sorted((i if i is not None else -1, hashlib.sha256(",".join(base_spans(t or "")).encode()).hexdigest()) for i, t in rows)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.base_sha256) for r in got) == want
@@ -41,24 +48,74 @@ def test_secrets_match_plain_search(spark):
         kinds = [s.split(":")[0] for s in r.spans.split(",") if s]
         assert (kinds.count("assign"), kinds.count("access"), kinds.count("hex")) == (r.n_assign, r.n_access, r.n_hex)
     assert any("forge:" in r.spans for r in got) and any("pem:" in r.spans for r in got)
-    assert secret_scan.find(frame(spark, []).drop("secret_spans")).count() == 0
+    assert secret_scan.find(frame(spark, [])).count() == 0
+
+
+REGEXES = [
+    "abc(def)?ghi", "(abc|xyz)+q", "a.cdef", "(?:ab|cd){2}e", "[abc]xyz", "[a-z]bcd", "x*abcd", "(?i)HeLLo [0-9]", "é?abcd", "abc|.", "(abc){0}", "(?=bar)bar", "a{3}", "(a|b){2,5}cd+e", "^(foo|bar|)baz$",
+    "(a|b)(c|d)(e|f)(g|h)(i|j)(k|l)(m|n)z+", "[^a]bcd?e", r"\d{4}-ab\w", "(?:(?:one|two)-){1,3}end", "k[\u212a]abc", "([ab]|xyz)*tail", "a{0,1}b{2,2}c{3,}", "(?>abc|abd)e", "x++yz{2,3}?",
+]
+
+
+@pytest.mark.parametrize("regex", [*REGEXES, *(r.regex for r in secret_scan.RULES)])
+def test_matches_satisfy_the_derived_query(regex):
+    asked = trigrams.query(regex)
+
+    @settings(max_examples=60, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(regex), st.text(max_size=3), st.text(max_size=3))
+    def holds(match, before, after):
+        low = "".join(c.lower() if c.isascii() else c for c in before + match + after)
+        assert not asked or any(all(t in low for t in alternative) for alternative in asked)
+
+    holds()
+
+
+def test_derived_queries():
+    sets = lambda *words: {trigrams.trigrams(w) for w in words}
+    assert trigrams.query(secret_scan.BASE[2].regex) == [] and trigrams.query("abc|.") == []
+    assert set(trigrams.query(secret_scan.BASE[0].regex)) == sets("password", "passwd", "secret", "token", "apikey", "api_key")
+    assert set(trigrams.query(r"gh[op]_[a-z]+")) == sets("gho_", "ghp_")
+    assert set(trigrams.query("(abc|xyz)+q")) == {frozenset({"abc", "bcq"}), frozenset({"xyz", "yzq"})}
+    assert trigrams.query("abcd") == [frozenset({"abc", "bcd"})]
+
+
+def test_postings_are_those_of_the_texts(spark):
+    wanted = secret_scan.asked_for(secret_scan.RULES)
+    texts = secret_texts()[:100]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = {(r.trigram, r.key) for r in secret_scan.postings(rows).collect()}
+    low = ["".join(c.lower() if c.isascii() else c for c in t) for t in texts]
+    assert {x for x in got if texts[x[1]].isascii()} == {(i, k) for k, t in enumerate(low) for i, w in enumerate(wanted) if w in t and texts[k].isascii()}
+    assert {(i, k) for k, t in enumerate(low) for i, w in enumerate(wanted) if w in t} <= got
 
 
-def test_trigram_queries():
-    assert secret_scan.trigram_query(secret_scan.BASE[2]) == []
-    assert {frozenset({"api", "key"})} <= set(secret_scan.trigram_query(secret_scan.BASE[0]))
+def test_a_rule_of_ones_own(spark):
+    rules = (secret_scan.Rule("id", "ID-[0-9]{3}"), secret_scan.Rule("any", "[xyz]+", 0, 3))
+    got = secret_scan.find(frame(spark, [(1, "ID-123 xyzzy ID-12"), (2, None)]), rules).collect()
+    assert [[(s.kind, s.start, s.end) for s in r.secret_spans] for r in sorted(got, key=lambda r: r.doc_id)] == [[("id", 0, 6), ("any", 7, 12)], []]
 
 
 def test_redaction_keeps_the_rest(spark):
-    rows = list(enumerate(secret_texts()))
+    rows = list(enumerate(secret_texts())) + [(900, "é secret=abcdef token=abcdefg! " * 1500)]
     found = secret_scan.find(frame(spark, rows), spans_col="__s")
     texts = {r.doc_id: r for r in secret_scan.redact(found, spans_col="__s").collect()}
+    spans = {r.doc_id: r["__s"] for r in found.collect()}
     assert secret_scan.redact(found, spans_col="__s").columns == frame(spark, []).columns
     for i, t in rows:
         new = texts[i].text
         if not base_spans(t) and not any(x in t for x in ("ghp_", "-----BEGIN")):
             assert new == t
         assert not base_spans(new)
+        merged = []
+        for a, b in sorted((s.start, s.end) for s in spans[i]):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        want, at = "", 0
+        for a, b in merged:
+            want, at = want + t[at:a] + "[SECRET]", b
+        assert new == want + t[at:]
 
 
 def words(text):
