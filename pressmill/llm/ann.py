@@ -1,20 +1,26 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals.
 
-Fitted on a bounded sample (``SAMPLE`` vectors, by a hash of the id): coarse
-centroids by k-means, and codebooks of 256 entries for each slice of the
-residuals.  Every vector is then indexed under its centroid with its codes.
-
-A query probes the centroids with the largest inner products, as many as held
-TARGET of the sample's own neighbours, found by brute force when fitting.  Within a list,
-an asymmetric distance table of the query (its inner product with every
-codebook entry) gives approximate scores by look-ups; the best ``RERANK`` distinct
-vectors and all that are level with the last of them are scored exactly in double
-precision, and the best k of each list meet in the end.
-
-Lists are cut into blocks of about ``BLOCK`` vectors and the queries of a list
-into chunks of about ``CHUNK``, by hashes, from counts of both; a task holds one
-block and one chunk, however many vectors share a cell.  Only counts of cells
-come to the driver.
+Fitted on a bounded sample: coarse centroids by k-means, and codebooks of 256
+entries for each slice of the residuals.  The sample has ``SAMPLE`` vectors, or
+8 * sqrt(rows) if that is more, so that the sqrt(rows) lists grow with the table.
+Every vector is indexed under its centroid with its codes.
+
+Equal vectors are one member of the index with their k + 1 smallest ids (no other
+can be among the best k), and equal query vectors are searched once.
+
+Search: a query probes the centroids with the largest inner products, as many as
+held TARGET of the sample's own neighbours.  The inverted lists hold list, codes
+and the number of members with these codes, nothing else.  Lists are packed into
+parts of about ``PART`` codes, a part and a chunk of its queries are one task, and
+an asymmetric distance table of each query (its inner product with every codebook
+entry) scores the codes of its lists by look-ups.  Of all of a query's lists and
+parts together the best ``POOL`` members by that score go on, with all others of
+the last one's code.  Only their vectors are fetched, for chunks of queries that
+probe the same list first, and scored exactly in double precision.
+
+No task holds a whole list, cell or group of copies: large lists are cut by their
+codes, members of a chunk by their vectors, queries by hashes.  Only counts of
+lists, parts and chunks come to the driver.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in
 length from the sample's most frequent length take no part.  Null ids take no
@@ -38,11 +44,13 @@ from pyspark.sql.window import Window
 
 from . import common
 
-K, SAMPLE, SLICES, RERANK, BLOCK, CHUNK = 20, 20_000, 16, 100, 8192, 2048
+K, SAMPLE, SLICES, POOL = 20, 20_000, 16, 200
+#: Codes of a part, queries of a chunk, members that a chunk compares at once.
+PART, CHUNK, BLOCK = 262_144, 2048, 32_768
 #: Share of the sample's true neighbours that the probed lists must hold.
 TARGET = 0.97
 #: Numbers that a search step holds at once, at most (or one query's).
-STEP = 2_000_000
+STEP = 4_000_000
 
 
 @dataclass
@@ -111,48 +119,75 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, codes.astype(np.uint8)
 
 
-def search_block(index: Index, cell: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): each query's best k of one block, exact scores.
-
-    Of equal vectors the k + 1 smallest ids are kept, more cannot be among the best
-    k.  All rows that are level with the ``rerank``-th distinct vector are rescored.
-    """
+def adc_pool(index: Index, cell: np.ndarray, codes: np.ndarray, n: np.ndarray, q: np.ndarray, probed: list[np.ndarray], pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, code row, score): for each query the best codes of its lists by
+    the asymmetric distance table, until they have ``pool`` members; codes are
+    sorted by cell, ``n`` counts the members of each."""
     slices, _, width = index.books.shape
-    ids, order = np.sort(ids), np.argsort(ids, kind="stable")
-    x, codes = x[order], codes[order]
-    groups: dict[bytes, list[int]] = {}
-    for i, vector in enumerate(x):
-        rows = groups.setdefault(vector.tobytes(), [])
-        if not rows or (len(rows) <= k and ids[rows[-1]] != ids[i]):
-            rows.append(i)
-    used = np.sort(np.concatenate([np.array(g) for g in groups.values()]))
-    first = np.searchsorted(used, [g[0] for g in groups.values()])
-    ids, x, codes = ids[used], x[used], codes[used]
-    number = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0)  # equal ids, equal numbers
-    keep = min(rerank, len(first))
-    step, some = max(1, STEP // max(len(ids), keep * x.shape[1])), max(1, STEP // x.shape[1])
+    cells, starts = np.unique(cell, return_index=True)
+    ends, q = np.append(starts[1:], len(cell)), q.astype(np.float32)
+    sliced = np.pad(q, ((0, 0), (0, slices * width - q.shape[1]))).reshape(len(q), slices, width)
+    by_slice = np.ascontiguousarray(codes.T)
+    asked = np.zeros((len(q), len(cells)), bool)
+    for i, mine in enumerate(probed):
+        asked[i] = np.isin(cells, mine)
     outs: list[list[np.ndarray]] = [[], [], []]
+    step, keep = max(1, STEP // max(len(cell), slices * 256)), min(pool, len(cell))
     for i in range(0, len(q), step):
-        part, own = q[i : i + step], query_ids[i : i + step]
-        q32 = np.pad(part.astype(np.float32), ((0, 0), (0, slices * width - q.shape[1]))).reshape(len(part), slices, width)
-        near = np.zeros((len(part), len(ids)), np.float32)  # + q . centroid, one for all
-        for s in range(slices):
-            near += (q32[:, s] @ index.books[s].T)[:, codes[:, s]]
-        last = np.partition(near[:, first], len(first) - keep, axis=1)[:, len(first) - keep]
-        row, at = np.nonzero(~(near < last[:, None]))
-        other = ids[at] != own[row]
-        row, at = row[other], at[other]
-        score = np.concatenate([np.einsum("nd,nd->n", x[at[j : j + some]], part[row[j : j + some]]) for j in range(0, max(1, len(at)), some)])
-        best = np.lexsort((ids[at], -score, row))
-        row, at, score = row[best], at[best], score[best]
-        once = np.sort(np.unique(row * len(ids) + number[at], return_index=True)[1])  # an id's best
-        row, at, score = row[once], at[once], score[once]
-        there = np.arange(len(row)) - np.searchsorted(row, row) < k
-        for out, values in zip(outs, (own[row[there]], ids[at[there]], score[there]), strict=True):
+        table = np.einsum("nsw,scw->nsc", sliced[i : i + step], index.books)
+        base = q[i : i + step] @ index.centroids[cells].T
+        near = np.full((len(table), len(cell)), -np.inf, np.float32)
+        for c in np.flatnonzero(asked[i : i + step].any(0)):
+            rows, a, b = np.flatnonzero(asked[i : i + step, c]), starts[c], ends[c]
+            total = np.repeat(base[rows, c][:, None], b - a, axis=1)
+            for s in range(slices):
+                total += table[rows, s][:, by_slice[s, a:b]]
+            near[rows, a:b] = total
+        top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+        score = np.take_along_axis(near, top, 1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        top, score = np.take_along_axis(top, order, 1), np.take_along_axis(score, order, 1)
+        row, at = np.nonzero((np.cumsum(n[top], axis=1) - n[top] < pool) & (score > -np.inf))
+        for out, values in zip(outs, (row + i, top[row, at], score[row, at]), strict=True):
             out.append(values)
     return tuple(np.concatenate(o) for o in outs)
 
 
+def best_exact(x: np.ndarray, ids: list[np.ndarray], q: np.ndarray, row: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score): each query's best k of its members (pairs of a query
+    row and a row of ``x``), in double precision, an id once."""
+    some = max(1, STEP // max(1, x.shape[1]))
+    score = np.concatenate([np.einsum("nd,nd->n", x[at[j : j + some]], q[row[j : j + some]]) for j in range(0, max(1, len(at)), some)])
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    starts, flat = np.cumsum(sizes) - sizes, np.concatenate([*ids, np.zeros(0, np.int64)])
+    times = sizes[at]
+    row, score, inside = np.repeat(row, times), np.repeat(score, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    vec = flat[np.repeat(starts[at], times) + inside]
+    order = np.lexsort((-score, vec, row))
+    row, vec, score = row[order], vec[order], score[order]
+    once = np.ones(len(row), bool)
+    once[1:] = (row[1:] != row[:-1]) | (vec[1:] != vec[:-1])  # an id's best
+    row, vec, score = row[once], vec[once], score[once]
+    order = np.lexsort((vec, -score, row))
+    row, vec, score = row[order], vec[order], score[order]
+    there = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[there], vec[there], score[there]
+
+
+def packed(counts: dict[int, int], room: int) -> dict[int, tuple[int, int]]:
+    """cell -> (first part, parts): neighbouring cells share a part while they fit;
+    one beyond ``room`` is cut into several of its own."""
+    out, part, held = {}, 0, 0
+    for cell, n in sorted(counts.items()):
+        if held and held + n > room:
+            part, held = part + 1, 0
+        out[cell] = (part, max(1, -(-n // room)))
+        held += n
+        if held >= room:
+            part, held = part + out[cell][1], 0
+    return out
+
+
 def usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda v: v != 0), F.lit(False))
@@ -161,67 +196,145 @@ def usable(vector: Column) -> Column:
 def fit(vectors: DataFrame, sample: int = SAMPLE, target: float = TARGET, lists: int | None = None) -> tuple[Index | None, int]:
     """(index, rows): ``vectors`` has vec_id and v (array<double>), usable rows only."""
     n = vectors.count()
+    sample = max(sample, int(8 * n**0.5))
     share = min(1.0, 1.1 * sample / max(1, n))
-    mix = F.pmod(F.xxhash64("vec_id", F.lit("index sample")), F.lit(1_000_000)) / 1e6
+    mix = F.pmod(F.xxhash64("vec_id", F.lit("index sample")), F.lit(1_000_000_007)) / 1_000_000_007
     rows = vectors.filter(mix < share).select("v").limit(2 * sample).collect()  # bounded: about ``sample`` rows
     if not rows:
         return None, n
     dim = Counter(len(r["v"]) for r in rows).most_common(1)[0][0]
     x = np.array([r["v"] for r in rows if len(r["v"]) == dim], np.float64)
-    return train(x, lists or max(1, min(1024, int(n**0.5), len(x) // 8 or 1)), target=target), n
+    return train(x, lists or max(1, min(int(n**0.5), len(x) // 8)), target=target), n
+
 
+def _pieces(column: pa.Array, kind, width: int) -> np.ndarray:
+    """A binary column of equally long values as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
-def neighbours(table: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE, target: float = TARGET, rerank: int = RERANK, block: int = BLOCK, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+
+def neighbours(table: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE, target: float = TARGET, pool: int = POOL, part: int = PART, chunk: int = CHUNK, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` (of id ``vec_id``) holds."""
     spark = table.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
+    small = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = np.dtype("<f4" if small else "<f8")
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("raw")).filter(usable(F.col("raw")) & F.col("vec_id").isNotNull())
     rows = rows.select("vec_id", F.col("raw").cast("array<double>").alias("v"))
     index, _ = fit(rows, sample, target)
     if index is None:
         return spark.createDataFrame([], schema)
     common.bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(index)  # bounded: at most 1024 lists and the codebooks
-    dim = index.dim
+    shared = spark.sparkContext.broadcast(index)  # grows as the root of the table
+    dim, slices = index.dim, index.books.shape[0]
+    code = np.dtype([("cell", "<i4"), ("codes", "u1", (slices,))])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.ascontiguousarray(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            cell, codes = encode(shared.value, x.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "cell", "codes", "x"])
+            cells, codes = encode(shared.value, x.astype(np.float32))
+            both = np.empty(len(x), code)
+            both["cell"], both["codes"] = cells, codes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in both], pa.binary()), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], names=["vec_id", "code", "x"])
 
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fitting = rows.filter(F.size("v") == dim)
+    each = fitting.mapInArrow(encoded, "vec_id long, code binary, x binary").groupBy("x", "vec_id").agg(F.first("code").alias("code"))
+    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    # At most k + 1 ids a vector.
+    members = common.stored(ranked.groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("code").alias("code")), "index-members")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            near = q @ shared.value.centroids.T
-            cells = np.argsort(-near, axis=1, kind="stable")[:, : shared.value.probes]
-            n = cells.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(cells.reshape(-1).astype(np.int32)), pa.array([r.tobytes() for r in q for _ in range(n)], pa.binary())], names=["query_id", "cell", "q"])
+            both = np.frombuffer(b"".join(batch.column(0).to_pylist()), code)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both["cell"].astype(np.int32)), batch.column(1)], names=["code", "cell", "n"])
 
-    fitting = rows.filter(F.size("v") == dim)
-    lists = common.stored(fitting.mapInArrow(encoded, "vec_id long, cell int, codes binary, x binary"), "inverted-lists")
-    asked = fitting.filter(is_query).mapInArrow(probing, "query_id long, cell int, q binary")
+    lists = common.stored(members.groupBy("code").agg(F.count("*").alias("n")).mapInArrow(opened, "code binary, cell int, n long"), "inverted-lists")
     sizes = {r["cell"]: r["n"] for r in lists.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a list
-    wanted = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    cells = [(c, -(-n // block), max(1, -(-wanted.get(c, 0) // chunk))) for c, n in sorted(sizes.items()) if c in wanted]
-    if not cells:
+    parts = packed(sizes, part)
+    where = spark.sparkContext.broadcast(parts)  # a row a list
+
+    def plan(found: dict[int, tuple[int, int]]) -> DataFrame:
+        return F.broadcast(spark.createDataFrame([(c, *v) for c, v in found.items()], "of int, first int, parts int"))  # a row a list
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], names=["query_id", "q"])
+
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = _pieces(batch.column(0), kind, dim).astype(np.float32)
+            cells = np.argsort(-(q @ shared.value.centroids.T), axis=1, kind="stable")[:, : shared.value.probes].astype("<i4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells[:, 0]), pa.array([r.tobytes() for r in cells], pa.binary())], names=["q", "nearest", "cells"])
+
+    asked = common.stored(fitting.filter(is_query).mapInArrow(asking, "query_id long, q binary"), "queries")
+    probes = common.stored(asked.select("q").distinct().mapInArrow(probing, "q binary, nearest int, cells binary").withColumn("qid", F.monotonically_increasing_id()), "probes")
+    together = packed({r["nearest"]: r["n"] for r in probes.groupBy("nearest").agg(F.count("*").alias("n")).collect()}, chunk)  # a row a list
+    if not together:
         return spark.createDataFrame([], schema)
-    plan = F.broadcast(spark.createDataFrame(cells, "at int, blocks int, chunks int"))  # a row a list
-    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = lists.join(plan, F.col("cell") == F.col("at")).select("cell", F.pmod(F.xxhash64("vec_id", "x"), F.col("blocks")).cast("int").alias("block"), upto(F.col("chunks")).alias("chunk"), "vec_id", "codes", "x")
-    right = asked.join(plan, F.col("cell") == F.col("at")).select("cell", upto(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("query_id", "q"), F.col("chunks")).cast("int").alias("chunk"), "query_id", "q")
+    dealt = probes.join(plan(together), F.col("nearest") == F.col("of")).withColumn("group", F.col("first") + F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")).select("qid", "q", "cells", "group")
 
-    def searched(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, at = [], []
+            for i, cells in enumerate(batch.column(2).to_pylist()):
+                mine = {p for c in np.frombuffer(cells, "<i4").tolist() if c in where.value for p in range(where.value[c][0], sum(where.value[c]))}
+                found += sorted(mine)
+                at += [i] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(batch.column(j).take(pa.array(at, pa.int64())) for j in range(4))], names=["part", "qid", "q", "cells", "group"])
+
+    touched = dealt.mapInArrow(touching, "part int, qid long, q binary, cells binary, group int")
+    asks = {r["part"]: -(-r["n"] // chunk) for r in touched.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    chunks = F.broadcast(spark.createDataFrame(sorted(asks.items()), "in int, chunks int"))
+    left = lists.join(plan(parts), F.col("cell") == F.col("of")).withColumn("part", F.col("first") + F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
+    left = left.join(chunks, F.col("part") == F.col("in")).select("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "code", "n")
+    right = touched.join(chunks, F.col("part") == F.col("in")).select("part", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int").alias("chunk"), "qid", "q", "cells", "group")
+
+    def searched(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame()
+        both = np.frombuffer(b"".join(a["code"]), code)
+        order = np.argsort(both["cell"], kind="stable")
+        both, n = both[order], a["n"].to_numpy()[order]
+        q = np.frombuffer(b"".join(b["q"]), kind).reshape(-1, dim)
+        row, at, score = adc_pool(shared.value, both["cell"], both["codes"], n, q, [np.frombuffer(c, "<i4") for c in b["cells"]], pool)
+        return pd.DataFrame({"group": b["group"].to_numpy()[row], "qid": b["qid"].to_numpy()[row], "code": [both[i].tobytes() for i in at], "n": n[at], "score": score})
+
+    keys = ["part", "chunk"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(searched, "group int, qid long, code binary, n long, score float")
+    earlier = Window.partitionBy("qid").orderBy(F.desc("score"), "code").rowsBetween(Window.unboundedPreceding, -1)
+    pooled = common.stored(scored.withColumn("better", F.sum("n").over(earlier)).filter(F.coalesce("better", F.lit(0)) < pool).select("group", "qid", "code", "n"), "pools")
+
+    need = pooled.groupBy("group", "code").agg(F.first("n").alias("n"))
+    blocks = need.groupBy("group").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).withColumnRenamed("group", "at")  # a row a chunk of queries
+    fetched = need.select("group", "code").join(members, "code").join(blocks, F.col("group") == F.col("at")).select("group", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"), "code", "ids", "x")
+    wishes = pooled.groupBy("group", "qid").agg(F.collect_list("code").alias("codes"))  # at most ``pool`` codes
+    wishes = wishes.join(probes.select("qid", "q"), "qid").join(blocks, F.col("group") == F.col("at")).select(F.col("group").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("piece"), "qid", "q", "codes")
+
+    def reranked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame()
-        x = np.frombuffer(b"".join(a["x"]), np.float64).reshape(-1, dim)
-        codes = np.frombuffer(b"".join(a["codes"]), np.uint8).reshape(len(a), -1)
-        q = np.frombuffer(b"".join(b["q"]), np.float64).reshape(-1, dim)
-        found = search_block(shared.value, int(key[0]), a["vec_id"].to_numpy(), x, codes, b["query_id"].to_numpy(), q, k, rerank)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    keys = ["cell", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(searched, "query_id long, vec_id long, score double")
-    each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        x = np.frombuffer(b"".join(a["x"]), kind).reshape(-1, dim).astype(np.float64)
+        q = np.frombuffer(b"".join(b["q"]), kind).reshape(-1, dim).astype(np.float64)
+        of: dict[bytes, list[int]] = {}
+        for i, c in enumerate(a["code"]):
+            of.setdefault(bytes(c), []).append(i)
+        of, ids, out = {c: np.array(m) for c, m in of.items()}, [np.asarray(i, np.int64) for i in a["ids"]], []
+        held: list[np.ndarray] = []
+        first = pairs = 0
+        for i, codes in enumerate(b["codes"]):
+            held.append(np.concatenate([*(of[c] for c in map(bytes, codes) if c in of), np.zeros(0, np.int64)]))
+            pairs += len(held[-1])
+            if pairs * k > STEP or i + 1 == len(b):
+                row = np.repeat(np.arange(first, i + 1), [len(m) for m in held])
+                out.append(best_exact(x, ids, q, row, np.concatenate(held), k + 1))
+                held, first, pairs = [], i + 1, 0
+        row, vec, score = map(np.concatenate, zip(*out, strict=True))
+        return pd.DataFrame({"qid": b["qid"].to_numpy()[row], "vec_id": vec, "score": score})
+
+    found = fetched.groupBy("group", "block").cogroup(wishes.groupBy("to", "piece")).applyInPandas(reranked, "qid long, vec_id long, score double")
+    best = found.groupBy("qid", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1)
+    answers = best.groupBy("qid").agg(F.collect_list(F.struct("vec_id", "score")).alias("answers"))  # at most k + 1
+    own = asked.distinct().join(probes.select("q", "qid"), "q").join(answers, "qid").select("query_id", F.explode("answers").alias("a")).select("query_id", "a.vec_id", "a.score").filter("vec_id != query_id")
+    merged = own.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

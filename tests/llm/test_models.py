@@ -107,7 +107,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist(), "") for i, v in enumerate(x)]
     rows += [(2000, None, ""), (2020, [0.0] * 24, ""), (2040, [float("nan")] * 24, ""), (2060, [None, *[1.0] * 23], ""), (2080, [1.0] * 7, ""), (None, [1.0] * 24, ""), (40, x[40].tolist(), "")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
-    got = ann.neighbours(table, F.col("vec_id") % 20 == 0, block=200, chunk=16).collect()
+    got = ann.neighbours(table, F.col("vec_id") % 20 == 0, part=200, chunk=16, block=100).collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -134,23 +134,65 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r.vec_id for r in got] == list(range(20))
 
 
-def test_level_candidates_are_all_rescored():
+def brute_neighbours(ids, x, q, own, k=20):
+    score = x.astype(float) @ q.astype(float)
+    order = [i for i in np.lexsort((ids, -score)) if ids[i] != own]
+    return ids[order[:k]].tolist()
+
+
+def test_quantised_residuals_prune_and_keep_recall(spark):
+    """One list of 4,000 vectors: only codes choose the 200 that are rescored."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((4000, 32)).astype(np.float32)
+    index = ann.train(x, 8)
+    cell, codes = ann.encode(index, x)
+    order = np.argsort(cell, kind="stable")
+    ids, cell, codes, xs = np.arange(4000)[order], cell[order], codes[order], x[order]
+    q = xs[:40]
+    row, at, score = ann.adc_pool(index, cell, codes, np.ones(4000, np.int64), q, [np.arange(8)] * 40, 200)
+    assert (np.bincount(row) == 200).all()
+    near = np.stack([index.centroids[c] + np.concatenate([index.books[s, v] for s, v in enumerate(code)])[:32] for c, code in zip(cell, codes)]) @ q.T
+    assert score == pytest.approx(near[at, row], rel=1e-3, abs=1e-3)  # the table's score is that of the decoded vector
+    for i in range(40):
+        assert near[at[row == i], i].min() >= np.sort(near[:, i])[-201] - 1e-3
+    got = ann.best_exact(xs.astype(float), [np.array([i]) for i in ids], q.astype(float), row, at, 21)
+    right = sum(len(set(got[1][got[0] == i]) & {ids[i], *brute_neighbours(ids, xs, q[i], ids[i])}) for i in range(40))
+    assert right >= 0.9 * 21 * 40
+    few = ann.adc_pool(index, cell, codes, np.ones(4000, np.int64), q, [np.array([cell[0]])] * 40, 200)
+    assert (cell[few[1]] == cell[0]).all()
+
+
+def test_lists_are_packed_into_parts():
+    assert ann.packed({0: 3, 1: 3, 2: 5, 3: 25, 4: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 3), 4: (5, 1)}
+    assert ann.packed({7: 10, 9: 0, 11: 11}, 10) == {7: (0, 1), 9: (1, 1), 11: (1, 2)}
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-6])
+def test_copies_and_near_copies_are_found_in_order(spark, noise):
+    """More copies, or near copies of few codes, than the pool."""
     rng = np.random.default_rng(8)
     base = np.pad(rng.standard_normal((400, 8)), ((0, 0), (0, 8)))
-    index = ann.train(base, 1)
-    q = base[:3] * 2
-    for noise in (0.0, 1e-6):  # copies, and near copies of one code
-        x = np.concatenate([base, q[0] * 3 + noise * rng.standard_normal((2700, 16))])
-        ids = rng.permutation(len(x)).astype(np.int64)
-        codes = ann.encode(index, x.astype(np.float32))[1]
-        assert len(np.unique(codes[400:], axis=0)) < 30
-        asked = np.array([-1, ids[450], -3])
-        got = ann.search_block(index, 0, ids, x, codes, asked, q, 20, 100)
-        exact = x @ q[0]
-        assert got[1][got[0] == -1].tolist() == ids[np.lexsort((ids, -exact))][:20].tolist()
-        assert len(got[0]) == 60 and ids[450] not in got[1][got[0] == ids[450]]
-    twice = ann.search_block(index, 0, np.repeat(ids[:30], 2), base[:60], codes[:60], asked, q, 20, 100)
-    assert all(len(set(twice[1][twice[0] == a])) == 20 for a in asked[[0, 2]])
+    x = np.concatenate([base, base[0] * 3 + noise * rng.standard_normal((1300, 16))])
+    ids = rng.permutation(len(x)).astype(np.int64)
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(table, F.col("vec_id") % 50 == 0, part=300, chunk=8, block=150).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    copies = [i for i in range(400, len(x)) if ids[i] % 50 == 0]
+    assert len(copies) > 10
+    found = [([got[ids[i]][n] for n in range(1, 21)], brute_neighbours(ids, x, x[i], ids[i])) for i in copies]
+    if not noise:
+        assert all(a == b for a, b in found)  # ties by id
+    assert sum(len(set(a) & set(b)) for a, b in found) >= 0.9 * 20 * len(found)
+
+
+def test_an_id_with_several_vectors_counts_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 8))
+    rows = [(i % 30, v.tolist()) for i, v in enumerate(x)] + [(4, x[4].tolist())]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    best = {j: max(float(x[a] @ x[b]) for a in (0, 30) for b in (j, j + 30)) for j in range(1, 30)}
+    assert [r.vec_id for r in got] == sorted(best, key=lambda j: (-best[j], j))[:20]
 
 
 def test_many_ties_go_to_the_smaller_id(spark):
