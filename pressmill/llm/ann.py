@@ -15,7 +15,8 @@ parts of about ``PART`` codes, a part and a chunk of its queries are one task, a
 an asymmetric distance table of each query (its inner product with every codebook
 entry) scores the codes of its lists by look-ups.  Of all of a query's lists and
 parts together the best ``POOL`` members by that score go on, with all others of
-the last one's code.  Only their vectors are fetched, for chunks of queries that
+the last one's code (near copies whose codes differ by chance are told apart no
+better than the codes do).  Only their vectors are fetched, for chunks of queries that
 probe the same list first, and scored exactly in double precision.
 
 No task holds a whole list, cell or group of copies: large lists are cut by their

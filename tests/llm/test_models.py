@@ -178,12 +178,14 @@ def test_copies_and_near_copies_are_found_in_order(spark, noise):
     got = {}
     for r in ann.neighbours(table, F.col("vec_id") % 50 == 0, part=300, chunk=8, block=150).collect():
         got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    at = {int(v): n for n, v in enumerate(ids)}
     copies = [i for i in range(400, len(x)) if ids[i] % 50 == 0]
     assert len(copies) > 10
     found = [([got[ids[i]][n] for n in range(1, 21)], brute_neighbours(ids, x, x[i], ids[i])) for i in copies]
     if not noise:
         assert all(a == b for a, b in found)  # ties by id
-    assert sum(len(set(a) & set(b)) for a, b in found) >= 0.9 * 20 * len(found)
+    for (a, b), i in zip(found, copies):  # codes can't tell near copies apart: as near as makes no difference
+        assert sorted(x[[at[v] for v in a]] @ x[i]) == pytest.approx(sorted(x[[at[v] for v in b]] @ x[i]), rel=1e-5)
 
 
 def test_an_id_with_several_vectors_counts_once(spark):
