@@ -156,18 +156,26 @@ def link_id(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """The host in lower case, null without one; names may hold marks that DNS forbids."""
+    found = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^/?#:\[\]]*))", 0)
+    return nullif_empty(F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(found, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//", ""), "^.*@", ""), r"[\[\]]", "")))
+
+
+def url_path(url: Column) -> Column:
+    """The path without parameters, whatever marks it holds; '' without one."""
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.regexp_replace(path, ";[^/]*$", "")
 
 
 def filename_from_url(url: Column) -> Column:
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    path = url_path(url)
     base = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
-    name = F.coalesce(nullif_empty(F.url_decode(F.replace(base, F.lit("+"), F.lit("%2B")))), F.lit("download.pdf"))
-    return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+    name = F.coalesce(nullif_empty(F.coalesce(F.try_url_decode(F.replace(base, F.lit("+"), F.lit("%2B"))), base)), F.lit("download.pdf"))
+    return F.when(name.rlike(r"(^|/)[^/]+\.[^./]+$"), name).otherwise(F.concat(name, F.lit(".pdf")))  # any suffix stays
 
 
 def looks_like_pdf_url(url: Column) -> Column:
-    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))).endswith(".pdf")
+    return F.lower(url_path(url)).endswith(".pdf")
 
 
 def urls(c: Column) -> Column:

@@ -1,12 +1,14 @@
 """The control plane as state tables: each step maps a snapshot to the next.
 
-Rows: (key, status, current_step, automatic_failure_count, last_error_message,
+Rows: (key, [article_id,] status, current_step, automatic_failure_count, last_error_message,
 last_success_input_hash, last_attempt_started_at, locked_by, lock_expires_at, updated_at, seq).
 A snapshot has one writer; clocks are parameters.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,29 +27,38 @@ def plus_seconds(now: str, n: int) -> Column:
     return at(now) + F.make_interval(secs=F.lit(n))
 
 
-def released(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"locked_by": F.lit(None).cast("string"), "lock_expires_at": F.lit(None).cast("timestamp")})
-
-
 def enqueue(queue: DataFrame, arrivals: DataFrame, now: str) -> DataFrame:
-    """New keys become pending; a requested retry stays; the same input stays
-    succeeded; any other change starts over.  ``arrivals``: (key, input_hash)."""
-    new = arrivals.withColumnRenamed("key", "new_key")
+    """New keys become pending; a requested retry stays, the same input is succeeded
+    and keeps its step, any other change starts over.  Keys that arrive are touched.
+
+    ``arrivals``: (key, input_hash), with an article_id where the queue has one,
+    which every arrival hands on."""
+    known = queue.columns
+    new = arrivals.select(F.col("key").alias("new_key"), "input_hash", *([F.col("article_id").alias("new_article")] if "article_id" in known else []))
     met = queue.join(new, queue.key == new.new_key, "full_outer")
-    same = F.col("last_success_input_hash") == F.col("input_hash")
-    untouched = F.col("new_key").isNull() | (F.col("status") == "manual_retry_requested")
-    restart = ~F.coalesce(untouched | same, F.lit(False))
-    done = ~F.coalesce(untouched, F.lit(False)) & F.coalesce(same, F.lit(False))
-    pick = lambda c, fresh: F.when(restart, fresh).otherwise(F.col(c)).alias(c)
-    return met.select(
-        F.coalesce("key", "new_key").alias("key"),
-        F.when(restart, "pending").when(done, "succeeded").otherwise(F.col("status")).alias("status"),
-        F.when(restart, FIRST_STEP).when(done, "completed").otherwise(F.col("current_step")).alias("current_step"),
-        pick("automatic_failure_count", F.lit(0)), pick("last_error_message", F.lit(None).cast("string")),
-        "last_success_input_hash", "last_attempt_started_at",
-        pick("locked_by", F.lit(None).cast("string")), pick("lock_expires_at", F.lit(None).cast("timestamp")),
-        F.when(restart | done, at(now)).otherwise(F.col("updated_at")).alias("updated_at"), F.coalesce("seq", F.lit(0).cast("long")).alias("seq"),
-    )
+    came = F.col("new_key").isNotNull()
+    asked = F.coalesce(F.col("status") == "manual_retry_requested", F.lit(False))
+    same = F.coalesce(F.col("last_success_input_hash") == F.col("input_hash"), F.lit(False))
+    done, restart = came & ~asked & same, came & ~asked & ~same
+    pick = lambda c, fresh, when=restart: F.when(when, fresh).otherwise(F.col(c)).alias(c)
+    none = lambda kind: F.lit(None).cast(kind)
+    fresh = {
+        "key": F.coalesce("key", "new_key").alias("key"),
+        "status": F.when(restart, "pending").when(done, "succeeded").otherwise(F.col("status")).alias("status"),
+        "current_step": pick("current_step", F.lit(FIRST_STEP)), "automatic_failure_count": pick("automatic_failure_count", F.lit(0)),
+        "last_error_message": pick("last_error_message", none("string")), "last_attempt_started_at": pick("last_attempt_started_at", none("timestamp")),
+        "locked_by": pick("locked_by", none("string"), restart | done), "lock_expires_at": pick("lock_expires_at", none("timestamp"), restart | done),
+        "updated_at": pick("updated_at", at(now), came), "seq": F.coalesce("seq", F.lit(0).cast("long")).alias("seq"),
+    }
+    if "article_id" in known:
+        fresh["article_id"] = pick("article_id", F.col("new_article"), came)
+    return met.select(*[fresh.get(c, F.col(c)) for c in known])
+
+
+def enqueue_once(queue: DataFrame, arrivals: DataFrame, now: str, first_step: str = "parse_persist") -> DataFrame:
+    """A queue that ignores keys it knows: new ones become pending."""
+    new = arrivals.select("key").distinct().join(queue.select("key"), "key", "left_anti")
+    return queue.unionByName(new.select("key", F.lit("pending").alias("status"), F.lit(first_step).alias("current_step"), F.lit(0).alias("automatic_failure_count"), at(now).alias("updated_at"), F.lit(0).cast("long").alias("seq")), allowMissingColumns=True)
 
 
 def free(now: str) -> Column:
@@ -81,8 +92,9 @@ def settle(queue: DataFrame, outcomes: DataFrame, now: str, limit: int = FAILURE
     count = F.col("automatic_failure_count") + F.when(F.col("outcome") == "failed", 1).otherwise(0)
     status = F.when(F.col("outcome") == "succeeded", "succeeded").when(F.col("outcome") == "rate_limited", "failed_retryable").when((F.col("outcome") == "failed") & (count >= limit), "failed_terminal").when(F.col("outcome") == "failed", "failed_retryable").otherwise(F.col("status"))
     hit = F.col("okey").isNotNull()
+    extra = ["article_id"] if "article_id" in queue.columns else []
     return rows.select(
-        "key", status.alias("status"), F.when(F.col("outcome") == "succeeded", "completed").otherwise(F.col("current_step")).alias("current_step"), count.alias("automatic_failure_count"),
+        "key", *extra, status.alias("status"), F.when(F.col("outcome") == "succeeded", "completed").otherwise(F.col("current_step")).alias("current_step"), count.alias("automatic_failure_count"),
         F.when(F.col("outcome") == "succeeded", F.lit(None)).when(hit, F.col("message")).otherwise(F.col("last_error_message")).alias("last_error_message"),
         F.when(F.col("outcome") == "succeeded", F.col("input_hash")).otherwise(F.col("last_success_input_hash")).alias("last_success_input_hash"), "last_attempt_started_at",
         F.when(~hit, F.col("locked_by")).alias("locked_by"), F.when(~hit, F.col("lock_expires_at")).alias("lock_expires_at"), F.when(hit, at(now)).otherwise(F.col("updated_at")).alias("updated_at"), "seq",
@@ -97,8 +109,9 @@ def recover_stale(queue: DataFrame, now: str, after: int, limit: int = FAILURE_L
 
 def request_retry(queue: DataFrame, now: str, keys: list[str] | None = None, condition: Column | None = None) -> DataFrame:
     """One key, whatever its status; or all failed rows under a condition."""
-    mine = F.col("key").isin(*keys) if keys is not None else F.col("status").isin(*FAILED) & (condition if condition is not None else F.lit(True))
-    return queue.withColumn("updated_at", F.when(mine, at(now)).otherwise(F.col("updated_at"))).withColumn("status", F.when(mine, "manual_retry_requested").otherwise(F.col("status")))
+    mine = F.coalesce(F.col("key").isin(*keys) if keys is not None else F.col("status").isin(*FAILED) & (condition if condition is not None else F.lit(True)), F.lit(False))
+    put = lambda c, value: F.when(mine, value).otherwise(F.col(c))
+    return queue.withColumns({"status": put("status", F.lit("manual_retry_requested")), "updated_at": put("updated_at", at(now)), "locked_by": F.when(~mine, F.col("locked_by")), "lock_expires_at": F.when(~mine, F.col("lock_expires_at"))})
 
 
 def drain_result(outcomes: DataFrame) -> DataFrame:
@@ -124,6 +137,49 @@ def drain(queue: DataFrame, work, worker: str, now: str, lease: int, slots: int,
         waves += 1
 
 
+def tick(queue: DataFrame, work, worker: str, now: str, lease: int, slots: int, stored) -> tuple[DataFrame, dict | None]:
+    """One round of a scheduler: (queue, result); no work, no run and no result."""
+    if eligible(queue, now).isEmpty():
+        return queue, None
+    seen: list[DataFrame] = []
+
+    def watched(rows: DataFrame) -> DataFrame:
+        seen.append(stored(work(rows)))
+        return seen[-1]
+
+    queue, waves = drain(queue, watched, worker, now, lease, slots, stored)
+    row = drain_result(reduce(DataFrame.unionByName, seen)).first()
+    return queue, {"waves": waves, "selected": row["succeeded"] + row["failed"], "completed": row["succeeded"], "failed": row["failed"], "status": row["status"]}
+
+
+class FatalError(RuntimeError):
+    """What a worker loop must not go on after."""
+
+
+def worker_loop(step, clock, sleep, run_import=None, import_interval: int = 7200, active: int = 10, idle: int = 60, rounds: int | None = None, retryable: tuple = (ConnectionError, TimeoutError, OSError)) -> int:
+    """Run ``step`` (true if it did work) again and again; the number of rounds.
+
+    Imports run when their interval is over.  Errors of a passing kind wait by
+    ``backoff_seconds`` of how many came in a row; others end the loop."""
+    done, errors, imported = 0, 0, None
+    while rounds is None or done < rounds:
+        done += 1
+        try:
+            if run_import is not None and (imported is None or clock() - imported >= import_interval):
+                imported = clock()
+                run_import()
+            wait = active if step() else idle
+            errors = 0
+        except retryable:
+            errors += 1
+            wait = backoff_seconds(errors)
+        except Exception as e:
+            raise FatalError(str(e)) from e
+        if rounds is None or done < rounds:
+            sleep(wait)
+    return done
+
+
 def failed_messages(items: DataFrame) -> DataFrame:
     """(message_id, state): messages with a failed item are pending, others resolved."""
     return items.groupBy("message_id").agg(F.bool_or(F.col("status") == "failed").alias("bad")).select("message_id", F.when(F.col("bad"), "pending").otherwise("resolved").alias("state"))

@@ -15,13 +15,16 @@ def greedy_dedup(rows: DataFrame) -> DataFrame:
 
     ``rows``: (seq, content_hash, issue_key), issue_key null where there is none.
     In order of seq a row is kept unless a kept one has its hash or its issue; a
-    dropped row blocks nobody.  Rounds: an undecided row that comes first among
+    dropped row blocks nobody.  A null hash equals no other.  Rounds: an undecided row that comes first among
     the undecided of both its groups is kept, and decides its groups' other rows.
     Each round takes two minima and joins by key; it is written out, so lineage
     doesn't grow.  The rounds end when all are decided, at most as many as the
-    longest chain of alternating conflicts.
+    longest chain of alternating conflicts.  Of rows that share hash and issue only
+    the first takes part: it decides all of them, so copies are one row.
     """
-    left = stored(rows.select("seq", "content_hash", "issue_key"), "dedup-left")
+    own = F.coalesce(F.col("content_hash").cast("string"), F.concat(F.lit("\x00"), F.col("seq").cast("string")))
+    rows = rows.select("seq", own.alias("content_hash"), "issue_key")
+    left = stored(rows.groupBy("content_hash", "issue_key").agg(F.min("seq").alias("seq")).select("seq", "content_hash", "issue_key"), "dedup-left")
     kept = None
     while True:
         by_hash = left.groupBy("content_hash").agg(F.min("seq").alias("h"))
@@ -52,18 +55,25 @@ def article_keys(articles: DataFrame, threshold: float = 0.9, opening: int = 160
     from difflib import SequenceMatcher
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        ratio = lambda a, b: SequenceMatcher(a=a, b=b).ratio() if a and b else 0.0
+        def ratio(a: str, b: str, least: float) -> float:
+            """0 where two quick bounds already stay below ``least``."""
+            if not a or not b:
+                return 0.0
+            m = SequenceMatcher(a=a, b=b)
+            return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+
         past: list[tuple] = []
         out = []
         for _, run in group.sort_values(["run_seq", "article_id"]).groupby("run_seq", sort=True):
             now = []
             for row in run.itertuples():
-                pages = {p for p in row.pages if p > 0}
+                pages = {p for p in (() if row.pages is None else row.pages) if p is not None and p > 0}
                 best, key = 0.0, row.new_key
                 for t, o, k, theirs in reversed(past):
                     if pages and not pages & theirs:
                         continue
-                    score = max(ratio(row.t, t), ratio(row.o, o))
+                    least = max(threshold, best)
+                    score = max(ratio(row.t, t, least), ratio(row.o, o, least))
                     if score >= threshold and score > best:
                         best, key = score, k
                 now.append((row.t, row.o, key, pages))

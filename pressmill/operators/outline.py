@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,18 +46,30 @@ def cleaned(raw: Column, folded: Column) -> Column:
     return F.regexp_replace(tx.strip(out), r"\n{3,}", "\n\n")
 
 
+def navigates(line: str) -> bool:
+    """Labels and bars, and nothing else."""
+    rest = unicodedata.normalize("NFKC", line)
+    bare = re.sub("|".join(NAVIGATION), "", rest)
+    return bare != rest and not bare.replace("|", "").strip()
+
+
 @F.pandas_udf(T.StringType())
 def source_url(raw: pd.Series) -> pd.Series:
-    """The address behind the footer's mark, put together again where it wraps."""
+    """The address behind the footer's mark, put together again where it wraps.
+
+    The block that counts starts at the first line with text behind the mark and
+    ends at an empty line or at one that only navigates (as NFKC folds it)."""
+
     def one(text: str | None) -> str:
-        _, found, rest = re.split(f"({MARK})", text or "", maxsplit=1, flags=re.I) if re.search(MARK, text or "", re.I) else ("", "", "")
-        parts: list[str] = []
-        for line in map(str.strip, rest.splitlines()):
-            if (not line and parts) or any(n in line for n in NAVIGATION):
+        at = re.search(MARK, text or "", re.I)
+        block = ""
+        for line in map(str.strip, text[at.end() :].lstrip().splitlines() if at else ()):
+            if not line or navigates(line):
                 break
-            parts.append(line)
-        m = re.search(r"https?://\S+", "".join(parts)) if found else None
-        return m[0] if m else ""
+            block += line
+        found = re.search(r"https?://\S+", block)
+        return found[0] if found else ""
+
     return raw.map(one)
 
 

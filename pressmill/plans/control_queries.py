@@ -27,18 +27,40 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query("W10_queue_rank", "select article_key as key, place from (select article_key, row_number() over (order by case status when 'manual_retry_requested' then 0 when 'pending' then 1 else 2 end, updated_at, article_key) as place from proc where status in ('pending', 'failed_retryable', 'manual_retry_requested')) where place <= 50")
+@query("W10_queue_rank", "select article_key as key, row_number() over (order by case status when 'manual_retry_requested' then 0 when 'pending' then 1 else 2 end, updated_at, article_key) as place from proc where status in ('pending', 'failed_retryable', 'manual_retry_requested')")
 def _(t):
-    from pyspark.sql.window import Window
+    from .views import numbered
 
-    top = control.eligible(queue(t), NOW).orderBy(*control.queue_order()).limit(50)
-    return top.select("key", F.row_number().over(Window.orderBy(*control.queue_order())).cast("long").alias("place"))
+    return numbered(control.eligible(queue(t), NOW), control.queue_order(), "queue-rank").select("key", "place")
 
 
-@query("F3_enqueue", "select article_key as key, case when status = 'manual_retry_requested' then status when status = 'succeeded' then 'succeeded' else 'pending' end as status from proc")
+def leased(t: Tables) -> DataFrame:
+    """The queue with its articles, and leases on every row whose count is odd."""
+    odd = F.col("automatic_failure_count") % 2 == 1
+    q = queue(t).join(t.processing_runs().select(F.col("article_key").alias("key"), "article_id"), "key")
+    return q.withColumns({"locked_by": F.when(odd, "w0"), "lock_expires_at": F.when(odd, F.to_timestamp(F.lit("1999-01-01 00:00:00")))})
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """All columns, times as text and nulls as ''."""
+    time = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(c)
+    none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.select("key", "article_id", "status", "current_step", F.col("automatic_failure_count").cast("long").alias("failures"), none("last_error_message"), time("last_attempt_started_at"), none("locked_by"), time("lock_expires_at"), time("updated_at"))
+
+
+_Q = "select article_key as key, article_id, status, current_step, automatic_failure_count as failures, coalesce(last_error_message, '') as last_error_message, strftime(updated_at, '%Y-%m-%d %H:%M:%S') as moment, case when automatic_failure_count % 2 = 1 then 'w0' else '' end as locked_by, case when automatic_failure_count % 2 = 1 then '1999-01-01 00:00:00' else '' end as lock_expires_at, hash_same from (select *, substr(article_id, 1, 1) < '8' as hash_same from proc)"
+
+
+@query(
+    "F3_enqueue",
+    f"with q as ({_Q}), k as (select *, case when status = 'manual_retry_requested' then 'asked' when status = 'succeeded' and hash_same then 'done' else 'restart' end as what from q) "
+    "select key, article_id || '+' as article_id, case what when 'asked' then status when 'done' then 'succeeded' else 'pending' end as status, case what when 'restart' then 'await_ad_judgment' else current_step end as current_step, case what when 'restart' then 0 else failures end as failures, "
+    "case what when 'restart' then '' else last_error_message end as last_error_message, case what when 'restart' then '' else moment end as last_attempt_started_at, case what when 'asked' then locked_by else '' end as locked_by, case what when 'asked' then lock_expires_at else '' end as lock_expires_at, '1998-01-01 00:00:00' as updated_at from k",
+)
 def _(t):
-    arrivals = t.processing_runs().select(F.col("article_key").alias("key"), F.col("article_id").alias("input_hash"))
-    return control.enqueue(queue(t), arrivals, NOW).select("key", "status")
+    same = F.substring("article_id", 1, 1) < "8"
+    arrivals = t.processing_runs().select(F.col("article_key").alias("key"), F.concat("article_id", F.lit("+")).alias("article_id"), F.when(same, F.col("article_id")).otherwise("changed").alias("input_hash"))
+    return told(control.enqueue(leased(t), arrivals, NOW))
 
 
 @query("F4_claim", "select article_key as key, case when place <= 25 and status = 'manual_retry_requested' then 'running_manual_retry' when place <= 25 then 'running' else status end as status, coalesce(case when place <= 25 then 'worker-1' end, '') as locked_by from (select p.*, case when status in ('pending', 'failed_retryable', 'manual_retry_requested') then row_number() over (partition by status in ('pending', 'failed_retryable', 'manual_retry_requested') order by case status when 'manual_retry_requested' then 0 when 'pending' then 1 else 2 end, updated_at, article_key) else 999999999 end as place from proc p)")
@@ -58,9 +80,44 @@ def _(t):
     return control.recover_stale(queue(t), NOW, 3600).select("key", "status")
 
 
-@query("F9_batch_retry", "select article_key as key, case when status in ('failed_retryable', 'failed_terminal') and current_step = 'await_summary' then 'manual_retry_requested' else status end as status from proc")
+@query(
+    "F9_batch_retry",
+    f"with q as ({_Q}), k as (select *, status in ('failed_retryable', 'failed_terminal') and current_step = 'await_summary' as mine from q) "
+    "select key, article_id, case when mine then 'manual_retry_requested' else status end as status, current_step, failures, last_error_message, moment as last_attempt_started_at, case when mine then '' else locked_by end as locked_by, case when mine then '' else lock_expires_at end as lock_expires_at, case when mine then '1998-01-01 00:00:00' else moment end as updated_at from k",
+)
+def _(t):
+    return told(control.request_retry(leased(t), NOW, condition=F.col("current_step") == "await_summary"))
+
+
+@query("F9_one_retry", f"with q as ({_Q}) select key, article_id, case when key like '1:%' then 'manual_retry_requested' else status end as status, case when key like '1:%' then '' else locked_by end as locked_by from q")
+def _(t):
+    keys = [r["key"] for r in leased(t).filter("key like '1:%'").select("key").collect()]  # the few that a person picked
+    return told(control.request_retry(leased(t), NOW, keys=keys)).select("key", "article_id", "status", "locked_by")
+
+
+@query("F2_enqueue_once", "select document_key as key, case when document_key % 2 = 0 then 'running' else 'pending' end as status, case when document_key % 2 = 0 then 'enrich' else 'parse_persist' end as current_step from docs")
+def _(t):
+    docs = t.documents().select(F.col("document_key").alias("key"))
+    known = docs.filter("key % 2 = 0").select("key", F.lit("running").alias("status"), F.lit("enrich").alias("current_step"), F.lit(1).alias("automatic_failure_count"), control.at(NOW).alias("updated_at"), F.lit(0).cast("long").alias("seq"))
+    return control.enqueue_once(known, docs.union(docs), NOW).select("key", "status", "current_step")
+
+
+@query("P12_is_due", "select article_key as key, updated_at <= timestamp '1998-01-01 00:00:00' - interval 7200 second as due from proc")
+def _(t):
+    return t.processing_runs().select(F.col("article_key").alias("key"), control.is_due(F.col("updated_at").cast("timestamp"), NOW, 7200).alias("due"))
+
+
+@query("F14_retry_once", "select run_id as message_id, cast(1 as int) as retry_attempt_count, case when run_id % 3 = 0 then 'resolved' else 'failed_final' end as retry_state from (select distinct run_id from items where status = 'failed') where run_id % 2 = 0")
+def _(t):
+    failed = t.audit_items().filter("status = 'failed'").select(F.col("run_id").alias("message_id")).distinct()
+    pending = failed.withColumn("retry_attempt_count", (F.col("message_id") % 2).cast("int"))
+    return control.retry_messages(pending, failed.select("message_id", (F.col("message_id") % 3 == 0).alias("ok")))
+
+
+@query("K9_run_result", "select run_id, case when count(*) filter (status = 'failed') > 0 then 'partial' else 'succeeded' end as status, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped from items group by 1")
 def _(t):
-    return control.request_retry(queue(t), NOW, condition=F.col("current_step") == "await_summary").select("key", "status")
+    rows = t.audit_items().groupBy("run_id").agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"))
+    return rows.select("run_id", F.when(F.col("failed") > 0, "partial").otherwise("succeeded").alias("status"), "failed", "skipped")
 
 
 @query("F14_failed_messages", "select run_id, case when bool_or(status = 'failed') then 'pending' else 'resolved' end as state from items group by 1")

@@ -129,10 +129,9 @@ def _(t):
     return t.audit_items().groupBy("item_type").agg(F.max(F.unix_millis(F.col("created_at").cast("timestamp"))).alias("checkpoint_ms"))
 
 
-@query("A10_largest_image", "select parse_run_id, article_id from (select *, row_number() over (partition by parse_run_id order by length(title) desc, article_order, article_id) as rn from arts) where rn = 1")
+@query("A10_largest_image", "select article_id, image_path as hero_image from (select *, row_number() over (partition by article_id order by cast(width as bigint) * height desc, image_order) as rn from imgs) where rn = 1")
 def _(t):
-    first = t.articles().groupBy("parse_run_id", F.length("title").alias("area"), "article_order").agg(F.min("article_id").alias("article_id"))
-    return first.groupBy("parse_run_id").agg(F.max_by("article_id", F.struct("area", -F.col("article_order"))).alias("article_id"))
+    return v.hero_images(t.images())
 
 
 @query("A11_retry_summary", "select count(*) as matched, count(*) filter (status in ('failed_retryable', 'failed_terminal')) as updated, count(*) - count(*) filter (status in ('failed_retryable', 'failed_terminal')) as skipped from proc where current_step = 'await_summary'")
@@ -179,13 +178,7 @@ def _(t):
     return t.articles().select("article_id", F.coalesce(F.min("article_order").over(w), F.lit(99)).alias("end_order"))
 
 
-@query("O1_processing_order", "select article_key, row_number() over (order by updated_at desc, article_key desc) as place from proc order by 2 limit 100")
-def _(t):
-    top = t.processing_runs().orderBy(F.desc("updated_at"), F.desc("article_key")).limit(100)  # then numbered: 100 rows
-    return top.select("article_key", F.row_number().over(Window.orderBy(F.desc("updated_at"), F.desc("article_key"))).cast("long").alias("place"))
-
-
-@query("O1_processing_order_all", "select article_key, row_number() over (order by updated_at desc, article_key desc) as place from proc")
+@query("O1_processing_order", "select article_key, row_number() over (order by updated_at desc, article_key desc) as place from proc")
 def _(t):
     return v.numbered(t.processing_runs().select("article_key", "updated_at"), [F.desc("updated_at"), F.desc("article_key")], "processing-order").select("article_key", "place")
 
@@ -240,10 +233,13 @@ def _(t):
 _BEST = "best as (select article_id, enrichment_run_id, status from (select *, row_number() over (partition by article_id order by finished_at desc, seq desc) as rn from enr where status in ('succeeded', 'partial', 'skipped_advertisement')) where rn = 1), tagged as (select enrichment_run_id, string_agg(tag, '|' order by tag_order) as tags from tags group by 1)"
 
 
+_HERO = "(select article_id, image_path from (select *, row_number() over (partition by article_id order by cast(width as bigint) * height desc, image_order) as rn from imgs) where rn = 1)"
+
+
 def _cards_sql(page_sql: str) -> str:
-    base = with_tables("select 1 from visible, enr, tags")
+    base = with_tables("select 1 from visible, enr, tags, imgs")
     head = base[: base.rindex(" select 1")]
-    return f"{head}, {_BEST}, pg as ({page_sql}) select v.article_id, v.document_key, v.source_name, v.publication_date, v.article_order, v.title, case when b.status is not null then 'ready' else 'english_fallback' end as reading_status, case when b.status = 'partial' then 'partial_enrichment' else '' end as badge, coalesce(t.tags, '') as tags from pg v left join best b using (article_id) left join tagged t using (enrichment_run_id)"
+    return f"{head}, {_BEST}, pg as ({page_sql}) select v.article_id, v.document_key, v.source_name, v.publication_date, v.article_order, v.title, case when b.status is not null then 'ready' else 'english_fallback' end as reading_status, case when b.status = 'partial' then 'partial_enrichment' else '' end as badge, coalesce(t.tags, '') as tags, h.image_path as hero_image from pg v left join best b using (article_id) left join tagged t using (enrichment_run_id) left join {_HERO} h on h.article_id = v.article_id"
 
 
 @query("V2_article_cards")
@@ -281,13 +277,8 @@ def _(t):
     return t.parse_runs().groupBy("document_key").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"), F.max("finished_at").alias("last_finished"))
 
 
-@query("V7_document_detail", "select document_key, article_id, title from visible where document_key between 1 and 50")
-def _(t):
-    return v.visible_articles(t).filter("document_key between 1 and 50").select("document_key", "article_id", "title")
-
-
 @query(
-    "V7_document_detail_all",
+    "V7_document_detail",
     "select d.document_key, coalesce(l.status, 'unknown') as status, coalesce(e.error_summary, '" + v.NO_ERROR + "') as error_summary, v.article_id, v.title from docs d "
     "left join (select document_key, status from (select *, row_number() over (partition by document_key order by finished_at desc, seq desc) as rn from runs) where rn = 1) l using (document_key) "
     "left join (select document_key, case when last_error_message is not null then current_step || ': ' || last_error_message end as error_summary from (select r.document_key, p.*, row_number() over (partition by r.document_key order by p.updated_at desc, p.article_key desc) as rn from proc p join runs r using (parse_run_id)) where rn = 1) e using (document_key) "
@@ -317,12 +308,7 @@ ORACLE["V10_self_excluding_facets"] = _head[: _head.rindex(" select 1")] + ", pd
 )
 
 
-@query("V11_import_items", "select id, item_type, status from items where run_id % 50 = 3 and status = 'failed' order by id desc limit 100")
-def _(t):
-    return t.audit_items().filter("run_id % 50 = 3 and status = 'failed'").orderBy(F.desc("id")).limit(100).select("id", "item_type", "status")
-
-
-@query("V11_import_items_all", "select id, item_type, status from items where status = 'failed'")
+@query("V11_import_items", "select id, item_type, status from items where status = 'failed'")
 def _(t):
     return t.audit_items().filter("status = 'failed'").select("id", "item_type", "status")
 
@@ -340,3 +326,72 @@ def _(t):
 @query("V14_latest_enrichment", "select article_id, enrichment_run_id, status from (select *, row_number() over (partition by article_id order by finished_at desc, seq desc) as rn from enr where status in ('succeeded', 'partial', 'skipped_advertisement')) where rn = 1")
 def _(t):
     return v.latest_enrichment(t).select("article_id", "enrichment_run_id", "status")
+
+
+_ENRICHED = (
+    "(select b.article_id, b.status as enrichment_status, o.title_zh, o.summary_zh, o.body_zh, coalesce(o.content_type, 'article') as content_type, coalesce(o.reason, '') as reason, coalesce(g.tags, '') as tags "
+    "from (select article_id, enrichment_run_id, status from (select *, row_number() over (partition by article_id order by finished_at desc, seq desc) as rn from enr where status in ('succeeded', 'partial', 'skipped_advertisement')) where rn = 1) b "
+    "left join outs o using (enrichment_run_id) left join (select enrichment_run_id, string_agg(tag, '|' order by tag_order) as tags from tags group by 1) g using (enrichment_run_id))"
+)
+
+
+@query("V14_enrichment_with_output", f"select * from {_ENRICHED}")
+def _(t):
+    from ..functions import text as tx
+
+    return v.enriched(t).withColumn("body_zh", tx.clean_text(F.col("body_zh")))
+
+
+@query(
+    "V3_article_detail",
+    "select a.article_id, r.document_key, coalesce(d.source_name, '') as source_name, strftime(a.publication_date, '%Y-%m-%d') as publication_date, a.title, e.title_zh, e.summary_zh, e.body_zh, coalesce(e.tags, '') as tags, coalesce(i.images, '') as images, i.hero_image, "
+    "coalesce(l.status, 'unknown') as document_status, coalesce(r.status, 'unknown') as parse_status, coalesce(e.enrichment_status, 'unavailable') as enrichment_status "
+    "from arts a join runs r using (parse_run_id) left join docs d using (document_key) left join (select document_key, status from (select *, row_number() over (partition by document_key order by finished_at desc, seq desc) as rn from runs) where rn = 1) l using (document_key) "
+    f"left join {_ENRICHED} e on e.article_id = a.article_id left join (select article_id, string_agg(image_path, '|' order by image_order) as images, min_by(image_path, image_order) as hero_image from imgs group by 1) i on i.article_id = a.article_id",
+)
+def _(t):
+    return v.article_detail(t).withColumn("publication_date", text("publication_date"))
+
+
+@query(
+    "V9_processing_detail",
+    f"select p.article_key, p.article_id, document_key, d.source_name, d.original_filename, strftime(a.publication_date, '%Y-%m-%d') as publication_date, a.title, p.status, p.current_step, p.automatic_failure_count, p.last_error_message, p.updated_at, "
+    f"case when last_error_message is not null then current_step || ': ' || last_error_message else '{v.NO_ERROR}' end as error_summary, coalesce(e.content_type, 'article') as content_type, coalesce(e.reason, '') as reason, e.enrichment_status "
+    f"from proc p join runs r using (parse_run_id) join docs d using (document_key) join arts a on a.article_id = p.article_id left join {_ENRICHED} e on e.article_id = p.article_id",
+)
+def _(t):
+    return v.processing_detail(t).withColumn("publication_date", text("publication_date"))
+
+
+@query("V6_document_list", "select document_key, source_name, original_filename, status, place from (select d.*, coalesce(l.status, 'unknown') as status, row_number() over (order by l.finished_at desc nulls last, d.document_key desc) as place from docs d left join (select * from (select *, row_number() over (partition by document_key order by finished_at desc, seq desc) as rn from runs) where rn = 1) l using (document_key))")
+def _(t):
+    latest = t.parse_runs().groupBy("document_key").agg(F.max(F.struct("finished_at", "seq", "status")).alias("x")).select("document_key", F.col("x.status").alias("last"), F.col("x.finished_at").alias("at"))
+    rows = t.documents().join(latest, "document_key", "left").withColumn("status", F.coalesce("last", F.lit("unknown")))
+    return v.numbered(rows, [F.col("at").desc_nulls_last(), F.desc("document_key")], "document-list").select("document_key", "source_name", "original_filename", "status", "place")
+
+
+@query("V12_run_articles", "select r.parse_run_id, r.document_key, r.status, a.article_order, a.article_id, a.title from runs r join arts a using (parse_run_id)")
+def _(t):
+    return t.parse_runs().join(t.articles(), "parse_run_id").select("parse_run_id", "document_key", "status", "article_order", "article_id", "title")
+
+
+@query("O5_sorted_facets", "select facet, string_agg(value, '|' order by value) as listed from (select distinct 'source' as facet, source_name as value from docs where document_key in (select document_key from runs where status = 'succeeded') union all select distinct 'tag', tag from tags where article_id not in (select article_id from ads)) group by 1")
+def _(t):
+    return v.listed(v.filter_options(t)).select("facet", F.array_join("values", "|").alias("listed"))
+
+
+@query("P4_optional_filters", "select parse_run_id, document_key from runs where status = 'failed'")
+def _(t):
+    return v.optional(t.parse_runs(), [F.desc("finished_at"), F.desc("seq")], status="failed", document_key=None).select("parse_run_id", "document_key")
+
+
+@query("P8_enrichment_defaults", f"select article_id, content_type, reason from {_ENRICHED}")
+def _(t):
+    return v.enriched(t).select("article_id", "content_type", "reason")
+
+
+@query("P7_domains", "select url, regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1) as host, regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1) like '%example%' as allowed from (select distinct url from pages)")
+def _(t):
+    from ..functions import text as tx
+
+    return t.raw("pages").select("url").distinct().select("url", tx.host(F.col("url")).alias("host"), tx.host(F.col("url")).contains("example").alias("allowed"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as tx
 from ..sources.adapters import Tables
 from ..sources.storage import stored
 
@@ -115,23 +116,47 @@ def card_order() -> list[Column]:
 
 def latest_enrichment(t: Tables) -> DataFrame:
     """One usable enrichment an article, the newest, then the latest written; tags in order."""
-    best = t.enrichment_runs().filter(F.col("status").isin(*USABLE)).groupBy("article_id").agg(F.max(F.struct("finished_at", "seq", "enrichment_run_id", "status")).alias("x"))
+    return latest_of(t.enrichment_runs())
+
+
+def latest_of(runs: DataFrame) -> DataFrame:
+    best = runs.filter(F.col("status").isin(*USABLE)).groupBy("article_id").agg(F.max(F.struct("finished_at", "seq", "enrichment_run_id", "status")).alias("x"))
     return best.select("article_id", "x.enrichment_run_id", "x.status", "x.finished_at")
 
 
 def ordered_tags(t: Tables) -> DataFrame:
+    return ordered(t.tags())
+
+
+def ordered(tags: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct("tag_order", "tag")))
-    return t.tags().groupBy("enrichment_run_id").agg(F.array_join(F.transform(listed, lambda x: x["tag"]), "|").alias("tags"))
+    return tags.groupBy("enrichment_run_id").agg(F.array_join(F.transform(listed, lambda x: x["tag"]), "|").alias("tags"))
+
+
+def hero_images(images: DataFrame) -> DataFrame:
+    """(article_id, hero_image): the largest by area, the first of equal ones."""
+    area = F.coalesce(F.col("width").cast("long") * F.col("height"), F.lit(0).cast("long"))
+    return images.groupBy("article_id").agg(F.max_by("image_path", F.struct(area.alias("area"), (-F.col("image_order")).alias("first"))).alias("hero_image"))
+
+
+def of_page(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of a page's keys alone: a page is small, so it goes to them."""
+    return rows.join(F.broadcast(keys.select(key)), key, "left_semi")
 
 
 def article_cards(t: Tables, page: int = 1, size: int = 20, **filters: str) -> DataFrame:
-    """One page of cards with enrichment and tags: one plan, no look-up by row."""
+    """One page of cards with enrichment, tags and the largest image.
+
+    The page is made first (``size`` rows), then only what belongs to it is gathered."""
     rows = page_of(article_filters(t, visible_articles(t), **filters), card_order(), page, size)
-    best = latest_enrichment(t).withColumnRenamed("status", "enrichment_status").drop("finished_at")
-    cards = rows.join(best, "article_id", "left").join(ordered_tags(t), "enrichment_run_id", "left")
+    rows = t.spark.createDataFrame(rows.collect(), rows.schema)  # at most ``size`` rows
+    best = latest_of(of_page(t.enrichment_runs(), rows, "article_id")).withColumnRenamed("status", "enrichment_status").drop("finished_at")
+    best = F.broadcast(best)  # a row a card
+    tags = ordered(of_page(t.tags(), best, "enrichment_run_id"))
+    cards = rows.join(best, "article_id", "left").join(tags, "enrichment_run_id", "left").join(hero_images(of_page(t.images(), rows, "article_id")), "article_id", "left")
     reading = F.when(F.col("enrichment_status").isNotNull(), "ready").otherwise("english_fallback")
     badge = F.when(F.col("enrichment_status") == "partial", "partial_enrichment").otherwise("")
-    return cards.select("article_id", "document_key", "source_name", "publication_date", "article_order", "title", reading.alias("reading_status"), badge.alias("badge"), F.coalesce("tags", F.lit("")).alias("tags"))
+    return cards.select("article_id", "document_key", "source_name", "publication_date", "article_order", "title", reading.alias("reading_status"), badge.alias("badge"), F.coalesce("tags", F.lit("")).alias("tags"), "hero_image")
 
 
 def focus_feed(t: Tables, focus: list[str], each: int = 20) -> DataFrame:
@@ -167,6 +192,87 @@ def filter_options(t: Tables) -> DataFrame:
     return sources.unionByName(tags)
 
 
+def listed(facets: DataFrame) -> DataFrame:
+    """(facet, values): the values of each facet in ascending order, as the interface shows them."""
+    return facets.groupBy("facet").agg(F.sort_array(F.collect_set("value")).alias("values"))
+
+
+def enriched(t: Tables) -> DataFrame:
+    """(article_id, enrichment_status, title_zh, summary_zh, body_zh, content_type, reason, tags):
+    the latest usable enrichment with its output; what an output lacks has its default."""
+    best = latest_enrichment(t).select("article_id", "enrichment_run_id", F.col("status").alias("enrichment_status"))
+    rows = best.join(t.outputs(), "enrichment_run_id", "left").join(ordered_tags(t), "enrichment_run_id", "left")
+    return rows.withColumns({"content_type": F.coalesce("content_type", F.lit("article")), "reason": F.coalesce("reason", F.lit("")), "tags": F.coalesce("tags", F.lit(""))}).drop("enrichment_run_id")
+
+
+def article_detail(t: Tables) -> DataFrame:
+    """Every article with its document, images in order (the first is the hero here),
+    enrichment and the three states; its translated body without local images."""
+    pictures = t.images().groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("image_order", "image_path"))), lambda x: x["image_path"]).alias("images"))
+    runs = t.parse_runs().select("parse_run_id", "document_key", F.col("status").alias("parse_status"))
+    rows = t.articles().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name"), "document_key", "left").join(document_states(t), "document_key", "left").join(enriched(t), "article_id", "left").join(pictures, "article_id", "left")
+    return rows.select(
+        "article_id", "document_key", F.coalesce("source_name", F.lit("")).alias("source_name"), "publication_date", "title", "title_zh", "summary_zh", tx.clean_text(F.col("body_zh")).alias("body_zh"), F.coalesce("tags", F.lit("")).alias("tags"),
+        F.array_join(F.coalesce("images", F.array().cast("array<string>")), "|").alias("images"), F.get("images", F.lit(0)).alias("hero_image"),
+        F.coalesce("document_status", F.lit("unknown")).alias("document_status"), F.coalesce("parse_status", F.lit("unknown")).alias("parse_status"), F.coalesce("enrichment_status", F.lit("unavailable")).alias("enrichment_status"))
+
+
+def document_states(t: Tables) -> DataFrame:
+    """(document_key, document_status): the state of its newest run in the queue."""
+    return t.parse_runs().groupBy("document_key").agg(F.max_by("status", F.struct("finished_at", "seq")).alias("document_status"))
+
+
+def processing_detail(t: Tables) -> DataFrame:
+    """Every queued article with its document, error summary and latest enrichment."""
+    rows = processing_rows(t).join(t.articles().select("article_id", "publication_date", "title"), "article_id").join(enriched(t).select("article_id", "content_type", "reason", "enrichment_status"), "article_id", "left")
+    return rows.select(
+        "article_key", "article_id", "document_key", "source_name", "original_filename", "publication_date", "title", "status", "current_step", "automatic_failure_count", "last_error_message", "updated_at", error_summary().alias("error_summary"),
+        F.coalesce("content_type", F.lit("article")).alias("content_type"), F.coalesce("reason", F.lit("")).alias("reason"), "enrichment_status")
+
+
+def lookup(rows: DataFrame, **key) -> Row:
+    """The row with this key; LookupError if there is none."""
+    (column, value), *_ = key.items()
+    found = rows.filter(F.col(column) == value).limit(1).collect()
+    if not found:
+        raise LookupError(f"not found: {column} {value}")
+    return found[0]
+
+
+def optional(rows: DataFrame, order: list[Column], limit: int | None = None, **values) -> DataFrame:
+    """Rows under the filters that are not None, in order; ``limit`` is no filter if None."""
+    for column, value in values.items():
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    rows = rows.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
+
+
+class BadRequest(ValueError):
+    """A parameter that is no number, or a negative one."""
+
+
+def int_parameter(query: dict[str, list[str]], name: str, default: int | None = None) -> int | None:
+    """The first value of a parameter as a number; missing or blank: the default.
+
+    Without a default the parameter is optional, and must not be negative."""
+    text = (query.get(name) or [""])[0].strip()
+    if not text:
+        return default
+    try:
+        n = int(text)
+    except ValueError as e:
+        raise BadRequest(f"{name} must be an integer") from e
+    if default is None and n < 0:
+        raise BadRequest(f"{name} must not be negative")
+    return n
+
+
+def unknown_keys(given: dict, allowed: set[str]) -> list[str]:
+    """Filter names that nothing knows, in order of name."""
+    return sorted(set(given) - allowed)
+
+
 def where(status: str = "", source: str = "", step: str = "", error: str = "", min_failures: int | None = None) -> dict[str, Column]:
     """Conditions by name; '' is no filter, but a minimum of 0 is one."""
     out = {k: F.col(c) == v for k, c, v in (("status", "status", status), ("source", "source_name", source), ("step", "current_step", step), ("error", "last_error_message", error)) if v}

@@ -57,6 +57,22 @@ class Tables:
         part = self.raw("part").select("p_partkey", F.array("p_type", "p_brand", F.concat(F.lit("size-"), (F.col("p_size") % 5).cast("string"))).alias("tags"))
         return runs.join(part, F.col("l_partkey") == F.col("p_partkey")).select("enrichment_run_id", "article_id", "status", F.posexplode("tags").alias("tag_order", "tag"))
 
+    def outputs(self) -> DataFrame:
+        """What a succeeded or partial run wrote; a partial one has no title."""
+        runs = self.enrichment_runs().filter(F.col("status").isin("succeeded", "partial"))
+        part = F.col("l_partkey").cast("string")
+        body = F.concat(F.lit("![](images/"), part, F.lit(".png)\nbody "), part, F.lit("\n\nend"))
+        title = F.when(F.col("status") == "succeeded", F.concat(F.lit("题 "), part))
+        return runs.select("enrichment_run_id", title.alias("title_zh"), F.concat(F.lit("要 "), part).alias("summary_zh"), body.alias("body_zh"), F.when(F.col("seq") == 2, "uncertain").alias("content_type"), F.when(F.col("seq") == 2, "second look").alias("reason"))
+
+    def images(self) -> DataFrame:
+        """(article_id, image_order, image_path, width, height): none, one or two an article."""
+        lines = self._lines()
+        name = lambda n: F.concat(F.lit(f"images/{n}-"), F.col("l_partkey").cast("string"), F.lit(".png")).alias("image_path")
+        one = lines.filter("l_linenumber % 3 != 0").select("article_id", F.lit(0).alias("image_order"), name(0), F.floor("l_quantity").cast("int").alias("width"), (F.col("l_suppkey") % 7).cast("int").alias("height"))
+        two = lines.filter("l_quantity > 25").select("article_id", F.lit(1).alias("image_order"), name(1), (F.col("l_partkey") % 50).cast("int").alias("width"), F.lit(3).alias("height"))
+        return one.unionByName(two)
+
     def audit_items(self) -> DataFrame:
         status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "skipped").otherwise("imported")
         return self.raw("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("run_id"), F.col("event_type").alias("item_type"), status.alias("status"), F.col("ts").cast("timestamp_ntz").alias("created_at"), F.get_json_object("props", "$.k").cast("string").alias("detail_code"))
@@ -83,6 +99,8 @@ CTE = {
     "arts": "select article_id, l_partkey || ':' || l_suppkey as article_key, l_orderkey as parse_run_id, cast(l_linenumber as int) as article_order, cast(l_shipdate as date) as publication_date, 'Title ' || l_partkey as title from lines",
     "enr": f"select article_id || '-1' as enrichment_run_id, article_id, {_FIRST} as status, l_shipdate as finished_at, 1 as seq, l_partkey from lines union all select article_id || '-2', article_id, case when l_linestatus = 'O' then 'succeeded' else 'skipped_advertisement' end, case when l_linenumber % 2 = 1 then l_shipdate + interval 1 day else l_shipdate end, 2, l_partkey from lines where l_quantity > 25",
     "tags": "select enrichment_run_id, article_id, status, tag_order, case tag_order when 0 then p_type when 1 then p_brand else 'size-' || (p_size % 5) end as tag from enr join part on l_partkey = p_partkey, (select unnest(range(3)) as tag_order) where status in ('succeeded', 'partial')",
+    "outs": "select enrichment_run_id, case when status = 'succeeded' then '题 ' || l_partkey end as title_zh, '要 ' || l_partkey as summary_zh, 'body ' || l_partkey || chr(10) || 'end' as body_zh, case when seq = 2 then 'uncertain' end as content_type, case when seq = 2 then 'second look' end as reason from enr where status in ('succeeded', 'partial')",
+    "imgs": "select article_id, 0 as image_order, 'images/0-' || l_partkey || '.png' as image_path, cast(floor(l_quantity) as int) as width, cast(l_suppkey % 7 as int) as height from lines where l_linenumber % 3 <> 0 union all select article_id, 1, 'images/1-' || l_partkey || '.png', cast(l_partkey % 50 as int), 3 from lines where l_quantity > 25",
     "items": "select event_id as id, user_id as run_id, event_type as item_type, case event_type when 'error' then 'failed' when 'signup' then 'skipped' else 'imported' end as status, ts as created_at, json_extract_string(props, '$.k') as detail_code from events",
     "proc": "select article_key, article_id, parse_run_id, status, current_step, quantity % 4 as automatic_failure_count, case when status like 'failed%' then 'error ' || (quantity % 3) end as last_error_message, updated_at from ("
     "select l_partkey || ':' || l_suppkey as article_key, article_id, l_orderkey as parse_run_id, case l_linenumber % 7 when 0 then 'succeeded' when 1 then 'pending' when 2 then 'failed_retryable' when 3 then 'failed_terminal' when 4 then 'manual_retry_requested' when 5 then 'running' else 'succeeded' end as status, "
@@ -108,4 +126,4 @@ def with_tables(sql: str) -> str:
             if name not in need and re.search(rf"\b{name}\b", re.sub(r"'[^']*'", "", text)):
                 need.add(name)
                 todo.append(CTE[name])
-    return "with " + ", ".join(f"{n} as ({CTE[n]})" for n in CTE if n in need) + " " + sql if need else sql
+    return "with " + ", ".join(f"{n} as materialized ({CTE[n]})" for n in CTE if n in need) + (", " + sql[5:] if sql.startswith("with ") else " " + sql) if need else sql

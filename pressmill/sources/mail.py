@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-TRANSLATED = ("【译】", "_zh", "-zh", "translated")
+#: The prefix and the parts of names (in lower case) of translated copies.
+TRANSLATED_PREFIX = "【译】"
+TRANSLATED_NAMES = ("中文-华尔街日报", "中文-金融时报", "【译】the_economist_(web_edition)_0205.pdf")
 
 
 @dataclass(frozen=True)
@@ -99,11 +101,13 @@ def bodies(messages: DataFrame) -> DataFrame:
 
 
 def is_pdf(mime: Column, filename: Column) -> Column:
-    name = F.lower(F.element_at(F.split(filename, "/"), -1))
-    translated = F.lit(False)
-    for mark in TRANSLATED:
-        translated = translated | name.contains(mark)
-    return ((mime == "application/pdf") | name.endswith(".pdf")) & ~translated
+    """A PDF by type or name that is no translated copy."""
+    base = F.element_at(F.split(F.regexp_replace(filename, "/+$", ""), "/"), -1)
+    name = F.lower(base)
+    translated = base.startswith(TRANSLATED_PREFIX)
+    for part in TRANSLATED_NAMES:
+        translated = translated | name.contains(part)
+    return ((mime == "application/pdf") | F.lower(filename).endswith(".pdf")) & ~translated
 
 
 def selected(messages: DataFrame, pdfs: DataFrame, senders: tuple[str, ...]) -> DataFrame:

@@ -18,6 +18,18 @@ MIGRATIONS = (
     (5, "article_fragments", "parse_run_id string, source_order int, title string, body_text string, continued_to_page string, continued_from_page string, page_number int"),
     (6, "final_articles", "article_id string, parse_run_id string, document_key string, article_key string, article_order int, title string, body_text string"),
     (7, "processing_events", "key string, event string, payload string, at timestamp, seq long"),
+    (8, "import_runs", "run_id string, source_name string, trigger_type string, status string, fetched_message_count long, imported_attachment_count long, created_document_count long, skipped_document_count long, failed_item_count long, skipped_item_count long, checkpoint_before string, checkpoint_after string, started_at timestamp, finished_at timestamp, seq long"),
+    (9, "failed_messages", "source_name string, message_id string, retry_attempt_count int, retry_state string, updated_at timestamp, seq long"),
+    (10, "continuation_matches", "parse_run_id string, front_source_order int, back_source_order int, decision_status string, decision_reason string"),
+    (11, "final_article_fragments", "article_id string, source_order int, fragment_role string, sequence_index int"),
+    (12, "enrichment_runs", "enrichment_run_id string, article_id string, status string, input_hash string, started_at timestamp, finished_at timestamp, error_message string, seq long"),
+    (13, "enrichment_outputs", "enrichment_run_id string, translated_title_zh string, translated_body_zh string, summary_zh string, content_type string, classification_reason string"),
+    (14, "article_tags", "enrichment_run_id string, tag_order int, tag string"),
+    (15, "document_processing_runs", "key string, status string, current_step string, automatic_failure_count int, last_failure_step string, last_error_message string, last_attempt_started_at timestamp, locked_by string, lock_expires_at timestamp, updated_at timestamp, seq long"),
+    (16, "article_processing_runs", "key string, article_id string, status string, current_step string, automatic_failure_count int, last_error_message string, last_success_input_hash string, last_attempt_started_at timestamp, locked_by string, lock_expires_at timestamp, updated_at timestamp, seq long"),
+    (17, "scheduler_runs", "scheduler_run_id string, trigger_type string, status string, selected long, completed long, failed long, started_at timestamp, finished_at timestamp, seq long"),
+    (18, "article_images", "article_id string, image_order int, image_path string, width int, height int"),
+    (19, "page_parse_states", "document_key string, page_number int, file_name string, batch_id string, state string, markdown_text string"),
 )
 
 
@@ -88,6 +100,53 @@ def publish_run(root: str, run: DataFrame, parts: dict[str, DataFrame]) -> None:
     append(run, f"{root}/parse_runs")
 
 
+def opened(spark: SparkSession, root: str, table: str, **run) -> None:
+    """A run's first row: running, with its sequence number 0."""
+    columns = spark.createDataFrame([], dict((n, d) for _, n, d in MIGRATIONS)[table]).schema
+    append(spark.createDataFrame([{"status": "running", "seq": 0} | run], columns), f"{root}/{table}")
+
+
+def closed(spark: SparkSession, root: str, table: str, key: str, **run) -> None:
+    """A later row of a run: what is given replaces what was there, the rest stays."""
+    schema = spark.createDataFrame([], dict((n, d) for _, n, d in MIGRATIONS)[table]).schema
+    now = states(spark, root, table, key).filter(F.col(key) == run[key]).limit(1).collect()
+    if not now:
+        raise LookupError(f"not found: {key} {run[key]}")
+    append(spark.createDataFrame([now[0].asDict() | run | {"seq": now[0]["seq"] + 1}], schema), f"{root}/{table}")
+
+
+def states(spark: SparkSession, root: str, table: str, key: str) -> DataFrame:
+    """The newest row of each run."""
+    rows = _read(spark, f"{root}/{table}", dict((n, d) for _, n, d in MIGRATIONS)[table])
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("x")).select(key, *[F.col(f"x.{c}") for c in rest])
+
+
+def write_blobs(rows: DataFrame, root: str, path_col: str = "raw_path", content_col: str = "content") -> DataFrame:
+    """Store each content under its path once, through Hadoop's file systems of the tasks'
+    own root if that is mounted everywhere; gives the paths and whether they are new.
+
+    ``root`` must be a folder that all executors share."""
+    import os
+
+    def put(frames):
+        for frame in frames:
+            new = []
+            for path, content in zip(frame[path_col], frame[content_col], strict=True):
+                target = f"{root}/{path}"
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                fresh = not os.path.exists(target)
+                if fresh:
+                    part = f"{target}.{uuid.uuid4().hex}"  # a task that runs twice renames the same bytes
+                    with open(part, "wb") as f:
+                        f.write(bytes(content))
+                    os.replace(part, target)
+                new.append(fresh)
+            yield frame[[path_col]].assign(was_new=new)
+
+    return rows.select(path_col, content_col).mapInPandas(put, f"{path_col} string, was_new boolean")
+
+
 def blob_path(message: Column, attachment: Column, content_hash: Column, filename: Column) -> Column:
     suffix = F.lower(F.coalesce(F.regexp_extract(filename, r"(\.[^./]+)$", 1), F.lit("")))
     return F.concat(F.lit("raw/mail/"), message, F.lit("/"), attachment, F.lit("-"), content_hash, F.when(suffix == "", ".pdf").otherwise(suffix))

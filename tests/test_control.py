@@ -49,6 +49,86 @@ def test_enqueue(spark):
     assert after.filter("key = 'changed'").first().automatic_failure_count == 0
 
 
+def test_enqueue_touches_what_arrives(spark):
+    lease, begun, old = "2026-05-06 11:00:00", "2026-05-06 08:00:00", "2026-01-01 00:00:00"
+    q = queue(spark, [("same", "running", 1, "h", begun, lease, old), ("changed", "failed_terminal", 2, "h", begun, lease, old), ("asked", "manual_retry_requested", 1, "h", begun, lease, old), ("left", "running", 0, None, begun, lease, old)])
+    q = q.withColumn("article_id", F.concat(F.lit("old-"), "key"))
+    new = spark.createDataFrame([("same", "h"), ("changed", "i"), ("asked", "h"), ("new", "y")], "key string, input_hash string").withColumn("article_id", F.concat(F.lit("new-"), "key"))
+    got = {r.key: r for r in control.enqueue(q, new, NOW).collect()}
+    assert {k: r.article_id for k, r in got.items()} == {"same": "new-same", "changed": "new-changed", "asked": "new-asked", "left": "old-left", "new": "new-new"}
+    same, changed, asked = got["same"], got["changed"], got["asked"]
+    assert (same.status, same.current_step, same.automatic_failure_count, same.locked_by, str(same.last_attempt_started_at)) == ("succeeded", "await_ad_judgment", 1, None, begun)
+    assert (changed.status, changed.automatic_failure_count, changed.last_attempt_started_at, changed.lock_expires_at) == ("pending", 0, None, None)
+    assert (asked.status, asked.automatic_failure_count, asked.locked_by) == ("manual_retry_requested", 1, "w0")
+    assert {k for k, r in got.items() if str(r.updated_at) == NOW} == {"same", "changed", "asked", "new"}
+
+
+def test_a_retry_that_is_asked_for_can_be_claimed_at_once(spark):
+    q = queue(spark, [("a", "running", 1, None, NOW, "2026-05-06 11:00:00", "2026-01-01 00:00:00"), ("b", "failed_terminal", 2, None, NOW, "2026-05-06 11:00:00", "2026-01-01 00:00:00")])
+    after = control.request_retry(q, NOW, keys=["a"])
+    assert states(control.claim(after, "w1", NOW, 60, 5)) == {"a": "running_manual_retry", "b": "failed_terminal"}
+    assert states(control.request_retry(q, NOW, condition=F.lit(True))) == {"a": "running", "b": "manual_retry_requested"}
+
+
+def test_known_keys_are_not_queued_again(spark):
+    q = queue(spark, [("a", "succeeded", 0, "h", None, None, NOW)])
+    after = control.enqueue_once(q, spark.createDataFrame([("a",), ("b",), ("b",)], "key string"), NOW)
+    assert states(after) == {"a": "succeeded", "b": "pending"} and after.filter("key = 'b'").first().current_step == "parse_persist"
+
+
+def test_tick_and_worker_loop(spark):
+    kept = lambda df: storage.stored(df, "t")
+    work = lambda rows: rows.select("key", F.when(F.col("key") == "k1", "failed").otherwise("succeeded").alias("outcome"), F.lit("m").alias("message"), F.lit("h").alias("input_hash"))
+    q = queue(spark, [(f"k{i}", "pending", 0, None, None, None, NOW) for i in range(3)])
+    after, result = control.tick(q, work, "w", NOW, 60, 2, kept)
+    assert result == {"waves": 2, "selected": 3, "completed": 2, "failed": 1, "status": "partial"}
+    assert control.tick(after.filter("status = 'succeeded'"), work, "w", NOW, 60, 2, kept)[1] is None
+    now, slept, imports_, answers = [0], [], [], [True, ConnectionError(), TimeoutError(), False, True]
+
+    def step():
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    def sleep(n):
+        slept.append(n)
+        now[0] += n
+
+    assert control.worker_loop(step, lambda: now[0], sleep, lambda: imports_.append(now[0]), import_interval=60, rounds=5) == 5
+    assert slept == [10, 5, 15, 60] and imports_ == [0, 90]
+    with pytest.raises(control.FatalError):
+        control.worker_loop(lambda: 1 / 0, lambda: 0, sleep, rounds=2)
+
+
+def test_null_hashes_are_all_kept(spark):
+    rows = [(1, None, None), (2, None, None), (3, None, "i"), (4, None, "i"), (5, "h", "i"), (6, "h", None)]
+    got = identity.greedy_dedup(spark.createDataFrame(rows, "seq long, content_hash string, issue_key string"))
+    assert {r.seq: r.kept_seq for r in got.collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 6}
+
+
+def test_pdf_names(spark):
+    names = {"中文-金融时报-2026.pdf": False, "translated-notes.pdf": True, "paper_zh.pdf": True, "【译】a.pdf": False, "x/【译】a.pdf": False, "a【译】.pdf": True, "中文-华尔街日报.PDF": False, "a.txt": False}
+    got = spark.createDataFrame([(n,) for n in names], "f string").select("f", mail.is_pdf(F.lit("application/octet-stream"), F.col("f")).alias("ok")).collect()
+    assert {r.f: r.ok for r in got} == names
+    assert spark.createDataFrame([("a.txt",)], "f string").select(mail.is_pdf(F.lit("application/pdf"), F.col("f"))).first()[0]
+
+
+def test_hosts_and_names_of_addresses(spark):
+    cases = [("https://u:p@My_Host.com:80/a/b%20c.pdf?x=1", "my_host.com", "b c.pdf"), ("http://h.org", "h.org", "download.pdf"), ("http://h.org/a/x.html", "h.org", "x.html"), ("http://h.org/a/file/", "h.org", "file.pdf"), ("no address", None, None), ("http://[::1]:8/q", "::1", "q.pdf"), ("http://h.org/.hidden", "h.org", ".hidden.pdf"), ("http://h.org/a%zz", "h.org", "a%zz.pdf")]
+    got = spark.createDataFrame([(u,) for u, *_ in cases], "u string").select(tx.host(F.col("u")), tx.filename_from_url(F.col("u"))).collect()
+    for (_, host, name), r in zip(cases, got, strict=True):
+        assert r[0] == host and (name is None or r[1] == name)
+
+
+def test_articles_without_pages_have_keys(spark):
+    rows = [("d", 1, "a", "Big News Today", "body one", None), ("d", 2, "b", "BIG  news today", "other", [1, None])]
+    got = {r.article_id: r.article_key for r in identity.article_keys(spark.createDataFrame(rows, "document_key string, run_seq int, article_id string, title string, body_text string, pages array<int>")).collect()}
+    assert len(got) == 2
+
+
+
+
 def test_drain_ends(spark):
     q = queue(spark, [(f"k{i}", "pending", 0, None, None, None, NOW) for i in range(5)])
     work = lambda rows: rows.select("key", F.when(F.col("key") == "k3", "failed").otherwise("succeeded").alias("outcome"), F.lit("m").alias("message"), F.lit("h").alias("input_hash"))
@@ -119,7 +199,7 @@ def message(parts):
 
 def test_mail(spark):
     html = b'<a href="https://Files.Ex.com/a.pdf">Get</a><a href="https://bad.org/x">no</a><a href="https://Files.Ex.com/a.pdf">again</a>'
-    rows = [("m1", "News@Ex.com", "1700000000000", message([("a.PDF", "application/x", b"%PDF1"), ("", "text/html", html)])), ("m2", "other@ex.com", "1700000000500", message([("b.pdf", "application/pdf", b"%PDF2")])), ("m3", "news@ex.com", "99", message([("c_zh.pdf", "application/pdf", b"x")]))]
+    rows = [("m1", "News@Ex.com", "1700000000000", message([("a.PDF", "application/x", b"%PDF1"), ("", "text/html", html)])), ("m2", "other@ex.com", "1700000000500", message([("b.pdf", "application/pdf", b"%PDF2")])), ("m3", "news@ex.com", "99", message([("中文-金融时报-2026.pdf", "application/pdf", b"x")]))]
     df = spark.createDataFrame(rows, "message_id string, sender string, internal_date string, payload string")
     pdfs = mail.attachments(df)
     assert sorted((r.message_id, bytes(r.content)) for r in pdfs.collect()) == [("m1", b"%PDF1"), ("m2", b"%PDF2"), ("m3", b"x")]
