@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +94,19 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(id_remainder(doc_id, modulus) == remainder, F.lit(False))
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> bool:
+    """Matrix products of this process in one thread: a task has one core, and the
+    library's threads would wait for each other in busy loops.  False: no such library."""
+    for path in glob.glob(f"{os.path.dirname(os.path.dirname(np.__file__))}/numpy.libs/*openblas*"):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return True
+    return False
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

@@ -120,3 +120,22 @@ def test_token_files(spark, tmp_path):
     assert not left
     token_files.write_token_files(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"))
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_subword_ids_spell_the_words():
+    from pressmill.llm import subwords
+
+    name = "byte_bpe_multi_50k.tiktoken"
+    texts = [[], [b"hello", b"there,", b"<|endoftext|>", "é".encode(), "北京".encode(), b"hello"], [b"x" * 5000, "\xa0y\xa0".encode(), b"1", "\x85".encode()], ["é".encode() * 300, b"\x00\x1c"]]
+    table = subwords.Words(name, {b"hello": -1.5})
+    at, lengths = table.rows(texts)
+    ids, n = table.ids(at, lengths, 60_000)
+    pieces = np.split(ids, np.cumsum(n)[:-1])
+    for words, piece in zip(texts, pieces, strict=True):
+        assert piece[-1] == 60_000 and subwords.encoding(name).decode_bytes(piece[:-1].tolist()) == b"".join(b" " + w for w in words)
+    plain = subwords.encoding(name)
+    assert pieces[1][:-1].tolist() == sum((plain.encode_ordinary(f" {w.decode()}") for w in texts[1]), [])
+    assert np.isnan(table.values[at]).sum() == len(at) - 2 and table.values[at[0]] == -1.5
+    again = subwords.Words(name, {})
+    again.rows(texts[::-1])
+    assert again.ids(*again.rows(texts), 60_000)[0].tolist() == ids.tolist()
