@@ -11,9 +11,11 @@ that stands at place k of its window can only be the occurrence at p - k, which
 must lie inside the document (positional and length bound), and is verified
 word by word.  A document word inside any occurrence is hit.
 
-The index is broadcast only if the benchmark has at most ``broadcast_words``
-words; beyond it, positions and candidates are joined by shuffles, and only
-candidates meet their texts again.  Either way a document is one output row and
+The index is broadcast only if it takes at most ``broadcast`` bytes, judged by the
+benchmark's words and their lengths; beyond it, positions and candidates are joined by shuffles, and only
+candidates meet their texts again.  A token that is frequent even though it is
+the rarest of its window makes a skewed join there, which Spark splits at run time
+(an inner join, ``spark.sql.adaptive.skewJoin``).  Either way a document is one output row and
 never a group: hot documents, sources and copies need no care.
 
 Nulls: a null document text has no words; a null item text has none either and
@@ -30,9 +32,11 @@ from pyspark.sql.window import Window
 
 from . import common
 
-WINDOW, BROADCAST_WORDS = 13, 1_000_000
+#: Words of a window; bytes of an index, as estimated, that is broadcast.
+WINDOW, BROADCAST = 13, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, once A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OCCURRENCE = "array<struct<s:int,e:int>>"
 
 
@@ -40,7 +44,8 @@ def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased and nothing else."""
     text = F.coalesce(text, F.lit(""))
     plain = F.length(text) == F.octet_length(text)  # then lower() touches A-Z only
-    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), F.lit(WORD), F.lit(0))
+    # Cutting at the gaps is many times faster than searching for the words.
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), GAP), "")
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -70,12 +75,13 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), step, lambda acc: acc["n"])
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast: int = BROADCAST, id_col: str = "doc_id", text_col: str = "text", id_kind: str = "long") -> tuple[DataFrame, DataFrame]:
     """(found, groups): found has a row a document, (rid, doc_id, n_words, spans, gids)."""
     windows, groups = item_windows(benchmark, window)
-    total = benchmark.agg(F.sum(F.size(words(F.col("text"))))).first()[0] or 0  # one number
-    small = total <= broadcast_words
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w"))
+    # A window has up to ``window`` words, each with some 24 bytes beside its letters.
+    held = benchmark.agg((F.lit(window) * F.sum(F.octet_length("text") + 24 * F.size(words(F.col("text"))))).alias("bytes")).first()[0] or 0
+    small = held <= broadcast
+    texts = docs.select(F.col(id_col).cast(id_kind).alias("doc_id"), words(F.col(text_col)).alias("w"))
     index = prefix_index(windows, texts.select("w"), small)
     rows = texts.withColumn("rid", F.monotonically_increasing_id())
     inside = (F.col("pos") >= F.col("place")) & (F.col("pos") - F.col("place") + F.size("seq") <= F.size("w"))
@@ -100,24 +106,25 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bro
     return base.join(spans, "rid", "left").select("rid", "doc_id", "n_words", F.coalesce("spans", F.array().cast(OCCURRENCE)).alias("spans"), F.coalesce("gids", F.array().cast("array<string>")).alias("gids")), groups
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast: int = BROADCAST, share: int = 20, id_col: str = "doc_id", text_col: str = "text", id_kind: str = "long") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row a document.
 
     contaminated: some word is hit, and ``share`` times the hit words reach all words.
     """
-    found, groups = occurrences(docs, benchmark, window, broadcast_words, id_col, text_col)
+    found, groups = occurrences(docs, benchmark, window, broadcast, id_col, text_col, id_kind)
     row = found.select("rid", "doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.explode_outer("gids").alias("gid"))
     listed = row.join(groups, "gid", "left").groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"))
     return listed.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, share: int = 20, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast: int = BROADCAST, share: int = 20, text_col: str = "text") -> DataFrame:
     """``docs`` without contaminated rows, columns as they are.
 
-    The verdict depends on the text alone, so it comes back by a 64-bit hash of it.
+    The verdict depends on the text alone, so it comes back by 128 bits of hashes of it.
     """
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    verdict = contamination(keyed, benchmark, window, broadcast_words, share, "__text_key", text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumn("__text_key", F.concat_ws(":", F.xxhash64(text).cast("string"), F.xxhash64(F.lit("more"), text).cast("string")))
+    verdict = contamination(keyed, benchmark, window, broadcast, share, "__text_key", text_col, "string")
     bad = verdict.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
     return keyed.join(bad, F.col("__text_key") == F.col("__bad"), "left_anti").drop("__text_key")
 

@@ -10,10 +10,13 @@ whole fingerprints compared.
 
 What keeps the work and the rows bounded: documents with one fingerprint are a
 single row before indexing; a key's fingerprints are compared inside its task,
-which passes on links only.  A key with many fingerprints is searched from one
-fingerprint to the next unvisited ones within k bits, so that a large group of
-near copies costs a scan for each member still apart, and passes on a spanning
-tree, which loses no connection.  Components then follow from the links.
+which passes on links only.  A key with over BIG fingerprints is indexed once more
+inside its task: the bits outside its segment are cut into three parts, of which
+one differs by at most one bit, so the same one-wildcard variants divide it.  What
+still shares a key in numbers is searched from one fingerprint to the next
+unvisited ones within k bits, so that a large group of near copies costs a scan
+for each member still apart, and passes on a spanning tree, which loses no
+connection.  Components then follow from the links.
 
 Nulls: a null text has no words (fingerprint zero); rows with null ids are
 returned, their component is the smallest id reachable, null if there is none.
@@ -38,6 +41,8 @@ WORDS, DISTANCE, SEED = 4, 4, 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Keys with more fingerprints than this are searched, not compared in pairs.
 SMALL = 24
+#: Keys with more are divided by the rest of their bits first.
+BIG = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SLICE = 1 << 15
 
@@ -113,6 +118,33 @@ def _search(members: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarra
                 yield at, found
 
 
+def _divided(members: np.ndarray, bit: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among the many fingerprints of one key, which blanks ``bit``: those that
+    share a one-wildcard variant of a third of the other segments' bits are compared."""
+    rest, width = np.zeros(len(members), np.uint64), 0
+    for low, bits in SEGMENTS:
+        if not low <= bit < low + bits:
+            rest |= ((members >> np.uint64(low)) & np.uint64((1 << bits) - 1)) << np.uint64(width)
+            width += bits
+    third = -(-width // 3)
+    for low in range(0, width, third):
+        part = (rest >> np.uint64(low)) & np.uint64((1 << min(third, width - low)) - 1)
+        for blank in range(min(third, width - low)):
+            key = part & ~np.uint64(1 << blank)
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+            sizes = np.diff(np.append(starts, len(order)))
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+                rows = members[order[starts[sizes == size][:, None] + np.arange(size)]]
+                for step in range(1, size):
+                    a, b = rows[:, step:].ravel(), rows[:, :-step].ravel()
+                    near = np.bitwise_count(a ^ b) <= distance
+                    yield a[near], b[near]
+            for i in np.flatnonzero(sizes > SMALL):
+                for at, found in _search(members[order[starts[i] : starts[i] + sizes[i]]], distance):
+                    yield np.full(len(found), at, np.uint64), found
+
+
 def links_of(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints of each key; ``keys`` are sorted."""
     us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -133,9 +165,14 @@ def links_of(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tup
         us.append(a[mine])
         vs.append(b[mine])
     for i in np.flatnonzero(sizes > SMALL):
-        for at, found in _search(np.unique(fps[starts[i] : starts[i + 1]]), distance):
-            us.append(np.full(len(found), at, np.uint64))
-            vs.append(found)
+        members = np.unique(fps[starts[i] : starts[i + 1]])
+        if len(members) > BIG:
+            pairs = _divided(members, int(keys[starts[i]]) >> 22, distance)
+        else:
+            pairs = ((np.full(len(found), at, np.uint64), found) for at, found in _search(members, distance))
+        for u, v in pairs:
+            us.append(u)
+            vs.append(v)
     return np.concatenate(us), np.concatenate(vs)
 
 
@@ -189,9 +226,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each component, columns as they are.
 
     A row goes by a hash of its id and text: rows that repeat both are one, rows
-    that share an id only are not, and null ids need no care.
+    that share an id only are not, and null ids need no care.  Of rows with one
+    hash only those with equal second hashes (128 bits in all) count as repeated.
     """
-    keyed = docs.withColumn("__near_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    keyed = docs.withColumns({"__near_key": F.xxhash64(F.col(id_col), F.col(text_col)), "__near_more": F.xxhash64(F.lit("more"), F.col(text_col), F.col(id_col))})
     found = near_duplicates(keyed, "__near_key", text_col, words, distance)
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return keyed.join(keep, F.col("__near_key") == F.col("__kept"), "left_semi").dropDuplicates(["__near_key"]).drop("__near_key")
+    return keyed.join(keep, F.col("__near_key") == F.col("__kept"), "left_semi").dropDuplicates(["__near_key", "__near_more"]).drop("__near_key", "__near_more")

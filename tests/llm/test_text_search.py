@@ -138,7 +138,7 @@ def brute_contamination(text, items):
     return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("limit", [decontam.BROADCAST_WORDS, 0])
+@pytest.mark.parametrize("limit", [decontam.BROADCAST, 0])
 def test_contamination_matches_brute_force(spark, limit):
     rng = random.Random(6)
     vocabulary = ["the", "of", "É", "é", "a1", "Zeta", "rare", "x", "straße", "9"]
@@ -147,7 +147,7 @@ def test_contamination_matches_brute_force(spark, limit):
     docs = [(i, some(rng.randint(0, 60))) for i in range(60)]
     docs += [(100 + i, f"{some(20)}, {t}! {some(rng.randint(0, 300))}") for i, (_, t) in enumerate(items)]
     docs += [(None, None), (3, "ONLY  here"), (3, "ONLY  here"), (200, "the of " * 2000), (201, "")]
-    got = decontam.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_words=limit).collect()
+    got = decontam.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast=limit).collect()
     key = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(key(tuple(r)) for r in got) == sorted(key((i, *brute_contamination(t, items))) for i, t in docs)
 
@@ -203,14 +203,20 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_links_lose_no_connection():
+@pytest.mark.parametrize("big", [simhash.BIG, 30])
+def test_links_lose_no_connection(monkeypatch, big):
     import numpy as np
 
+    monkeypatch.setattr(simhash, "BIG", big)
+
     rng = random.Random(9)
     fps = {rng.getrandbits(64) for _ in range(200)}
     for seed in list(fps)[:20]:
         for _ in range(60):
             fps.add(seed ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))))
+    some = rng.getrandbits(64) & ~((1 << 43) - 1)
+    fps |= {some | rng.getrandbits(43) for _ in range(400)}  # unrelated ones with one key
+    fps |= {x ^ 0b11 ^ (0b11 << 22) for x in list(fps)[:50]}  # two bits of one segment, two of another
     fps = np.array(sorted(fps), np.uint64)
     keys, values = [], []
     for low, bits in simhash.SEGMENTS:
