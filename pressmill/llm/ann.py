@@ -230,6 +230,7 @@ def neighbours(table: DataFrame, is_query: Column, k: int = K, sample: int = SAM
     code = np.dtype([("cell", "<i4"), ("codes", "u1", (slices,))])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.one_thread()
         for batch in batches:
             x = np.ascontiguousarray(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
             cells, codes = encode(shared.value, x.astype(np.float32))
@@ -262,6 +263,7 @@ def neighbours(table: DataFrame, is_query: Column, k: int = K, sample: int = SAM
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], names=["query_id", "q"])
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.one_thread()
         for batch in batches:
             q = _pieces(batch.column(0), kind, dim).astype(np.float32)
             cells = np.argsort(-(q @ shared.value.centroids.T), axis=1, kind="stable")[:, : shared.value.probes].astype("<i4")
@@ -293,6 +295,7 @@ def neighbours(table: DataFrame, is_query: Column, k: int = K, sample: int = SAM
     def searched(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame()
+        common.one_thread()
         both = np.frombuffer(b"".join(a["code"]), code)
         order = np.argsort(both["cell"], kind="stable")
         both, n = both[order], a["n"].to_numpy()[order]

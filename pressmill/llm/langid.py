@@ -43,6 +43,8 @@ from .word_table import WordTable, logistic, sums
 ORDER, SAMPLE, LONGEST, REJECT = 4, 1500, 100_000, 0.5
 #: n-grams kept of a language and order, the most frequent ones.
 KEPT = 200_000
+#: Documents that calibrate, of all languages together, on average; a quarter at most.
+CHECKS = 4000
 START, END = "\x02", "\x03"
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -158,7 +160,7 @@ def sample_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     known = docs.filter("lang is not null and text is not null and not held_out")
     shares = known.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count("*")).alias("share"))  # a row a language
     mix = lambda what: F.pmod(F.xxhash64("doc_id", F.lit(what)), F.lit(1_000_000)) / 1e6
-    check = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
+    check = mix("calibration") < min(0.25, CHECKS / (sample * max(1, known.select("lang").distinct().count())))
     start = F.floor(mix("passage") * (F.length("text") - LONGEST + 1)).cast("int") + 1
     text = F.when(F.length("text") > LONGEST, F.substring(F.col("text"), start, F.lit(LONGEST))).otherwise(F.col("text"))
     return known.join(F.broadcast(shares), "lang").filter(mix("language sample") < F.col("share")).select("lang", text.alias("text"), check.alias("check"))
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Model | No
     for row in sample_rows(docs, sample).toLocalIterator():
         words = words_of(row["text"])
         (others if row["check"] else counts).setdefault(row["lang"], Counter()).update(words)
-        if row["check"] and len(checks) < 4000:
+        if row["check"]:
             checks.append((row["lang"], words))
     whole = {k: counts.get(k, Counter()) + others.get(k, Counter()) for k in counts | others}
     whole, counts = {k: v for k, v in whole.items() if v}, {k: v for k, v in counts.items() if v}

@@ -15,6 +15,8 @@ a worker remembers it; every window of every text counts.
 
 Only labelled rows that are not held out are learned from: a bounded sample of
 ``SAMPLE`` documents of either label on average, of at most LONGEST characters.
+One in CHECKS of them is kept from the dictionaries and calibrates; the model that
+is calibrated is the one that is used.
 
 Nulls: a null text is empty and scores as no window; null ids are kept, have no
 label and count as not held out.  Repeated labels of an id: toxic if any is.
@@ -27,7 +29,7 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ from . import common
 from .chunk_ids import Aging
 from .word_table import WordTable, logistic, sums
 
-SAMPLE, LONGEST, CUT = 2500, 60_000, 0.3
-DICT_BYTES, TOXIC_BYTES = 32 << 10, 6 << 10
+SAMPLE, LONGEST, CUT, CHECKS = 2500, 60_000, 0.3, 5
+DICT_BYTES, TOXIC_BYTES, TAIL_BYTES = 32 << 10, 6 << 10, 16 << 10
 #: Times its chance that a telling string comes, and by how many deviations.
 RATIO, CERTAIN = 8, 6
 #: Windows are counted by the bytes they gain at least.
@@ -164,12 +166,14 @@ def dictionaries(ordinary: list[list[str]], toxic: list[list[str]]) -> Model:
         chance = (in_plain[g] + 0.5) * len(toxic) / (len(ordinary) + 1)
         if in_toxic[g] >= RATIO * chance and in_toxic[g] - chance >= CERTAIN * (chance + 0.5) ** 0.5:
             telling.add(g)
-    picked = Counter(x for d in toxic for x in {y for w in set(d) if len(w) <= 24 for y in _telling_spans(window(w), telling)})
+    picked = Counter(x for d in toxic for x in {y for w in set(d) for y in _telling_spans(window(w), telling)})
     kept = [x for x, n in picked.most_common() for _ in range(min(n, 20))]
     samples = [b"".join(kept[k : k + 20]) for k in range(0, len(kept), 20)] * 2
     content = _trained(samples, TOXIC_BYTES) if kept else b""
-    # The trainer may leave out short strings: the most frequent ones follow it.
-    return Model(_trained(plain, DICT_BYTES), content + b"".join(x for x, _ in reversed(picked.most_common(400))))
+    # The trainer may leave out short strings: all follow it, the most frequent ones last,
+    # where they are nearest; what is beyond TAIL_BYTES was met least.
+    tail = b"".join(x for x, _ in reversed(picked.most_common()))[-TAIL_BYTES:]
+    return Model(_trained(plain, DICT_BYTES), content + tail)
 
 
 def calibrate(model: Model, docs: list[list[str]], toxic: np.ndarray) -> Model:
@@ -202,8 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, id_c
     picked = marked.filter(mix < F.when(F.col("toxic") == 1, F.lit(min(1.0, sample / counts[1]))).otherwise(F.lit(min(1.0, sample / counts[0]))))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter((F.coalesce(F.length("text"), F.lit(0)) > 0) & (F.length("text") <= LONGEST))
     # At most about 2 * sample ids, whatever the table's size.
-    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "toxic", (F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3)) == 0).alias("check"))
-    found = [(r["toxic"], r["check"], words_of(r["text"])) for r in rows.dropDuplicates(["id"]).toLocalIterator()]
+    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "toxic", (F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(CHECKS)) == 0).alias("check"))
+    # Of texts that share an id, the first in their own order.
+    one = rows.groupBy("id").agg(F.min(F.struct("text", "toxic", "check")).alias("x")).select("x.text", "x.toxic", "x.check")
+    found = [(r["toxic"], r["check"], words_of(r["text"])) for r in one.toLocalIterator()]
     train = {k: [w for t, check, w in found if t == k and not check] for k in (0, 1)}
     checks = [(t, w) for t, check, w in found if check]
     if not train[0] or not train[1] or len({t for t, _ in checks}) < 2:
@@ -211,10 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, id_c
         checks = [(t, w) for t, _, w in found]
     if not train[0] or not train[1]:
         return None
-    model = calibrate(dictionaries(train[0], train[1]), [w for _, w in checks], np.array([t == 1 for t, _ in checks]))
-    # What is calibrated stays; the dictionaries then learn from the whole sample.
-    whole = dictionaries(*([w for t, _, w in found if t == k] for k in (0, 1)))
-    return replace(whole, weights=model.weights)
+    return calibrate(dictionaries(train[0], train[1]), [w for _, w in checks], np.array([t == 1 for t, _ in checks]))
 
 
 _table: list = [None, None]

@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-ENTRIES = 600_000
+#: Words kept, characters of them, numbers of their vectors: a table beyond one starts afresh.
+ENTRIES, CHARACTERS, NUMBERS = 600_000, 32 << 20, 64 << 20
 
 
 class WordTable(dict):
@@ -18,20 +19,21 @@ class WordTable(dict):
 
     def __init__(self, vectors: Callable[[list[str]], np.ndarray], width: int, entries: int = ENTRIES):
         super().__init__()
-        self.vectors, self.entries = vectors, entries
+        self.vectors, self.entries, self.characters = vectors, max(1, min(entries, NUMBERS // width)), 0
         self.new: list[str] = []
         self.matrix, self.known = np.zeros((1024, width), np.float32), 0
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
+        self.characters += len(word)
         i = self[word] = len(self)
         return i
 
     def rows(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(row of every word in turn, words of each text)."""
-        if len(self) > self.entries:
+        if len(self) > self.entries or self.characters > CHARACTERS:
             self.clear()
-            self.known = 0
+            self.known = self.characters = 0
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         get = self.__getitem__
         at = np.fromiter((i for w in words for i in map(get, w)), np.int64, int(lengths.sum()))
