@@ -208,9 +208,18 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: ASCII and the Latin letters that NFKC leaves as they are.
+SETTLED = r"\A[\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E]*\z"
+
+
+def folded(c: Column) -> Column:
+    """NFKC; only texts that it may change go to Python."""
+    return F.coalesce(nfkc(F.when(~c.rlike(SETTLED), c)), c)
+
+
 def title_key(c: Column) -> Column:
     """NFKC, lower case, other characters than ASCII letters and digits to blanks."""
-    return F.trim(F.regexp_replace(F.lower(nfkc(c)), "[^0-9a-z]+", " "))
+    return F.trim(F.regexp_replace(F.lower(folded(c)), "[^0-9a-z]+", " "))
 
 
 @F.pandas_udf(T.StringType())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.storage import stored
 
 #: Section labels, rubrics and first characters that are no titles.
 SECTION_WORDS = ("remarks", "in context", "in view", "pursuits", "exit strategy", "contents", "contributors", "cover")
@@ -112,7 +113,7 @@ def assemble(keyed: DataFrame, bounds: DataFrame, kinds: DataFrame) -> DataFrame
 
 
 def articles(blocks: DataFrame) -> DataFrame:
-    keyed = with_keys(blocks)
+    keyed = stored(with_keys(blocks), "layout-blocks")  # read by every branch below
     sections = running_sections(keyed)
     kinds = page_kinds(keyed, sections)
     return assemble(keyed, boundaries(keyed, kinds, sections), kinds)

@@ -81,6 +81,6 @@ def edition_articles(outline: DataFrame, pages: DataFrame, texts: DataFrame) ->
     spans = ranges(outline, pages).select("*", F.explode(F.sequence("start_page", F.greatest(F.col("end_page") - 1, "start_page"))).alias("page_number"))
     met = spans.join(texts, ["document_key", "page_number"]).groupBy("document_key", "ordinal", "title", "section", "start_page", "end_page")
     raw = met.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "raw_text"))), lambda x: x["raw_text"]), "\n").alias("raw"))
-    out = raw.withColumn("url", source_url("raw")).withColumn("folded", tx.nfkc("raw")).withColumn("body_text", cleaned(F.col("raw"), F.col("folded"))).filter("body_text != ''")
+    out = raw.withColumn("url", source_url("raw")).withColumn("folded", tx.folded(F.col("raw"))).withColumn("body_text", cleaned(F.col("raw"), F.col("folded"))).filter("body_text != ''")
     order = F.row_number().over(Window.partitionBy("document_key").orderBy("start_page", "ordinal"))
     return out.select("document_key", order.alias("article_order"), "title", "section", "start_page", "end_page", "body_text", "url")
