@@ -339,7 +339,7 @@ _ENRICHED = (
 def _(t):
     from ..functions import text as tx
 
-    return v.enriched(t).withColumn("body_zh", tx.clean_text(F.col("body_zh")))
+    return v.enriched(t).withColumn("body_zh", F.when(F.col("body_zh").isNotNull(), tx.clean_text(F.col("body_zh"))))
 
 
 @query(

@@ -212,7 +212,7 @@ def article_detail(t: Tables) -> DataFrame:
     runs = t.parse_runs().select("parse_run_id", "document_key", F.col("status").alias("parse_status"))
     rows = t.articles().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name"), "document_key", "left").join(document_states(t), "document_key", "left").join(enriched(t), "article_id", "left").join(pictures, "article_id", "left")
     return rows.select(
-        "article_id", "document_key", F.coalesce("source_name", F.lit("")).alias("source_name"), "publication_date", "title", "title_zh", "summary_zh", tx.clean_text(F.col("body_zh")).alias("body_zh"), F.coalesce("tags", F.lit("")).alias("tags"),
+        "article_id", "document_key", F.coalesce("source_name", F.lit("")).alias("source_name"), "publication_date", "title", "title_zh", "summary_zh", F.when(F.col("body_zh").isNotNull(), tx.clean_text(F.col("body_zh"))).alias("body_zh"), F.coalesce("tags", F.lit("")).alias("tags"),
         F.array_join(F.coalesce("images", F.array().cast("array<string>")), "|").alias("images"), F.get("images", F.lit(0)).alias("hero_image"),
         F.coalesce("document_status", F.lit("unknown")).alias("document_status"), F.coalesce("parse_status", F.lit("unknown")).alias("parse_status"), F.coalesce("enrichment_status", F.lit("unavailable")).alias("enrichment_status"))
 

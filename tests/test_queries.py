@@ -47,18 +47,18 @@ def test_latest_run_has_one_scan_of_orders(spark):
 
 def test_import_items_of_all_runs(spark):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
-    got = registry.queries()["V11_import_items_all"](spark, FOLDER)
+    got = registry.queries()["V11_import_items"](spark, FOLDER)
     assert got.count() == events.filter("event_type = 'error'").count() > 100
 
 
 def test_detail_of_every_document(spark):
-    got = registry.queries()["V7_document_detail_all"](spark, FOLDER)
+    got = registry.queries()["V7_document_detail"](spark, FOLDER)
     customers = spark.read.parquet(f"{FOLDER}/customer.parquet")
     assert got.select("document_key").distinct().count() == customers.count() > 50
     assert {"document_key", "status", "error_summary"} <= set(got.columns) and got.filter("article_id is null").count() > 0
 
 
 def test_every_row_has_its_place(spark):
-    got = registry.queries()["O1_processing_order_all"](spark, FOLDER)
+    got = registry.queries()["O1_processing_order"](spark, FOLDER)
     places = sorted(r.place for r in got.collect())
     assert places == list(range(1, len(places) + 1)) and len(places) > 100
