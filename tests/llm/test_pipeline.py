@@ -69,6 +69,25 @@ def test_stages(spark, tables):
     assert got == want
 
 
+EXTRA = ("score", "predicted", "hits", "held_out", "key", "rules", "row", "secret_spans", "fp", "w", "rid", "spans", "gids", "component_id", "fingerprint", "known")
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_stages_on_odd_tables(spark, tables, rows):
+    """Empty tables; null ids, texts and labels; columns with the names of the stages' own."""
+    d, *_ = tables
+    some = [(None, None), (None, ""), (7, "one alone")][:rows]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *["x"] * len(EXTRA)) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, d)
+        path = f"{d}/odd-{rows}-{name}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert name == "packing" or docs.columns == columns
+    assert docs.count() == min(rows, 2)  # the null and the empty text are near copies
+
+
 def test_run_and_names(spark, tables):
     d, *_ = tables
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()}
