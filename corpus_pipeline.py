@@ -9,6 +9,17 @@
 Each stage gets all its predecessor kept, from Parquet in the shared folder, so
 a lost executor costs tasks of one stage at most.  All but the last return the
 columns of ``documents``.
+
+Nulls: a null text is empty for every stage: it is not toxic, holds no passage and
+no secret, has fingerprint zero (so one such document stays of all that are linked
+to it) and packs to its end id alone; null ids are kept.  Rows that repeat id and
+text are one after the second stage, other rows that share an id are not.  Ties:
+of a component the document with the smallest hash of id and text stays, which
+doesn't depend on order or partitions.  Extra columns pass through all stages but
+the last, whatever their names (those of the stages' own columns start with two
+underscores).
+Empty tables give an empty result, without labels nothing is toxic, without a
+benchmark nothing is contaminated.  Texts of any length are handled whole.
 """
 
 from __future__ import annotations
