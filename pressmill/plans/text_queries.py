@@ -109,7 +109,7 @@ def _(spark, d):
     return docs(spark, d).filter("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
 
 
-@query("D5_input_hash")
+@query("D5_input_hash", """select doc_id, sha256('{"article_key": ' || to_json(cast(doc_id as varchar)) || ', "body_text_en": ' || coalesce(to_json(text), 'null') || ', "publication_date": ' || coalesce(to_json(source), 'null') || ', "title_en": ' || coalesce(to_json(lang), 'null') || '}') as input_hash from documents""")
 def _(spark, d):
     return docs(spark, d).select("doc_id", tx.input_hash(F.col("doc_id").cast("string"), F.col("source"), F.col("lang"), F.col("text")).alias("input_hash"))
 
@@ -130,7 +130,10 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", tx.link_id(F.col("url")).alias("link_id"))
 
 
-@query("C19_filename_from_url")
+@query(
+    "C19_filename_from_url",
+    "select page_id, case when regexp_matches(n, '(^|/)[^/]+\\.[^./]+$') then n else n || '.pdf' end as filename from (select page_id, coalesce(nullif(url_decode(regexp_extract(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '([^/]*)/*$', 1)), ''), 'download.pdf') as n from pages)",
+)
 def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", tx.filename_from_url(F.col("url")).alias("filename"))
 
@@ -154,6 +157,11 @@ def _(spark, d):
 ORACLE["D1_filename_date"] = "select doc_id, strftime(date '2024-01-01' + cast(doc_id % 500 as int), '%Y-%m-%d') as issue_date, source as source_name from documents"
 
 
-@query("K10_merged_markdown")
+@query(
+    "K10_merged_markdown",
+    "with l as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: case when i % 4 = 1 then '# ' || x else x end) as l from documents), "
+    "h as (select doc_id, l, greatest(len(l) // 2, 1) as n from l) "
+    "select doc_id as document_key, sha256('<!-- PDF_PAGE_NUMBER: 1 -->' || chr(10) || array_to_string(l[1:n], chr(10)) || chr(10) || chr(10) || '<!-- PDF_PAGE_NUMBER: 2 -->' || chr(10) || coalesce(array_to_string(l[n + 1:], chr(10)), '')) as markdown_sha256 from h",
+)
 def _(spark, d):
-    return segment.page_markers(markdown_pages(spark, d)).select("document_key", F.length("markdown_text").alias("length"))
+    return segment.page_markers(markdown_pages(spark, d)).select("document_key", F.sha2(F.col("markdown_text").cast("binary"), 256).alias("markdown_sha256"))
