@@ -199,3 +199,29 @@ def is_due(last: Column, now: str, interval: int) -> Column:
 
 def backoff_seconds(attempt: int) -> int:
     return (5, 15, 60)[min(max(attempt, 1), 3) - 1]
+
+
+def run_steps(rows: DataFrame, steps: list, key_type: str = "string") -> DataFrame:
+    """Outcomes (key, outcome, message, input_hash, failed_step) of claimed rows: each
+    row goes through the named steps in order until one raises.
+
+    ``steps``: (name, make) with ``make() -> function of the key``, made once a task;
+    an error whose ``rate_limited`` attribute is true asks for a retry without count."""
+    import pandas as pd
+
+    def run(batches):
+        made = [(name, make()) for name, make in steps]
+        for batch in batches:
+            out = []
+            for key in batch["key"]:
+                state = (key, "succeeded", None, None, None)
+                for name, step in made:
+                    try:
+                        step(key)
+                    except Exception as e:
+                        state = (key, "rate_limited" if getattr(e, "rate_limited", False) else "failed", str(e), None, name)
+                        break
+                out.append(state)
+            yield pd.DataFrame(out, columns=["key", "outcome", "message", "input_hash", "failed_step"])
+
+    return rows.select("key").mapInPandas(run, f"key {key_type}, outcome string, message string, input_hash string, failed_step string")

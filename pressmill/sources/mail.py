@@ -146,3 +146,74 @@ def batches_of(rows: DataFrame, order: list[str], size: int = 30) -> DataFrame:
 
     place = F.row_number().over(Window.partitionBy("document_key").orderBy(*order))
     return rows.withColumn("batch", F.floor((place - 1) / size).cast("int"))
+
+
+def incremental_query(query: str, checkpoint_ms: int | None) -> str:
+    """The search with what is newer than a checkpoint, in whole seconds."""
+    return " ".join(x for x in (query, f"after:{checkpoint_ms // 1000}" if checkpoint_ms else "") if x)
+
+
+def fetched(spark: SparkSession, make: Callable, config: MailConfig, checkpoint_ms: int | None = None, label_ids: tuple[str, ...] = (), partitions: int = 4) -> DataFrame:
+    """(message_id, sender, internal_date, payload, seq) of the first page of a search.
+
+    ``make()`` gives a client with ``list(query, max_results, label_ids,
+    include_spam) -> ids`` and ``get(id) -> message``; only ids, at most
+    ``max_results``, come to the driver, messages are fetched by tasks."""
+    ids = list(make().list(incremental_query(config.query, checkpoint_ms), config.max_results, list(label_ids), config.include_spam))[: config.max_results]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "message_id string, seq long").repartition(max(1, min(partitions, len(ids))))
+
+    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        for batch in batches:
+            found = []
+            for key, seq in zip(batch["message_id"], batch["seq"], strict=True):
+                m = client.get(key)
+                payload = m.get("payload") or {}
+                sender = next((h.get("value", "") for h in payload.get("headers", []) if h.get("name", "").lower() == "from"), "")
+                found.append((m.get("id", key), sender, m.get("internalDate"), json.dumps(payload), seq))
+            yield pd.DataFrame(found, columns=["message_id", "sender", "internal_date", "payload", "seq"])
+
+    got = rows.mapInPandas(get, "message_id string, sender string, internal_date string, payload string, seq long")
+    return got.withColumn("sender", tx.sender_address("sender"))
+
+
+def downloads(links: DataFrame, make: Callable) -> DataFrame:
+    """Allowed links as attachments, and links that led to no file, with ``verdict``.
+
+    ``make()`` gives a client with ``fetch_html(url)``, ``download_binary(url)`` and,
+    where a service has one, ``landing(url)``; any of them may raise.  Where a link
+    leads is decided by ``resolve``; one task looks, another fetches."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+
+        def tried(name: str, url: str):
+            try:
+                return getattr(client, name)(url) if hasattr(client, name) else None
+            except Exception:
+                return None
+
+        for batch in batches:
+            heads = [tried("download_binary", u) or b"" for u in batch["url"]]
+            sniffed = [h[:4].decode("latin-1") for h in heads]
+            pages = ["" if s == "%PDF" else tried("fetch_html", u) or "" for u, s in zip(batch["url"], sniffed, strict=True)]
+            yield batch.assign(landing=[tried("landing", u) or "" for u in batch["url"]], head=sniffed, html=pages)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        for batch in batches:
+            contents = []
+            for url in batch["target"]:
+                try:
+                    contents.append(client.download_binary(url) if url else None)
+                except Exception:
+                    contents.append(None)
+            yield batch.assign(content=contents)
+
+    columns = "message_id string, url string, pos int, link_id string"
+    rows = links.filter("verdict = 'allowed'").select("message_id", "url", F.col("pos").cast("int").alias("pos"), "link_id")
+    seen = rows.mapInPandas(look, f"{columns}, landing string, head string, html string")
+    aimed = seen.select(*[x.split()[0] for x in columns.split(", ")], resolve(F.col("url"), F.col("landing"), F.col("head"), F.col("html")).alias("target"))
+    got = aimed.mapInPandas(take, f"{columns}, target string, content binary")
+    verdict = F.when(F.col("target").isNull(), "no_download_link").when(F.col("content").isNull(), "download_failed").otherwise("downloaded")
+    return got.select("message_id", "pos", F.col("link_id").alias("attachment_id"), tx.filename_from_url(F.col("target")).alias("filename"), F.lit("application/pdf").alias("mime_type"), "content", F.col("url").alias("link_url"), verdict.alias("verdict"))

@@ -158,3 +158,66 @@ def test_source_addresses(spark):
     cases = [(f"a\n{mark}\n\n\nhttps://e.x/lo\nng?q\n\nrest", "https://e.x/long?q"), (f"{mark} https://e.x/主菜单-x", "https://e.x/主菜单-x"), (f"{mark} https://e.x/a\n| 下一项 | 章节菜单 |\nb", "https://e.x/a"), ("no mark https://e.x", ""), (f"{mark} nothing", ""), (None, "")]
     got = spark.createDataFrame([(t,) for t, _ in cases], "t string").select(outline.source_url("t")).collect()
     assert [r[0] for r in got] == [u for _, u in cases]
+
+
+def test_messages_are_listed_and_fetched(spark):
+    from pressmill.sources import mail
+
+    def make():
+        class Client:
+            def list(self, query, n, labels, spam):
+                assert (query, n, labels, spam) == ("from:x after:1700000000", 2, ["L"], False)
+                return ["m1", "m2", "m3"]
+
+            def get(self, key):
+                return {"id": key, "internalDate": "5", "payload": {"headers": [{"name": "From", "value": "News <News@X.com>"}], "parts": []}}
+
+        return Client()
+
+    config = mail.MailConfig(query="from:x", max_results=2)
+    rows = mail.fetched(spark, make, config, 1700000000999, ("L",)).orderBy("seq").collect()
+    assert [(r.message_id, r.sender, r.internal_date) for r in rows] == [("m1", "news@x.com", "5"), ("m2", "news@x.com", "5")]
+    assert mail.incremental_query("q", None) == "q"
+
+
+def test_links_are_downloaded(spark):
+    from pressmill.sources import mail
+
+    def make():
+        class Client:
+            pages = {"https://e.x/page": '<a href="https://e.x/real.pdf">PDF</a>', "https://e.x/none": "nothing"}
+            files = {"https://e.x/real.pdf": b"%PDF-1", "https://e.x/direct": b"%PDF-2"}
+
+            def fetch_html(self, url):
+                return self.pages[url]
+
+            def download_binary(self, url):
+                return self.files[url]
+
+        return Client()
+
+    urls = ["https://e.x/page", "https://e.x/direct", "https://e.x/none", "https://e.x/lost.pdf"]
+    links = spark.createDataFrame([("m", u, i) for i, u in enumerate(urls)], "message_id string, url string, pos int")
+    rows = mail.downloads(mail.sorted_links(links, ("e.x",)), make).orderBy("pos").collect()
+    assert [(r.filename, r.content and bytes(r.content), r.verdict) for r in rows[:2]] == [("real.pdf", b"%PDF-1", "downloaded"), ("direct.pdf", b"%PDF-2", "downloaded")]
+    assert [r.verdict for r in rows[2:]] == ["no_download_link", "download_failed"]
+    assert all(r.attachment_id.startswith("link:") for r in rows)
+
+
+def test_steps_end_at_the_first_error(spark):
+    from pressmill.operators import control
+
+    def failing():
+        def step(key):
+            if key == "b":
+                raise ValueError("boom")
+            if key == "c":
+                e = RuntimeError("429")
+                e.rate_limited = True
+                raise e
+
+        return step
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    got = {r.key: (r.outcome, r.message, r.failed_step) for r in control.run_steps(rows, [("parse_persist", lambda: lambda key: None), ("enrich", failing)]).collect()}
+    assert got == {"a": ("succeeded", None, None), "b": ("failed", "boom", "enrich"), "c": ("rate_limited", "429", "enrich")}
