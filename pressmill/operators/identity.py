@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.storage import stored
+from ..sources.storage import discard, stored
 
 
 def greedy_dedup(rows: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def greedy_dedup(rows: DataFrame) -> DataFrame:
         new = stored(first.select("seq", "content_hash", "issue_key"), "dedup-kept")
         kept = new if kept is None else kept.unionByName(new)
         rest = left.join(new.select("content_hash"), "content_hash", "left_anti").join(new.filter("issue_key is not null").select("issue_key"), "issue_key", "left_anti")
-        left = stored(rest.select("seq", "content_hash", "issue_key"), "dedup-left")
+        before, left = left, stored(rest.select("seq", "content_hash", "issue_key"), "dedup-left")
+        discard(before)
         if left.isEmpty():
             break
     same_hash = kept.select(F.col("content_hash"), F.col("seq").alias("by_hash"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +34,43 @@ MIGRATIONS = (
 )
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a folder of its own; a cluster must
+    name one, since a machine-local folder would lose files.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{tempfile.gettempdir()}/checkpoints/pressmill"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for a table that cuts lineage."""
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+#: Where tables of ``stored`` lie, by the plans that read them.
+_PLACES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    if path := _PLACES.pop(df, None):
+        there = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def migrate(spark: SparkSession, root: str) -> list[int]:
