@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Links stay a DataFrame throughout; each round is written to the shared folder,
-so lineage stays short and a lost executor costs one round at most.
+so lineage stays short and a lost executor costs one round at most; a round that
+the next one replaces is deleted.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ def roots(links: DataFrame) -> DataFrame:
     while state[0]:
         after = common.stored(_small_star(_large_star(now)).filter("u > v").distinct(), "links")
         new = _state(after)
+        common.discard(now)
         now, state, done = after, new, new == state
         if done:
             break
