@@ -72,7 +72,13 @@ def _(spark, d):
     return layout.articles(blocks(spark, d)).select("document_key", "title", "section", "start_page", "end_page")
 
 
-@query("J18_pull_quotes")
+@query(
+    "J18_pull_quotes",
+    "with l as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos, unnest(string_split(coalesce(text, ''), chr(10))) as t from documents), "
+    "b as (select doc_id as document_key, cast(pos as int) as block_index, pos // 10 as page, pos % 10 as place, t, trim(regexp_replace(lower(t), '[^0-9a-z]+', ' ', 'g')) as k from l), "
+    "hay as (select document_key, page, k from b where place between 1 and 7 and length(t) > 120) "
+    "select distinct h.document_key, h.block_index from b h join hay on hay.document_key = h.document_key and abs(hay.page - h.page) <= 2 where h.place = 0 and length(h.k) >= 15 and contains(hay.k, h.k)",
+)
 def _(spark, d):
     return layout.pull_quotes(layout.with_keys(blocks(spark, d)))
 
@@ -91,7 +97,14 @@ def _(spark, d):
     return outline.edition_articles(entries, total, rows).select("document_key", "article_order", "start_page", "end_page")
 
 
-@query("F1_greedy_dedup")
+@query(
+    "F1_greedy_dedup",
+    "with recursive d as (select row_number() over (order by doc_id) as n, doc_id as seq, coalesce(sha256(text), chr(1) || doc_id) as h, concat_ws('|', source, lang, cast(doc_id % 30 as varchar)) as i from documents), "
+    "g as (select cast(0 as bigint) as n, cast(null as bigint) as seq, cast(null as bigint) as kept_seq, cast([] as varchar[]) as hs, cast([] as varchar[]) as iss, cast([] as bigint[]) as ks "
+    "union all select n, seq, coalesce(found, seq), case when found is null then list_append(hs, h) else hs end, case when found is null then list_append(iss, i) else iss end, case when found is null then list_append(ks, seq) else ks end "
+    "from (select d.n, d.seq, d.h, d.i, g.hs, g.iss, g.ks, coalesce(g.ks[nullif(list_position(g.hs, d.h), 0)], g.ks[nullif(list_position(g.iss, d.i), 0)]) as found from g join d on d.n = g.n + 1)) "
+    "select seq, kept_seq from g where n > 0",
+)
 def _(spark, d):
     return identity.greedy_dedup(docs(spark, d).select(F.col("doc_id").alias("seq"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.concat_ws("|", "source", "lang", (F.col("doc_id") % 30).cast("string")).alias("issue_key")))
 
