@@ -83,7 +83,19 @@ def _(spark, d):
     return layout.pull_quotes(layout.with_keys(blocks(spark, d)))
 
 
-@query("C11_page_kinds")
+_ADS = tx.AD_TOKENS.replace("(?iu)", "(?i)").replace("'", "''")
+
+
+@query(
+    "C11_page_kinds",
+    "with l as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos, unnest(string_split(coalesce(text, ''), chr(10))) as t from documents), "
+    "m as (select doc_id, pos, case when pos % 10 = 8 then 'section head' else t end as t from l), b as (select doc_id as document_key, pos, cast(pos // 10 as int) as page_idx, pos % 10 as place, t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') as said, trim(regexp_replace(lower(t), '[^0-9a-z]+', ' ', 'g')) as k from m), "
+    "s as (select document_key, k from b where place in (8) and said <> '' and k <> '' and k <> 'bloomberg businessweek' group by all having count(distinct page_idx) >= 2), "
+    "p as (select document_key, page_idx, bool_or(place = 9) as folio, bool_or(said[1] in ('●', '○') and contains(k[1:6], 'by')) as byline, coalesce(min_by(said, pos) filter (place = 8 and (document_key, k) in (select document_key, k from s)), '') as section, "
+    f"bool_or(place = 8 and k = 'advertisement') as advertorial, regexp_matches(string_agg(t, ' ' order by pos), '{_ADS}') as selling from b group by all), "
+    "q as (select *, advertorial or (not folio and (selling or (section = '' and not byline))) as ad from p) "
+    "select document_key, page_idx, case when ad then 'ad' else 'editorial' end as kind, case when ad then '' else section end as section from q",
+)
 def _(spark, d):
     keyed = layout.with_keys(blocks(spark, d))
     return layout.page_kinds(keyed, layout.running_sections(keyed))
