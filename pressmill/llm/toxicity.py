@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained, one on ordinary text and one on what
 toxic texts hold beyond it; the toxic one also has the ordinary content, so
 that ordinary wording costs the same under both.  A window is a word between
-blanks, behind a fixed carrier that both dictionaries hold (else so short a
-window would be stored raw and show nothing).  Its gain is the length under the
+blanks, between the halves of a fixed carrier that both dictionaries hold (else so
+short a window would be stored raw and show nothing, and the library looks for no
+match in an input's last bytes).  Its gain is the length under the
 ordinary dictionary less the length under the toxic one.  Windows are counted by
 the gain they reach (GAINS); a logistic score of the counts and the text's
 length is fitted on labelled documents that the dictionaries did not see, and
@@ -46,8 +47,8 @@ DICT_BYTES, TOXIC_BYTES, TAIL_BYTES = 32 << 10, 6 << 10, 16 << 10
 #: Times its chance that a telling string comes, and by how many deviations.
 RATIO, CERTAIN = 8, 6
 #: Windows are counted by the bytes they gain at least.
-GAINS = (4, 5, 6, 8)
-_CARRIER = b"(the carrier of a window: 0123456789 abcdefghijklmnopqrstuvwxyz) "
+GAINS = (4, 5, 6, 7, 8)
+_BEFORE, _BEHIND = b"(the carrier of a window:", b"and what follows it)"
 
 
 def words_of(text: str) -> list[str]:
@@ -80,7 +81,8 @@ class Gains(Aging):
         self.plain, self.toxic = plain, toxic
 
     def make(self, piece: bytes) -> int:
-        return len(self.plain(_CARRIER + piece)) - len(self.toxic(_CARRIER + piece))
+        data = _BEFORE + piece + _BEHIND
+        return len(self.plain(data)) - len(self.toxic(data))
 
 
 @dataclass
@@ -91,7 +93,7 @@ class Model:
 
     def compressors(self) -> tuple:
         """Both, and a table of the gains of windows so far (words differ in marks)."""
-        plain, toxic = _compressor(self.ordinary + _CARRIER), _compressor(self.ordinary + self.toxic + _CARRIER)
+        plain, toxic = _compressor(self.ordinary + _BEFORE + _BEHIND), _compressor(self.ordinary + self.toxic + _BEFORE + _BEHIND)
         return plain, toxic, Gains(plain, toxic)
 
     def hits(self, words: list[str], press: tuple) -> np.ndarray:
