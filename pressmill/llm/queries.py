@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, langid, lm_score, packing, secret_scan, simhash, token_count, token_files, toxicity
+from . import ann, common, decontam, langid, lm_score, packing, periodic, secret_scan, simhash, token_count, token_files, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(common.documents(spark, sf_dir), rewrite=periodic.planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_scan.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL}
+    return {"op3_secret_scan": secret_scan.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL, "op13_periodic_runs": periodic.ORACLE_SQL}
