@@ -130,7 +130,7 @@ def main_lorentz(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int =
         mid = (lo + hi) // 2
         which, q = _counted((hi - mid) * 2 // exponent)
         a = mid[which]
-        near = (text[a] == text[a + q]) & ((q == 1) | (text[a + 1] == text[a + np.minimum(q + 1, 2 * q - 1)]))
+        near = (text[a] == text[a + q]) | (exponent == 2)  # beyond 2, the first words must agree
         a, q = a[near], q[near]
         more = reach.right(a, a + q)
         enough = 2 * more >= (exponent - 2) * q
@@ -138,7 +138,7 @@ def main_lorentz(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int =
         found.append([a - reach.left(a - 1, a - 1 + q), a + q + more, q])
         which, q = _counted((mid - lo) * 2 // exponent)
         a = mid[which] - 1
-        near = text[a] == text[a - q]
+        near = (text[a] == text[a - q]) | (exponent == 2)
         a, q = a[near], q[near]
         more = reach.left(a, a - q)
         enough = 2 * more >= (exponent - 2) * q
