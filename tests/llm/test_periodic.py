@@ -81,7 +81,7 @@ def test_rows_against_the_definition(spark):
     rng = random.Random(8)
     texts = [rng.choice([" ", "\n", " \t ", "\x0b", " "]).join(repetitive(rng)) for _ in range(300)]
     rows = [(rng.choice([i, i, -i, 7]), t) for i, t in enumerate(texts)]
-    rows += [(None, None), (None, "x " * 9), (5, None), (5, ""), (5, " \n "), (10**12, "one two " * 40_000), (3, "x x x x x x"), (3, "x x x x x x")]
+    rows += [(None, None), (None, "x " * 9), (5, None), (5, ""), (5, " \n "), (10**12, "one two " * 1_000), (3, "x x x x x x"), (3, "x x x x x x")]
     rows += [(100_000 + i, " ".join(str(rng.randint(0, 30)) for _ in range(400))) for i in range(60)]
     frame = spark.createDataFrame([(i, t, *["x"] * 4) for i, t in rows], SCHEMA).repartition(3)
     found = periodic.find(frame, rewrite=periodic.planted)
