@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, hard_negatives, langid, lm_score, packing, periodic, secret_scan, simhash, token_count, token_files, toxicity
+from . import ann, common, decontam, hard_negatives, langid, lm_score, packing, periodic, secret_scan, simhash, token_count, token_files, toxicity, vector_join
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
@@ -67,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_scan.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL, "op13_periodic_runs": periodic.ORACLE_SQL}
+    return {"op3_secret_scan": secret_scan.ORACLE_SQL, "op10_decontamination": decontam.ORACLE_SQL, "op11_vector_join": vector_join.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL, "op13_periodic_runs": periodic.ORACLE_SQL}
