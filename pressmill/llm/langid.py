@@ -27,7 +27,6 @@ training row every text is ``und``.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +45,6 @@ KEPT = 200_000
 #: Documents that calibrate, of all languages together, on average; a quarter at most.
 CHECKS = 4000
 START, END = "\x02", "\x03"
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,7 +223,7 @@ def predict(docs: DataFrame, held_out, order: int = ORDER, sample: int = SAMPLE,
                 logs = sums(_table[1].matrix[at], lengths)
                 w, mean, scale = m.calibration
                 z = np.column_stack([(features(logs) - mean) / scale, np.ones(len(texts))]) @ w
-                letters = np.array([_LETTER.search(x) is not None for x in texts], bool)
+                letters = np.array([any(map(str.isalpha, x)) for x in texts], bool)
                 scores = np.where(letters, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
                 names = [m.names[i] if ok else "und" for i, ok in zip(logs[:, :-1].argmax(1), letters, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(scores < reject, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])

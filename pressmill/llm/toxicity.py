@@ -14,6 +14,9 @@ shifted such that 0.3 is the best cut there.
 Equal windows have equal lengths, so each distinct one is compressed once while
 a worker remembers it; every window of every text counts.
 
+Training has one result for one set of rows, whatever their order, partitions or the
+interpreter's hash seed: every list is sorted, ties by id or bytes.
+
 Only labelled rows that are not held out are learned from: a bounded sample of
 ``SAMPLE`` documents of either label on average, of at most LONGEST characters.
 One in CHECKS of them is kept from the dictionaries and calibrates; the model that
@@ -34,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,7 +144,7 @@ def distinct_documents(docs: list[list[str]]) -> list[list[str]]:
     seen: set[int] = set()
     kept = []
     for d in docs:
-        triples = {hash(x) for x in zip(d, d[1:], d[2:])} or {hash(tuple(d))}
+        triples = {xxhash.xxh3_64_intdigest("\n".join(x).encode(errors="surrogatepass")) for x in (zip(d, d[1:], d[2:]) if len(d) > 2 else [d])}
         if 2 * len(triples - seen) >= len(triples):
             kept.append(d)
         seen |= triples
@@ -169,12 +173,13 @@ def dictionaries(ordinary: list[list[str]], toxic: list[list[str]]) -> Model:
         if in_toxic[g] >= RATIO * chance and in_toxic[g] - chance >= CERTAIN * (chance + 0.5) ** 0.5:
             telling.add(g)
     picked = Counter(x for d in toxic for x in {y for w in set(d) for y in _telling_spans(window(w), telling)})
-    kept = [x for x, n in picked.most_common() for _ in range(min(n, 20))]
+    ranked = sorted(picked.items(), key=lambda x: (-x[1], x[0]))  # ties by their bytes: sets have no order to rely on
+    kept = [x for x, n in ranked for _ in range(min(n, 20))]
     samples = [b"".join(kept[k : k + 20]) for k in range(0, len(kept), 20)] * 2
     content = _trained(samples, TOXIC_BYTES) if kept else b""
     # The trainer may leave out short strings: all follow it, the most frequent ones last,
     # where they are nearest; what is beyond TAIL_BYTES was met least.
-    tail = b"".join(x for x, _ in reversed(picked.most_common()))[-TAIL_BYTES:]
+    tail = b"".join(x for x, _ in reversed(ranked))[-TAIL_BYTES:]
     return Model(_trained(plain, DICT_BYTES), content + tail)
 
 
@@ -210,8 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE, id_c
     # At most about 2 * sample ids, whatever the table's size.
     rows = texts.join(F.broadcast(picked), "id").select("id", "text", "toxic", (F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(CHECKS)) == 0).alias("check"))
     # Of texts that share an id, the first in their own order.
-    one = rows.groupBy("id").agg(F.min(F.struct("text", "toxic", "check")).alias("x")).select("x.text", "x.toxic", "x.check")
-    found = [(r["toxic"], r["check"], words_of(r["text"])) for r in one.toLocalIterator()]
+    one = rows.groupBy("id").agg(F.min(F.struct("text", "toxic", "check")).alias("x")).select("id", "x.text", "x.toxic", "x.check")
+    # In order of ids: near copies, the trainer's samples and sums of floats depend on it.
+    found = [(t, check, w) for _, t, check, w in sorted((r["id"], r["toxic"], r["check"], words_of(r["text"])) for r in one.toLocalIterator())]
     train = {k: [w for t, check, w in found if t == k and not check] for k in (0, 1)}
     checks = [(t, w) for t, check, w in found if check]
     if not train[0] or not train[1] or len({t for t, _ in checks}) < 2:

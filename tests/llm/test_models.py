@@ -19,7 +19,7 @@ def made(lang, n, rng):
 def test_language(spark):
     rng = random.Random(1)
     rows = [(i, made(lang := rng.choice(["en", "de", "fr"]), rng.randint(3, 80), rng), lang, "", "", "") for i in range(400)]
-    rows += [(401, None, "en", "", "", ""), (402, "123 !?", "en", "", "", ""), (403, "", None, "", "", ""), (None, made("fr", 30, rng), None, "", "", ""), (5, rows[5][1], rows[5][2], "", "", "")]
+    rows += [(401, None, "en", "", "", ""), (402, "123 !? ½ ² Ⅻ", "en", "", "", ""), (403, "", None, "", "", ""), (None, made("fr", 30, rng), None, "", "", ""), (5, rows[5][1], rows[5][2], "", "", "")]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = langid.predict(docs, common.held_out("doc_id", 3, 1)).collect()
     assert len(got) == len(rows)
