@@ -10,7 +10,12 @@ from ..sources import mail
 from ..sources.storage import blob_path
 from . import control, identity
 
-AUDIT = ("item_type", "item_key", "message_id", "attachment_id", "link_url", "status", "detail_code", "document_key", "message_internal_date")
+AUDIT = ("item_type", "item_key", "message_id", "attachment_id", "link_url", "status", "detail_code", "detail_message", "document_key", "message_internal_date")
+#: What an audit row says beyond its code. The codes.
+DETAILS = {
+    "message_selected": "The sender is allowed.", "sender_not_allowed": "The sender is not allowed.", "document_created": "A new document.", "duplicate_document": "A document that was there before.",
+    "link_domain_not_allowed": "The link's domain is not allowed.", "link_not_importable": "The link leads to no PDF.", "body_link_filename_filtered": "The link leads to a translated copy.",
+}
 
 
 def is_link(attachment: Column) -> Column:
@@ -29,17 +34,31 @@ def item_key(message: Column, attachment: Column, link: Column) -> Column:
 
 
 def with_links(attachments: DataFrame, downloads: DataFrame) -> DataFrame:
-    """Attachments and downloaded body links as one list, in order of ``pos`` for each message."""
-    links = downloads.withColumn("pos", F.col("pos") + 1_000_000)
+    """Attachments and downloaded body links as one list, in order of ``pos`` for each message.
+
+    Links that led to no file are no attachments: ``link_items`` tells of them."""
+    links = downloads.filter("content is not null").withColumn("pos", F.col("pos") + 1_000_000).drop("verdict", "error")
     return attachments.withColumn("link_url", F.lit(None).cast("string")).unionByName(links, allowMissingColumns=True)
 
 
-def link_items(links: DataFrame) -> DataFrame:
-    """Audit rows of the body links that the allow-list rejected (``mail.sorted_links``)."""
-    url = F.col("url")
-    return links.filter("verdict != 'allowed'").select(
+def detailed(code: Column, error: Column | None = None) -> Column:
+    said = F.create_map(*[F.lit(x) for kv in DETAILS.items() for x in kv])
+    return F.coalesce(*([error] if error is not None else []), said[code])
+
+
+def link_items(links: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """Audit rows of body links that gave no attachment: refused by the allow-list
+    (``mail.sorted_links``), or ``mail.downloads`` says why.  Only a link that could
+    not be fetched has failed."""
+    url = F.col("link_url" if "link_url" in links.columns else "url")
+    rows = links.filter("verdict not in ('allowed', 'downloaded')")
+    if messages is not None:
+        rows = rows.join(messages.select("message_id", "internal_date"), "message_id", "left")
+    code = F.col("verdict")
+    return rows.select(
         F.lit("body_link").alias("item_type"), F.concat(F.lit("message:"), F.col("message_id"), F.lit(":body_link:"), url).alias("item_key"), "message_id", F.concat(F.lit("link:"), url).alias("attachment_id"), url.alias("link_url"),
-        F.lit("skipped").alias("status"), F.col("verdict").alias("detail_code"), F.lit(None).cast("string").alias("document_key"), F.lit(None).cast("string").alias("message_internal_date"))
+        F.when(code == "link_fetch_failed", "failed").otherwise("skipped").alias("status"), code.alias("detail_code"), detailed(code, F.col("error") if "error" in links.columns else None).alias("detail_message"),
+        F.lit(None).cast("string").alias("document_key"), (F.col("internal_date") if messages is not None else F.lit(None).cast("string")).alias("message_internal_date"))
 
 
 def imported(messages: DataFrame, attachments: DataFrame, senders: tuple[str, ...], fallback_year: int, known: DataFrame | None = None) -> DataFrame:
@@ -50,10 +69,10 @@ def imported(messages: DataFrame, attachments: DataFrame, senders: tuple[str, ..
     ``known``: documents so far, (document_key, content_hash, source_name,
     issue_date, seq); they come before all arrivals.  In order of message and
     attachment a PDF reuses the document with its bytes, or with its source and
-    issue where the name tells both.
+    issue where the name tells both.  What has no content gives no document.
     """
     chosen = messages.filter(F.col("sender").isin(*senders))
-    pdfs = attachments.filter(mail.is_pdf(F.col("mime_type"), F.col("filename"))).join(chosen, "message_id")
+    pdfs = attachments.filter(mail.is_pdf(F.col("mime_type"), F.col("filename")) & F.col("content").isNotNull()).join(chosen, "message_id")
     sha = F.sha2(F.col("content"), 256)
     issue, source = dates.filename_date(F.col("filename"), F.col("internal_date"), fallback_year), dates.source_name(F.col("filename"))
     rows = pdfs.select("message_id", "attachment_id", "filename", "sender", "internal_date", "link_url", "seq", "pos", sha.alias("content_hash"), source.alias("source_name"), issue.alias("issue_date"))
@@ -91,7 +110,9 @@ def audit_items(messages: DataFrame, attachments: DataFrame, senders: tuple[str,
     refused = attachments.join(messages.filter(~allowed).select("message_id", "internal_date"), "message_id")
     left = refused.select(*common, F.lit("skipped").alias("status"), F.lit("sender_not_allowed").alias("detail_code"), none.alias("document_key"), F.col("internal_date").alias("message_internal_date"))
     made = rows.select(*common, F.when(F.col("was_created"), "succeeded").otherwise("skipped").alias("status"), F.when(F.col("was_created"), "document_created").otherwise("duplicate_document").alias("detail_code"), F.col("canonical_key").alias("document_key"), F.col("internal_date").alias("message_internal_date"))
-    return said.unionByName(left).unionByName(made)
+    every = said.unionByName(left).unionByName(made)
+    return every.withColumn("detail_message", detailed(F.col("detail_code"))).select(*AUDIT)
+
 
 
 def run_result(run_id: str, items: DataFrame, fetched: int = 0, checkpoint: str | None = None, failed: bool = False) -> DataFrame:

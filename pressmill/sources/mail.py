@@ -22,6 +22,10 @@ TRANSLATED_PREFIX = "【译】"
 TRANSLATED_NAMES = ("中文-华尔街日报", "中文-金融时报", "【译】the_economist_(web_edition)_0205.pdf")
 
 
+class FetchError(OSError):
+    """A link or message that a client could not fetch; so are all errors of its base class."""
+
+
 @dataclass(frozen=True)
 class MailConfig:
     """Typed settings with their defaults, from a JSON file or a mapping."""
@@ -100,20 +104,25 @@ def bodies(messages: DataFrame) -> DataFrame:
     return messages.mapInPandas(run, "message_id string, mime_type string, body string")
 
 
-def is_pdf(mime: Column, filename: Column) -> Column:
-    """A PDF by type or name that is no translated copy."""
+def is_translated(filename: Column) -> Column:
+    """A translated copy, by its name."""
     base = F.element_at(F.split(F.regexp_replace(filename, "/+$", ""), "/"), -1)
     name = F.lower(base)
     translated = base.startswith(TRANSLATED_PREFIX)
     for part in TRANSLATED_NAMES:
         translated = translated | name.contains(part)
-    return ((mime == "application/pdf") | F.lower(filename).endswith(".pdf")) & ~translated
+    return translated
+
+
+def is_pdf(mime: Column, filename: Column) -> Column:
+    """A PDF by type or name that is no translated copy."""
+    return ((mime == "application/pdf") | F.lower(filename).endswith(".pdf")) & ~is_translated(filename)
 
 
 def selected(messages: DataFrame, pdfs: DataFrame, senders: tuple[str, ...]) -> DataFrame:
-    """Messages of allowed senders with at least one PDF."""
+    """Messages of allowed senders, spelled as they are, with at least one PDF."""
     ok = pdfs.filter(is_pdf(F.col("mime_type"), F.col("filename"))).select("message_id").distinct()
-    return messages.filter(F.lower("sender").isin(*[s.lower() for s in senders])).join(ok, "message_id", "left_semi")
+    return messages.filter(F.col("sender").isin(*senders)).join(ok, "message_id", "left_semi")
 
 
 def candidate_links(body: DataFrame) -> DataFrame:
@@ -124,9 +133,9 @@ def candidate_links(body: DataFrame) -> DataFrame:
 
 
 def sorted_links(links: DataFrame, domains: tuple[str, ...]) -> DataFrame:
-    """``links`` with link_id and a verdict for the audit."""
-    allowed = F.coalesce(tx.host(F.col("url")).isin(*[d.lower() for d in domains]), F.lit(False))
-    return links.withColumns({"link_id": tx.link_id(F.col("url")), "verdict": F.when(allowed, "allowed").otherwise("rejected_domain")})
+    """``links`` with link_id and a verdict for the audit; without ``domains`` all are allowed."""
+    allowed = F.coalesce(tx.host(F.col("url")).isin(*[d.lower() for d in domains]), F.lit(False)) if domains else F.lit(True)
+    return links.withColumns({"link_id": tx.link_id(F.col("url")), "verdict": F.when(allowed, "allowed").otherwise("link_domain_not_allowed")})
 
 
 def resolve(url: Column, landing: Column, head: Column, html: Column) -> Column:
@@ -178,42 +187,59 @@ def fetched(spark: SparkSession, make: Callable, config: MailConfig, checkpoint_
 
 
 def downloads(links: DataFrame, make: Callable) -> DataFrame:
-    """Allowed links as attachments, and links that led to no file, with ``verdict``.
+    """What became of each allowed link: an attachment, or why there is none.
 
     ``make()`` gives a client with ``fetch_html(url)``, ``download_binary(url)`` and,
-    where a service has one, ``landing(url)``; any of them may raise.  Where a link
-    leads is decided by ``resolve``; one task looks, another fetches."""
+    where a service has one, ``landing(url)``: an address, (address, file name) or
+    None.  ``verdict`` is downloaded, link_fetch_failed (an OSError of the client),
+    link_not_importable (it leads to no file) or body_link_filename_filtered (a
+    translated copy, which isn't fetched); other errors end the run.  Where a link
+    leads is decided by ``resolve``; a file that a look has brought along isn't
+    fetched again."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
-
-        def tried(name: str, url: str):
-            try:
-                return getattr(client, name)(url) if hasattr(client, name) else None
-            except Exception:
-                return None
-
         for batch in batches:
-            heads = [tried("download_binary", u) or b"" for u in batch["url"]]
-            sniffed = [h[:4].decode("latin-1") for h in heads]
-            pages = ["" if s == "%PDF" else tried("fetch_html", u) or "" for u, s in zip(batch["url"], sniffed, strict=True)]
-            yield batch.assign(landing=[tried("landing", u) or "" for u in batch["url"]], head=sniffed, html=pages)
+            seen = []
+            for url, direct in zip(batch["url"], batch["direct"], strict=True):
+                place, name, data, page, error = "", None, None, "", None
+                if not direct:
+                    try:
+                        found = client.landing(url) if hasattr(client, "landing") else None
+                        place, name = (found, None) if isinstance(found, str) else found or ("", None)
+                        if not place:
+                            try:
+                                data = client.download_binary(url)
+                            except OSError:
+                                data = None  # not a file: the page may tell more
+                            if not (data or b"").startswith(b"%PDF"):
+                                data, page = None, client.fetch_html(url) or ""
+                    except OSError as e:
+                        error = str(e) or type(e).__name__
+                seen.append((place, name, data, page, error))
+            yield batch.assign(**{c: [x[i] for x in seen] for i, c in enumerate(("landing", "landing_name", "content", "html", "error"))})
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
         for batch in batches:
-            contents = []
-            for url in batch["target"]:
-                try:
-                    contents.append(client.download_binary(url) if url else None)
-                except Exception:
-                    contents.append(None)
-            yield batch.assign(content=contents)
-
-    columns = "message_id string, url string, pos int, link_id string"
-    rows = links.filter("verdict = 'allowed'").select("message_id", "url", F.col("pos").cast("int").alias("pos"), "link_id")
-    seen = rows.mapInPandas(look, f"{columns}, landing string, head string, html string")
-    aimed = seen.select(*[x.split()[0] for x in columns.split(", ")], resolve(F.col("url"), F.col("landing"), F.col("head"), F.col("html")).alias("target"))
-    got = aimed.mapInPandas(take, f"{columns}, target string, content binary")
-    verdict = F.when(F.col("target").isNull(), "no_download_link").when(F.col("content").isNull(), "download_failed").otherwise("downloaded")
-    return got.select("message_id", "pos", F.col("link_id").alias("attachment_id"), tx.filename_from_url(F.col("target")).alias("filename"), F.lit("application/pdf").alias("mime_type"), "content", F.col("url").alias("link_url"), verdict.alias("verdict"))
+            contents, errors = [], []
+            for target, wanted, content, error in zip(batch["target"], batch["wanted"], batch["content"], batch["error"], strict=True):
+                if wanted and content is None:
+                    try:
+                        content = client.download_binary(target)
+                    except OSError as e:
+                        error = str(e) or type(e).__name__
+                contents.append(content)
+                errors.append(error)
+            yield batch.assign(content=contents, error=errors)
+
+    key = "message_id string, url string, pos int, link_id string"
+    rows = links.filter("verdict = 'allowed'").select("message_id", "url", F.col("pos").cast("int").alias("pos"), "link_id", F.coalesce(tx.looks_like_pdf_url(F.col("url")), F.lit(False)).alias("direct"))
+    seen = rows.mapInPandas(look, f"{key}, direct boolean, landing string, landing_name string, content binary, html string, error string")
+    head = F.when(F.col("content").isNotNull(), "%PDF").otherwise("")
+    aimed = seen.withColumn("target", F.when(F.col("error").isNull(), resolve(F.col("url"), F.col("landing"), head, F.col("html"))))
+    aimed = aimed.withColumn("filename", F.coalesce("landing_name", tx.filename_from_url(F.col("target")))).withColumn("translated", F.coalesce(is_translated(F.col("filename")), F.lit(False)))
+    aimed = aimed.select(*[x.split()[0] for x in key.split(", ")], "target", "filename", "translated", "content", "error", (F.col("target").isNotNull() & ~F.col("translated")).alias("wanted"))
+    got = aimed.mapInPandas(take, f"{key}, target string, filename string, translated boolean, content binary, error string, wanted boolean")
+    verdict = F.when(F.col("error").isNotNull(), "link_fetch_failed").when(F.col("target").isNull(), "link_not_importable").when(F.col("translated"), "body_link_filename_filtered").otherwise("downloaded")
+    return got.select("message_id", "pos", F.col("link_id").alias("attachment_id"), "filename", F.lit("application/pdf").alias("mime_type"), F.when(verdict == "downloaded", F.col("content")).alias("content"), F.col("url").alias("link_url"), verdict.alias("verdict"), "error")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
+import time
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ MIGRATIONS = (
     (17, "scheduler_runs", "scheduler_run_id string, trigger_type string, status string, selected long, completed long, failed long, started_at timestamp, finished_at timestamp, seq long"),
     (18, "article_images", "article_id string, image_order int, image_path string, width int, height int"),
     (19, "page_parse_states", "document_key string, page_number int, file_name string, batch_id string, state string, markdown_text string"),
+    (20, "import_retries", "run_id string, retry_run_id string, retried_message_count long, resolved_message_count long, failed_final_message_count long"),
+    (21, "queue_events", "key string, expected long, event string, writer string, at timestamp, lease_seconds long, message string, input_hash string, article_id string, step string, commit long"),
 )
 
 
@@ -69,20 +75,101 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing reads it any more."""
     if path := _PLACES.pop(df, None):
-        there = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        fs, there = _hadoop(df.sparkSession, path)
+        fs.delete(there, True)
 
 
-def migrate(spark: SparkSession, root: str) -> list[int]:
-    """Create missing tables in order; a table that is there stays as it is. Returns the versions applied."""
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as Hadoop has them."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def claim(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Create a file with ``text`` unless it is there: of several writers one gets true.
+
+    The file is written under another name and then given its own, which fails where
+    that is taken: a link on a local file system, a rename elsewhere."""
+    fs, target = _hadoop(spark, path)
+    if fs.getScheme() == "file":
+        name = target.toUri().getPath()
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        part = f"{name}.{uuid.uuid4().hex}"
+        with open(part, "w") as f:
+            f.write(text)
+        try:
+            os.link(part, name)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(part)
+    jvm = spark.sparkContext._jvm
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(part, target, none)
+        return True
+    except Exception as e:
+        if fs.exists(target):
+            return False
+        raise OSError(f"cannot create {path}") from e
+    finally:
+        fs.delete(part, False)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder, none where there is no folder."""
+    fs, there = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(there)) if fs.exists(there) else []
+
+
+def content(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, there = _hadoop(spark, path)
+    stream = fs.open(there)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+@contextmanager
+def locked(spark: SparkSession, folder: str, seconds: float = 60, wait: float = 0.05, clock=time.time, sleep=time.sleep) -> Iterator[int]:
+    """Hold a folder's lock; gives its turn.
+
+    Turns are files 1, 2, ..; the next one is free to claim once the last is done or
+    its ``seconds`` are over, so a holder that died blocks nobody for longer."""
+    while True:
+        names = names_in(spark, folder)
+        turn = max((int(n) for n in names if n.isdigit()), default=0)
+        if not turn or f"{turn}.done" in names or float(content(spark, f"{folder}/{turn}")) <= clock():
+            if claim(spark, f"{folder}/{turn + 1}", str(clock() + seconds)):
+                break
+        else:
+            sleep(wait)
+    try:
+        yield turn + 1
+    finally:
+        claim(spark, f"{folder}/{turn + 1}.done")
+
+
+def migrate(spark: SparkSession, root: str, seconds: float = 60) -> list[int]:
+    """Create missing tables in order; a table that is there stays as it is. Returns the versions applied.
+
+    Processes that start together take turns, and the later ones find all done."""
     marker = f"{root}/_schema_version"
-    done = {r["version"] for r in _read(spark, marker, "version int").collect()}
-    new = [v for v, _, _ in MIGRATIONS if v not in done]
-    for version, table, ddl in MIGRATIONS:
-        if version in new:
-            spark.createDataFrame([], ddl).write.mode("append").parquet(f"{root}/{table}")
-    if new:
-        spark.createDataFrame([(v,) for v in new], "version int").write.mode("append").parquet(marker)
+    with locked(spark, f"{root}/_migration_turns", seconds):
+        done = {r["version"] for r in _read(spark, marker, "version int").collect()}
+        new = [v for v, _, _ in MIGRATIONS if v not in done]
+        for version, table, ddl in MIGRATIONS:
+            if version in new:
+                spark.createDataFrame([], ddl).write.mode("append").parquet(f"{root}/{table}")
+        if new:
+            spark.createDataFrame([(v,) for v in new], "version int").write.mode("append").parquet(marker)
     return new
 
 
@@ -93,12 +180,37 @@ def inspect(spark: SparkSession, root: str) -> dict:
 
 
 def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+    fs, there = _hadoop(spark, path)
+    if not fs.exists(there):
         return spark.createDataFrame([], ddl)
     return spark.read.schema(ddl).parquet(path)
 
 
+def ddl(table: str) -> str:
+    return next(d for _, n, d in MIGRATIONS if n == table)
+
+
+def put_batch(df: DataFrame, root: str, table: str, batch: str) -> None:
+    """Rows that ``batch`` adds to a table; writing them again replaces them.
+
+    They are seen once the batch's row in ``import_runs`` is, so that comes last."""
+    known = df.sparkSession.createDataFrame([], ddl(table)).schema
+    rows = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known])
+    rows.write.mode("overwrite").parquet(f"{root}/_batches/{table}/batch={batch}")
+
+
+def batches_done(spark: SparkSession, root: str) -> DataFrame:
+    """(batch): those whose rows are all there."""
+    return _read(spark, f"{root}/_batches/import_runs", f"{ddl('import_runs')}, batch string").select("batch").distinct()
+
+
+def published(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table's rows: what was appended, and what whole batches added."""
+    base = _read(spark, f"{root}/{table}", ddl(table))
+    added = _read(spark, f"{root}/_batches/{table}", f"{ddl(table)}, batch string").join(batches_done(spark, root), "batch", "left_semi").drop("batch")
+    return base.unionByName(added)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

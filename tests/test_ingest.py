@@ -46,8 +46,8 @@ def test_run_results(spark):
     items = spark.createDataFrame([("failed", "x"), ("succeeded", "document_created")], "status string, detail_code string")
     assert ingest.run_result("r", items).first().status == "partial" and ingest.run_result("r", items, failed=True).first().status == "failed"
     assert ingest.run_result("r", items.limit(0)).first().status == "succeeded"
-    links = spark.createDataFrame([("m", "https://a.b/c", "rejected_domain"), ("m", "https://a.b/d", "allowed")], "message_id string, url string, verdict string")
-    assert [(r.item_key, r.detail_code) for r in ingest.link_items(links).collect()] == [("message:m:body_link:https://a.b/c", "rejected_domain")]
+    links = spark.createDataFrame([("m", "https://a.b/c", "link_domain_not_allowed"), ("m", "https://a.b/d", "allowed")], "message_id string, url string, verdict string")
+    assert [(r.item_key, r.detail_code) for r in ingest.link_items(links).collect()] == [("message:m:body_link:https://a.b/c", "link_domain_not_allowed")]
 
 
 def test_routes(spark):
@@ -192,6 +192,8 @@ def test_links_are_downloaded(spark):
                 return self.pages[url]
 
             def download_binary(self, url):
+                if url not in self.files:
+                    raise mail.FetchError(f"404 {url}")
                 return self.files[url]
 
         return Client()
@@ -200,7 +202,7 @@ def test_links_are_downloaded(spark):
     links = spark.createDataFrame([("m", u, i) for i, u in enumerate(urls)], "message_id string, url string, pos int")
     rows = mail.downloads(mail.sorted_links(links, ("e.x",)), make).orderBy("pos").collect()
     assert [(r.filename, r.content and bytes(r.content), r.verdict) for r in rows[:2]] == [("real.pdf", b"%PDF-1", "downloaded"), ("direct.pdf", b"%PDF-2", "downloaded")]
-    assert [r.verdict for r in rows[2:]] == ["no_download_link", "download_failed"]
+    assert [r.verdict for r in rows[2:]] == ["link_not_importable", "link_fetch_failed"]
     assert all(r.attachment_id.startswith("link:") for r in rows)
 
 
