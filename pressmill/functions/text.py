@@ -235,7 +235,8 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def sender_address(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: parseaddr(x or "")[1].lower())
+    """The address in a header as it is spelled; the header itself where it has none."""
+    return s.map(lambda x: parseaddr(x or "")[1] or (x or ""))
 
 
 @F.pandas_udf(T.StringType())

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from ..functions import dates
 from ..sources import mail
 from ..sources.storage import blob_path

@@ -76,7 +76,7 @@ def decode(data: str) -> bytes:
 
 
 def attachments(messages: DataFrame, make_fetch: Callable[[], Callable[[str, str], bytes]] | None = None) -> DataFrame:
-    """(message_id, attachment_id, filename, mime_type, content) of PDF parts."""
+    """(message_id, pos, attachment_id, filename, mime_type, content) of PDF parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fetch = make_fetch() if make_fetch else None
@@ -86,11 +86,11 @@ def attachments(messages: DataFrame, make_fetch: Callable[[], Callable[[str, str
                 for i, part in enumerate(parts_of(json.loads(m.payload or "{}"))):
                     name, mime, body = part.get("filename") or "", part.get("mimeType") or "", part.get("body") or {}
                     if name and (mime == "application/pdf" or name.lower().endswith(".pdf")):
-                        key = body.get("attachmentId") or f"part-{i}"
-                        rows.append((m.message_id, key, name, mime, decode(body["data"]) if body.get("data") else fetch(m.message_id, key) if fetch else b""))
-            yield pd.DataFrame(rows, columns=["message_id", "attachment_id", "filename", "mime_type", "content"])
+                        key = body.get("attachmentId") or part.get("partId") or name
+                        rows.append((m.message_id, i, key, name, mime, decode(body["data"]) if body.get("data") else fetch(m.message_id, key) if fetch else b""))
+            yield pd.DataFrame(rows, columns=["message_id", "pos", "attachment_id", "filename", "mime_type", "content"])
 
-    return messages.mapInPandas(run, "message_id string, attachment_id string, filename string, mime_type string, content binary")
+    return messages.mapInPandas(run, "message_id string, pos int, attachment_id string, filename string, mime_type string, content binary")
 
 
 def bodies(messages: DataFrame) -> DataFrame:
@@ -170,19 +170,34 @@ def fetched(spark: SparkSession, make: Callable, config: MailConfig, checkpoint_
     ``max_results``, come to the driver, messages are fetched by tasks."""
     ids = list(make().list(incremental_query(config.query, checkpoint_ms), config.max_results, list(label_ids), config.include_spam))[: config.max_results]
     rows = spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "message_id string, seq long").repartition(max(1, min(partitions, len(ids))))
+    return fetched_by_id(rows, make).drop("error")
+
+
+def message_row(message: dict, key: str) -> tuple:
+    """(message_id, From header, internal_date, payload) of a message as the service gives it."""
+    payload = message.get("payload") or {}
+    sender = next((h.get("value", "") for h in payload.get("headers", []) if h.get("name", "").lower() == "from"), "")
+    return message.get("id", key), sender, message.get("internalDate"), json.dumps(payload)
+
+
+def fetched_by_id(rows: DataFrame, make: Callable, keep_errors: bool = False) -> DataFrame:
+    """Messages of the ids in (message_id, seq); with ``keep_errors`` an OSError of the
+    client is told in ``error`` instead of ending the run."""
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
         for batch in batches:
             found = []
             for key, seq in zip(batch["message_id"], batch["seq"], strict=True):
-                m = client.get(key)
-                payload = m.get("payload") or {}
-                sender = next((h.get("value", "") for h in payload.get("headers", []) if h.get("name", "").lower() == "from"), "")
-                found.append((m.get("id", key), sender, m.get("internalDate"), json.dumps(payload), seq))
-            yield pd.DataFrame(found, columns=["message_id", "sender", "internal_date", "payload", "seq"])
-
-    got = rows.mapInPandas(get, "message_id string, sender string, internal_date string, payload string, seq long")
+                try:
+                    found.append((*message_row(client.get(key), key), seq, None))
+                except OSError as e:
+                    if not keep_errors:
+                        raise
+                    found.append((key, "", None, None, seq, str(e) or type(e).__name__))
+            yield pd.DataFrame(found, columns=["message_id", "sender", "internal_date", "payload", "seq", "error"])
+
+    got = rows.select("message_id", "seq").mapInPandas(get, "message_id string, sender string, internal_date string, payload string, seq long, error string")
     return got.withColumn("sender", tx.sender_address("sender"))
 
 

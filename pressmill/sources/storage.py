@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Versions of the stored schemas, in order: (version, table, DDL).
 MIGRATIONS = (
-    (1, "documents", "document_key string, source_name string, source_message_id string, source_attachment_id string, sender string, original_filename string, content_hash string, raw_path string, import_status string, created_at timestamp, seq long"),
+    (1, "documents", "document_key string, source_name string, source_message_id string, source_attachment_id string, sender string, original_filename string, content_hash string, raw_path string, import_status string, created_at timestamp, seq long, issue_date string, source_message_internal_date string"),
     (2, "import_run_items", "id long, run_id string, item_type string, item_key string, message_id string, attachment_id string, link_url string, status string, detail_code string, detail_message string, document_key string, created_at timestamp"),
     (3, "import_checkpoints", "source_name string, checkpoint_type string, checkpoint_value string, updated_at timestamp, seq long"),
     (4, "parse_runs", "parse_run_id string, document_key string, status string, parser_name string, publication_date string, started_at timestamp, finished_at timestamp, error_message string, seq long"),
@@ -190,13 +190,17 @@ def ddl(table: str) -> str:
     return next(d for _, n, d in MIGRATIONS if n == table)
 
 
+def conformed(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with just the columns of a table, null where it has none."""
+    known = df.sparkSession.createDataFrame([], ddl(table)).schema
+    return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known])
+
+
 def put_batch(df: DataFrame, root: str, table: str, batch: str) -> None:
     """Rows that ``batch`` adds to a table; writing them again replaces them.
 
     They are seen once the batch's row in ``import_runs`` is, so that comes last."""
-    known = df.sparkSession.createDataFrame([], ddl(table)).schema
-    rows = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known])
-    rows.write.mode("overwrite").parquet(f"{root}/_batches/{table}/batch={batch}")
+    conformed(df, table).write.mode("overwrite").parquet(f"{root}/_batches/{table}/batch={batch}")
 
 
 def batches_done(spark: SparkSession, root: str) -> DataFrame:

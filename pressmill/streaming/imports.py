@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import mail_import
+from ..sources import mail
+from ..sources.mail_stream import MailSource
+
 ITEMS = "id long, run_id string, message_id string, status string, created_at timestamp"
 
 
@@ -29,6 +35,26 @@ def import_available(items: DataFrame, out: str, checkpoint: str) -> StreamingQu
     return items.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def mail_stream(spark: SparkSession, client: str, config: mail.MailConfig, after_ms: int | None = None) -> DataFrame:
+    """New messages as a stream; ``client`` names a function as ``package.module:function``."""
+    spark.dataSource.register(MailSource)
+    asked = spark.readStream.format("pressmill_mail").option("client", client).option("query", config.query).option("maxResults", str(config.max_results)).option("includeSpam", str(config.include_spam))
+    return (asked.option("afterMs", str(after_ms)) if after_ms is not None else asked).load()
+
+
+def import_stream(messages: DataFrame, root: str, config: mail.MailConfig, make: Callable, checkpoint: str, clock: Callable[[], str], fallback_year: int, name: str = "mail", after: Callable[[str], None] | None = None) -> StreamingQuery:
+    """Every batch of messages is one import run, named by its number.
+
+    A batch that is run again after a crash writes the same rows to the same places;
+    one whose run had ended before the query noted it adds nothing."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            mail_import.run_import(batch.sparkSession, root, f"{name}-{number}", batch, config, make, clock(), fallback_year, trigger="stream", after=after)
+
+    return messages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def lease_watch(events: DataFrame, lease_ms: int) -> DataFrame:
     """(key, event): a key that starts and doesn't end within its lease is stale.
 

@@ -176,7 +176,7 @@ def test_messages_are_listed_and_fetched(spark):
 
     config = mail.MailConfig(query="from:x", max_results=2)
     rows = mail.fetched(spark, make, config, 1700000000999, ("L",)).orderBy("seq").collect()
-    assert [(r.message_id, r.sender, r.internal_date) for r in rows] == [("m1", "news@x.com", "5"), ("m2", "news@x.com", "5")]
+    assert [(r.message_id, r.sender, r.internal_date) for r in rows] == [("m1", "News@X.com", "5"), ("m2", "News@X.com", "5")]
     assert mail.incremental_query("q", None) == "q"
 
 
