@@ -132,11 +132,12 @@ def retry_failed(spark: SparkSession, root: str, run_id: str, config: mail.MailC
     """One more attempt at each pending message, as a run of its own; None if none is due.
 
     The claim is published first, so a message is tried once even if the retry dies."""
-    due = storage.stored(retryable(spark, root, source), "retry-due")
-    if due.isEmpty():
-        return None
-    claimed = due.withColumns({"retry_attempt_count": F.col("retry_attempt_count") + 1, "updated_at": control.at(now), "seq": F.col("seq") + 1})
-    storage.append(storage.conformed(claimed, "failed_messages"), f"{root}/failed_messages")
+    with storage.locked(spark, f"{root}/_retry_turns"):  # of two that retry at once, the second finds nothing due
+        due = storage.stored(retryable(spark, root, source), "retry-due")
+        if due.isEmpty():
+            return None
+        claimed = due.withColumns({"retry_attempt_count": F.col("retry_attempt_count") + 1, "updated_at": control.at(now), "seq": F.col("seq") + 1})
+        storage.append(storage.conformed(claimed, "failed_messages"), f"{root}/failed_messages")
     ids = due.orderBy(F.desc("updated_at"), F.desc("message_id")).select("message_id", F.monotonically_increasing_id().alias("seq"))
     got = storage.stored(mail.fetched_by_id(ids, make, keep_errors=True), "retry-fetched")
     none = F.lit(None).cast("string")

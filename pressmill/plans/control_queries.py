@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import control, enrich
+from ..operators import control, enrich, ingest, queue_log
 from ..sources.adapters import Tables, with_tables
 
 QUERIES, ORACLE = {}, {}
@@ -114,10 +114,95 @@ def _(t):
     return control.retry_messages(pending, failed.select("message_id", (F.col("message_id") % 3 == 0).alias("ok")))
 
 
-@query("K9_run_result", "select run_id, case when count(*) filter (status = 'failed') > 0 then 'partial' else 'succeeded' end as status, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped from items group by 1")
+_IMPORT = (
+    "with m as (select doc_id, source in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src10', 'src11', 'src12', 'src13', 'src14') as allowed, doc_id % 17 = 0 as lost, sha256(coalesce(text, '')) as h from documents), "
+    "d as (select *, row_number() over (partition by h order by doc_id) = 1 as made, min(doc_id) over (partition by h) as first from m where allowed and not lost), "
+    "i as (select 'message:' || doc_id as item_key, 'message' as item_type, case when allowed then 'succeeded' else 'skipped' end as status, case when allowed then 'message_selected' else 'sender_not_allowed' end as detail_code, null as same_as, doc_id from m "
+    "union all select 'message:' || doc_id || ':attachment:a', 'attachment', 'skipped', 'sender_not_allowed', null, doc_id from m where not allowed and not lost "
+    "union all select 'message:' || doc_id || ':attachment:a', 'attachment', case when made then 'succeeded' else 'skipped' end, case when made then 'document_created' else 'duplicate_document' end, first, doc_id from d "
+    "union all select 'message:' || doc_id || ':body_link:https://e.x/' || doc_id, 'body_link', 'failed', 'link_fetch_failed', null, doc_id from m where lost) "
+)
+
+
+def imported(t: Tables) -> DataFrame:
+    """Audit rows of an import: a message a document, its text as a PDF's bytes; every
+    17th has a link that could not be fetched instead."""
+    docs = t.raw("documents")
+    name = F.col("doc_id").cast("string")
+    messages = docs.select(name.alias("message_id"), F.col("source").alias("sender"), F.lit("1000").alias("internal_date"), F.col("doc_id").alias("seq"))
+    lost = F.col("doc_id") % 17 == 0
+    files = docs.filter(~lost).select(name.alias("message_id"), F.lit(0).alias("pos"), F.lit("a").alias("attachment_id"), F.concat(F.lit("doc-"), name, F.lit(".pdf")).alias("filename"), F.lit("application/pdf").alias("mime_type"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), F.lit(None).cast("string").alias("link_url"))
+    links = docs.filter(lost).select(name.alias("message_id"), F.concat(F.lit("https://e.x/"), name).alias("link_url"), F.lit("link_fetch_failed").alias("verdict"), F.lit("404").alias("error"))
+    senders = tuple(f"src{i}" for i in range(15) if i not in (7, 8, 9))
+    rows = ingest.imported(messages, files, senders, 1998)
+    return ingest.audit_items(messages, files, senders, rows).unionByName(ingest.link_items(links, messages))
+
+
+@query("TH_import_audit", _IMPORT + "select item_key, item_type, status, detail_code from i")
+def _(t):
+    return imported(t).select("item_key", "item_type", "status", "detail_code")
+
+
+@query("K9_run_result", _IMPORT + "select case when count(*) filter (status = 'failed') > 0 then 'partial' else 'succeeded' end as status, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped, count(*) filter (detail_code in ('document_created', 'duplicate_document')) as imported, count(*) filter (detail_code = 'document_created') as created from i")
+def _(t):
+    done = ingest.run_result("run", imported(t))
+    return done.select("status", F.col("failed_item_count").alias("failed"), F.col("skipped_item_count").alias("skipped"), F.col("imported_attachment_count").alias("imported"), F.col("created_document_count").alias("created"))
+
+
+@query("F14_pending_after_import", _IMPORT + "select doc_id::varchar as message_id, case when bool_or(status = 'failed') then 'pending' else 'resolved' end as state from i group by 1")
+def _(t):
+    return control.failed_messages(imported(t))
+
+
+_KINDS = ("enqueued", "claimed", "failed", "succeeded", "retry_requested", "rate_limited", "claimed")
+
+
+def queue_events(t: Tables) -> DataFrame:
+    """Events of the queue: a key a user, in the order of event ids; every 5th was
+    written by one who had seen (id % 4) events, the others don't say."""
+    e = t.raw("events")
+    kind = F.coalesce(*[F.when(F.col("event_id") % 7 == i, k) for i, k in enumerate(_KINDS)])
+    seen = F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 4)
+    return e.select(F.col("user_id").cast("string").alias("key"), seen.alias("expected"), kind.alias("event"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("writer"), F.col("ts").cast("timestamp").alias("at"), F.lit(600).cast("long").alias("lease_seconds"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"), (F.col("event_id") % 2).cast("string").alias("input_hash"), F.lit(None).cast("string").alias("article_id"), F.lit(None).cast("string").alias("step"), F.col("event_id").alias("commit"))
+
+
+#: The fold as a recursive query, a step an event of each key.
+_FOLD = f"""with recursive e as (
+  select user_id::varchar as key, row_number() over (partition by user_id order by event_id) as n, case when event_id % 5 = 0 then event_id % 4 end as expected, ({list(_KINDS)})[event_id % 7 + 1] as event,
+    'w' || event_id % 3 as writer, ts as moment, 'm' || event_id as said, (event_id % 2)::varchar as input from events
+), s as (
+  select distinct key, 0::bigint as n, 0::bigint as version, null::varchar as status, null::varchar as step, null::bigint as failures, null::varchar as message, null::varchar as hash, null::timestamp as tried, null::varchar as locked_by, null::timestamp as until, null::timestamp as updated from e
+  union all
+  select key, n, version + taken::int,
+    case when restart then 'pending' when done or good then 'succeeded' when claimed and status = 'manual_retry_requested' then 'running_manual_retry' when claimed then 'running' when asked then 'manual_retry_requested' when limited or (lost and failures + 1 < 2) then 'failed_retryable' when lost then 'failed_terminal' else status end,
+    case when restart then 'await_ad_judgment' when good then 'completed' else step end,
+    case when restart then 0 when lost then failures + 1 else failures end,
+    case when restart or good then null when lost or limited then said else message end,
+    case when good then input else hash end,
+    case when restart then null when claimed then moment else tried end,
+    case when restart or done or good or lost or limited or asked then null when claimed then writer else locked_by end,
+    case when restart or done or good or lost or limited or asked then null when claimed then moment + interval 600 second else until end,
+    case when taken then moment else updated end
+  from (
+    select *, taken and event = 'claimed' as claimed, taken and event = 'succeeded' as good, taken and event = 'failed' as lost, taken and event = 'rate_limited' as limited, taken and event = 'retry_requested' as asked,
+      taken and event = 'enqueued' and status is not null and status <> 'manual_retry_requested' and coalesce(hash = input, false) as done,
+      taken and event = 'enqueued' and (status is null or (status <> 'manual_retry_requested' and not coalesce(hash = input, false))) as restart
+    from (
+      select s.* exclude (n), e.* exclude (key), (expected is null or expected = version) and case
+        when event = 'claimed' then coalesce(status in ('pending', 'failed_retryable', 'manual_retry_requested') and (locked_by is null or until <= moment), false) when event = 'enqueued' then true else status is not null end as taken
+      from s join e on s.key = e.key and e.n = s.n + 1
+    )
+  )
+)
+"""
+
+
+@query("F4_event_fold", _FOLD + "select key, version, status, step as current_step, failures, coalesce(message, '') as last_error_message, coalesce(hash, '') as input_hash, tried as attempt, coalesce(locked_by, '') as locked_by, until as lock_expires_at, updated as updated_at from s qualify row_number() over (partition by key order by n desc) = 1 and status is not null")
 def _(t):
-    rows = t.audit_items().groupBy("run_id").agg(F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"))
-    return rows.select("run_id", F.when(F.col("failed") > 0, "partial").otherwise("succeeded").alias("status"), "failed", "skipped")
+    time = lambda c, name: F.col(c).cast("timestamp_ntz").alias(name)
+    none = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    s = queue_log.folded(queue_events(t))
+    return s.select("key", "version", "status", "current_step", F.col("automatic_failure_count").cast("long").alias("failures"), none("last_error_message", "last_error_message"), none("last_success_input_hash", "input_hash"), time("last_attempt_started_at", "attempt"), none("locked_by", "locked_by"), time("lock_expires_at", "lock_expires_at"), time("updated_at", "updated_at"))
 
 
 @query("F14_failed_messages", "select run_id, case when bool_or(status = 'failed') then 'pending' else 'resolved' end as state from items group by 1")

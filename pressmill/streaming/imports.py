@@ -1,12 +1,13 @@
-"""Incremental import as Structured Streaming: files in, audit rows out."""
+"""Incremental import as Structured Streaming: mail or files in, documents and audit rows out."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import mail_import
 from ..sources import mail
@@ -55,30 +56,54 @@ def import_stream(messages: DataFrame, root: str, config: mail.MailConfig, make:
     return messages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def lease_watch(events: DataFrame, lease_ms: int) -> DataFrame:
-    """(key, event): a key that starts and doesn't end within its lease is stale.
-
-    ``events``: (key, event 'start' | 'end', at timestamp). State is one deadline a key.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "event": ["stale"]})
-            return
-        last = None
-        for rows in batches:
-            newest = rows.sort_values("at").iloc[-1]
-            if last is None or newest["at"] >= last["at"]:
-                last = newest
-        if last is not None and last["event"] == "start":
-            due = int(last["at"].timestamp() * 1000) + lease_ms
-            state.update((due,))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-
-    kept = events.withWatermark("at", "1 second").groupBy("key")
-    return kept.applyInPandasWithState(step, "key string, event string", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+def lease_watch(events: DataFrame, lease_ms: int, delay: str = "1 second") -> DataFrame:
+    """(key, event, at): a key that starts, and neither ends nor renews within its lease,
+    is stale at the lease's end.
+
+    ``events``: (key string, event 'start' | 'renew' | 'end', at timestamp).  State is one
+    deadline a key, with a timer on event time: it fires once the watermark passes it.  A
+    renewal of what doesn't run, or an end of it, does nothing; events older than the
+    watermark are late and not seen, so an end that comes too late takes nothing back.
+    Timers need the RocksDB store of states, which is set here if none is."""
+    spark = events.sparkSession
+    if "spark.sql.streaming.stateStore.providerClass" not in spark.conf.getAll or "HDFS" in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kept = events.withWatermark("at", delay).groupBy("key")
+    return kept.transformWithStateInPandas(_Leases(lease_ms), "key string, event string, at timestamp", "append", "eventTime")
+
+
+class _Leases(StatefulProcessor):
+    def __init__(self, lease_ms: int):
+        self.lease_ms = lease_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "due long")
+
+    def _until(self, due: int | None) -> None:
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+        if due is not None:
+            self.due.update((due,))
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # One batch of a key: its events of a trigger, in order.
+        seen = pd.concat(list(rows)).sort_values(["at", "event"])
+        for event, at in zip(seen["event"], seen["at"], strict=True):
+            due = int(at.timestamp() * 1000) + self.lease_ms
+            if event == "start" or (event == "renew" and self.due.exists()):
+                self._until(due)
+            elif event == "end":
+                self._until(None)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        self.due.clear()
+        text = lambda x: pd.Series([x], dtype=object)
+        yield pd.DataFrame({"key": text(key[0]), "event": text("stale"), "at": [pd.Timestamp(due, unit="ms")]})
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
