@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,39 +47,49 @@ def greedy_dedup(rows: DataFrame) -> DataFrame:
 def article_keys(articles: DataFrame, threshold: float = 0.9, opening: int = 160) -> DataFrame:
     """(article_id, article_key): an earlier run's key where title or opening agree.
 
-    ``articles``: (document_key, run_seq, article_id, title, body_text, pages).
-    Runs of a document are taken in turn, since a key found passes on; candidates
-    share a page where pages are known, the best score wins, the newest on a tie.
-    """
-    named = articles.withColumn("t", tx.identity_text("title")).withColumn("o", tx.identity_text(F.substring("body_text", 1, opening))).withColumn("new_key", F.sha2(F.concat_ws("|", F.col("document_key").cast("string"), F.col("run_seq").cast("string"), F.col("article_id").cast("string")).cast("binary"), 256))
-    from difflib import SequenceMatcher
+    ``articles``: (document_key, run_seq, article_id, title, body_text, pages), ids unique
+    in a run.  Candidates share a page where pages are known, the best score wins, the
+    newest on a tie.  What is compared doesn't depend on keys, so all runs are matched at
+    once, and keys are then passed on along the matches.
 
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        def ratio(a: str, b: str, least: float) -> float:
-            """0 where two quick bounds already stay below ``least``."""
-            if not a or not b:
-                return 0.0
-            m = SequenceMatcher(a=a, b=b)
-            return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+    Candidates come from an index by document, page (where known) and length: texts
+    whose ratio reaches the threshold are at most (2 - t) / t times as long, so they lie in the
+    same or a neighbouring class of lengths.  Of those go on the ones that share
+    enough characters, a bound of the ratio too; equal texts need no comparison, and who has
+    an equal one nothing else; difflib sees the rest."""
+    new_key = F.sha2(F.concat_ws("|", F.col("document_key").cast("string"), F.col("run_seq").cast("string"), F.col("article_id").cast("string")).cast("binary"), 256)
+    named = articles.select("document_key", "run_seq", "article_id", tx.identity_text("title").alias("t"), tx.identity_text(F.substring("body_text", 1, opening)).alias("o"), F.array_distinct(F.filter(F.coalesce("pages", F.array().cast("array<int>")), lambda p: p > 0)).alias("pages"), new_key.alias("node"))
+    named = stored(named, "identity-articles")
+    pairs = stored(_near_texts(named, threshold), "identity-pairs")
+    same = pairs.filter("same").select("node", "old", F.lit(1.0).alias("score"), "place")
+    rest = pairs.filter("not same").join(same.select("node").distinct(), "node", "left_anti")
+    compared = rest.select("node", "old", tx.similarity(F.col("text"), F.col("old_text")).alias("score"), "place").filter(F.col("score") >= threshold)
+    best = same.unionByName(compared).groupBy("node").agg(F.max_by("old", F.struct("score", "place")).alias("up"))
+    up = stored(named.select("node").join(best, "node", "left").select("node", F.coalesce("up", "node").alias("up")), "identity-up")
+    while True:  # as many rounds as the logarithm of the runs
+        above = up.select(F.col("node").alias("mid"), F.col("up").alias("top"))
+        after = stored(up.join(above, F.col("up") == F.col("mid")).select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "identity-up")
+        discard(up)
+        up = after
+        if up.filter("moved").isEmpty():
+            break
+    return named.select("article_id", "node").join(up, "node").select("article_id", F.col("up").alias("article_key"))
 
-        past: list[tuple] = []
-        out = []
-        for _, run in group.sort_values(["run_seq", "article_id"]).groupby("run_seq", sort=True):
-            now = []
-            for row in run.itertuples():
-                pages = {p for p in (() if row.pages is None else row.pages) if p is not None and p > 0}
-                best, key = 0.0, row.new_key
-                for t, o, k, theirs in reversed(past):
-                    if pages and not pages & theirs:
-                        continue
-                    least = max(threshold, best)
-                    score = max(ratio(row.t, t, least), ratio(row.o, o, least))
-                    if score >= threshold and score > best:
-                        best, key = score, k
-                now.append((row.t, row.o, key, pages))
-                out.append((row.article_id, key))
-            past += now
-        return pd.DataFrame(out, columns=["article_id", "article_key"])
 
-    kind = dict(articles.dtypes)["article_id"]
-    return named.select("document_key", "run_seq", "article_id", "t", "o", "pages", "new_key").groupBy("document_key").applyInPandas(resolve, f"article_id {kind}, article_key string")
+def _near_texts(named: DataFrame, threshold: float) -> DataFrame:
+    """(node, old, text, old_text, same, place): titles and openings of earlier runs that
+    a difflib ratio of ``threshold`` is possible with; ``place`` orders the older ones."""
+    texts = named.select("document_key", "run_seq", "article_id", "node", "pages", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("t").alias("text")), F.struct(F.lit("o").alias("kind"), F.col("o").alias("text")))).alias("x"))
+    texts = texts.select("document_key", "run_seq", "article_id", "node", "pages", "x.*").filter("text != ''").withColumn("n", F.length("text"))
+    base = (2 - threshold) / threshold
+    texts = texts.withColumn("class", F.floor(F.log("n") / F.log(F.lit(base))).cast("int") if base > 1 else F.col("n"))
+    new = texts.withColumn("page", F.explode(F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array(F.lit(-1)))))
+    # Who knows no page is compared with all; so every older text is under -1 as well.
+    old = texts.withColumn("page", F.explode(F.concat("pages", F.array(F.lit(-1))))).withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
+    old = old.select("document_key", "kind", "page", "class", F.col("run_seq").alias("old_run"), F.col("node").alias("old"), F.col("text").alias("old_text"), F.col("n").alias("old_n"), F.struct("run_seq", "article_id").alias("place"))
+    met = new.join(old, ["document_key", "kind", "page", "class"]).filter((F.col("old_run") < F.col("run_seq")) & (2.0 * F.least("n", "old_n") >= threshold * (F.col("n") + F.col("old_n")) - 1e-6))
+    met = met.groupBy("node", "old", "kind").agg(F.first(F.struct("text", "old_text", "n", "old_n", "place")).alias("x")).select("node", "old", "x.*")
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split("text", "")), F.lit(0), lambda n, c: n + F.least(times(F.col("text"), c), times(F.col("old_text"), c)))
+    same = F.col("text") == F.col("old_text")
+    return met.filter(same | (2.0 * shared >= threshold * (F.col("n") + F.col("old_n")) - 1e-6)).select("node", "old", "text", "old_text", same.alias("same"), "place")

@@ -5,7 +5,6 @@ Blocks: (document_key, block_index, type, text_level, page_idx, bbox struct<x0,y
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +18,8 @@ RUBRICS = ("contributors", "pursuits", "in context", "pursuits picks", "pricing
 NOT_TITLES = "●○\"“”("
 MASTHEAD = "bloomberg businessweek"
 HEADERS, RUNNING = ("header", "page_header"), ("header", "page_header", "footer", "page_footer")
+#: Block numbers of a bin.
+BIN = 4096
 HEADLINE, QUOTE, PARAGRAPH, NEAR, SAME_SIZE, CONTENTS_PAGES = 30, 15, 120, 2, 40, 12
 
 
@@ -71,33 +72,60 @@ def boundaries(keyed: DataFrame, kinds: DataFrame, sections: DataFrame) -> DataF
     top = rows.groupBy("document_key", "page_idx").agg(F.min(F.struct(F.col("bbox.y0").alias("y"), "block_index", "height", "said")).alias("x"))
     heads = top.select("document_key", "page_idx", "x.block_index", "x.height", tx.demirror(F.col("x.said")).alias("title"), F.lit(False).alias("byline"))
     lines = keyed.filter("byline").select("document_key", "page_idx", "block_index", "height", F.lit("").alias("title"), F.lit(True).alias("byline"))
-    key = dict(keyed.dtypes)["document_key"]
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        parted = True
-        for row in group.sort_values(["block_index", "byline"]).itertuples():
-            if row.byline:
-                parted = parted or not kept or row.block_index > kept[-1]["block_index"]
-                continue
-            last = kept[-1] if kept else None
-            if last and not parted and 0 <= row.page_idx - last["page_idx"] <= 1 and abs(row.height - last["height"]) < SAME_SIZE:
-                last["title"] += f" {row.title}"
-                continue  # bylines count from the head's own place
-            kept.append({"document_key": row.document_key, "title": row.title, "page_idx": row.page_idx, "block_index": row.block_index, "height": row.height})
-            parted = False
-        return pd.DataFrame(kept, columns=["document_key", "title", "page_idx", "block_index", "height"]).drop(columns="height")
-
-    return heads.unionByName(lines).groupBy("document_key").applyInPandas(fold, f"document_key {key}, title string, page_idx int, block_index int")
+    return split_headlines(heads.unionByName(lines))
+
+
+def split_headlines(rows: DataFrame) -> DataFrame:
+    """(document_key, title, page_idx, block_index): headlines, of which those that go on
+    from the one before (no byline between, a page on at most, of like height) are joined.
+
+    ``rows``: (document_key, page_idx, block_index, height, title, byline).  A fold over a
+    document's rows in order, by built-in functions: the heads that are done, the open
+    one, and whether a byline has parted it from what follows."""
+    head = "struct<block_index: int, page_idx: int, height: double, title: string>"
+    row = F.struct("block_index", "byline", F.col("page_idx").cast("int").alias("page_idx"), F.col("height").cast("double").alias("height"), "title")
+    listed = rows.groupBy("document_key").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.array().cast(f"array<{head}>").alias("done"), F.lit(None).cast(head).alias("open"), F.lit(True).alias("parted"))
+
+    def step(acc: Column, r: Column) -> Column:
+        last = acc["open"]
+        parted = acc["parted"] | last.isNull() | (r["block_index"] > last["block_index"])
+        goes_on = ~acc["parted"] & last.isNotNull() & (r["page_idx"] - last["page_idx"]).between(0, 1) & (F.abs(r["height"] - last["height"]) < SAME_SIZE)
+        new = F.struct(r["block_index"].cast("int").alias("block_index"), r["page_idx"].alias("page_idx"), r["height"].alias("height"), r["title"].alias("title"))
+        longer = F.struct(last["block_index"].alias("block_index"), last["page_idx"].alias("page_idx"), last["height"].alias("height"), F.concat(last["title"], F.lit(" "), r["title"]).alias("title"))
+        done = F.when(last.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        state = lambda d, o, p: F.struct(d.alias("done"), o.cast(head).alias("open"), p.alias("parted"))
+        # Bylines count from the open head's own place.
+        return F.when(r["byline"], state(acc["done"], last, parted)).when(F.coalesce(goes_on, F.lit(False)), state(acc["done"], longer, acc["parted"])).otherwise(state(done, new, F.lit(False)))
+
+    every = F.aggregate("rows", start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    return listed.select("document_key", F.explode(every).alias("x")).select("document_key", "x.title", "x.page_idx", "x.block_index")
+
+
+def owners(blocks: DataFrame, heads: DataFrame, size: int = BIN) -> DataFrame:
+    """``blocks`` with ``head``, their own if one begins there, and ``owner``, the last
+    that begins at or before them; blocks before a document's first head go.
+
+    ``heads``: (document_key, block_index, head struct).  A range join by bins of
+    ``size`` numbers: within a bin the last head so far, before it the last of the
+    bins before, so that a document of any length is many tasks' work."""
+    binned = lambda df: df.withColumn("bin", F.floor(F.col("block_index") / size))
+    rows = binned(blocks).join(heads, ["document_key", "block_index"], "left")
+    inside = Window.partitionBy("document_key", "bin").orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("near", F.last("head", ignorenulls=True).over(inside))
+    # A row a bin that has heads; each bin is reached from the next ones up to the next such.
+    tops = binned(heads).groupBy("document_key", "bin").agg(F.max_by("head", "block_index").alias("before"))
+    tops = tops.withColumn("until", F.lead("bin").over(Window.partitionBy("document_key").orderBy("bin")))
+    used = rows.select("document_key", "bin").distinct()
+    first = used.join(tops.withColumnRenamed("bin", "top"), "document_key").filter((F.col("top") < F.col("bin")) & (F.coalesce(F.col("until") >= F.col("bin"), F.lit(True)))).select("document_key", "bin", "before")
+    met = rows.join(first, ["document_key", "bin"], "left").withColumn("owner", F.coalesce("near", "before"))
+    return met.filter("owner is not null").drop("bin", "near", "before")
 
 
 def assemble(keyed: DataFrame, bounds: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Articles: each block goes to the last boundary before it, without a join by range."""
+    """Articles: each block goes to the last boundary before it."""
     heads = bounds.select("document_key", "block_index", F.struct("title", "page_idx", "block_index").alias("head"))
-    rows = keyed.join(heads, ["document_key", "block_index"], "left")
-    before = Window.partitionBy("document_key").orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0)
-    owned = rows.withColumn("owner", F.last("head", ignorenulls=True).over(before)).filter("owner is not null")
-    owned = owned.join(kinds, ["document_key", "page_idx"], "left").withColumn("live", F.col("head").isNull() & (F.col("kind") == "editorial"))
+    owned = owners(keyed, heads).join(kinds, ["document_key", "page_idx"], "left").withColumn("live", F.col("head").isNull() & (F.col("kind") == "editorial"))
     part = F.when(F.col("live") & F.col("type").isin("text", "paragraph"), F.struct("block_index", tx.repair_dropcap(F.col("said")).alias("part")))
     image = F.when(F.col("live") & F.col("type").isin("image", "chart") & (F.coalesce("img_path", F.lit("")) != ""), F.struct("block_index", F.concat(F.lit("![](images/"), F.element_at(F.split("img_path", "/"), -1), F.lit(")")).alias("part")))
     listed = lambda c, by: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["part"]), lambda x: x != ""), by)

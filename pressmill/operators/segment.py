@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,34 +50,27 @@ def decisions(matches: DataFrame, frags: DataFrame) -> DataFrame:
     """(document_key, seq, front, back, decision_status, decision_reason) of each raw match.
 
     ``matches``: (document_key, seq, front, back).  What is decidable a pair comes
-    from joins; only use-once needs an order, one group a document.
+    from joins; use-once is a fold over a document's pairs, by built-in functions.
     """
     side = lambda name: frags.select("document_key", F.col("source_order").alias(name), F.col("continued_to_page" if name == "front" else "continued_from_page").alias(f"{name}_mark"))
     known = matches.join(side("front"), ["document_key", "front"], "left").join(side("back"), ["document_key", "back"], "left")
     fault = F.when(F.col("front_mark").isNull() | F.col("back_mark").isNull(), "unknown").when(F.col("front") == F.col("back"), "self")
     weak = (F.col("front_mark") == "") | (F.col("back_mark") == "")
-    rows = known.select("document_key", "seq", "front", "back", fault.alias("fault"), weak.alias("weak"))
-
-    def use_once(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        said = []
-        for row in group.sort_values("seq").itertuples():
-            if isinstance(row.fault, str):
-                said.append(row.fault)
-            elif row.front in used or row.back in used:
-                said.append("used")
-            elif row.weak:
-                said.append("pair")
-            else:
-                used |= {row.front, row.back}
-                said.append("ok")
-        out = group.sort_values("seq")[["document_key", "seq", "front", "back"]].copy()
-        out["decision_status"] = [{"ok": "accepted", "used": "ignored"}.get(x, "invalid") for x in said]
-        out["decision_reason"] = [REASONS[x] for x in said]
-        return out
-
-    key = dict(matches.dtypes)["document_key"]
-    return rows.groupBy("document_key").applyInPandas(use_once, f"document_key {key}, seq long, front long, back long, decision_status string, decision_reason string")
+    pair = F.struct("seq", "front", "back", F.coalesce(fault, F.lit("")).alias("fault"), F.coalesce(weak, F.lit(False)).alias("weak"))
+    listed = known.groupBy("document_key").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<string>").alias("said"))
+
+    def step(acc: Column, p: Column) -> Column:
+        met = F.array_contains(acc["used"], p["front"]) | F.array_contains(acc["used"], p["back"])
+        said = F.when(p["fault"] != "", p["fault"]).when(met, "used").when(p["weak"], "pair").otherwise("ok")
+        used = F.when(said == "ok", F.concat(acc["used"], F.array(p["front"].cast("long"), p["back"].cast("long")))).otherwise(acc["used"])
+        return F.struct(used.alias("used"), F.concat(acc["said"], F.array(said)).alias("said"))
+
+    # Of each document the decisions in order, carried by one aggregate.
+    told = listed.withColumn("said", F.aggregate("pairs", start, step)["said"]).select("document_key", F.explode(F.arrays_zip("pairs", "said")).alias("x"))
+    said = F.col("x.said")
+    reasons = F.create_map(*[F.lit(v) for kv in REASONS.items() for v in kv])
+    return told.select("document_key", F.col("x.pairs.seq").cast("long").alias("seq"), F.col("x.pairs.front").cast("long").alias("front"), F.col("x.pairs.back").cast("long").alias("back"), F.when(said == "ok", "accepted").when(said == "used", "ignored").otherwise("invalid").alias("decision_status"), reasons[said].alias("decision_reason"))
 
 
 def stitch(frags: DataFrame, decided: DataFrame) -> DataFrame:

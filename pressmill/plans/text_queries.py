@@ -50,23 +50,73 @@ def _(spark, d):
     return segment.fragments(markdown_pages(spark, d)).select("document_key", "page_number", "source_order", "title", F.sha2(F.col("body_text").cast("binary"), 256).alias("body_sha256"))
 
 
-@query("TC_stitched_articles")
+_LINES = "l as (select doc_id as document_key, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as n, unnest(string_split(coalesce(text, ''), chr(10))) as t from documents)"
+#: Pairs of the lines, and their decisions one by one, with the numbers used so far.
+_DECIDED = (
+    f"with recursive {_LINES}, c as (select document_key, max(n) as top from l group by 1), "
+    "p as (select l.document_key, n as front, n + 1 + n % 3 - case when n % 11 = 0 then 1 + n % 3 else 0 end as back, top, n + 1 + n % 3 - case when n % 11 = 0 then 1 + n % 3 else 0 end > top as unknown, n % 11 = 0 as self, n % 5 = 0 or (n + 1 + n % 3) % 7 = 0 as weak from l join c using (document_key)), "
+    "d as (select distinct document_key, 0::bigint as front, null::bigint as back, null::varchar as said, []::bigint[] as used from p union all "
+    "select p.document_key, p.front, p.back, case when unknown then 'unknown' when self then 'self' when list_contains(used, p.front) or list_contains(used, p.back) then 'used' when weak then 'pair' else 'ok' end, "
+    "case when unknown or self or weak or list_contains(used, p.front) or list_contains(used, p.back) then used else list_concat(used, [p.front, p.back]) end from d join p on p.document_key = d.document_key and p.front = d.front + 1), "
+    "s as (select document_key, front as seq, front, back, case said when 'ok' then 'accepted' when 'used' then 'ignored' else 'invalid' end as decision_status, "
+    f"case said {' '.join(f"when '{k}' then '{v}'" for k, v in segment.REASONS.items())} end as decision_reason from d where front > 0) "
+)
+
+
+def line_fragments(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(fragments, raw matches): every line a fragment that says it goes on, but for
+    every 5th, and that it began elsewhere, but for every 7th; each is matched with one
+    of the next three, every 11th with itself."""
+    rows = docs(spark, d).select(F.col("doc_id").alias("document_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "title"))
+    n = F.col("source_order").cast("long")
+    rows = rows.select("document_key", (F.col("pos") + 1).alias("source_order"), "title", F.col("title").alias("body_text"))
+    frags = rows.withColumns({"continued_to_page": F.when(n % 5 == 0, "").otherwise("A2"), "continued_from_page": F.when(n % 7 == 0, "").otherwise("A1")})
+    pairs = rows.select("document_key", n.alias("seq"), n.alias("front"), F.when(n % 11 == 0, n).otherwise(n + 1 + n % 3).alias("back"))
+    return frags, pairs
+
+
+@query(
+    "TC_stitched_articles",
+    _DECIDED + "select l.document_key, cast(row_number() over (partition by l.document_key order by l.n) as int) as article_order, cast(l.n as int) as primary_source_order, case when a.back is null then 1 else 2 end as source_fragment_count, l.t as title "
+    "from l left join (select * from s where decision_status = 'accepted') a on a.document_key = l.document_key and a.front = l.n where not exists (select 1 from s b where b.decision_status = 'accepted' and b.document_key = l.document_key and b.back = l.n)",
+)
 def _(spark, d):
-    frags = segment.fragments(markdown_pages(spark, d))
-    # Odd fragments claim to go on in the next one.
-    odd = frags.withColumns({"continued_to_page": F.when(F.col("source_order") % 2 == 1, "A2").otherwise(""), "continued_from_page": F.when(F.col("source_order") % 2 == 0, "A1").otherwise("")})
-    pairs = odd.filter("source_order % 2 = 1").select("document_key", F.col("source_order").cast("long").alias("seq"), F.col("source_order").cast("long").alias("front"), (F.col("source_order") + 1).cast("long").alias("back"))
-    done = segment.stitch(odd, segment.decisions(pairs, odd))
+    frags, pairs = line_fragments(spark, d)
+    done = segment.stitch(frags, segment.decisions(pairs, frags))
     return done.select("document_key", "article_order", "primary_source_order", "source_fragment_count", "title")
 
 
-@query("J15_pair_decisions")
+@query("J15_pair_decisions", _DECIDED + "select * from s")
 def _(spark, d):
-    frags = segment.fragments(markdown_pages(spark, d)).withColumns({"continued_to_page": F.lit("A2"), "continued_from_page": F.lit("A1")})
-    pairs = frags.select("document_key", F.col("source_order").cast("long").alias("seq"), F.col("source_order").cast("long").alias("front"), (F.col("source_order") + F.col("page_number")).cast("long").alias("back"))
+    frags, pairs = line_fragments(spark, d)
     return segment.decisions(pairs, frags)
 
 
+_HEADS = "select document_key, n - 1 as block_index, (n - 1) // 2 as page_idx, length(t) % 60 as height, t as title, (n - 1) % 4 = 3 as byline"
+
+
+@query(
+    "W6_split_headlines",
+    f"with recursive {_LINES}, h as ({_HEADS}, n from l), w as (select distinct document_key, 0::bigint as n, null::bigint as block_index, null::bigint as page_idx, null::bigint as height, null::varchar as title, true as parted from h union all "
+    "select document_key, m, case when byline or goes_on then block_index else b2 end, case when byline or goes_on then page_idx else p2 end, case when byline or goes_on then height else h2 end, case when byline then title when goes_on then title || ' ' || t2 else t2 end, case when byline then parted or block_index is null or b2 > block_index when goes_on then parted else false end "
+    "from (select w.*, h.n as m, h.block_index as b2, h.page_idx as p2, h.height as h2, h.title as t2, h.byline, not h.byline and not parted and w.block_index is not null and h.page_idx - w.page_idx between 0 and 1 and abs(h.height - w.height) < 40 as goes_on from w join h on h.document_key = w.document_key and h.n = w.n + 1)) "
+    "select document_key, arg_max(title, n) as title, cast(any_value(page_idx) as int) as page_idx, cast(block_index as int) as block_index from w where block_index is not null group by document_key, block_index",
+)
+def _(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("document_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block_index", "title"))
+    return layout.split_headlines(rows.select("document_key", F.floor(F.col("block_index") / 2).cast("int").alias("page_idx"), "block_index", (F.length("title") % 60).alias("height"), "title", (F.col("block_index") % 4 == 3).alias("byline")))
+
+
+@query(
+    "J17_block_owner",
+    f"with {_LINES}, h as (select document_key, n, max(case when length(t) % 9 = 0 and n % 2 = 0 then n - 1 end) over (partition by document_key order by n) as owner from l) select document_key, n - 1 as block_index, owner from h where owner is not null",
+)
+def _(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("document_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block_index", "t"))
+    heads = rows.filter("length(t) % 9 = 0 and block_index % 2 = 1").select("document_key", "block_index", F.struct("block_index").alias("head"))
+    return layout.owners(rows, heads).select("document_key", F.col("block_index").cast("long").alias("block_index"), F.col("owner.block_index").cast("long").alias("owner"))
+
+
 @query("TD_layout_articles")
 def _(spark, d):
     return layout.articles(blocks(spark, d)).select("document_key", "title", "section", "start_page", "end_page")
@@ -123,10 +173,12 @@ def _(spark, d):
 
 @query("J14_article_identity")
 def _(spark, d):
-    bench = spark.read.parquet(f"{d}/benchmark.parquet")
+    """Two runs of every document; the second has lost each title's third letter."""
     runs = F.explode(F.array(F.lit(1), F.lit(2))).alias("run_seq")
-    rows = bench.select((F.col("item_id").cast("string").try_cast("bigint") % 10).alias("document_key"), runs, "item_id", "text")
-    return identity.article_keys(rows.select("document_key", "run_seq", F.concat_ws("-", F.col("item_id").cast("string"), F.col("run_seq").cast("string")).alias("article_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body_text"), F.array(F.lit(1)).alias("pages")))
+    rows = docs(spark, d).select(F.col("source").alias("document_key"), runs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    title = F.substring("text", 1, 80)
+    title = F.when(F.col("run_seq") == 2, F.concat(F.substring(title, 1, 2), F.substring(title, 4, 80))).otherwise(title)
+    return identity.article_keys(rows.select("document_key", "run_seq", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("run_seq").cast("string")).alias("article_id"), title.alias("title"), F.col("text").alias("body_text"), F.array((F.col("doc_id") % 50 + 1).cast("int")).alias("pages")))
 
 
 @query("D4_content_hash", "select doc_id, sha256(text) as content_hash from documents where text is not null")
