@@ -22,10 +22,12 @@ from pyspark.sql import types as T
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 #: Headings that are no articles.
 NOISE_HEADINGS = ("the wall street journal.", "what’s news", "business & finance", "worldwide", "journal report", "sports", "u.s. news", "u.s.watch", "iowa", "contents", "insid")
+#: Marks of a page where an article goes on or began, and of images.
 TO_PAGE = r"(?iu)please(?U:\s*)turn(?U:\s*)to(?U:\s*)page(?U:\s*)([A-Z]\d+)"
 FROM_PAGE = r"(?iu)continued(?U:\s*)from(?U:\s*)(PageOne|page(?U:\s*)[A-Z]\d+)"
 TO_MARK, FROM_MARK = r"(?U)[►▶]\s*(\d+)\s*$", r"(?U)^\s*[◄◀]\s*(\d+)"
 IMAGE, IMAGE_SUFFIX = r"!\[[^\]]*\]\(([^)]+)\)", r"(?i)\.(?:png|jpg|jpeg|webp)$"
+#: What tells an advertisement.
 AD_TOKENS = r"(?iu)(\b[\w-]+\.(?:com|net|org)\b|\(\d{3}\)\s?\d{3}|\bFINRA\b|\bSIPC\b|Member\s*[-–]\s*NYSE|Past performance|marketing purposes|informational purposes|BOOK NOW|Learn more at)"
 
 

@@ -7,6 +7,7 @@ A snapshot has one writer; clocks are parameters.
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -101,9 +102,13 @@ def settle(queue: DataFrame, outcomes: DataFrame, now: str, limit: int = FAILURE
     )
 
 
+def is_stale(now: str, after: int) -> Column:
+    return F.col("status").isin("running", "running_manual_retry") & (F.col("last_attempt_started_at") <= plus_seconds(now, -after))
+
+
 def recover_stale(queue: DataFrame, now: str, after: int, limit: int = FAILURE_LIMIT) -> DataFrame:
     """Rows running since ``after`` seconds or longer fail, with a fixed message."""
-    old = queue.filter(F.col("status").isin("running", "running_manual_retry") & (F.col("last_attempt_started_at") <= plus_seconds(now, -after)))
+    old = queue.filter(is_stale(now, after))
     return settle(queue, old.select("key", F.lit("failed").alias("outcome"), F.lit(STALE).alias("message"), F.lit(None).cast("string").alias("input_hash")), now, limit)
 
 
@@ -114,6 +119,12 @@ def request_retry(queue: DataFrame, now: str, keys: list[str] | None = None, con
     return queue.withColumns({"status": put("status", F.lit("manual_retry_requested")), "updated_at": put("updated_at", at(now)), "locked_by": F.when(~mine, F.col("locked_by")), "lock_expires_at": F.when(~mine, F.col("lock_expires_at"))})
 
 
+def retry_summary(queue: DataFrame, condition: Column) -> DataFrame:
+    """What a retry of all rows under a condition finds: matched, updated, skipped."""
+    failed = F.count_if(F.col("status").isin(*FAILED))
+    return queue.filter(condition).agg(F.count("*").alias("matched"), failed.alias("updated"), (F.count("*") - failed).alias("skipped"))
+
+
 def drain_result(outcomes: DataFrame) -> DataFrame:
     """A wave's counts and status: succeeded, partial, or failed if nothing succeeded."""
     good, bad = F.count_if(F.col("outcome") == "succeeded"), F.count_if(F.col("outcome") != "succeeded")
@@ -152,6 +163,25 @@ def tick(queue: DataFrame, work, worker: str, now: str, lease: int, slots: int,
     return queue, {"waves": waves, "selected": row["succeeded"] + row["failed"], "completed": row["succeeded"], "failed": row["failed"], "status": row["status"]}
 
 
+def scheduled(root: str, run_id: str, trigger: str, queue: DataFrame, work, worker: str, now: str, lease: int, slots: int, stored) -> tuple[DataFrame, dict | None]:
+    """A tick with its row in ``scheduler_runs``: running while it works, then its counts
+    and status; failed, with the error passed on, if it breaks.  No work, no row."""
+    from ..sources import storage
+
+    spark = queue.sparkSession
+    if eligible(queue, now).isEmpty():
+        return queue, None
+    when = datetime.datetime.fromisoformat(now)
+    storage.opened(spark, root, "scheduler_runs", scheduler_run_id=run_id, trigger_type=trigger, started_at=when)
+    try:
+        queue, done = tick(queue, work, worker, now, lease, slots, stored)
+    except Exception:
+        storage.closed(spark, root, "scheduler_runs", "scheduler_run_id", scheduler_run_id=run_id, status="failed", finished_at=when)
+        raise
+    storage.closed(spark, root, "scheduler_runs", "scheduler_run_id", scheduler_run_id=run_id, finished_at=when, **{k: done[k] for k in ("status", "selected", "completed", "failed")})
+    return queue, done
+
+
 class FatalError(RuntimeError):
     """What a worker loop must not go on after."""
 

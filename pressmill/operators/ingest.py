@@ -114,13 +114,20 @@ def audit_items(messages: DataFrame, attachments: DataFrame, senders: tuple[str,
 
 
 
-def run_result(run_id: str, items: DataFrame, fetched: int = 0, checkpoint: str | None = None, failed: bool = False) -> DataFrame:
-    """An import run's closing row: partial if an item failed, failed if the run did."""
+def run_counts(items: DataFrame, *keys: str) -> DataFrame:
+    """Counts of audit rows, by ``keys`` if any, and the status they give a run: partial
+    if an item failed."""
     n = lambda when: F.coalesce(F.count_if(when), F.lit(0).cast("long"))
     of, code = F.col("status"), F.col("detail_code")
-    counts = items.agg(n(of == "failed").alias("failed_item_count"), n(of == "skipped").alias("skipped_item_count"), n(code.isin("document_created", "duplicate_document")).alias("imported_attachment_count"), n(code == "document_created").alias("created_document_count"), n(code == "duplicate_document").alias("skipped_document_count"))
-    status = F.lit("failed") if failed else F.when(F.col("failed_item_count") > 0, "partial").otherwise("succeeded")
-    return counts.select(F.lit(run_id).alias("run_id"), status.alias("status"), F.lit(fetched).cast("long").alias("fetched_message_count"), *counts.columns, F.lit(checkpoint).cast("string").alias("checkpoint_after"))
+    counts = items.groupBy(*keys).agg(n(of == "failed").alias("failed_item_count"), n(of == "skipped").alias("skipped_item_count"), n(code.isin("document_created", "duplicate_document")).alias("imported_attachment_count"), n(code == "document_created").alias("created_document_count"), n(code == "duplicate_document").alias("skipped_document_count"))
+    return counts.withColumn("status", F.when(F.col("failed_item_count") > 0, "partial").otherwise("succeeded"))
+
+
+def run_result(run_id: str, items: DataFrame, fetched: int = 0, checkpoint: str | None = None, failed: bool = False) -> DataFrame:
+    """An import run's closing row: what its items say, or failed if the run did."""
+    counts = run_counts(items)
+    status = F.lit("failed") if failed else F.col("status")
+    return counts.select(F.lit(run_id).alias("run_id"), status.alias("status"), F.lit(fetched).cast("long").alias("fetched_message_count"), *[c for c in counts.columns if c != "status"], F.lit(checkpoint).cast("string").alias("checkpoint_after"))
 
 
 def enqueue_documents(queue: DataFrame, rows: DataFrame, now: str) -> DataFrame:

@@ -163,5 +163,5 @@ def settle(spark: SparkSession, root: str, claimed: DataFrame, outcomes: DataFra
 
 def stale(spark: SparkSession, root: str, now: str, after: int) -> DataFrame:
     """Events for rows that run since ``after`` seconds or longer, for ``append``."""
-    old = state(spark, root).filter(F.col("status").isin("running", "running_manual_retry") & (F.col("last_attempt_started_at") <= control.plus_seconds(now, -after)))
+    old = state(spark, root).filter(control.is_stale(now, after))
     return old.select("key", F.col("version").alias("expected"), F.lit("stale").alias("event"), F.lit("recovery").alias("writer"), control.at(now).alias("at"))

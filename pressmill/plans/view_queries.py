@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import control, enrich, ingest, layout, outline
+from ..sources import mail, ocr
 from ..sources.adapters import Tables, with_tables
 from . import views as v
 
@@ -28,6 +30,13 @@ def text(column: str) -> F:
     return F.date_format(column, "yyyy-MM-dd").alias(column)
 
 
+_ENRICHED = (
+    "(select b.article_id, b.status as enrichment_status, o.title_zh, o.summary_zh, o.body_zh, coalesce(o.content_type, 'article') as content_type, coalesce(o.reason, '') as reason, coalesce(g.tags, '') as tags "
+    "from (select article_id, enrichment_run_id, status from (select *, row_number() over (partition by article_id order by finished_at desc, seq desc) as rn from enr where status in ('succeeded', 'partial', 'skipped_advertisement')) where rn = 1) b "
+    "left join outs o using (enrichment_run_id) left join (select enrichment_run_id, string_agg(tag, '|' order by tag_order) as tags from tags group by 1) g using (enrichment_run_id))"
+)
+
+
 _CARDS = "select article_id, document_key, source_name, strftime(publication_date, '%Y-%m-%d') as publication_date, article_order from visible"
 _ORDER = "order by v.publication_date desc, v.article_order, v.article_id"
 
@@ -101,10 +110,37 @@ def _(t):
     return t.articles().groupBy("parse_run_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("article_order").cast("string"))), ",").alias("orders"))
 
 
-@query("J19_resume_states", "select run_id, case when bool_or(status = 'imported') then 'done' when bool_or(status = 'skipped') then 'submitted' else 'pending' end as state from items group by 1")
+@query("J12_source_pages", "select article_id, string_agg(page_number, '|' order by page_number) as source_pages from (select distinct article_id, page_number from lineage) group by 1")
+def _(t):
+    return v.source_pages(t)
+
+
+@query("J11_reuse_by_input", "with e as (select a.article_key, e.*, l_partkey % 4 as h from arts a join enr e using (article_id) where e.status = 'succeeded'), w as (select distinct article_key, k as h from arts, range(4) r(k)) select w.article_key, w.h as input_hash, b.enrichment_run_id from w left join (select article_key, h, enrichment_run_id from (select *, row_number() over (partition by article_key, h order by finished_at desc, seq desc, enrichment_run_id desc) as rn from e) where rn = 1) b on b.article_key = w.article_key and b.h = w.h")
 def _(t):
-    done, sent = F.bool_or(F.col("status") == "imported"), F.bool_or(F.col("status") == "skipped")
-    return t.audit_items().groupBy("run_id").agg(F.when(done, "done").when(sent, "submitted").otherwise("pending").alias("state"))
+    wanted = t.articles().select("article_key").distinct().withColumn("input_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    runs = t.enrichment_runs().filter("status = 'succeeded'").join(t.articles().select("article_id", "article_key"), "article_id").withColumn("input_hash", F.col("l_partkey") % 4)
+    found, left = enrich.reusable(wanted, runs)
+    return found.select("article_key", "input_hash", "enrichment_run_id").unionByName(left.select("article_key", "input_hash", F.lit(None).cast("string").alias("enrichment_run_id")))
+
+
+_PAGES = "f as (select doc_id as document_key, unnest(range(1, doc_id % 7 + 1)) as n from documents), st as (select document_key, n, case when (document_key + n) % 3 = 0 then 'done' else 'submitted' end as state, 'b' || n // 3 as batch_id from f where (document_key + n) % 4 <> 0)"
+
+
+def page_states(t):
+    """(files, states of those that were sent) of documents with up to six pages."""
+    files = ocr.page_files(t.raw("documents").select(F.col("doc_id").alias("document_key"), (F.col("doc_id") % 7).alias("total_pages")))
+    at = F.col("document_key") + F.col("page_number")
+    return files, files.filter(at % 4 != 0).withColumns({"state": F.when(at % 3 == 0, "done").otherwise("submitted"), "batch_id": F.concat(F.lit("b"), F.floor(F.col("page_number") / 3).cast("string"))})
+
+
+@query("J19_resume_states", f"with {_PAGES} select f.document_key, string_agg('page-' || lpad(f.n::varchar, 4, '0') || '.pdf', ',' order by f.n) as left_over from f left join st on st.document_key = f.document_key and st.n = f.n where coalesce(st.state, '') <> 'done' group by 1")
+def _(t):
+    return ocr.unfinished(*page_states(t)).select("document_key", F.array_join("file_names", ",").alias("left_over"))
+
+
+@query("S8_batch_ids", f"with {_PAGES} select document_key, string_agg(batch_id, ',' order by n) as batches from (select document_key, batch_id, min(n) as n from st group by 1, 2) group by 1")
+def _(t):
+    return ocr.batch_ids(page_states(t)[1]).select("document_key", F.array_join("batch_ids", ",").alias("batches"))
 
 
 @query("A5_max_failures", "select coalesce(max(automatic_failure_count), 0) as max_failures from proc")
@@ -112,11 +148,10 @@ def _(t):
     return t.processing_runs().agg(F.coalesce(F.max("automatic_failure_count"), F.lit(0).cast("long")).alias("max_failures"))
 
 
-@query("A7_items_by_status", "select run_id, count(*) filter (status = 'imported') as imported, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'failed') as failed, case when count(*) filter (status = 'failed') > 0 then 'partial' else 'succeeded' end as run_status from items group by 1")
+@query("A7_items_by_status", "select run_id, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped, case when count(*) filter (status = 'failed') > 0 then 'partial' else 'succeeded' end as run_status from items group by 1")
 def _(t):
-    n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    counts = t.audit_items().groupBy("run_id").agg(n("imported"), n("skipped"), n("failed"))
-    return counts.withColumn("run_status", F.when(F.col("failed") > 0, "partial").otherwise("succeeded"))
+    counts = ingest.run_counts(t.audit_items(), "run_id")
+    return counts.select("run_id", F.col("failed_item_count").alias("failed"), F.col("skipped_item_count").alias("skipped"), F.col("status").alias("run_status"))
 
 
 @query("A8_pagination", "select 2 as page, 20 as page_size, count(*) as total, cast(ceil(count(*) / 20.0) as bigint) as total_pages from visible")
@@ -124,9 +159,10 @@ def _(t):
     return v.pagination(v.visible_articles(t), 2, 20)
 
 
-@query("A9_checkpoint_max", "select item_type, cast(max(epoch_us(created_at) // 1000) as bigint) as checkpoint_ms from items group by 1")
+@query("A9_checkpoint_max", "select cast(max(epoch_us(created_at) // 1000) as bigint) as checkpoint_ms from items where item_type <> 'view'")
 def _(t):
-    return t.audit_items().groupBy("item_type").agg(F.max(F.unix_millis(F.col("created_at").cast("timestamp"))).alias("checkpoint_ms"))
+    chosen = t.audit_items().filter("item_type != 'view'")
+    return mail.checkpoint(chosen.select(F.unix_millis(F.col("created_at").cast("timestamp")).cast("string").alias("internal_date")))
 
 
 @query("A10_largest_image", "select article_id, image_path as hero_image from (select *, row_number() over (partition by article_id order by cast(width as bigint) * height desc, image_order) as rn from imgs) where rn = 1")
@@ -136,13 +172,18 @@ def _(t):
 
 @query("A11_retry_summary", "select count(*) as matched, count(*) filter (status in ('failed_retryable', 'failed_terminal')) as updated, count(*) - count(*) filter (status in ('failed_retryable', 'failed_terminal')) as skipped from proc where current_step = 'await_summary'")
 def _(t):
-    failed = F.count_if(F.col("status").isin("failed_retryable", "failed_terminal"))
-    return t.processing_runs().filter("current_step = 'await_summary'").agg(F.count("*").alias("matched"), failed.alias("updated"), (F.count("*") - failed).alias("skipped"))
+    return control.retry_summary(t.processing_runs(), F.col("current_step") == "await_summary")
 
 
-@query("A13_running_headers", "select item_type, detail_code, count(distinct run_id) as pages from items where detail_code is not null group by 1, 2 having count(distinct run_id) >= 2")
+@query(
+    "A13_running_headers",
+    "with l as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos, unnest(string_split(coalesce(text, ''), chr(10))) as t from documents) "
+    "select doc_id as document_key, trim(regexp_replace(lower(t), '[^0-9a-z]+', ' ', 'g')) as key from l where pos % 3 = 0 and regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> '' and trim(regexp_replace(lower(t), '[^0-9a-z]+', ' ', 'g')) not in ('', 'bloomberg businessweek') group by all having count(distinct pos // 3) >= 2",
+)
 def _(t):
-    return t.audit_items().filter("detail_code is not null").groupBy("item_type", "detail_code").agg(F.count_distinct("run_id").alias("pages")).filter("pages >= 2")
+    rows = t.raw("documents").select(F.col("doc_id").alias("document_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block_index", "text"))
+    rows = rows.select("*", F.when(F.col("block_index") % 3 == 0, "header").otherwise("text").alias("type"), F.floor(F.col("block_index") / 3).cast("int").alias("page_idx"), F.expr("struct(0 as y0, 0 as y1)").alias("bbox"))
+    return layout.running_sections(layout.with_keys(rows))
 
 
 @query("A16_ordered_tags", "select enrichment_run_id, string_agg(tag, '|' order by tag_order) as tags from tags group by 1")
@@ -174,8 +215,9 @@ def _(t):
 
 @query("J16_next_greater", "select a.article_id, coalesce((select min(b.article_order) from arts b where b.parse_run_id = a.parse_run_id and b.article_order > a.article_order), 99) as end_order from arts a")
 def _(t):
-    w = Window.partitionBy("parse_run_id").orderBy("article_order").rangeBetween(1, Window.unboundedFollowing)
-    return t.articles().select("article_id", F.coalesce(F.min("article_order").over(w), F.lit(99)).alias("end_order"))
+    entries = t.articles().select(F.col("parse_run_id").alias("document_key"), F.col("article_id").alias("ordinal"), "title", F.lit("").alias("section"), F.col("article_order").alias("start_page"), F.lit(True).alias("is_leaf"))
+    pages = t.parse_runs().select(F.col("parse_run_id").alias("document_key"), F.lit(98).alias("total_pages"))
+    return outline.ranges(entries, pages).select(F.col("ordinal").alias("article_id"), F.col("end_page").alias("end_order"))
 
 
 @query("O1_processing_order", "select article_key, row_number() over (order by updated_at desc, article_key desc) as place from proc")
@@ -210,8 +252,8 @@ def _(t):
 
 @query("P11_stale_runs", "select article_key from proc where status = 'running' and updated_at <= timestamp '1997-01-01 00:00:00' - interval 3600 second")
 def _(t):
-    limit = F.expr("timestamp_ntz'1997-01-01 00:00:00' - make_interval(0, 0, 0, 0, 0, 0, 3600)")
-    return t.processing_runs().filter((F.col("status") == "running") & (F.col("updated_at") <= limit)).select("article_key")
+    rows = t.processing_runs().withColumn("last_attempt_started_at", F.col("updated_at").cast("timestamp"))
+    return rows.filter(control.is_stale("1997-01-01 00:00:00", 3600)).select("article_key")
 
 
 @query("P14_finished_today", f"select parse_run_id from runs where cast(finished_at as date) = date '{DAY}'")
@@ -279,13 +321,13 @@ def _(t):
 
 @query(
     "V7_document_detail",
-    "select d.document_key, coalesce(l.status, 'unknown') as status, coalesce(e.error_summary, '" + v.NO_ERROR + "') as error_summary, v.article_id, v.title from docs d "
-    "left join (select document_key, status from (select *, row_number() over (partition by document_key order by finished_at desc, seq desc) as rn from runs) where rn = 1) l using (document_key) "
-    "left join (select document_key, case when last_error_message is not null then current_step || ': ' || last_error_message end as error_summary from (select r.document_key, p.*, row_number() over (partition by r.document_key order by p.updated_at desc, p.article_key desc) as rn from proc p join runs r using (parse_run_id)) where rn = 1) e using (document_key) "
-    "left join visible v using (document_key)",
+    "select d.document_key, d.source_name, d.original_filename, f.sender, f.raw_path, f.import_status, coalesce(q.status, 'unknown') as status, q.current_step, q.automatic_failure_count, q.last_failure_step, q.last_error_message, q.locked_by, q.updated_at, "
+    f"case when q.last_error_message is null then '{v.NO_ERROR}' when q.last_failure_step is not null then q.last_failure_step || ': ' || q.last_error_message else q.last_error_message end as error_summary, count(v.article_id) over (partition by d.document_key) as visible_article_count, "
+    "v.article_id, strftime(v.publication_date, '%Y-%m-%d') as publication_date, v.title as title_en, e.title_zh, e.summary_zh, case when v.article_id is null then null when e.article_id is null then 'english_fallback' else 'ready' end as reading_status "
+    f"from docs d join dfiles f using (document_key) left join dqueue q on q.document_key = d.document_key left join visible v on v.document_key = d.document_key left join {_ENRICHED} e on e.article_id = v.article_id",
 )
 def _(t):
-    return v.document_detail(t)
+    return v.document_detail(t).withColumn("publication_date", text("publication_date"))
 
 
 @query("V8_processing_cards", f"select article_key, article_id, document_key, source_name, p.status, current_step, automatic_failure_count, case when last_error_message is not null then current_step || ': ' || last_error_message else '{v.NO_ERROR}' end as error_summary, updated_at from proc p join runs r using (parse_run_id) join docs d using (document_key) where p.status = 'failed_retryable' order by updated_at desc, article_key desc limit 50")
@@ -328,13 +370,6 @@ def _(t):
     return v.latest_enrichment(t).select("article_id", "enrichment_run_id", "status")
 
 
-_ENRICHED = (
-    "(select b.article_id, b.status as enrichment_status, o.title_zh, o.summary_zh, o.body_zh, coalesce(o.content_type, 'article') as content_type, coalesce(o.reason, '') as reason, coalesce(g.tags, '') as tags "
-    "from (select article_id, enrichment_run_id, status from (select *, row_number() over (partition by article_id order by finished_at desc, seq desc) as rn from enr where status in ('succeeded', 'partial', 'skipped_advertisement')) where rn = 1) b "
-    "left join outs o using (enrichment_run_id) left join (select enrichment_run_id, string_agg(tag, '|' order by tag_order) as tags from tags group by 1) g using (enrichment_run_id))"
-)
-
-
 @query("V14_enrichment_with_output", f"select * from {_ENRICHED}")
 def _(t):
     from ..functions import text as tx
@@ -344,9 +379,9 @@ def _(t):
 
 @query(
     "V3_article_detail",
-    "select a.article_id, r.document_key, coalesce(d.source_name, '') as source_name, strftime(a.publication_date, '%Y-%m-%d') as publication_date, a.title, e.title_zh, e.summary_zh, e.body_zh, coalesce(e.tags, '') as tags, coalesce(i.images, '') as images, i.hero_image, "
+    "select a.article_id, r.document_key, coalesce(d.source_name, '') as source_name, strftime(a.publication_date, '%Y-%m-%d') as publication_date, a.title, 'Body ' || split_part(a.article_key, ':', 1) as body_en, e.title_zh, e.summary_zh, e.body_zh, coalesce(e.tags, '') as tags, coalesce(i.images, '') as images, i.hero_image, "
     "coalesce(l.status, 'unknown') as document_status, coalesce(r.status, 'unknown') as parse_status, coalesce(e.enrichment_status, 'unavailable') as enrichment_status "
-    "from arts a join runs r using (parse_run_id) left join docs d using (document_key) left join (select document_key, status from (select *, row_number() over (partition by document_key order by finished_at desc, seq desc) as rn from runs) where rn = 1) l using (document_key) "
+    "from arts a join runs r using (parse_run_id) left join docs d using (document_key) left join dqueue l on l.document_key = r.document_key "
     f"left join {_ENRICHED} e on e.article_id = a.article_id left join (select article_id, string_agg(image_path, '|' order by image_order) as images, min_by(image_path, image_order) as hero_image from imgs group by 1) i on i.article_id = a.article_id",
 )
 def _(t):
@@ -355,9 +390,10 @@ def _(t):
 
 @query(
     "V9_processing_detail",
-    f"select p.article_key, p.article_id, document_key, d.source_name, d.original_filename, strftime(a.publication_date, '%Y-%m-%d') as publication_date, a.title, p.status, p.current_step, p.automatic_failure_count, p.last_error_message, p.updated_at, "
+    f"select coalesce(g.pages, '') as source_pages, x.last_success_input_hash, x.last_attempt_started_at, x.last_attempt_finished_at, x.locked_by, x.lock_expires_at, x.created_at, p.article_key, p.article_id, document_key, d.source_name, d.original_filename, strftime(a.publication_date, '%Y-%m-%d') as publication_date, a.title, p.status, p.current_step, p.automatic_failure_count, p.last_error_message, p.updated_at, "
     f"case when last_error_message is not null then current_step || ': ' || last_error_message else '{v.NO_ERROR}' end as error_summary, coalesce(e.content_type, 'article') as content_type, coalesce(e.reason, '') as reason, e.enrichment_status "
-    f"from proc p join runs r using (parse_run_id) join docs d using (document_key) join arts a on a.article_id = p.article_id left join {_ENRICHED} e on e.article_id = p.article_id",
+    f"from proc p join runs r using (parse_run_id) join docs d using (document_key) join arts a on a.article_id = p.article_id left join {_ENRICHED} e on e.article_id = p.article_id "
+    "join leases x on x.article_key = p.article_key left join (select article_id, string_agg(page_number, '|' order by page_number) as pages from (select distinct article_id, page_number from lineage) group by 1) g on g.article_id = p.article_id",
 )
 def _(t):
     return v.processing_detail(t).withColumn("publication_date", text("publication_date"))
@@ -390,8 +426,6 @@ def _(t):
     return v.enriched(t).select("article_id", "content_type", "reason")
 
 
-@query("P7_domains", "select url, regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1) as host, regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1) like '%example%' as allowed from (select distinct url from pages)")
+@query("P7_domains", "select url, case when regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1) in ('blog.tionsh.example.net', 'thther.example.org', 'blog.ththan.example.net') then 'allowed' else 'link_domain_not_allowed' end as verdict from (select distinct url from pages)")
 def _(t):
-    from ..functions import text as tx
-
-    return t.raw("pages").select("url").distinct().select("url", tx.host(F.col("url")).alias("host"), tx.host(F.col("url")).contains("example").alias("allowed"))
+    return mail.sorted_links(t.raw("pages").select("url").distinct(), ("Blog.tionsh.example.net", "thther.example.org", "blog.ththan.example.net")).select("url", "verdict")

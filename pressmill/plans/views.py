@@ -62,14 +62,27 @@ def numbered(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
 
 
 def document_detail(t: Tables) -> DataFrame:
-    """Every document's visible articles (one row without, if it has none) with the status
-    of its newest run and the error summary of its newest article in the queue."""
-    runs = t.parse_runs()
-    latest = runs.groupBy("document_key").agg(F.max_by("status", F.struct("finished_at", "seq")).alias("status"))
-    queued = t.processing_runs().select("article_key", "parse_run_id", "updated_at", error_summary().alias("error_summary")).join(runs.select("parse_run_id", "document_key"), "parse_run_id")
-    errors = queued.groupBy("document_key").agg(F.max_by("error_summary", F.struct("updated_at", "article_key")).alias("error_summary"))
-    rows = t.documents().select("document_key").join(latest, "document_key", "left").join(errors, "document_key", "left").join(visible_articles(t).select("document_key", "article_id", "title"), "document_key", "left")
-    return rows.select("document_key", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("error_summary", F.lit(NO_ERROR)).alias("error_summary"), "article_id", "title")
+    """Every document as its queue and its files have it, a row each visible article of
+    its latest run (one without, if it has none)."""
+    q = t.document_queue().withColumn("error_summary", document_error()).withColumnRenamed("status", "queued")
+    shown = visible_articles(t).select("document_key", "article_id", "publication_date", "title").join(enriched(t).select("article_id", "title_zh", "summary_zh", "enrichment_status"), "article_id", "left")
+    count = shown.groupBy("document_key").agg(F.count("*").alias("n"))
+    rows = t.documents().join(t.document_files(), "document_key").join(q, "document_key", "left").join(count, "document_key", "left").join(shown, "document_key", "left")
+    reading = F.when(F.col("article_id").isNotNull(), F.when(F.col("enrichment_status").isNotNull(), "ready").otherwise("english_fallback"))
+    return rows.select(
+        "document_key", "source_name", "original_filename", "sender", "raw_path", "import_status", F.coalesce("queued", F.lit("unknown")).alias("status"), "current_step", "automatic_failure_count", "last_failure_step", "last_error_message", "locked_by", "updated_at",
+        F.coalesce("error_summary", F.lit(NO_ERROR)).alias("error_summary"), F.coalesce("n", F.lit(0).cast("long")).alias("visible_article_count"), "article_id", "publication_date", F.col("title").alias("title_en"), "title_zh", "summary_zh", reading.alias("reading_status"))
+
+
+def document_error() -> Column:
+    """A queued document's error with the step it failed in, where that is known."""
+    said = F.col("last_error_message")
+    return F.when(said.isNull() | (said == ""), NO_ERROR).when(F.col("last_failure_step").isNotNull(), F.concat_ws(": ", "last_failure_step", said)).otherwise(said)
+
+
+def source_pages(t: Tables) -> DataFrame:
+    """(article_id, source_pages): the pages of its fragments, each once, ascending."""
+    return t.lineage().groupBy("article_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("page_number")), lambda p: p.cast("string")), "|").alias("source_pages"))
 
 
 def paging(page: int | None, size: int | None, limit: int | None = None) -> tuple[int, int]:
@@ -210,22 +223,24 @@ def article_detail(t: Tables) -> DataFrame:
     enrichment and the three states; its translated body without local images."""
     pictures = t.images().groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("image_order", "image_path"))), lambda x: x["image_path"]).alias("images"))
     runs = t.parse_runs().select("parse_run_id", "document_key", F.col("status").alias("parse_status"))
-    rows = t.articles().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name"), "document_key", "left").join(document_states(t), "document_key", "left").join(enriched(t), "article_id", "left").join(pictures, "article_id", "left")
+    rows = t.articles().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name"), "document_key", "left").join(document_states(t), "document_key", "left").join(enriched(t), "article_id", "left").join(pictures, "article_id", "left").join(t.bodies(), "article_id", "left")
     return rows.select(
-        "article_id", "document_key", F.coalesce("source_name", F.lit("")).alias("source_name"), "publication_date", "title", "title_zh", "summary_zh", F.when(F.col("body_zh").isNotNull(), tx.clean_text(F.col("body_zh"))).alias("body_zh"), F.coalesce("tags", F.lit("")).alias("tags"),
+        "article_id", "document_key", F.coalesce("source_name", F.lit("")).alias("source_name"), "publication_date", "title", "body_en", "title_zh", "summary_zh", F.when(F.col("body_zh").isNotNull(), tx.clean_text(F.col("body_zh"))).alias("body_zh"), F.coalesce("tags", F.lit("")).alias("tags"),
         F.array_join(F.coalesce("images", F.array().cast("array<string>")), "|").alias("images"), F.get("images", F.lit(0)).alias("hero_image"),
         F.coalesce("document_status", F.lit("unknown")).alias("document_status"), F.coalesce("parse_status", F.lit("unknown")).alias("parse_status"), F.coalesce("enrichment_status", F.lit("unavailable")).alias("enrichment_status"))
 
 
 def document_states(t: Tables) -> DataFrame:
-    """(document_key, document_status): the state of its newest run in the queue."""
-    return t.parse_runs().groupBy("document_key").agg(F.max_by("status", F.struct("finished_at", "seq")).alias("document_status"))
+    """(document_key, document_status): its state in the queue of documents."""
+    return t.document_queue().select("document_key", F.col("status").alias("document_status"))
 
 
 def processing_detail(t: Tables) -> DataFrame:
     """Every queued article with its document, error summary and latest enrichment."""
     rows = processing_rows(t).join(t.articles().select("article_id", "publication_date", "title"), "article_id").join(enriched(t).select("article_id", "content_type", "reason", "enrichment_status"), "article_id", "left")
+    rows = rows.join(source_pages(t), "article_id", "left").join(t.leases(), "article_key")
     return rows.select(
+        F.coalesce("source_pages", F.lit("")).alias("source_pages"), "last_success_input_hash", "last_attempt_started_at", "last_attempt_finished_at", "locked_by", "lock_expires_at", "created_at",
         "article_key", "article_id", "document_key", "source_name", "original_filename", "publication_date", "title", "status", "current_step", "automatic_failure_count", "last_error_message", "updated_at", error_summary().alias("error_summary"),
         F.coalesce("content_type", F.lit("article")).alias("content_type"), F.coalesce("reason", F.lit("")).alias("reason"), "enrichment_status")
 

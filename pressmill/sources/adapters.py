@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: (l_returnflag, l_linestatus) -> status of the first enrichment run. Fixed values.
 FIRST_STATUS = {"AF": "skipped_advertisement", "AO": "partial", "NF": "failed", "NO": "succeeded", "RF": "succeeded", "RO": "running"}
+#: States of the document queue, and its steps, as the adapter deals them out.
+QUEUE_STATES = ("pending", "running", "succeeded", "failed_retryable", "failed_terminal", "manual_retry_requested")
+QUEUE_STEPS = ("parse_persist", "enrich", "completed")
 
 
 class Tables:
@@ -26,6 +29,38 @@ class Tables:
     def documents(self) -> DataFrame:
         return self.raw("customer").select(F.col("c_custkey").alias("document_key"), F.col("c_mktsegment").alias("source_name"), F.concat(F.lit("file-"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("original_filename"))
 
+    def document_files(self) -> DataFrame:
+        """Where each document came from."""
+        key = F.col("c_custkey").cast("string")
+        return self.raw("customer").select(F.col("c_custkey").alias("document_key"), F.concat(F.lit("s"), (F.col("c_nationkey")).cast("string"), F.lit("@ex.com")).alias("sender"), F.concat(F.lit("raw/"), key, F.lit(".pdf")).alias("raw_path"), F.lit("imported").alias("import_status"))
+
+    def document_queue(self) -> DataFrame:
+        """The queue of documents; every 13th was never put there."""
+        k = F.col("c_custkey")
+        pick = lambda n, values: F.coalesce(*[F.when(k % n == i, v) for i, v in enumerate(values)])
+        rows = self.raw("customer").filter(k % 13 != 0).select(k.alias("document_key"), pick(6, QUEUE_STATES).alias("status"), pick(3, QUEUE_STEPS).alias("current_step"), (k % 3).alias("automatic_failure_count"), F.timestamp_add("DAY", k % 300, F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00"))).alias("updated_at"))
+        bad = F.col("status").startswith("failed")
+        return rows.withColumns({"last_failure_step": F.when(bad & (F.col("document_key") % 2 == 0), F.col("current_step")), "last_error_message": F.when(bad, F.concat(F.lit("error "), (F.col("document_key") % 5).cast("string"))), "locked_by": F.when(F.col("status") == "running", "w1")})
+
+    def bodies(self) -> DataFrame:
+        return self._lines().select("article_id", F.concat(F.lit("Body "), F.col("l_partkey").cast("string")).alias("body_en"))
+
+    def lineage(self) -> DataFrame:
+        """(article_id, source_order, page_number): one fragment, or two on odd lines."""
+        lines = self._lines()
+        one = lines.select("article_id", F.lit(1).alias("source_order"), (F.col("l_suppkey") % 9 + 1).alias("page_number"))
+        two = lines.filter("l_linenumber % 2 = 1").select("article_id", F.lit(2).alias("source_order"), ((F.col("l_suppkey") + F.col("l_partkey")) % 12 + 1).alias("page_number"))
+        return one.unionByName(two)
+
+    def leases(self) -> DataFrame:
+        """What the queue of articles says of attempts."""
+        p = self.processing_runs()
+        running = F.col("status") == "running"
+        shift = lambda unit, n: F.timestamp_add(unit, F.lit(n), F.col("updated_at"))
+        return p.select(
+            "article_key", F.when(F.col("status") == "succeeded", F.col("article_id")).alias("last_success_input_hash"), shift("MINUTE", -1).alias("last_attempt_started_at"), F.when(~running, F.col("updated_at")).alias("last_attempt_finished_at"),
+            F.when(running, F.concat(F.lit("worker-"), F.col("automatic_failure_count").cast("string"))).alias("locked_by"), F.when(running, shift("MINUTE", 10)).alias("lock_expires_at"), shift("DAY", -1).alias("created_at"))
+
     def parse_runs(self) -> DataFrame:
         status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
         return self.raw("orders").select(F.col("o_orderkey").alias("parse_run_id"), F.col("o_custkey").alias("document_key"), status.alias("status"), F.col("o_orderdate").cast("timestamp_ntz").alias("finished_at"), F.col("o_orderkey").alias("seq"))
@@ -106,6 +141,10 @@ CTE = {
     "select l_partkey || ':' || l_suppkey as article_key, article_id, l_orderkey as parse_run_id, case l_linenumber % 7 when 0 then 'succeeded' when 1 then 'pending' when 2 then 'failed_retryable' when 3 then 'failed_terminal' when 4 then 'manual_retry_requested' when 5 then 'running' else 'succeeded' end as status, "
     "case l_linenumber % 5 when 0 then 'completed' when 1 then 'await_ad_judgment' when 2 then 'await_translation' when 3 then 'await_summary' else 'await_tagging' end as current_step, cast(floor(l_quantity) as bigint) as quantity, l_shipdate as updated_at, "
     "row_number() over (partition by l_partkey, l_suppkey order by l_shipdate desc, article_id desc) as rn from lines) where rn = 1",
+    "dfiles": "select c_custkey as document_key, 's' || c_nationkey || '@ex.com' as sender, 'raw/' || c_custkey || '.pdf' as raw_path, 'imported' as import_status from customer",
+    "dqueue": f"select *, case when status like 'failed%' and document_key % 2 = 0 then current_step end as last_failure_step, case when status like 'failed%' then 'error ' || document_key % 5 end as last_error_message, case when status = 'running' then 'w1' end as locked_by from (select c_custkey as document_key, ({list(QUEUE_STATES)})[c_custkey % 6 + 1] as status, ({list(QUEUE_STEPS)})[c_custkey % 3 + 1] as current_step, c_custkey % 3 as automatic_failure_count, timestamp '1997-01-01 00:00:00' + to_days((c_custkey % 300)::int) as updated_at from customer where c_custkey % 13 <> 0)",
+    "lineage": "select article_id, 1 as source_order, l_suppkey % 9 + 1 as page_number from lines union all select article_id, 2, (l_suppkey + l_partkey) % 12 + 1 from lines where l_linenumber % 2 = 1",
+    "leases": "select article_key, case when status = 'succeeded' then article_id end as last_success_input_hash, updated_at - interval 1 minute as last_attempt_started_at, case when status <> 'running' then updated_at end as last_attempt_finished_at, case when status = 'running' then 'worker-' || automatic_failure_count end as locked_by, case when status = 'running' then updated_at + interval 10 minute end as lock_expires_at, updated_at - interval 1 day as created_at from proc",
     # Views over them.
     "latest_runs": "select document_key, parse_run_id, finished_at from (select *, row_number() over (partition by document_key order by finished_at desc, seq desc) as rn from runs where status = 'succeeded') where rn = 1",
     "usable": "select * from (select *, rank() over (partition by article_id order by finished_at desc) as rk from enr where status in ('succeeded', 'partial', 'skipped_advertisement')) where rk = 1",

@@ -6,6 +6,7 @@ batch id`` and ``result(batch id) -> {name: markdown or None}``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -79,16 +80,25 @@ def resumed(files: DataFrame, state: DataFrame, make: Callable, stored: Callable
     return state
 
 
-def layout_blocks(spark: SparkSession, folder: str) -> DataFrame:
+def layout_blocks(spark: SparkSession, folder: str, each: bool = False) -> DataFrame:
     """(file, block_index, type, text_level, page_idx, bbox, text, img_path) of the first
-    content list by name in ``folder`` and below; none: no rows.  What is no object is dropped."""
+    content list by name in ``folder`` and below; none: no rows.  What is no object is dropped.
+
+    ``each``: of every folder in ``folder``, whose name is its ``document_key``, instead."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_content_list.json").option("recursiveFileLookup", "true").load(folder)
-    first = files.orderBy("path").limit(1).select("path", F.decode("content", "UTF-8").alias("j"))
+    if each:
+        root = re.escape(folder.rstrip("/").removeprefix("file://"))
+        named = files.withColumn("document_key", F.regexp_extract("path", rf"{root}/([^/]+)/", 1)).filter("document_key != ''")
+        first = named.groupBy("document_key").agg(F.min("path").alias("first"))
+        first = named.join(first, "document_key").filter("path = first").select("document_key", "path", F.decode("content", "UTF-8").alias("j"))
+    else:
+        first = files.orderBy("path").limit(1).select("path", F.decode("content", "UTF-8").alias("j"))
+    key = ["document_key"] if each else []
     block = "struct<type:string,text_level:int,page_idx:int,bbox:array<double>,text:string,img_path:string>"
-    items = first.select(F.col("path").alias("file"), F.posexplode(F.from_json("j", "array<string>")).alias("block_index", "item")).filter(F.ltrim("item").startswith("{"))
-    b = items.select("file", "block_index", F.from_json("item", block).alias("b"))
+    items = first.select(*key, F.col("path").alias("file"), F.posexplode(F.from_json("j", "array<string>")).alias("block_index", "item")).filter(F.ltrim("item").startswith("{"))
+    b = items.select(*key, "file", "block_index", F.from_json("item", block).alias("b"))
     text = lambda c: F.coalesce(f"b.{c}", F.lit("")).alias(c)
-    return b.select("file", "block_index", text("type"), F.coalesce("b.text_level", F.lit(0)).alias("text_level"), F.coalesce("b.page_idx", F.lit(0)).alias("page_idx"), F.coalesce("b.bbox", F.array().cast("array<double>")).alias("bbox"), text("text"), text("img_path"))
+    return b.select(*key, "file", "block_index", text("type"), F.coalesce("b.text_level", F.lit(0)).alias("text_level"), F.coalesce("b.page_idx", F.lit(0)).alias("page_idx"), F.coalesce("b.bbox", F.array().cast("array<double>")).alias("bbox"), text("text"), text("img_path"))
 
 
 def relative_path(value: Column, page_dir: Column, merged_dir: Column) -> Column:

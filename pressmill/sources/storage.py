@@ -263,24 +263,28 @@ def states(spark: SparkSession, root: str, table: str, key: str) -> DataFrame:
 
 
 def write_blobs(rows: DataFrame, root: str, path_col: str = "raw_path", content_col: str = "content") -> DataFrame:
-    """Store each content under its path once, through Hadoop's file systems of the tasks'
-    own root if that is mounted everywhere; gives the paths and whether they are new.
+    """Store each content under its path once; gives the paths and whether they are new.
 
-    ``root`` must be a folder that all executors share."""
-    import os
+    ``root`` is an address that every task reaches, of any file system pyarrow knows
+    (hdfs://, s3://, gs://, file://) or a folder that all executors mount.  Contents get
+    another name first, so a file is whole once it has its own; a task that runs twice
+    writes the same bytes."""
 
     def put(frames):
+        from pyarrow import fs as stores
+
+        store, base = stores.FileSystem.from_uri(root)
         for frame in frames:
             new = []
             for path, content in zip(frame[path_col], frame[content_col], strict=True):
-                target = f"{root}/{path}"
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                fresh = not os.path.exists(target)
+                target = f"{base.rstrip('/')}/{path}"
+                fresh = store.get_file_info(target).type == stores.FileType.NotFound
                 if fresh:
-                    part = f"{target}.{uuid.uuid4().hex}"  # a task that runs twice renames the same bytes
-                    with open(part, "wb") as f:
+                    store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    part = f"{target}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as f:
                         f.write(bytes(content))
-                    os.replace(part, target)
+                    store.move(part, target)
                 new.append(fresh)
             yield frame[[path_col]].assign(was_new=new)
 
