@@ -56,8 +56,7 @@ def stem(filename: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    lower = F.lower(name)
-    return F.coalesce(*[F.when(lower == k, F.lit(str(n))) for k, n in MONTHS.items()])
+    return F.try_element_at(F.create_map(*[F.lit(str(x)) for kv in MONTHS.items() for x in kv]), F.lower(name))
 
 
 def iso_date(year: Column, month: Column, day: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import control_queries, text_queries, view_queries
+from . import control_queries, function_queries, text_queries, view_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (view_queries, text_queries, control_queries)
+PARTS = (view_queries, text_queries, control_queries, function_queries)
 
 
 def queries() -> dict[str, Query]:

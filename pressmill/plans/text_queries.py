@@ -151,7 +151,12 @@ def _(spark, d):
     return layout.page_kinds(keyed, layout.running_sections(keyed))
 
 
-@query("TE_outline_articles")
+@query(
+    "TE_outline_articles",
+    "with l as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i, unnest(string_split(coalesce(text, ''), chr(10))) as t, len(string_split(coalesce(text, ''), chr(10))) as n from documents), "
+    "p as (select doc_id, case when i < greatest(n // 2, 1) then 1 else 2 end as page, bool_or(i % 4 = 0 or trim(t) <> '') as there from l group by 1, 2) "
+    "select doc_id as document_key, cast(page as int) as article_order, cast(page as int) as start_page, cast(page + 1 as int) as end_page from p where there",
+)
 def _(spark, d):
     rows = markdown_pages(spark, d).withColumnRenamed("markdown_text", "raw_text")
     entries = rows.select("document_key", F.col("page_number").alias("ordinal"), F.lit("t").alias("title"), F.lit("s").alias("section"), F.col("page_number").alias("start_page"), F.lit(True).alias("is_leaf"))
