@@ -70,9 +70,11 @@ def _parsed(messages: DataFrame, config: mail.MailConfig, make: Callable | None,
     """(attachments with downloaded links, all links with their verdicts), each read once."""
     fetch = (lambda: getattr(make(), "attachment", None)) if make is not None else None
     found = mail.attachments(messages, fetch)
+    if not config.body_links:
+        make = None
     links = mail.sorted_links(mail.candidate_links(mail.bodies(messages)), config.allowed_domains)
-    refused = links.filter("verdict != 'allowed'").select("message_id", F.col("pos").cast("int").alias("pos"), F.col("url").alias("link_url"), "verdict", F.lit(None).cast("string").alias("error"))
-    got = storage.stored(mail.downloads(links, make), f"{label}-links") if make is not None else None
+    refused = links.filter("verdict != 'allowed'" if config.body_links else "false").select("message_id", F.col("pos").cast("int").alias("pos"), F.col("url").alias("link_url"), "verdict", F.lit(None).cast("string").alias("error"))
+    got = storage.stored(mail.downloads(links, make, config.link_words), f"{label}-links") if make is not None else None
     every = storage.stored(ingest.with_links(found, got) if got is not None else found.withColumn("link_url", F.lit(None).cast("string")), f"{label}-attachments")
     return every, refused if got is None else refused.unionByName(got.select(*refused.columns))
 
@@ -158,7 +160,7 @@ def retry_failed(spark: SparkSession, root: str, run_id: str, config: mail.MailC
 
 def import_mail(spark: SparkSession, root: str, run_id: str, config: mail.MailConfig, make: Callable, now: str, fallback_year: int, source: str = SOURCE) -> Summary:
     """Search after the checkpoint, import what is found, then retry what had failed."""
-    messages = mail.fetched(spark, make, config, checkpoint_of(spark, root, source))
+    messages = mail.fetched(spark, make, config, checkpoint_of(spark, root, source), config.label_ids)
     done = run_import(spark, root, run_id, messages, config, make, now, fallback_year, source)
     again = retry_failed(spark, root, f"{run_id}-retry", config, make, now, fallback_year, source)
     if again is None:

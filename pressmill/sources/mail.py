@@ -9,13 +9,15 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .settings import load, setting
 
 #: The prefix and the parts of names (in lower case) of translated copies.
 TRANSLATED_PREFIX = "【译】"
@@ -28,22 +30,20 @@ class FetchError(OSError):
 
 @dataclass(frozen=True)
 class MailConfig:
-    """Typed settings with their defaults, from a JSON file or a mapping."""
+    """Typed settings of a mailbox with their defaults."""
 
-    query: str = ""
-    allowed_senders: tuple[str, ...] = ()
-    allowed_domains: tuple[str, ...] = ()
-    max_results: int = 25
-    include_spam: bool = False
+    query: str = setting("query", "")
+    allowed_senders: tuple[str, ...] = setting("allowed_senders", ())
+    allowed_domains: tuple[str, ...] = setting("allowed_link_domains", ())
+    max_results: int = setting("max_results", 25)
+    include_spam: bool = setting("include_spam_trash", False)
+    label_ids: tuple[str, ...] = setting("label_ids", ())
+    body_links: bool = setting("enable_body_links", True)
+    link_words: tuple[str, ...] = setting("download_link_keywords", ("download", "pdf", "下载"))
 
     @classmethod
     def load(cls, values: dict | str) -> MailConfig:
-        values = json.loads(values) if isinstance(values, str) else values
-        known = {f.name: f for f in fields(cls)}
-        made = {k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known}
-        if isinstance(made.get("include_spam"), str):
-            made["include_spam"] = made["include_spam"].strip().lower() in ("1", "true", "yes", "on")
-        return cls(**made | ({"max_results": int(made["max_results"])} if "max_results" in made else {}))
+        return load(cls, values)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -138,11 +138,12 @@ def sorted_links(links: DataFrame, domains: tuple[str, ...]) -> DataFrame:
     return links.withColumns({"link_id": tx.link_id(F.col("url")), "verdict": F.when(allowed, "allowed").otherwise("link_domain_not_allowed")})
 
 
-def resolve(url: Column, landing: Column, head: Column, html: Column) -> Column:
+def resolve(url: Column, landing: Column, head: Column, html: Column, words: tuple[str, ...] = ("download", "pdf", "下载")) -> Column:
     """Where a link's file is: a PDF path, the landing service's answer, the link
     itself if it serves a PDF, a PDF anchor, or an address within a script."""
     links = tx.anchors(html)
-    wanted = F.filter(links, lambda a: tx.looks_like_pdf_url(a["href"]) | F.lower(a["label"]).rlike("download|pdf|下载"))
+    named = lambda label: reduce(Column.__or__, [F.contains(F.lower(label), F.lit(w.lower())) for w in words], F.lit(False))
+    wanted = F.filter(links, lambda a: tx.looks_like_pdf_url(a["href"]) | named(a["label"]))
     script = tx.match(html, r"[\"'](https?://[^\"']+\.pdf[^\"']*)[\"']")
     return F.coalesce(
         F.when(tx.looks_like_pdf_url(url), url), F.when(landing != "", landing), F.when(head.startswith("%PDF"), url),
@@ -201,7 +202,7 @@ def fetched_by_id(rows: DataFrame, make: Callable, keep_errors: bool = False) ->
     return got.withColumn("sender", tx.sender_address("sender"))
 
 
-def downloads(links: DataFrame, make: Callable) -> DataFrame:
+def downloads(links: DataFrame, make: Callable, words: tuple[str, ...] = ("download", "pdf", "下载")) -> DataFrame:
     """What became of each allowed link: an attachment, or why there is none.
 
     ``make()`` gives a client with ``fetch_html(url)``, ``download_binary(url)`` and,
@@ -252,7 +253,7 @@ def downloads(links: DataFrame, make: Callable) -> DataFrame:
     rows = links.filter("verdict = 'allowed'").select("message_id", "url", F.col("pos").cast("int").alias("pos"), "link_id", F.coalesce(tx.looks_like_pdf_url(F.col("url")), F.lit(False)).alias("direct"))
     seen = rows.mapInPandas(look, f"{key}, direct boolean, landing string, landing_name string, content binary, html string, error string")
     head = F.when(F.col("content").isNotNull(), "%PDF").otherwise("")
-    aimed = seen.withColumn("target", F.when(F.col("error").isNull(), resolve(F.col("url"), F.col("landing"), head, F.col("html"))))
+    aimed = seen.withColumn("target", F.when(F.col("error").isNull(), resolve(F.col("url"), F.col("landing"), head, F.col("html"), words)))
     aimed = aimed.withColumn("filename", F.coalesce("landing_name", tx.filename_from_url(F.col("target")))).withColumn("translated", F.coalesce(is_translated(F.col("filename")), F.lit(False)))
     aimed = aimed.select(*[x.split()[0] for x in key.split(", ")], "target", "filename", "translated", "content", "error", (F.col("target").isNotNull() & ~F.col("translated")).alias("wanted"))
     got = aimed.mapInPandas(take, f"{key}, target string, filename string, translated boolean, content binary, error string, wanted boolean")

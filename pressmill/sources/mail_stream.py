@@ -3,7 +3,7 @@
     spark.dataSource.register(MailSource)
     spark.readStream.format("pressmill_mail").option("client", "package.module:make").option("query", "from:x")
 
-``make()`` gives a client with ``list(query, max_results, label_ids, include_spam) ->
+``make()``, or ``make(options)`` with what the stream was given, gives a client with ``list(query, max_results, label_ids, include_spam) ->
 ids`` and ``get(id) -> message``.  An offset is the date of the newest message so far,
 in milliseconds, and the ids that have just this date: the service searches by whole
 seconds, so a search overlaps the last one, and what the offset tells apart is what
@@ -17,6 +17,7 @@ offset, isn't seen: neither does a search after a checkpoint.
 from __future__ import annotations
 
 import importlib
+import inspect
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -28,10 +29,11 @@ SCHEMA = "message_id string, sender string, internal_date string, payload string
 PER_TASK = 50
 
 
-def client_of(name: str):
-    """What ``package.module:function`` makes."""
-    module, _, function = name.partition(":")
-    return getattr(importlib.import_module(module), function)()
+def client_of(options: dict):
+    """What ``package.module:function`` makes, of the options if it takes an argument."""
+    module, _, function = options["client"].partition(":")
+    make = getattr(importlib.import_module(module), function)
+    return make(options) if inspect.signature(make).parameters else make()
 
 
 class Range(InputPartition):
@@ -61,7 +63,7 @@ def between(found: list[tuple[int, str]], start: dict, end: dict | None = None)
 def fetch(options: dict, partition: Range) -> Iterator[tuple]:
     from email.utils import parseaddr
 
-    client = client_of(options["client"])
+    client = client_of(options)
     for seq, key in partition.rows:
         key, sender, date, payload = message_row(client.get(key), key)
         yield key, parseaddr(sender)[1] or sender, date, payload, seq
@@ -80,7 +82,7 @@ class MailReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         start = {"ms": int(self.options.get("afterms", "-1")), "ids": []}
-        return ranges(between(dated(client_of(self.options["client"]), self.options, max(0, start["ms"])), start))
+        return ranges(between(dated(client_of(self.options), self.options, max(0, start["ms"])), start))
 
     def read(self, partition: Range) -> Iterator[tuple]:
         return fetch(self.options, partition)
@@ -96,7 +98,7 @@ class MailStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         if self.start["ms"] < 0:
             self.start = self.initialOffset()
-        new = between(dated(client_of(self.options["client"]), self.options, max(0, self.start["ms"])), self.start)
+        new = between(dated(client_of(self.options), self.options, max(0, self.start["ms"])), self.start)
         if not new:
             return self.start
         top = new[-1][0]
@@ -105,7 +107,7 @@ class MailStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         self.start = end
-        return ranges(between(dated(client_of(self.options["client"]), self.options, max(0, start["ms"])), start, end))
+        return ranges(between(dated(client_of(self.options), self.options, max(0, start["ms"])), start, end))
 
     def read(self, partition: Range) -> Iterator[tuple]:
         return fetch(self.options, partition)

@@ -174,9 +174,11 @@ def migrate(spark: SparkSession, root: str, seconds: float = 60) -> list[int]:
 
 
 def inspect(spark: SparkSession, root: str) -> dict:
-    """Health: reachable, versions applied, versions missing."""
+    """Whether the tables are there: ok, or error and what lacks; versions applied and missing."""
     done = sorted(r["version"] for r in _read(spark, f"{root}/_schema_version", "version int").collect())
-    return {"reachable": True, "applied": done, "pending": [v for v, _, _ in MIGRATIONS if v not in done]}
+    pending = [v for v, _, _ in MIGRATIONS if v not in done]
+    detail = "no table was ever made" if not done else "tables are missing" if pending else "all tables are there"
+    return {"status": "error" if pending else "ok", "detail": detail, "applied": done, "pending": pending}
 
 
 def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:

@@ -36,10 +36,11 @@ def import_available(items: DataFrame, out: str, checkpoint: str) -> StreamingQu
     return items.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def mail_stream(spark: SparkSession, client: str, config: mail.MailConfig, after_ms: int | None = None) -> DataFrame:
-    """New messages as a stream; ``client`` names a function as ``package.module:function``."""
+def mail_stream(spark: SparkSession, client: str, config: mail.MailConfig, after_ms: int | None = None, **options: str) -> DataFrame:
+    """New messages as a stream; ``client`` names a function as ``package.module:function``,
+    which may take the options of the stream."""
     spark.dataSource.register(MailSource)
-    asked = spark.readStream.format("pressmill_mail").option("client", client).option("query", config.query).option("maxResults", str(config.max_results)).option("includeSpam", str(config.include_spam))
+    asked = spark.readStream.format("pressmill_mail").option("client", client).option("query", config.query).option("maxResults", str(config.max_results)).option("includeSpam", str(config.include_spam)).option("labels", ",".join(config.label_ids)).options(**options)
     return (asked.option("afterMs", str(after_ms)) if after_ms is not None else asked).load()
 
 

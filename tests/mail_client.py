@@ -1,17 +1,7 @@
-"""A mail client for streams under test: the search begins with a mailbox file's path."""
+"""A mail client for streams under test, of the mailbox file that the options name."""
 
 from tests.test_mail_import import Client
 
 
-class FromQuery(Client):
-    def __init__(self):
-        pass
-
-    def list(self, query, n, labels, spam):
-        path, _, rest = query.partition(" ")
-        Client.__init__(self, path)
-        return Client.list(self, rest, n, labels, spam)
-
-
-def from_query():
-    return FromQuery()
+def from_options(options):
+    return Client(options["box"])

@@ -210,7 +210,7 @@ def test_mail(spark):
     assert [(r.url, r.verdict) for r in links] == [("https://Files.Ex.com/a.pdf", "allowed"), ("https://bad.org/x", "link_domain_not_allowed")]
     found = spark.createDataFrame([("https://e.x/p", "", "", '<a href="https://e.x/q.pdf">PDF</a>'), ("https://e.x/z.pdf", "", "", ""), ("https://e.x/p", "", "%PDF-1", ""), ("https://e.x/p", "", "", "var u='https://e.x/s.pdf'")], "url string, landing string, head string, html string")
     assert [r[0] for r in found.select(mail.resolve(F.col("url"), F.col("landing"), F.col("head"), F.col("html"))).collect()] == ["https://e.x/q.pdf", "https://e.x/z.pdf", "https://e.x/p", "https://e.x/s.pdf"]
-    assert mail.MailConfig.load('{"max_results": "7", "allowed_senders": ["a"], "include_spam": "yes", "else": 1}') == mail.MailConfig(max_results=7, allowed_senders=("a",), include_spam=True)
+    assert mail.MailConfig.load('{"max_results": "7", "allowed_senders": ["a"], "include_spam_trash": "yes", "else": 1}') == mail.MailConfig(max_results=7, allowed_senders=("a",), include_spam=True)
 
 
 def test_images(spark):

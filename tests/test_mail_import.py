@@ -59,12 +59,6 @@ class Client:
         return self.data["pages"][url]
 
 
-def made():
-    import os
-
-    return Client(os.environ["PRESSMILL_TEST_MAIL"])
-
-
 @pytest.fixture()
 def box(tmp_path, monkeypatch):
     """Write the mailbox; gives (path, a client maker, where the lake is)."""
@@ -175,8 +169,7 @@ def test_stream_gives_each_message_once(spark, box, tmp_path, monkeypatch):
     put(messages=first)
     spark.dataSource.register(mail_stream.MailSource)
     reader = mail_stream.MailStreamReader({"client": HERE, "query": "q"})
-    monkeypatch.setenv("PRESSMILL_TEST_MAIL", path)
-    monkeypatch.setattr(mail_stream, "client_of", lambda name: Client(path))
+    monkeypatch.setattr(mail_stream, "client_of", lambda options: Client(path))
     start = reader.initialOffset()
     end = reader.latestOffset()
     assert end == {"ms": 6500, "ids": ["m3"]}
@@ -200,11 +193,11 @@ def test_two_streamed_imports(spark, box, tmp_path):
     put, make, root, path = box
     first = {"m1": message(5000, pdfs=[("a.pdf", "%PDF a")]), "m2": message(6000, pdfs=[("b.pdf", "%PDF b")]), "m3": message(6500, "else@ex.com")}
     put(messages=first)
-    config = mail.MailConfig(query=path, allowed_senders=("News@ex.com",), max_results=100)
+    config = mail.MailConfig(query="q", allowed_senders=("News@ex.com",), max_results=100)
     folder = str(tmp_path / "offsets")
 
     def go():
-        query = imports.import_stream(imports.mail_stream(spark, "tests.mail_client:from_query", config), root, config, make, folder, lambda: NOW, 2026)
+        query = imports.import_stream(imports.mail_stream(spark, "tests.mail_client:from_options", config, box=path), root, config, make, folder, lambda: NOW, 2026)
         assert query.awaitTermination(120)
         assert query.exception() is None
 

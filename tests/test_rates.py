@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import dates
 from pressmill.operators import control
-from pressmill.sources import ocr, rate_budget, storage
+from pressmill.sources import mail, ocr, rate_budget, settings, storage
 from pressmill.sources.throttle import RateLimitExceeded
 
 
@@ -142,3 +142,23 @@ def test_dates_of_names_and_texts(spark):
     assert all(r[0] == r.want for r in sources.select(dates.source_name(F.col("n")), "want").collect())
     stamps = spark.createDataFrame([("2026-01-02 03:04:05",), ("2026-01-02T03:04:05",), ("x",), (None,)], "t string").select(dates.stored_timestamp(F.col("t"))).collect()
     assert [r[0] is None for r in stamps] == [False, False, True, True] and stamps[0] == stamps[1]
+
+
+def test_settings(spark, tmp_path):
+    made = settings.load(settings.LayoutService, {"LAYOUT_API_TOKEN": " t ", "LAYOUT_ENABLE_OCR": "YES", "LAYOUT_ENABLE_TABLE": "off", "LAYOUT_POLL_TIMEOUT_SECONDS": " 7 ", "LAYOUT_MODEL_VERSION": " "})
+    assert (made.token, made.ocr, made.tables, made.formulas, made.poll_timeout, made.model, made.per_minute) == ("t", True, False, True, 7, "vlm", 45)
+    for kind, values in ((settings.LayoutService, {}), (settings.Engine, {"APP_ENV": "x", "STORAGE_ROOT": " "}), (settings.ChatService, {"CHAT_API_KEY": "k", "CHAT_MODEL": "m"})):
+        with pytest.raises(settings.MissingSetting):
+            settings.load(kind, values)
+    assert settings.load(settings.ChatService, {"CHAT_API_KEY": "k", "CHAT_MODEL": "m", "CHAT_BASE_URL": "https://c.x/"}).address == "https://c.x"
+    config = mail.MailConfig.load('{"allowed_link_domains": ["a.x"], "enable_body_links": false, "label_ids": ["L"], "download_link_keywords": ["get"]}')
+    assert (config.allowed_domains, config.body_links, config.label_ids, config.link_words, config.max_results) == (("a.x",), False, ("L",), ("get",), 25)
+    page = spark.createDataFrame([("https://e.x/p", "<a href='https://e.x/1'>PDF</a><a href='https://e.x/2'>GET it</a>")], "url string, html string")
+    assert page.select(mail.resolve(F.col("url"), F.lit(""), F.lit(""), F.col("html"), ("get",))).first()[0] == "https://e.x/2"
+
+
+def test_health(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    assert storage.inspect(spark, root)["status"] == "error"
+    said = settings.health(spark, {"APP_ENV": "test", "STORAGE_ROOT": root}, "web")
+    assert (said["status"], said["service"], said["environment"], said["tables"]["pending"]) == ("ok", "web", "test", [])
