@@ -91,5 +91,5 @@ def test_stages_on_odd_tables(spark, tables, rows):
 def test_run_and_names(spark, tables):
     d, *_ = tables
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()}
-    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 14))
     assert np.all([k in queries.queries() for k in queries.oracle_sql()])
