@@ -162,6 +162,26 @@ def test_quantised_residuals_prune_and_keep_recall(spark):
     assert (cell[few[1]] == cell[0]).all()
 
 
+@pytest.mark.parametrize("kind", ["wide", "other queries", "large numbers"])
+def test_recall_on_other_rows(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 256 if kind == "wide" else 32)).astype(np.float32)
+    if kind == "other queries":  # they point where other rows hardly vary
+        x[:, 16:] *= 0.05
+        x[::20] = np.where(np.arange(32) < 16, 0.01, rng.standard_normal((150, 32)))
+    x *= np.float32(1e25 if kind == "large numbers" else 1)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.neighbours(table, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    x, right = x.astype(float), 0
+    for q in range(0, 3000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        right += len(found[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert right >= 0.95 * 20 * 150
+
+
 def test_lists_are_packed_into_parts():
     assert ann.packed({0: 3, 1: 3, 2: 5, 3: 25, 4: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 3), 4: (5, 1)}
     assert ann.packed({7: 10, 9: 0, 11: 11}, 10) == {7: (0, 1), 9: (1, 1), 11: (1, 2)}
