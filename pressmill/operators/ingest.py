@@ -114,12 +114,12 @@ def audit_items(messages: DataFrame, attachments: DataFrame, senders: tuple[str,
 
 
 
-def run_counts(items: DataFrame, *keys: str) -> DataFrame:
+def run_counts(items: DataFrame, *keys: str, **also: Column) -> DataFrame:
     """Counts of audit rows, by ``keys`` if any, and the status they give a run: partial
-    if an item failed."""
+    if an item failed; with further aggregates by name."""
     n = lambda when: F.coalesce(F.count_if(when), F.lit(0).cast("long"))
     of, code = F.col("status"), F.col("detail_code")
-    counts = items.groupBy(*keys).agg(n(of == "failed").alias("failed_item_count"), n(of == "skipped").alias("skipped_item_count"), n(code.isin("document_created", "duplicate_document")).alias("imported_attachment_count"), n(code == "document_created").alias("created_document_count"), n(code == "duplicate_document").alias("skipped_document_count"))
+    counts = items.groupBy(*keys).agg(n(of == "failed").alias("failed_item_count"), n(of == "skipped").alias("skipped_item_count"), n(code.isin("document_created", "duplicate_document")).alias("imported_attachment_count"), n(code == "document_created").alias("created_document_count"), n(code == "duplicate_document").alias("skipped_document_count"), *[c.alias(k) for k, c in also.items()])
     return counts.withColumn("status", F.when(F.col("failed_item_count") > 0, "partial").otherwise("succeeded"))
 
 

@@ -148,10 +148,10 @@ def _(t):
     return t.processing_runs().agg(F.coalesce(F.max("automatic_failure_count"), F.lit(0).cast("long")).alias("max_failures"))
 
 
-@query("A7_items_by_status", "select run_id, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'skipped') as skipped, case when count(*) filter (status = 'failed') > 0 then 'partial' else 'succeeded' end as run_status from items group by 1")
+@query("A7_items_by_status", "select run_id, count(*) filter (status = 'imported') as imported, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'failed') as failed, case when count(*) filter (status = 'failed') > 0 then 'partial' else 'succeeded' end as run_status from items group by 1")
 def _(t):
-    counts = ingest.run_counts(t.audit_items(), "run_id")
-    return counts.select("run_id", F.col("failed_item_count").alias("failed"), F.col("skipped_item_count").alias("skipped"), F.col("status").alias("run_status"))
+    counts = ingest.run_counts(t.audit_items(), "run_id", imported=F.count_if(F.col("status") == "imported"))
+    return counts.select("run_id", "imported", F.col("skipped_item_count").alias("skipped"), F.col("failed_item_count").alias("failed"), F.col("status").alias("run_status"))
 
 
 @query("A8_pagination", "select 2 as page, 20 as page_size, count(*) as total, cast(ceil(count(*) / 20.0) as bigint) as total_pages from visible")

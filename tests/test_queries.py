@@ -62,3 +62,8 @@ def test_every_row_has_its_place(spark):
     got = registry.queries()["O1_processing_order"](spark, FOLDER)
     places = sorted(r.place for r in got.collect())
     assert places == list(range(1, len(places) + 1)) and len(places) > 100
+
+
+def test_items_of_every_status_are_counted(spark):
+    rows = registry.queries()["A7_items_by_status"](spark, FOLDER).collect()
+    assert sum(r.imported + r.skipped + r.failed for r in rows) == spark.read.parquet(f"{FOLDER}/events.parquet").count()
