@@ -159,10 +159,9 @@ def _(t):
     return v.pagination(v.visible_articles(t), 2, 20)
 
 
-@query("A9_checkpoint_max", "select cast(max(epoch_us(created_at) // 1000) as bigint) as checkpoint_ms from items where item_type <> 'view'")
+@query("A9_checkpoint_max", "select item_type, cast(max(epoch_us(created_at) // 1000) as bigint) as checkpoint_ms from items group by 1")
 def _(t):
-    chosen = t.audit_items().filter("item_type != 'view'")
-    return mail.checkpoint(chosen.select(F.unix_millis(F.col("created_at").cast("timestamp")).cast("string").alias("internal_date")))
+    return mail.checkpoint(t.audit_items().select("item_type", F.unix_millis(F.col("created_at").cast("timestamp")).cast("string").alias("internal_date")), "item_type")
 
 
 @query("A10_largest_image", "select article_id, image_path as hero_image from (select *, row_number() over (partition by article_id order by cast(width as bigint) * height desc, image_order) as rn from imgs) where rn = 1")

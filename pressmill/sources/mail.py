@@ -57,9 +57,9 @@ def since(messages: DataFrame, checkpoint_ms: int | None) -> DataFrame:
     return messages.filter(F.col("internal_date").try_cast("bigint") >= (checkpoint_ms // 1000) * 1000)
 
 
-def checkpoint(selected: DataFrame) -> DataFrame:
-    """The largest date of the selected messages, as a number, failed items or not."""
-    return selected.agg(F.max(F.col("internal_date").try_cast("bigint")).alias("checkpoint_ms"))
+def checkpoint(selected: DataFrame, *keys: str) -> DataFrame:
+    """The largest date of the selected messages, as a number, failed items or not; by ``keys`` if any."""
+    return selected.groupBy(*keys).agg(F.max(F.col("internal_date").try_cast("bigint")).alias("checkpoint_ms"))
 
 
 def parts_of(payload: dict) -> Iterator[dict]:

@@ -67,3 +67,8 @@ def test_every_row_has_its_place(spark):
 def test_items_of_every_status_are_counted(spark):
     rows = registry.queries()["A7_items_by_status"](spark, FOLDER).collect()
     assert sum(r.imported + r.skipped + r.failed for r in rows) == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+
+
+def test_every_type_of_item_has_its_checkpoint(spark):
+    kinds = {r[0] for r in spark.read.parquet(f"{FOLDER}/events.parquet").select("event_type").distinct().collect()}
+    assert {r.item_type for r in registry.queries()["A9_checkpoint_max"](spark, FOLDER).collect()} == kinds and "view" in kinds
