@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
+import zlib
 from difflib import SequenceMatcher
 from email.utils import parseaddr
 from html.parser import HTMLParser
@@ -229,6 +231,21 @@ def identity_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else "".join(x.casefold().split()))
 
 
+#: Places of a text's three-letter sequences, in words of 64 bits.
+GRAM_WORDS = 16
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def gram_bits(s: pd.Series) -> pd.Series:
+    """A bit for each sequence of three characters, by its crc32."""
+    def one(x):
+        bits = 0
+        for i in range(len(x) - 2):
+            bits |= 1 << zlib.crc32(x[i : i + 3].encode("utf-8", "surrogatepass")) % (64 * GRAM_WORDS)
+        return struct.unpack(f"<{GRAM_WORDS}q", bits.to_bytes(8 * GRAM_WORDS, "little"))
+    return s.map(one)
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio; 0 if either is empty."""

@@ -55,7 +55,7 @@ def article_keys(articles: DataFrame, threshold: float = 0.9, opening: int = 160
     Candidates come from an index by document, page (where known) and length: texts
     whose ratio reaches the threshold are at most (2 - t) / t times as long, so they lie in the
     same or a neighbouring class of lengths.  Of those go on the ones that share
-    enough characters, a bound of the ratio too; equal texts need no comparison, and who has
+    enough sequences of three characters, and enough characters, bounds of the ratio too; equal texts need no comparison, and who has
     an equal one nothing else; difflib sees the rest."""
     new_key = F.sha2(F.concat_ws("|", F.col("document_key").cast("string"), F.col("run_seq").cast("string"), F.col("article_id").cast("string")).cast("binary"), 256)
     named = articles.select("document_key", "run_seq", "article_id", tx.identity_text("title").alias("t"), tx.identity_text(F.substring("body_text", 1, opening)).alias("o"), F.array_distinct(F.filter(F.coalesce("pages", F.array().cast("array<int>")), lambda p: p > 0)).alias("pages"), new_key.alias("node"))
@@ -80,14 +80,20 @@ def _near_texts(named: DataFrame, threshold: float) -> DataFrame:
     """(node, old, text, old_text, same, place): titles and openings of earlier runs that
     a difflib ratio of ``threshold`` is possible with; ``place`` orders the older ones."""
     texts = named.select("document_key", "run_seq", "article_id", "node", "pages", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("t").alias("text")), F.struct(F.lit("o").alias("kind"), F.col("o").alias("text")))).alias("x"))
-    texts = texts.select("document_key", "run_seq", "article_id", "node", "pages", "x.*").filter("text != ''").withColumn("n", F.length("text"))
+    texts = texts.select("document_key", "run_seq", "article_id", "node", "pages", "x.*").filter("text != ''").withColumns({"n": F.length("text"), "bits": tx.gram_bits("text")})
     base = (2 - threshold) / threshold
     texts = texts.withColumn("class", F.floor(F.log("n") / F.log(F.lit(base))).cast("int") if base > 1 else F.col("n"))
     new = texts.withColumn("page", F.explode(F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array(F.lit(-1)))))
     # Who knows no page is compared with all; so every older text is under -1 as well.
     old = texts.withColumn("page", F.explode(F.concat("pages", F.array(F.lit(-1))))).withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
-    old = old.select("document_key", "kind", "page", "class", F.col("run_seq").alias("old_run"), F.col("node").alias("old"), F.col("text").alias("old_text"), F.col("n").alias("old_n"), F.struct("run_seq", "article_id").alias("place"))
-    met = new.join(old, ["document_key", "kind", "page", "class"]).filter((F.col("old_run") < F.col("run_seq")) & (2.0 * F.least("n", "old_n") >= threshold * (F.col("n") + F.col("old_n")) - 1e-6))
+    old = old.select("document_key", "kind", "page", "class", F.col("run_seq").alias("old_run"), F.col("node").alias("old"), F.col("text").alias("old_text"), F.col("n").alias("old_n"), F.col("bits").alias("old_bits"), F.struct("run_seq", "article_id").alias("place"))
+    # m characters matched in at most (n + old_n - 2 m + 1) blocks hold m less two a block sequences
+    # of three; a text lacks no more of the other's than the rest. Bits that meet hide some.
+    both = F.col("n") + F.col("old_n")
+    kept = threshold * both / 2 - 2 * ((1 - threshold) * both + 1)
+    lacks = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(tx.GRAM_WORDS)), F.lit(0))
+    like = (lacks("bits", "old_bits") <= F.col("n") - 2 - kept + 1e-6) & (lacks("old_bits", "bits") <= F.col("old_n") - 2 - kept + 1e-6)
+    met = new.join(old, ["document_key", "kind", "page", "class"]).filter((F.col("old_run") < F.col("run_seq")) & (2.0 * F.least("n", "old_n") >= threshold * (F.col("n") + F.col("old_n")) - 1e-6) & like)
     met = met.groupBy("node", "old", "kind").agg(F.first(F.struct("text", "old_text", "n", "old_n", "place")).alias("x")).select("node", "old", "x.*")
     times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
     shared = F.aggregate(F.array_distinct(F.split("text", "")), F.lit(0), lambda n, c: n + F.least(times(F.col("text"), c), times(F.col("old_text"), c)))

@@ -143,3 +143,11 @@ def test_no_python_in_ordered_folds(spark):
 def test_similarity_of_empty_texts(spark):
     rows = spark.createDataFrame([("", "a"), ("abcd", "abce"), ("a", "")], "a string, b string")
     assert [round(r[0], 3) for r in rows.select(tx.similarity("a", "b")).collect()] == [0.0, 0.75, 0.0]
+
+
+def test_texts_without_common_sequences_are_no_pairs(spark):
+    """Anagrams share all their characters, but not their order: difflib never sees them."""
+    rng = random.Random(5)
+    rows = [("d", run, f"{run}", "".join(rng.sample("abcdefghijklmnopqrstuvwxyz" * 3, 78)), "", []) for run in (1, 2)]
+    named = spark.createDataFrame([(*r[:3], f"n{r[1]}", r[3], r[4], r[5]) for r in rows], "document_key string, run_seq int, article_id string, node string, t string, o string, pages array<int>")
+    assert identity._near_texts(named, 0.9).count() == 0 and identity._near_texts(named, 0.1).count() == 1
