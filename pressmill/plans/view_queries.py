@@ -422,7 +422,7 @@ def _(t):
 
 @query("P8_enrichment_defaults", f"select article_id, content_type, reason from {_ENRICHED}")
 def _(t):
-    return v.enriched(t).select("article_id", "content_type", "reason")
+    return v.translated(t).select("article_id", "content_type", "reason")
 
 
 @query("P7_domains", "select url, case when regexp_extract(lower(url), '^[a-z]+://([^/:?#]*)', 1) in ('blog.tionsh.example.net', 'thther.example.org', 'blog.ththan.example.net') then 'allowed' else 'link_domain_not_allowed' end as verdict from (select distinct url from pages)")

@@ -38,13 +38,19 @@ def usable_enrichments(t: Tables) -> DataFrame:
 
 
 def advertisements(t: Tables) -> DataFrame:
-    return usable_enrichments(t).filter(F.col("status") == AD).select("article_id").distinct()
+    """Articles of which one of the newest usable runs (of ties, any) is an advertisement.
+
+    Maxima of plain values aggregate by hash before the shuffle: no window, no sort."""
+    runs = t.enrichment_runs().filter(F.col("status").isin(*USABLE))
+    ad = F.col("status") == AD
+    newest = runs.groupBy("article_id").agg(F.max("finished_at").alias("last"), F.max(F.when(ad, F.col("finished_at"))).alias("last_ad"), F.max(ad).alias("known"))
+    return newest.filter(F.col("known") & F.col("last").eqNullSafe(F.col("last_ad"))).select("article_id")
 
 
 def visible_articles(t: Tables) -> DataFrame:
     """Articles of the latest succeeded runs that aren't advertisements."""
-    runs = latest_runs(t).select("parse_run_id", "document_key")
-    return t.articles().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name"), "document_key").join(advertisements(t), "article_id", "left_anti")
+    runs = latest_runs(t).select("parse_run_id", "document_key").join(t.documents().select("document_key", "source_name"), "document_key")
+    return t.articles().join(runs, "parse_run_id").join(advertisements(t), "article_id", "left_anti")
 
 
 def numbered(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
@@ -65,7 +71,7 @@ def document_detail(t: Tables) -> DataFrame:
     """Every document as its queue and its files have it, a row each visible article of
     its latest run (one without, if it has none)."""
     q = t.document_queue().withColumn("error_summary", document_error()).withColumnRenamed("status", "queued")
-    shown = visible_articles(t).select("document_key", "article_id", "publication_date", "title").join(enriched(t).select("article_id", "title_zh", "summary_zh", "enrichment_status"), "article_id", "left")
+    shown = visible_articles(t).select("document_key", "article_id", "publication_date", "title").join(translated(t).select("article_id", "title_zh", "summary_zh", "enrichment_status"), "article_id", "left")
     count = shown.groupBy("document_key").agg(F.count("*").alias("n"))
     rows = t.documents().join(t.document_files(), "document_key").join(q, "document_key", "left").join(count, "document_key", "left").join(shown, "document_key", "left")
     reading = F.when(F.col("article_id").isNotNull(), F.when(F.col("enrichment_status").isNotNull(), "ready").otherwise("english_fallback"))
@@ -210,12 +216,27 @@ def listed(facets: DataFrame) -> DataFrame:
     return facets.groupBy("facet").agg(F.sort_array(F.collect_set("value")).alias("values"))
 
 
-def enriched(t: Tables) -> DataFrame:
-    """(article_id, enrichment_status, title_zh, summary_zh, body_zh, content_type, reason, tags):
-    the latest usable enrichment with its output; what an output lacks has its default."""
+def translated(t: Tables) -> DataFrame:
+    """(enrichment_run_id, article_id, enrichment_status, title_zh, summary_zh, body_zh, content_type, reason):
+    the latest usable enrichment with its output; what an output lacks has its default.
+
+    Without tags: an unused join would still be made."""
     best = latest_enrichment(t).select("article_id", "enrichment_run_id", F.col("status").alias("enrichment_status"))
-    rows = best.join(t.outputs(), "enrichment_run_id", "left").join(ordered_tags(t), "enrichment_run_id", "left")
-    return rows.withColumns({"content_type": F.coalesce("content_type", F.lit("article")), "reason": F.coalesce("reason", F.lit("")), "tags": F.coalesce("tags", F.lit(""))}).drop("enrichment_run_id")
+    said = ["title_zh", "summary_zh", "body_zh", "content_type", "reason"]
+    # An article's few outputs come to it by its id, so that nothing moves by the runs' ids as well.
+    outputs = t.outputs().groupBy("article_id").agg(F.collect_list(F.struct("enrichment_run_id", *said)).alias("outputs"))
+    own = F.get(F.filter("outputs", lambda o: o["enrichment_run_id"] == F.col("enrichment_run_id")), F.lit(0))
+    rows = best.join(outputs, "article_id", "left").withColumn("output", own)
+    rows = rows.select("article_id", "enrichment_run_id", "enrichment_status", *[F.col(f"output.{c}").alias(c) for c in said])
+    return rows.withColumns({"content_type": F.coalesce("content_type", F.lit("article")), "reason": F.coalesce("reason", F.lit(""))})
+
+
+def enriched(t: Tables) -> DataFrame:
+    """``translated`` with its tags in order."""
+    tags = t.tags().groupBy("article_id").agg(F.collect_list(F.struct("enrichment_run_id", "tag_order", "tag")).alias("tagged"))
+    own = F.array_sort(F.filter("tagged", lambda x: x["enrichment_run_id"] == F.col("enrichment_run_id")))
+    rows = translated(t).join(tags, "article_id", "left")
+    return rows.withColumn("tags", F.coalesce(F.array_join(F.transform(own, lambda x: x["tag"]), "|"), F.lit(""))).drop("enrichment_run_id", "tagged")
 
 
 def article_detail(t: Tables) -> DataFrame:
@@ -223,7 +244,9 @@ def article_detail(t: Tables) -> DataFrame:
     enrichment and the three states; its translated body without local images."""
     pictures = t.images().groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("image_order", "image_path"))), lambda x: x["image_path"]).alias("images"))
     runs = t.parse_runs().select("parse_run_id", "document_key", F.col("status").alias("parse_status"))
-    rows = t.articles().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name"), "document_key", "left").join(document_states(t), "document_key", "left").join(enriched(t), "article_id", "left").join(pictures, "article_id", "left").join(t.bodies(), "article_id", "left")
+    # Runs are told of their documents first: fewer rows than articles.
+    runs = runs.join(t.documents().select("document_key", "source_name"), "document_key", "left").join(document_states(t), "document_key", "left")
+    rows = t.articles().join(runs, "parse_run_id").join(enriched(t), "article_id", "left").join(pictures, "article_id", "left").join(t.bodies(), "article_id", "left")
     return rows.select(
         "article_id", "document_key", F.coalesce("source_name", F.lit("")).alias("source_name"), "publication_date", "title", "body_en", "title_zh", "summary_zh", F.when(F.col("body_zh").isNotNull(), tx.clean_text(F.col("body_zh"))).alias("body_zh"), F.coalesce("tags", F.lit("")).alias("tags"),
         F.array_join(F.coalesce("images", F.array().cast("array<string>")), "|").alias("images"), F.get("images", F.lit(0)).alias("hero_image"),
@@ -237,8 +260,8 @@ def document_states(t: Tables) -> DataFrame:
 
 def processing_detail(t: Tables) -> DataFrame:
     """Every queued article with its document, error summary and latest enrichment."""
-    rows = processing_rows(t).join(t.articles().select("article_id", "publication_date", "title"), "article_id").join(enriched(t).select("article_id", "content_type", "reason", "enrichment_status"), "article_id", "left")
-    rows = rows.join(source_pages(t), "article_id", "left").join(t.leases(), "article_key")
+    rows = of_runs(t, t.leased_runs()).join(t.articles().select("article_id", "publication_date", "title"), "article_id").join(translated(t).select("article_id", "content_type", "reason", "enrichment_status"), "article_id", "left")
+    rows = rows.join(source_pages(t), "article_id", "left")
     return rows.select(
         F.coalesce("source_pages", F.lit("")).alias("source_pages"), "last_success_input_hash", "last_attempt_started_at", "last_attempt_finished_at", "locked_by", "lock_expires_at", "created_at",
         "article_key", "article_id", "document_key", "source_name", "original_filename", "publication_date", "title", "status", "current_step", "automatic_failure_count", "last_error_message", "updated_at", error_summary().alias("error_summary"),
@@ -301,8 +324,13 @@ def both(conditions: list[Column]) -> Column:
 
 
 def processing_rows(t: Tables) -> DataFrame:
-    runs = t.parse_runs().select("parse_run_id", "document_key")
-    return t.processing_runs().join(runs, "parse_run_id").join(t.documents().select("document_key", "source_name", "original_filename"), "document_key")
+    return of_runs(t, t.processing_runs())
+
+
+def of_runs(t: Tables, queued: DataFrame) -> DataFrame:
+    """Queued articles with the document of their run; runs, fewer than articles, are told first."""
+    runs = t.parse_runs().select("parse_run_id", "document_key").join(t.documents().select("document_key", "source_name", "original_filename"), "document_key")
+    return queued.join(runs, "parse_run_id")
 
 
 def error_summary() -> Column:

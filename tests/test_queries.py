@@ -72,3 +72,9 @@ def test_items_of_every_status_are_counted(spark):
 def test_every_type_of_item_has_its_checkpoint(spark):
     kinds = {r[0] for r in spark.read.parquet(f"{FOLDER}/events.parquet").select("event_type").distinct().collect()}
     assert {r.item_type for r in registry.queries()["A9_checkpoint_max"](spark, FOLDER).collect()} == kinds and "view" in kinds
+
+
+def test_details_without_tags_read_no_tags(spark):
+    """An unused join with tags was made, whose shuffle is larger than all others."""
+    for name in ("V9_processing_detail", "V7_document_detail", "P8_enrichment_defaults"):
+        assert not [f for f in registry.queries()[name](spark, FOLDER).inputFiles() if f.endswith("/part.parquet")]
