@@ -16,10 +16,12 @@ from email.utils import parseaddr
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import bounded_batches
+
 #: Line ends as Python's splitlines has them.
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 #: Headings that are no articles.
@@ -288,7 +290,7 @@ class _Links(HTMLParser):
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("href", "string").add("label", "string")))
-def anchors(html: pd.Series) -> pd.Series:
+def _anchors(html: pd.Series) -> pd.Series:
     """Links of a page with their texts, in order."""
     def one(x):
         parser = _Links()
@@ -297,6 +299,12 @@ def anchors(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
+def anchors(html: Column | str) -> Column:
+    """Links of pages, which are long: few come to Python at once."""
+    bounded_batches(SparkSession.active())
+    return _anchors(html)
+
+
 @F.pandas_udf(T.StructType().add("width", "long").add("height", "long"))
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Pixels of a PNG or JPEG from its first 64 KiB; nulls if unreadable."""

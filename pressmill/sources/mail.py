@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .settings import load, setting
+from .storage import SLICE_BYTES, bounded_batches
 
 #: The prefix and the parts of names (in lower case) of translated copies.
 TRANSLATED_PREFIX = "【译】"
@@ -78,18 +79,25 @@ def decode(data: str) -> bytes:
 def attachments(messages: DataFrame, make_fetch: Callable[[], Callable[[str, str], bytes]] | None = None) -> DataFrame:
     """(message_id, pos, attachment_id, filename, mime_type, content) of PDF parts."""
 
+    columns = ["message_id", "pos", "attachment_id", "filename", "mime_type", "content"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fetch = make_fetch() if make_fetch else None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for m in batch.itertuples():
                 for i, part in enumerate(parts_of(json.loads(m.payload or "{}"))):
                     name, mime, body = part.get("filename") or "", part.get("mimeType") or "", part.get("body") or {}
                     if name and (mime == "application/pdf" or name.lower().endswith(".pdf")):
                         key = body.get("attachmentId") or part.get("partId") or name
                         rows.append((m.message_id, i, key, name, mime, decode(body["data"]) if body.get("data") else fetch(m.message_id, key) if fetch else b""))
-            yield pd.DataFrame(rows, columns=["message_id", "pos", "attachment_id", "filename", "mime_type", "content"])
+                        held += len(rows[-1][-1] or b"")
+                        if held > SLICE_BYTES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
+    bounded_batches(messages.sparkSession)
     return messages.mapInPandas(run, "message_id string, pos int, attachment_id string, filename string, mime_type string, content binary")
 
 
@@ -101,6 +109,7 @@ def bodies(messages: DataFrame) -> DataFrame:
             rows = [(m.message_id, p["mimeType"], decode(p["body"]["data"]).decode(errors="replace")) for m in batch.itertuples() for p in parts_of(json.loads(m.payload or "{}")) if p.get("mimeType") in ("text/plain", "text/html") and (p.get("body") or {}).get("data") and not p.get("filename")]
             yield pd.DataFrame(rows, columns=["message_id", "mime_type", "body"])
 
+    bounded_batches(messages.sparkSession)
     return messages.mapInPandas(run, "message_id string, mime_type string, body string")
 
 

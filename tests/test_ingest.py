@@ -223,3 +223,13 @@ def test_steps_end_at_the_first_error(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     got = {r.key: (r.outcome, r.message, r.failed_step) for r in control.run_steps(rows, [("parse_persist", lambda: lambda key: None), ("enrich", failing)]).collect()}
     assert got == {"a": ("succeeded", None, None), "b": ("failed", "boom", "enrich"), "c": ("rate_limited", "429", "enrich")}
+
+
+@pytest.mark.parametrize("name", ["S4_attachments", "C20_anchors"])
+def test_long_texts_come_to_python_a_few_at_once(spark, name):
+    from pressmill.plans import registry
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(key)) <= 2000
