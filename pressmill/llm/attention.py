@@ -22,8 +22,8 @@ import numpy as np
 
 WIDTH, BLOCK = 15, 24
 #: With the constant behind them, a row of WIDTH numbers fills a cache line.
-#: Training steps at least; beyond them, one window of SPREAD trains, once each.
-STEPS, BATCH, RATE, SPREAD = 1000, 96, 0.08, 64
+#: Training steps at least; one window of SPREAD trains: all of them.
+STEPS, BATCH, RATE, SPREAD = 1000, 96, 0.08, 1
 #: Tree levels that are worked out for all nodes at once.
 TOP = 6
 FAR, BOUND = np.float32(1e4), 14
@@ -174,28 +174,47 @@ def tree_log(tree: Tree, nodes: np.ndarray, hidden: np.ndarray, target: np.ndarr
 
 def tree_gradients(tree: Tree, nodes: np.ndarray, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gradient of the hidden states, nodes met, their gradients) of -log P, summed."""
-    depth = tree.depth[target]
-    row = np.repeat(np.arange(len(target)), depth)
-    level = np.arange(len(row)) - np.repeat(np.cumsum(depth) - depth, depth)
-    at, turn = tree.nodes[level, target[row]], tree.turns[level, target[row]].astype(hidden.dtype)
+    top, size, every = min(TOP, len(tree.nodes)), len(tree.depth), np.arange(len(target))
+    first = int(tree.nodes[:top].max(initial=0)) + 1
+    if not len(target) or not top:
+        return np.zeros_like(hidden), np.zeros(0, np.int64), np.zeros((0, hidden.shape[1]), hidden.dtype)
+    # The first levels are all nodes' work, in matrix products.
+    at, turn = np.take(tree.nodes[:top], target, axis=1), np.take(tree.turns[:top], target, axis=1)
+    cell = at + every * first
+    x = np.take((hidden @ nodes[:first].T).reshape(-1), cell)
+    d = -turn / (1 + np.exp(np.clip(x * turn, -60, 60)))
+    dense = np.zeros(len(target) * first, hidden.dtype)
+    for lv in range(top - 1, -1, -1):  # a level past the end is 0 at the root, which comes last
+        dense[cell[lv]] = d[lv]
+    dense = dense.reshape(-1, first)
+    dh, du = dense @ nodes[:first], dense.T @ hidden
+    more = np.maximum(np.take(tree.depth, target) - top, 0)
+    full = np.flatnonzero(more)
+    if not len(full):
+        return dh, np.arange(first), du
+    more = more[full]
+    row = np.repeat(full, more)
+    level = top + np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
+    place = level * size + np.take(target, row)
+    at, turn = np.take(tree.nodes.reshape(-1), place), np.take(tree.turns.reshape(-1), place).astype(hidden.dtype)
     u, h = np.take(nodes, at, axis=0), np.take(hidden, row, axis=0)
     x = np.einsum("nw,nw->n", u, h) * turn
     d = (-turn / (1 + np.exp(np.clip(x, -60, 60))))[:, None]
-    full = depth > 0
-    dh = np.zeros_like(hidden)
-    if len(row):
-        dh[full] = np.add.reduceat(d * u, (np.cumsum(depth) - depth)[full], axis=0)
-    return dh, *added(at, d * h)
+    u *= d
+    h *= d
+    dh[full] += np.add.reduceat(u, np.cumsum(more) - more, axis=0)
+    rows, deep = added(at, h)
+    return dh, np.append(np.arange(first), rows), np.concatenate([du, deep])
 
 
 def added(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows met, the sum of ``values`` at each)."""
     if not len(at):
         return at, values
-    order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
+    order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")  # short numbers are sorted by radix
+    sorted_at = np.take(at, order)
     starts = np.flatnonzero(np.diff(sorted_at, prepend=sorted_at[0] - 1))
-    return sorted_at[starts], np.add.reduceat(values[order], starts, axis=0)
+    return sorted_at[starts], np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
 
 
 def gradients(t: dict[str, np.ndarray], tree: Tree, now: np.ndarray, hidden: np.ndarray, kept: tuple, target: np.ndarray, live: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -210,9 +229,11 @@ def gradients(t: dict[str, np.ndarray], tree: Tree, now: np.ndarray, hidden: np.
     a = s / total
     da = dz @ v[:, :, :-1].transpose(0, 2, 1)
     ds = a * (da - (dz * mean).sum(2, keepdims=True))
-    g["far"] = (np.arange(2 * BLOCK), np.bincount(np.broadcast_to(_MASK, ds.shape).reshape(-1), ds.reshape(-1), 2 * BLOCK + 1)[:-1].astype(h.dtype))
-    for name, at, part in (("r", now, dz), ("q", now, (ds @ k)[:, :, :-1]), ("k", keys, (ds.transpose(0, 2, 1) @ q)[:, :, :-1]), ("v", keys, a.transpose(0, 2, 1) @ dz)):
-        g[name] = added(at.reshape(-1), part.reshape(-1, WIDTH))
+    g["far"] = (np.arange(2 * BLOCK), np.bincount(_MASK.reshape(-1), ds.sum(0).reshape(-1), 2 * BLOCK + 1)[:-1].astype(h.dtype))
+    own = ("r", "q"), now, dz, (ds @ k)[:, :, :-1]
+    for names, at, *parts in (own, (("k", "v"), keys, (ds.transpose(0, 2, 1) @ q)[:, :, :-1], a.transpose(0, 2, 1) @ dz)):
+        rows, both = added(at.reshape(-1), np.concatenate(parts, axis=2).reshape(-1, 2 * WIDTH))
+        g[names[0]], g[names[1]] = (rows, both[:, :WIDTH]), (rows, both[:, WIDTH:])
     return g
 
 
@@ -244,9 +265,13 @@ def windows(ids: np.ndarray, lengths: np.ndarray, size: int, pick=None) -> np.nd
 
 
 def drawn(rows: np.ndarray, steps: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Random batches of windows that fit into memory."""
+    """Batches of windows that fit into memory: all of them in random order, again and again."""
+    order = np.zeros(0, np.int64)
     for _ in range(steps):
-        yield rows[rng.choice(len(rows), min(BATCH, len(rows)), replace=False)]
+        while len(order) < min(BATCH, len(rows)):
+            order = np.append(order, rng.permutation(len(rows)))
+        yield rows[order[:BATCH]]
+        order = order[BATCH:]
 
 
 def share_and_steps(n: int) -> tuple[float, int]:
@@ -265,21 +290,39 @@ def start_tables(size: int, tree: Tree, rng: np.random.Generator) -> dict[str, n
     return t
 
 
-def learn(counts: np.ndarray, batches: Iterable[np.ndarray], steps: int, rng: np.random.Generator) -> Model:
-    """Fit on ``steps`` batches of windows, by Adagrad on the rows met."""
-    size = len(counts)
+def update(model: Model, seen: dict[str, np.ndarray], batch: np.ndarray, rate: float) -> None:
+    """One step of Adagrad on the rows that a batch of windows meets, in place."""
+    t, size = model.tables, model.size
+    before, now, target = batch[:, :BLOCK], batch[:, BLOCK : 2 * BLOCK], batch[:, 2 * BLOCK :].reshape(-1)
+    hidden, kept = attend(t, before, now)
+    for name, (rows, g) in gradients(t, model.tree, now, hidden, kept, target, target < size).items():
+        mine = (rows, slice(0, g.shape[1])) if g.ndim == 2 else (rows,)  # the last column of some tables is fixed
+        seen[name][mine] = held = seen[name][mine] + g * g
+        t[name][mine] -= rate * g / np.sqrt(held)
+
+
+def opened(counts: np.ndarray, batches: Iterable[np.ndarray], steps: int, rng: np.random.Generator) -> tuple[Model, dict[str, np.ndarray]]:
+    """A model fitted on ``steps`` batches of windows, and what Adagrad has seen."""
     tree = huffman(counts + 1.0)
-    t = start_tables(size, tree, rng)
-    seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in t.items()}
+    model = Model(tree, start_tables(len(counts), tree, rng))
+    seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in model.tables.items()}
     for step, batch in enumerate(batches, 1):
-        before, now, target = batch[:, :BLOCK], batch[:, BLOCK : 2 * BLOCK], batch[:, 2 * BLOCK :].reshape(-1)
-        hidden, kept = attend(t, before, now)
-        rate = RATE * min(1, step / 30) * (1.1 - min(1.0, step / (steps + 1)))
-        for name, (rows, g) in gradients(t, tree, now, hidden, kept, target, target < size).items():
-            mine = (rows, slice(0, g.shape[1])) if g.ndim == 2 else (rows,)  # the last column of some tables is fixed
-            seen[name][mine] = held = seen[name][mine] + g * g
-            t[name][mine] -= rate * g / np.sqrt(held)
-    return Model(tree, t)
+        update(model, seen, batch, RATE * min(1, step / 30) * (1.1 - min(1.0, step / (steps + 1))))
+    return model, seen
+
+
+def learn(counts: np.ndarray, batches: Iterable[np.ndarray], steps: int, rng: np.random.Generator) -> Model:
+    return opened(counts, batches, steps, rng)[0]
+
+
+def flat(tables: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([tables[k].reshape(-1) for k in sorted(tables)])
+
+
+def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    names = sorted(like)
+    parts = np.split(values, np.cumsum([like[k].size for k in names])[:-1])
+    return {k: v.reshape(like[k].shape) for k, v in zip(names, parts, strict=True)}
 
 
 def train(ids: np.ndarray, lengths: np.ndarray, size: int, steps: int | None = None, seed: int = 11) -> Model:

@@ -6,12 +6,13 @@ with the corpus.  The ``HOT`` most frequent words of it are broadcast; all other
 words of a document meet the table in a join by word, so every count is exact
 and no word that is hot in training rows is dealt to one task.
 
-Model: ``attention`` on the words' subword ids, which are made once and stored.  One pass over
-the training rows counts the ids and picks training windows by a hash of row and
-place, from texts of any length and from whole texts: at least one window in
-SPREAD, each trained on once, so windows and steps grow with the corpus.  They
-pass through the driver a partition at a time.  A document's score is the log10
-probability of its ids and the end.
+Model: ``attention`` on the words' subword ids, which are made once and stored.  Every window
+of every training row trains.  One pass counts the ids and picks, by a hash of row
+and place, the STEPS * BATCH windows (all, if fewer) that open the training at the
+driver.  Then tasks go over all windows, in ROUNDS parts: each task trains a copy of
+the model on its windows of the round, and the copies are averaged, number by number,
+weighted by what Adagrad has seen of it; only changed numbers are sent.  A document's
+score is the log10 probability of its ids and the end.
 
 Nulls: a null text is empty and has its end alone; null ids are kept and count
 as training rows.  Repeated rows each give a row and count each time.  Other
@@ -37,6 +38,10 @@ VOCABULARY, HOT = "byte_bpe_multi_50k.tiktoken", 150_000
 HELD = 300_000
 #: Ids that are scored at once.
 SCORED = 1 << 18
+#: Parts of the training rows after each of which copies are averaged; windows of a step in
+#: a task; windows that are made at once; windows of a task and round, if the cores allow;
+#: numbers of the model that are averaged together.
+ROUNDS, TASK_BATCH, MADE, TASK_WINDOWS, BUCKET = 4, 384, 1 << 14, 1 << 19, 1 << 16
 #: Characters of the texts whose words are looked up at once (a longer one comes alone).
 STEP = 3 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -124,20 +129,86 @@ def window_batches(rows: DataFrame, size: int) -> Iterator[np.ndarray]:
         yield batch()
 
 
+def trained(model: attention.Model, seen: dict[str, np.ndarray], texts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float, seed: int) -> None:
+    """Train ``model`` in place on every window of the texts (ids end to end, lengths)."""
+    rng = np.random.default_rng(seed)
+    for ids, lengths in texts:
+        order = rng.permutation(int((-(-lengths // attention.BLOCK)).sum()))
+        for k in range(0, len(order), MADE):
+            rows = attention.windows(ids, lengths, model.size, lambda text, place, some=order[k : k + MADE]: some)
+            for i in range(0, len(rows), TASK_BATCH):
+                attention.update(model, seen, rows[i : i + TASK_BATCH], rate)
+
+
+def averaged_rounds(encoded: DataFrame, windows: int, model: attention.Model, seen: dict[str, np.ndarray]) -> attention.Model:
+    """The model after all windows of ``encoded`` have trained it, in tasks."""
+    spark = encoded.sparkSession
+    parts = encoded.coalesce(max(2 * spark.sparkContext.defaultParallelism, windows // (ROUNDS * TASK_WINDOWS)))
+    values, held = attention.flat(model.tables), attention.flat(seen)
+    buckets = -(-len(values) // BUCKET)
+
+    def one_round(number: int) -> None:
+        shared = spark.sparkContext.broadcast((model.tree, model.tables, seen))  # bounded by the vocabulary
+        rate = attention.RATE * (1 - number / ROUNDS)
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.one_thread()
+            tree, tables, before = shared.value
+            mine, own = attention.Model(tree, {k: v.copy() for k, v in tables.items()}), {k: v.copy() for k, v in before.items()}
+            trained(mine, own, ((ids, lengths) for _, ids, lengths in texts_of(batches)), rate, number)
+            weight = attention.flat(own) - attention.flat(before)
+            moved = (attention.flat(mine.tables) - attention.flat(tables)) * weight
+            for n in range(buckets):
+                w = weight[n * BUCKET : (n + 1) * BUCKET]
+                at = np.flatnonzero(w)
+                if len(at):
+                    m = moved[n * BUCKET : (n + 1) * BUCKET][at]
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype("<u2"), m, w[at]))], names=["bucket", "at", "moved", "weight"])
+
+        def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}  # a few buckets
+            for batch in batches:
+                for row in batch.to_pylist():
+                    at, total = np.frombuffer(row["at"], "<u2"), sums.setdefault(row["bucket"], np.zeros((3, BUCKET)))
+                    total[0, at] += np.frombuffer(row["moved"], np.float32)
+                    total[1, at] += np.frombuffer(row["weight"], np.float32)
+                    total[2, at] += 1
+            for n, (m, w, copies) in sums.items():
+                at = np.flatnonzero(copies)
+                out = at.astype("<u2"), (m[at] / w[at]).astype(np.float32), (w[at] / copies[at]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in out)], names=["bucket", "at", "moved", "weight"])
+
+        schema = "bucket int, at binary, moved binary, weight binary"
+        rows = parts.filter(F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)) == number)
+        changes = rows.mapInArrow(train, schema).repartition(min(buckets, common.shuffle_partitions(spark)), "bucket")
+        for row in changes.mapInArrow(averaged, schema).toArrow().to_pylist():  # the model's size at most
+            at = row["bucket"] * BUCKET + np.frombuffer(row["at"], "<u2").astype(np.int64)
+            values[at] += np.frombuffer(row["moved"], np.float32)
+            held[at] += np.frombuffer(row["weight"], np.float32)
+        shared.unpersist()
+
+    for number in range(ROUNDS):
+        one_round(number)
+        model, seen = attention.Model(model.tree, attention.unflat(values, model.tables)), attention.unflat(held, seen)
+    return model
+
+
 def fit(encoded: DataFrame, windows: int, size: int, seed: int = 11) -> attention.Model:
     """The attention model from all training rows, ``encoded`` (rid, ids), with so many windows."""
     common.one_thread()
     rng = np.random.default_rng(seed)
-    share, steps = attention.share_and_steps(windows)
-    rows = counts_and_windows(encoded, size, share)
+    opening = min(1.0, attention.STEPS * attention.BATCH / max(1, windows))
+    rows = counts_and_windows(encoded, size, opening)
     counts, found = np.zeros(size, np.int64), rows.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row an id
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     picked = rows.filter("mix is not null").select("mix", "window")
     if not windows:
         return attention.learn(counts, (), 0, rng)
-    if share < 1:
-        return attention.learn(counts, window_batches(picked, size), -(-picked.count() // attention.BATCH), rng)
-    # At most STEPS * BATCH windows, each drawn more than once.
+    if opening < 1:
+        model, seen = attention.opened(counts, window_batches(picked, size), -(-picked.count() // attention.BATCH), rng)
+        return averaged_rounds(encoded, windows, model, seen)
+    # At most STEPS * BATCH windows, each at least once.
+    _, steps = attention.share_and_steps(windows)
     return attention.learn(counts, attention.drawn(np.concatenate(list(window_batches(picked, size))), steps, rng), steps, rng)
 
 

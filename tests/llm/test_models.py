@@ -274,6 +274,21 @@ def test_counts_and_windows_grow_with_the_corpus(spark, monkeypatch):
     assert lm_score.fit(encoded, n, 50).size == 50
 
 
+def test_every_window_trains_the_model(spark, monkeypatch):
+    """Each text has ids of its own, so that a window left out leaves rows as they began."""
+    monkeypatch.setattr(attention, "STEPS", 1)
+    texts, each = 500, attention.BLOCK
+    ids = np.arange(texts * each).reshape(texts, each)
+    encoded = spark.createDataFrame([(i, bytearray(t.astype("<u4").tobytes())) for i, t in enumerate(ids)], "rid long, ids binary").repartition(3)
+    model = lm_score.fit(encoded, texts, ids.size)
+    start = attention.start_tables(ids.size, attention.huffman(np.full(ids.size, 2.0)), np.random.default_rng(11))
+    inputs = np.delete(ids, -1, axis=1).reshape(-1)  # a text's last id is a target alone
+    assert (model.tables["r"][inputs] != start["r"][inputs]).any(1).all()
+    assert (model.tables["u"][:, :-1] != 0).any(1).all()  # every node of the tree was met
+    drawn = np.concatenate(list(attention.drawn(np.arange(1000), 11, np.random.default_rng(1))))
+    assert set(drawn.tolist()) == set(range(1000))
+
+
 def plain_log10(model, ids):
     """One text, position by position, from the definition."""
     t, size, b = model.tables, model.size, attention.BLOCK
