@@ -24,6 +24,8 @@ from ..sources.storage import bounded_batches
 
 #: Line ends as Python's splitlines has them.
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+#: Characters that Java's (?U)\s matches.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Headings that are no articles.
 NOISE_HEADINGS = ("the wall street journal.", "what’s news", "business & finance", "worldwide", "journal report", "sports", "u.s. news", "u.s.watch", "iowa", "contents", "insid")
 #: Marks of a page where an article goes on or began, and of images.
@@ -36,7 +38,7 @@ AD_TOKENS = r"(?iu)(\b[\w-]+\.(?:com|net|org)\b|\(\d{3}\)\s?\d{3}|\bFINRA\b|\bSI
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:
@@ -44,6 +46,11 @@ def lines(c: Column) -> Column:
     return F.split(F.regexp_replace(F.coalesce(c, F.lit("")), f"({LINE_END})$", ""), LINE_END)
 
 
+def parts(c: Column) -> Column:
+    """A text's lines for those who skip empty ones: any character that ends a line parts it."""
+    return F.split(F.coalesce(c, F.lit("")), LINE_END[LINE_END.index("[") :])
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(strip(c), r"(?U)\s+"), lambda w: w != "")
 
@@ -115,7 +122,7 @@ def is_teaser(body: Column) -> Column:
 def local_path(c: Column) -> Column:
     """A local image's path, null for anything else."""
     bare = F.regexp_replace(strip(c), "^[\"']+|[\"']+$", "")
-    return F.when(~c.contains("://") & bare.rlike(IMAGE_SUFFIX), bare)
+    return F.when(c.rlike(IMAGE_SUFFIX[:-1]) & ~c.contains("://") & bare.rlike(IMAGE_SUFFIX), bare)  # the cheap test first
 
 
 def image_paths(c: Column) -> Column:
@@ -123,16 +130,18 @@ def image_paths(c: Column) -> Column:
     def of_line(line: Column) -> Column:
         inline = F.transform(F.regexp_extract_all(line, F.lit(IMAGE), F.lit(1)), lambda x: local_path(x))
         return F.array_compact(F.concat(inline, F.array(local_path(strip(without_images(line))))))
-    return F.array_distinct(F.flatten(F.transform(lines(c), of_line)))
+    # Lines without an image's suffix have no path.
+    return F.array_distinct(F.flatten(F.transform(F.filter(parts(c), lambda x: x.rlike(IMAGE_SUFFIX[:-1])), of_line)))
 
 
 def without_images(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?i)!\[[^\]]*\]\((?![^)]*://)\s*[\"']?[^)]*\.(?:png|jpg|jpeg|webp)[\"']?\s*\)", "")
+    gone = F.regexp_replace(line, r"(?i)!\[[^\]]*\]\((?![^)]*://)\s*[\"']?[^)]*\.(?:png|jpg|jpeg|webp)[\"']?\s*\)", "")
+    return F.when(line.contains("!["), gone).otherwise(line)
 
 
 def clean_text(c: Column) -> Column:
     """The text without local images, blank lines and outer blanks."""
-    kept = F.filter(F.transform(lines(c), lambda x: strip(without_images(x))), lambda x: (x != "") & local_path(x).isNull())
+    kept = F.filter(F.transform(parts(c), lambda x: strip(without_images(x))), lambda x: (x != "") & local_path(x).isNull())
     return F.array_join(kept, "\n")
 
 

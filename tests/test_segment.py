@@ -137,3 +137,19 @@ def test_lines_are_python_s(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.lines(F.col("t")).alias("l"), "t").collect()
     assert all([x for x in r.l if x] == [x for x in r.t.splitlines() if x] for r in got)
     assert re.sub("x", "", "x") == ""
+
+
+def test_strip_takes_every_space_and_lines_may_be_parted_by_any_end(spark):
+    rows = [(c, f"{chr(c)}{chr(c)} x{chr(c)}y {chr(c)}") for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame(rows, "c int, t string")
+    assert df.filter(tx.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    kept = lambda c: F.array_join(F.filter(F.transform(c, lambda x: tx.strip(x)), lambda x: x != ""), "|")
+    assert df.filter(kept(tx.parts(F.col("t"))) != kept(tx.lines(F.col("t")))).count() == 0
+    assert one(spark, tx.clean_text(F.col("t")), t="a\r\n\r\nb\x0bc\u2028") == "a\nb\nc"
+
+
+def test_texts_without_images_meet_no_pattern_of_images(spark):
+    """Patterns that run over every character of every line made most of C1's time."""
+    text = spark.range(1).select(F.lit("a").alias("t"))
+    plan = text.select(tx.clean_text(F.col("t")).alias("c"), tx.image_paths(F.col("t")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert "(?U)^" not in plan and "CASE WHEN contains(" in plan.replace("Contains", "contains")
