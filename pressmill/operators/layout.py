@@ -37,15 +37,19 @@ def running_sections(keyed: DataFrame) -> DataFrame:
 
 
 def page_kinds(keyed: DataFrame, sections: DataFrame) -> DataFrame:
-    """(document_key, page_idx, kind, section) of every page that has blocks."""
-    known = keyed.join(sections.withColumn("known", F.lit(True)), ["document_key", "key"], "left")
-    running = F.when(F.col("type").isin(*RUNNING) & F.coalesce("known", F.lit(False)), F.struct("block_index", "said"))
-    page = known.groupBy("document_key", "page_idx").agg(
+    """(document_key, page_idx, kind, section) of every page that has blocks.
+
+    Running heads alone meet the sections and go to their pages as rows of their own,
+    so that texts are shuffled once."""
+    shown = keyed.filter(F.col("type").isin(*RUNNING)).join(sections, ["document_key", "key"], "left_semi")
+    rows = keyed.select("document_key", "page_idx", "type", "key", "byline", F.struct("block_index", "text").alias("block"))
+    rows = rows.unionByName(shown.select("document_key", "page_idx", F.struct("block_index", "said").alias("shown")), allowMissingColumns=True)
+    page = rows.groupBy("document_key", "page_idx").agg(
         F.bool_or(F.col("type") == "page_number").alias("folio"),
         F.bool_or("byline").alias("byline"),
-        F.min(running).alias("running"),
+        F.min("shown").alias("running"),
         F.bool_or(F.col("type").isin(*HEADERS) & (F.col("key") == "advertisement")).alias("advertorial"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: x["text"]), " ").alias("page_text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("block")), lambda x: x["text"]), " ").alias("page_text"),
     )
     section = F.coalesce("running.said", F.lit(""))
     ad = F.col("advertorial") | (~F.col("folio") & (F.col("page_text").rlike(tx.AD_TOKENS) | ((section == "") & ~F.col("byline"))))
@@ -55,10 +59,11 @@ def page_kinds(keyed: DataFrame, sections: DataFrame) -> DataFrame:
 def pull_quotes(keyed: DataFrame) -> DataFrame:
     """(document_key, block_index) of headings that a long paragraph nearby contains.
 
-    Paragraphs are dealt to the pages within reach, so that the join is by page."""
-    head = keyed.filter((F.coalesce("text_level", F.lit(0)) != 0) & (F.length("key") >= QUOTE)).select("document_key", "page_idx", "block_index", F.col("key").alias("needle"))
+    Headings, which are short, are dealt to the pages within reach, so that the join is by page."""
+    reach = F.explode(F.sequence(F.col("page_idx") - NEAR, F.col("page_idx") + NEAR)).alias("page_idx")
+    head = keyed.filter((F.coalesce("text_level", F.lit(0)) != 0) & (F.length("key") >= QUOTE)).select("document_key", reach, "block_index", F.col("key").alias("needle"))
     body = keyed.filter(F.col("type").isin("text", "paragraph") & (F.coalesce("text_level", F.lit(0)) == 0) & (F.length("text") > PARAGRAPH))
-    near = body.select("document_key", F.explode(F.sequence(F.col("page_idx") - NEAR, F.col("page_idx") + NEAR)).alias("page_idx"), F.col("key").alias("hay"))
+    near = body.select("document_key", "page_idx", F.col("key").alias("hay"))
     return head.join(near, ["document_key", "page_idx"]).filter(F.col("hay").contains(F.col("needle"))).select("document_key", "block_index").distinct()
 
 
@@ -106,19 +111,23 @@ def owners(blocks: DataFrame, heads: DataFrame, size: int = BIN) -> DataFrame:
     """``blocks`` with ``head``, their own if one begins there, and ``owner``, the last
     that begins at or before them; blocks before a document's first head go.
 
-    ``heads``: (document_key, block_index, head struct).  A range join by bins of
-    ``size`` numbers: within a bin the last head so far, before it the last of the
-    bins before, so that a document of any length is many tasks' work."""
+    ``heads``: (document_key, block_index, head struct), each at a block.  A range join
+    by bins of ``size`` numbers: within a bin, where heads are rows before their blocks,
+    the last head so far, before it the last of the bins before, so that a document of
+    any length is many tasks' work and blocks are shuffled once."""
     binned = lambda df: df.withColumn("bin", F.floor(F.col("block_index") / size))
-    rows = binned(blocks).join(heads, ["document_key", "block_index"], "left")
-    inside = Window.partitionBy("document_key", "bin").orderBy("block_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("near", F.last("head", ignorenulls=True).over(inside))
+    rows = binned(blocks)
+    marks = binned(heads).filter("document_key is not null").select("document_key", "bin", "block_index", F.struct("block_index", "head").alias("mark"))
+    inside = Window.partitionBy("document_key", "bin").orderBy("block_index", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumn("there", F.lit(True)).unionByName(marks, allowMissingColumns=True).withColumn("near", F.last("mark", ignorenulls=True).over(inside))
+    own = F.when(F.col("near.block_index") == F.col("block_index"), F.col("near.head"))
+    inner = both.filter("there").withColumn("head", own).withColumn("near", F.col("near.head")).drop("mark", "there")
     # A row a bin that has heads; each bin is reached from the next ones up to the next such.
     tops = binned(heads).groupBy("document_key", "bin").agg(F.max_by("head", "block_index").alias("before"))
     tops = tops.withColumn("until", F.lead("bin").over(Window.partitionBy("document_key").orderBy("bin")))
     used = rows.select("document_key", "bin").distinct()
     first = used.join(tops.withColumnRenamed("bin", "top"), "document_key").filter((F.col("top") < F.col("bin")) & (F.coalesce(F.col("until") >= F.col("bin"), F.lit(True)))).select("document_key", "bin", "before")
-    met = rows.join(first, ["document_key", "bin"], "left").withColumn("owner", F.coalesce("near", "before"))
+    met = inner.join(first, ["document_key", "bin"], "left").withColumn("owner", F.coalesce("near", "before"))
     return met.filter("owner is not null").drop("bin", "near", "before")
 
 
@@ -141,7 +150,7 @@ def assemble(keyed: DataFrame, bounds: DataFrame, kinds: DataFrame) -> DataFrame
 
 
 def articles(blocks: DataFrame) -> DataFrame:
-    keyed = stored(with_keys(blocks), "layout-blocks")  # read by every branch below
+    keyed = stored(with_keys(blocks).drop("said"), "layout-blocks").withColumn("said", tx.strip(F.col("text")))  # read by every branch below
     sections = running_sections(keyed)
     kinds = page_kinds(keyed, sections)
     return assemble(keyed, boundaries(keyed, kinds, sections), kinds)

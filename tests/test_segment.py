@@ -153,3 +153,26 @@ def test_texts_without_images_meet_no_pattern_of_images(spark):
     text = spark.range(1).select(F.lit("a").alias("t"))
     plan = text.select(tx.clean_text(F.col("t")).alias("c"), tx.image_paths(F.col("t")).alias("p"))._jdf.queryExecution().analyzed().toString()
     assert "(?U)^" not in plan and "CASE WHEN contains(" in plan.replace("Contains", "contains")
+
+
+def test_texts_of_blocks_are_shuffled_once_a_step(spark):
+    """Joins with sections and heads carried all texts, and each paragraph went to five pages."""
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    blocks = spark.createDataFrame([], f"document_key long, block_index int, type string, text_level int, page_idx int, bbox {box}, text string, img_path string")
+    keyed = layout.with_keys(blocks)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "LeftOuter" not in plan(layout.page_kinds(keyed, layout.running_sections(keyed)))
+    heads = blocks.select("document_key", "block_index", F.struct("block_index").alias("head"))
+    assert plan(layout.owners(blocks, heads)).count("LeftOuter") == 1
+    dealt = [line for line in plan(layout.pull_quotes(keyed)).splitlines() if "explode(sequence" in line]
+    assert dealt and all("hay" not in line for line in dealt)
+
+
+def test_owners_begin_at_their_own_block_whatever_the_bins(spark):
+    blocks = spark.createDataFrame([(d, i) for d in (1, 2) for i in range(12)], "document_key long, block_index int")
+    heads = spark.createDataFrame([(1, 2), (1, 3), (2, 7)], "document_key long, block_index int").withColumn("head", F.struct("block_index"))
+    want = {(d, i): max((h for e, h in ((1, 2), (1, 3), (2, 7)) if e == d and h <= i), default=None) for d in (1, 2) for i in range(12)}
+    for size in (1, 4, 100):
+        got = layout.owners(blocks, heads, size).collect()
+        assert {(r.document_key, r.block_index): r.owner.block_index for r in got} == {k: v for k, v in want.items() if v is not None}
+        assert {(r.document_key, r.block_index) for r in got if r["head"]} == {(1, 2), (1, 3), (2, 7)}
