@@ -136,8 +136,25 @@ def outcome(results: DataFrame) -> DataFrame:
     return results.withColumn("status", status)
 
 
+def best_runs(runs: DataFrame) -> DataFrame:
+    """(article_key, input_hash, enrichment_run_id): the latest of succeeded ``runs``."""
+    return runs.groupBy("article_key", "input_hash").agg(F.max_by("enrichment_run_id", F.struct("finished_at", "seq")).alias("enrichment_run_id"))
+
+
 def reusable(articles: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(articles with a run to reuse, articles to enrich), by key and input hash;
     the look-up comes before any call. ``runs`` are succeeded ones."""
-    best = runs.groupBy("article_key", "input_hash").agg(F.max_by("enrichment_run_id", F.struct("finished_at", "seq")).alias("enrichment_run_id"))
+    best = best_runs(runs)
     return articles.join(best, ["article_key", "input_hash"]), articles.join(best, ["article_key", "input_hash"], "left_anti")
+
+
+def looked_up(articles: DataFrame, runs: DataFrame) -> DataFrame:
+    """(article_key, input_hash, enrichment_run_id) for each of an article's ``input_hashes``,
+    with null where no run can be reused.
+
+    The best runs of a key, one an input, meet its article as a map, so that articles
+    are dealt by key and their inputs aren't shuffled."""
+    entry = F.struct("input_hash", "enrichment_run_id")
+    known = best_runs(runs).filter("input_hash is not null").groupBy("article_key").agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
+    rows = articles.join(known, "article_key", "left").select("article_key", F.explode("input_hashes").alias("input_hash"), "known")
+    return rows.select("article_key", "input_hash", F.try_element_at("known", F.col("input_hash")).alias("enrichment_run_id"))

@@ -117,10 +117,9 @@ def _(t):
 
 @query("J11_reuse_by_input", "with e as (select a.article_key, e.*, l_partkey % 4 as h from arts a join enr e using (article_id) where e.status = 'succeeded'), w as (select distinct article_key, k as h from arts, range(4) r(k)) select w.article_key, w.h as input_hash, b.enrichment_run_id from w left join (select article_key, h, enrichment_run_id from (select *, row_number() over (partition by article_key, h order by finished_at desc, seq desc, enrichment_run_id desc) as rn from e) where rn = 1) b on b.article_key = w.article_key and b.h = w.h")
 def _(t):
-    wanted = t.articles().select("article_key").distinct().withColumn("input_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    wanted = t.articles().select("article_key").distinct().withColumn("input_hashes", F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
     runs = t.enrichment_runs().filter("status = 'succeeded'").join(t.articles().select("article_id", "article_key"), "article_id").withColumn("input_hash", F.col("l_partkey") % 4)
-    found, left = enrich.reusable(wanted, runs)
-    return found.select("article_key", "input_hash", "enrichment_run_id").unionByName(left.select("article_key", "input_hash", F.lit(None).cast("string").alias("enrichment_run_id")))
+    return enrich.looked_up(wanted, runs)
 
 
 _PAGES = "f as (select doc_id as document_key, unnest(range(1, doc_id % 7 + 1)) as n from documents), st as (select document_key, n, case when (document_key + n) % 3 = 0 then 'done' else 'submitted' end as state, 'b' || n // 3 as batch_id from f where (document_key + n) % 4 <> 0)"

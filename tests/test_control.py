@@ -189,6 +189,22 @@ def test_reuse_comes_before_calls(spark):
     assert [r.enrichment_run_id for r in old.collect()] == ["r2"] and [r.article_key for r in new.collect()] == ["k2"]
 
 
+def test_look_ups_by_input_keep_every_article_and_input(spark):
+    a = spark.createDataFrame([("k1", ["h1", "h2"]), ("k2", ["h1"]), (None, ["h1"])], "article_key string, input_hashes array<string>")
+    runs = spark.createDataFrame([("k1", "h1", "r1", 1, 1), ("k1", "h1", "r2", 1, 2), ("k1", "h3", "r3", 1, 1), ("k1", None, "r4", 1, 1), (None, "h1", "r5", 1, 1)], "article_key string, input_hash string, enrichment_run_id string, finished_at int, seq int")
+    assert {tuple(r) for r in enrich.looked_up(a, runs).collect()} == {("k1", "h1", "r2"), ("k1", "h2", None), ("k2", "h1", None), (None, "h1", None)}
+
+
+def test_wanted_inputs_are_not_shuffled(spark):
+    """J11 dealt a row an article and input, four times the articles, to two joins."""
+    from pressmill.plans import registry
+
+    plan = registry.queries()["J11_reuse_by_input"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    at = lambda what: [i for i, line in enumerate(lines) if what in line]
+    assert "LeftAnti" not in plan and len(at("Join ")) == 2 and max(at("Generate explode")) < min(at("Join "))  # the plan's first lines come last
+
+
 def message(parts):
     import base64
 
