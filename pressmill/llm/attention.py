@@ -24,8 +24,8 @@ WIDTH, BLOCK = 15, 24
 #: With the constant behind them, a row of WIDTH numbers fills a cache line.
 #: Training steps at least; one window of SPREAD trains: all of them.
 STEPS, BATCH, RATE, SPREAD = 1000, 96, 0.08, 1
-#: Tree levels that are worked out for all nodes at once.
-TOP = 6
+#: Tree levels that are worked out for all nodes at once; blocks in a row that train together.
+TOP, RUN = 6, 16
 FAR, BOUND = np.float32(1e4), 14
 
 
@@ -113,24 +113,32 @@ def blocks(rows: np.ndarray, lengths: np.ndarray, padding: int) -> tuple[np.ndar
     return out.reshape(-1, BLOCK), first
 
 
-def attend(t: dict[str, np.ndarray], before: np.ndarray, now: np.ndarray) -> tuple:
-    """Blocks of ids -> (hidden states with a one behind them, what the gradient needs).
+def attended(q: np.ndarray, r: np.ndarray, k: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple:
+    """Queries and residuals of blocks meet keys and values of two blocks -> (hidden
+    states with a one behind them, what the gradient needs).
 
     The last column of a key is 0, or -FAR for padding; that of a query is 1.
     The last column of a value is 1, so one product gives weights and their sum.
     Scores are bounded by a clip instead of a maximum, which costs more."""
-    keys = np.concatenate([before, now], axis=1)
-    q, k, v = np.take(t["q"], now, axis=0), np.take(t["k"], keys, axis=0), np.take(t["v"], keys, axis=0)
-    s = q @ k.transpose(0, 2, 1)
-    s += np.take(np.append(t["far"], -FAR), _MASK)
+    s = q @ k.swapaxes(-1, -2)
+    s += np.take(np.append(far, -FAR), _MASK)
     np.clip(s, -60, 60, out=s)
     np.exp(s, out=s)
-    o = s @ v
-    total = np.maximum(o[:, :, -1:], 1e-30)
-    h = np.tanh(np.take(t["r"], now, axis=0) + o[:, :, :-1] / total)
-    out = np.ones((h.size // WIDTH, WIDTH + 1), h.dtype)
-    out[:, :-1] = h.reshape(-1, WIDTH)
-    return out, (keys, q, k, v, s, total, o[:, :, :-1] / total, h)
+    mean = s @ v
+    total = np.maximum(mean[..., -1:], 1e-30)
+    mean /= total
+    h = mean.copy()
+    h[..., :-1] += r
+    np.tanh(h, out=h)
+    h[..., -1] = 1
+    return h.reshape(-1, WIDTH + 1), (q, k, v, s, total, mean, h)
+
+
+def attend(t: dict[str, np.ndarray], before: np.ndarray, now: np.ndarray) -> tuple:
+    """``attended`` of blocks of ids, each with its block before; their keys' ids lead what is kept."""
+    keys = np.concatenate([before, now], axis=1)
+    out, kept = attended(np.take(t["q"], now, axis=0), np.take(t["r"], now, axis=0), np.take(t["k"], keys, axis=0), np.take(t["v"], keys, axis=0), t["far"])
+    return out, (keys, *kept)
 
 
 def _odds(x: np.ndarray) -> np.ndarray:
@@ -143,6 +151,31 @@ def _odds(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _paths(tree: Tree, target: np.ndarray, top: int) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Levels from ``top`` on, end to end: (targets that reach them, deep ones first, so that
+    those of a level are a prefix; how many each level has; of each step down: its target's
+    place among them, node and turn)."""
+    depth = np.take(tree.depth, target)
+    order = np.argsort(np.minimum(depth, 255).astype(np.uint8), kind="stable")[::-1]
+    reach = np.cumsum(np.bincount(depth, minlength=len(tree.nodes) + 1)[::-1])[::-1][top + 1 :]
+    reach = reach[reach > 0]
+    order = order[: int(reach[0]) if len(reach) else 0]
+    starts = np.cumsum(reach) - reach
+    at = np.arange(int(reach.sum())) - np.repeat(starts, reach)
+    cell = np.take(np.take(target, order), at)
+    cell += np.repeat((top + np.arange(len(reach))) * len(tree.depth), reach)
+    return order, reach.tolist(), at, np.take(tree.nodes.reshape(-1), cell), np.take(tree.turns.reshape(-1), cell)
+
+
+def _by_level(values: np.ndarray, reach: list[int]) -> np.ndarray:
+    """The sum over all levels of what ``_paths`` laid end to end, for each of its targets."""
+    out, start = values[: reach[0]].copy(), reach[0]
+    for n in reach[1:]:
+        out[:n] += values[start : start + n]
+        start += n
+    return out
+
+
 def tree_log(tree: Tree, nodes: np.ndarray, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P of each target under the tree: a sum of log sigmoids down its path."""
     top = min(TOP, len(tree.nodes))
@@ -155,26 +188,17 @@ def tree_log(tree: Tree, nodes: np.ndarray, hidden: np.ndarray, target: np.ndarr
     depth = np.take(tree.depth, target)
     # A level past the end has turn 0 and counts as a half, which is taken back.
     out = np.log(2) * np.maximum(top - depth, 0).astype(np.float32) - np.log(_odds(x).prod(0))
-    order = np.argsort(np.minimum(depth, 255).astype(np.uint8), kind="stable")[::-1]  # deep ones first: levels are prefixes
-    ends = np.cumsum(np.bincount(depth, minlength=len(tree.nodes) + 1)[::-1])[::-1]
-    order = order[: int(ends[top + 1]) if top + 1 < len(ends) else 0]
-    target, deep = target[order], np.take(hidden, order, axis=0)
-    found, ones = np.zeros(len(order), np.float32), np.ones(hidden.shape[1], hidden.dtype)
-    for lv in range(top, len(tree.nodes)):
-        n = int(ends[lv + 1])
-        if not n:
-            break
-        part = target[:n]
-        u = np.take(nodes, np.take(tree.nodes[lv], part), axis=0)
-        x = (np.multiply(u, deep[:n], out=u) @ ones) * np.take(tree.turns[lv], part)
-        found[:n] -= np.log(_odds(x))
-    out[order] += found
+    order, reach, place, at, turn = _paths(tree, target, top)
+    if reach:
+        x = np.einsum("nw,nw->n", np.take(nodes, at, axis=0), np.take(np.take(hidden, order, axis=0), place, axis=0))
+        x *= turn
+        out[order] -= _by_level(np.log(_odds(x)), reach)
     return out
 
 
 def tree_gradients(tree: Tree, nodes: np.ndarray, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gradient of the hidden states, nodes met, their gradients) of -log P, summed."""
-    top, size, every = min(TOP, len(tree.nodes)), len(tree.depth), np.arange(len(target))
+    top, every = min(TOP, len(tree.nodes)), np.arange(len(target))
     first = int(tree.nodes[:top].max(initial=0)) + 1
     if not len(target) or not top:
         return np.zeros_like(hidden), np.zeros(0, np.int64), np.zeros((0, hidden.shape[1]), hidden.dtype)
@@ -188,21 +212,16 @@ def tree_gradients(tree: Tree, nodes: np.ndarray, hidden: np.ndarray, target: np
         dense[cell[lv]] = d[lv]
     dense = dense.reshape(-1, first)
     dh, du = dense @ nodes[:first], dense.T @ hidden
-    more = np.maximum(np.take(tree.depth, target) - top, 0)
-    full = np.flatnonzero(more)
-    if not len(full):
+    order, reach, place, at, turn = _paths(tree, target, top)
+    if not reach:
         return dh, np.arange(first), du
-    more = more[full]
-    row = np.repeat(full, more)
-    level = top + np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
-    place = level * size + np.take(target, row)
-    at, turn = np.take(tree.nodes.reshape(-1), place), np.take(tree.turns.reshape(-1), place).astype(hidden.dtype)
-    u, h = np.take(nodes, at, axis=0), np.take(hidden, row, axis=0)
-    x = np.einsum("nw,nw->n", u, h) * turn
-    d = (-turn / (1 + np.exp(np.clip(x, -60, 60))))[:, None]
+    u, h = np.take(nodes, at, axis=0), np.take(np.take(hidden, order, axis=0), place, axis=0)
+    x = np.einsum("nw,nw->n", u, h)
+    x *= turn
+    d = (-turn / (1 + np.exp(np.clip(x, -60, 60, out=x))))[:, None]
     u *= d
     h *= d
-    dh[full] += np.add.reduceat(u, np.cumsum(more) - more, axis=0)
+    dh[order] += _by_level(u, reach)
     rows, deep = added(at, h)
     return dh, np.append(np.arange(first), rows), np.concatenate([du, deep])
 
@@ -214,27 +233,61 @@ def added(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")  # short numbers are sorted by radix
     sorted_at = np.take(at, order)
     starts = np.flatnonzero(np.diff(sorted_at, prepend=sorted_at[0] - 1))
-    return sorted_at[starts], np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
+    rows = np.take(values, order, axis=0)
+    pairs = rows.dtype == np.float32 and rows.shape[1] % 2 == 0  # added two at once, as complex numbers
+    sums = np.add.reduceat(rows.view(np.complex64) if pairs else rows, starts, axis=0)
+    return sorted_at[starts], sums.view(rows.dtype)
+
+
+def pulled(kept: tuple, dh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of what ``attended`` took, from that of the hidden states: (queries and
+    residuals, keys and values, distances), the first two side by side.
+
+    Behind a hidden state's gradient stands what the weights' sum takes back; the value's
+    last column, 1, adds it in the same product."""
+    q, k, v, s, total, mean, h = kept
+    own, keys = np.empty((*q.shape[:-1], 2 * WIDTH + 2), h.dtype), np.empty((*k.shape[:-1], 2 * WIDTH + 2), h.dtype)
+    dz = h * h
+    np.subtract(1, dz, out=dz)
+    dz *= dh.reshape(h.shape)
+    e = dz / total
+    e[..., -1] = -np.einsum("...w,...w->...", e, mean)
+    ds = e @ v.swapaxes(-1, -2)
+    ds *= s
+    np.matmul(ds, k, out=own[..., : WIDTH + 1])
+    own[..., WIDTH + 1 :] = dz
+    np.matmul(ds.swapaxes(-1, -2), q, out=keys[..., : WIDTH + 1])
+    np.matmul(s.swapaxes(-1, -2), e, out=keys[..., WIDTH + 1 :])
+    far = np.bincount(_MASK.reshape(-1), ds.reshape(-1, _MASK.size).sum(0), 2 * BLOCK + 1)[:-1]
+    return own, keys, far.astype(h.dtype)
+
+
+def summed(now: np.ndarray, own: np.ndarray, keyed: np.ndarray, keys: np.ndarray, far: np.ndarray, nodes: tuple[np.ndarray, np.ndarray], n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """name -> (rows, gradients), of what ``pulled`` gives for ids ``now`` and ``keyed``: means over n."""
+    g = {"u": nodes, "far": (np.arange(2 * BLOCK), far)}
+    for names, at, both in ((("q", "r"), now, own), (("k", "v"), keyed, keys)):
+        rows, both = added(at.reshape(-1), both.reshape(-1, 2 * WIDTH + 2))
+        both[:, WIDTH] = both[:, -1] = 0  # the last column of some tables is fixed
+        g[names[0]], g[names[1]] = (rows, both[:, : WIDTH + 1]), (rows, both[:, WIDTH + 1 : 2 * WIDTH + 1 if names[1] == "r" else None])
+    return {name: (rows, x / max(1, n)) for name, (rows, x) in g.items()}
+
+
+def hidden_gradients(tree: Tree, nodes: np.ndarray, hidden: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], int]:
+    """(gradient of the hidden states, (nodes met, theirs), live targets): sums over those."""
+    at = np.flatnonzero(live)
+    if len(at) == len(live):
+        dh, *found = tree_gradients(tree, nodes, hidden, target)
+        return dh, tuple(found), len(at)
+    every = np.zeros_like(hidden)
+    every[at], *found = tree_gradients(tree, nodes, np.take(hidden, at, axis=0), np.take(target, at))
+    return every, tuple(found), len(at)
 
 
 def gradients(t: dict[str, np.ndarray], tree: Tree, now: np.ndarray, hidden: np.ndarray, kept: tuple, target: np.ndarray, live: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """name -> (rows, gradients) of the mean -log P of the live targets."""
-    keys, q, k, v, s, total, mean, h = kept
-    dh, rows, du = tree_gradients(tree, t["u"], hidden[live], target[live])
-    n = max(1, int(live.sum()))
-    g = {"u": (rows, du / n)}
-    every = np.zeros_like(hidden)
-    every[live] = dh / n
-    dz = every[:, :-1].reshape(h.shape) * (1 - h * h)
-    a = s / total
-    da = dz @ v[:, :, :-1].transpose(0, 2, 1)
-    ds = a * (da - (dz * mean).sum(2, keepdims=True))
-    g["far"] = (np.arange(2 * BLOCK), np.bincount(_MASK.reshape(-1), ds.sum(0).reshape(-1), 2 * BLOCK + 1)[:-1].astype(h.dtype))
-    own = ("r", "q"), now, dz, (ds @ k)[:, :, :-1]
-    for names, at, *parts in (own, (("k", "v"), keys, (ds.transpose(0, 2, 1) @ q)[:, :, :-1], a.transpose(0, 2, 1) @ dz)):
-        rows, both = added(at.reshape(-1), np.concatenate(parts, axis=2).reshape(-1, 2 * WIDTH))
-        g[names[0]], g[names[1]] = (rows, both[:, :WIDTH]), (rows, both[:, WIDTH:])
-    return g
+    dh, nodes, n = hidden_gradients(tree, t["u"], hidden, target, live)
+    own, keys, far = pulled(kept[1:], dh)
+    return summed(now, own, kept[0], keys, far, nodes, n)
 
 
 def shifted(values: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
@@ -290,15 +343,51 @@ def start_tables(size: int, tree: Tree, rng: np.random.Generator) -> dict[str, n
     return t
 
 
+def descend(model: Model, seen: dict[str, np.ndarray], found: dict[str, tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+    """One step of Adagrad on the rows that have gradients, in place."""
+    for name, (rows, g) in found.items():
+        t, held = model.tables[name], np.take(seen[name], rows, axis=0)
+        held += g * g
+        seen[name][rows] = held
+        t[rows] = np.take(t, rows, axis=0) - rate * g / np.sqrt(held, out=held)
+
+
 def update(model: Model, seen: dict[str, np.ndarray], batch: np.ndarray, rate: float) -> None:
-    """One step of Adagrad on the rows that a batch of windows meets, in place."""
+    """One step on a batch of windows."""
     t, size = model.tables, model.size
     before, now, target = batch[:, :BLOCK], batch[:, BLOCK : 2 * BLOCK], batch[:, 2 * BLOCK :].reshape(-1)
     hidden, kept = attend(t, before, now)
-    for name, (rows, g) in gradients(t, model.tree, now, hidden, kept, target, target < size).items():
-        mine = (rows, slice(0, g.shape[1])) if g.ndim == 2 else (rows,)  # the last column of some tables is fixed
-        seen[name][mine] = held = seen[name][mine] + g * g
-        t[name][mine] -= rate * g / np.sqrt(held)
+    descend(model, seen, gradients(t, model.tree, now, hidden, kept, target, target < size), rate)
+
+
+def stretches(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the texts as stretches of RUN blocks in a row: (inputs, with the block
+    before in front; targets), ``size`` + 1 in padding and in the block ahead of a text."""
+    x, _ = blocks(shifted(ids, lengths, size), lengths, size + 1)
+    y, _ = blocks(ids, lengths, size + 1)
+    rest = np.full((-len(x) % RUN, BLOCK), size + 1, x.dtype)
+    x, y = np.concatenate([np.full((1, BLOCK), size + 1, x.dtype), x, rest]), np.concatenate([y, rest])
+    at = np.arange(0, len(y), RUN)[:, None] + np.arange(RUN + 1)
+    return x[at], y.reshape(-1, RUN, BLOCK)
+
+
+def overlapped(keys: np.ndarray) -> np.ndarray:
+    """Stretches of keys (stretch, place, number) -> views of two blocks in a row, a block apart."""
+    a, b, c = keys.strides
+    return np.lib.stride_tricks.as_strided(keys, (len(keys), keys.shape[1] // BLOCK - 1, 2 * BLOCK, keys.shape[2]), (a, BLOCK * b, b, c), writeable=False)
+
+
+def stretch_gradients(t: dict[str, np.ndarray], tree: Tree, x: np.ndarray, y: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """``gradients`` of the windows of stretches.  A block's keys are fetched once for both
+    windows that see it, and what they get is added up before it is sorted by id."""
+    now, keyed, target = x[:, 1:], x.reshape(len(x), -1), y.reshape(-1)
+    hidden, kept = attended(np.take(t["q"], now, axis=0), np.take(t["r"], now, axis=0), overlapped(np.take(t["k"], keyed, axis=0)), overlapped(np.take(t["v"], keyed, axis=0)), t["far"])
+    dh, nodes, n = hidden_gradients(tree, t["u"], hidden, target, target < len(tree.depth))
+    own, each, far = pulled(kept, dh)
+    keys = np.empty((*x.shape, each.shape[-1]), each.dtype)
+    keys[:, 0], keys[:, 1:] = each[:, 0, :BLOCK], each[:, :, BLOCK:]
+    keys[:, 1:-1] += each[:, 1:, :BLOCK]
+    return summed(now, own, keyed, keys, far, nodes, n)
 
 
 def opened(counts: np.ndarray, batches: Iterable[np.ndarray], steps: int, rng: np.random.Generator) -> tuple[Model, dict[str, np.ndarray]]:
@@ -332,20 +421,14 @@ def train(ids: np.ndarray, lengths: np.ndarray, size: int, steps: int | None = N
     return learn(np.bincount(ids, minlength=size), drawn(rows, steps if len(rows) else 0, rng), steps, rng)
 
 
-def log10_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, step: int = 256) -> np.ndarray:
+def log10_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, step: int = 16) -> np.ndarray:
     """log10 P of each text; ``ids`` end to end, ``lengths`` all at least 1."""
-    size = model.size
-    x, first = blocks(shifted(ids, lengths, size), lengths, size + 1)
-    y, _ = blocks(ids, lengths, size + 1)
-    at = np.flatnonzero(~first)
+    t, (x, y) = model.tables, stretches(ids, lengths, model.size)
     found = []
-    for k in range(0, len(at), step):
-        pick = at[k : k + step]
-        hidden, _ = attend(model.tables, x[pick - 1], x[pick])
-        target = y[pick].reshape(-1)
-        if target.max() > size:
-            live = np.flatnonzero(target < size)
-            hidden, target = np.take(hidden, live, axis=0), target[live]
-        found.append(tree_log(model.tree, model.tables["u"], hidden, target))
+    for i in range(0, len(x), step):
+        now, keyed, target = x[i : i + step, 1:], x[i : i + step].reshape(-1, (RUN + 1) * BLOCK), y[i : i + step].reshape(-1)
+        hidden, _ = attended(np.take(t["q"], now, axis=0), np.take(t["r"], now, axis=0), overlapped(np.take(t["k"], keyed, axis=0)), overlapped(np.take(t["v"], keyed, axis=0)), t["far"])
+        live = np.flatnonzero(target < model.size)
+        found.append(tree_log(model.tree, t["u"], np.take(hidden, live, axis=0), np.take(target, live)))
     each = np.concatenate(found).astype(np.float64) / np.log(10)  # in the order of ids
     return np.add.reduceat(each, np.cumsum(lengths) - lengths)

@@ -10,7 +10,8 @@ Model: ``attention`` on the words' subword ids, which are made once and stored.
 of every training row trains.  One pass counts the ids and picks, by a hash of row
 and place, the STEPS * BATCH windows (all, if fewer) that open the training at the
 driver.  Then tasks go over all windows, in ROUNDS parts: each task trains a copy of
-the model on its windows of the round, and the copies are averaged, number by number,
+the model on its windows of the round, in stretches of blocks in a row (keys are fetched
+once for both windows that see them), and the copies are averaged, number by number,
 weighted by what Adagrad has seen of it; only changed numbers are sent.  A document's
 score is the log10 probability of its ids and the end.
 
@@ -23,11 +24,11 @@ rows all counts are 0.  Texts of any length are scored whole.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ HELD = 300_000
 #: Ids that are scored at once.
 SCORED = 1 << 18
 #: Parts of the training rows after each of which copies are averaged; windows of a step in
-#: a task; windows that are made at once; windows of a task and round, if the cores allow;
-#: numbers of the model that are averaged together.
-ROUNDS, TASK_BATCH, MADE, TASK_WINDOWS, BUCKET = 4, 384, 1 << 14, 1 << 19, 1 << 16
+#: a task; windows of a task and round, if the cores allow; numbers of the model that are
+#: averaged together.
+ROUNDS, TASK_BATCH, TASK_WINDOWS, BUCKET = 4, 384, 1 << 19, 1 << 16
 #: Characters of the texts whose words are looked up at once (a longer one comes alone).
 STEP = 3 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -51,21 +52,29 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
+def counted(texts: pa.Array) -> pa.StructArray:
+    """(values, counts): how often ``words_of`` finds each word in the texts, without an object a word."""
+    found = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.drop_null())).flatten().value_counts()
+    return found.filter(pa.compute.not_equal(found.field("values"), ""))  # blanks at the ends of a text leave empty words
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, n) over all texts of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-        counts: Counter = Counter()
-        for _, texts in common.text_slices(batches):
-            for text in texts:
-                counts.update(words_of(text))
-            if len(counts) > HELD:
-                yield out()
-                counts.clear()
-        yield out()
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+        held: list[pa.Table] = []
+        for part, _ in common.text_slices(batches):
+            found = counted(part.column("text"))
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            if sum(map(len, held)) > 2 * HELD:
+                held = [merged()]
+                if len(held[0]) > HELD:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from merged().to_batches()
 
     return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -133,11 +142,11 @@ def trained(model: attention.Model, seen: dict[str, np.ndarray], texts: Iterable
     """Train ``model`` in place on every window of the texts (ids end to end, lengths)."""
     rng = np.random.default_rng(seed)
     for ids, lengths in texts:
-        order = rng.permutation(int((-(-lengths // attention.BLOCK)).sum()))
-        for k in range(0, len(order), MADE):
-            rows = attention.windows(ids, lengths, model.size, lambda text, place, some=order[k : k + MADE]: some)
-            for i in range(0, len(rows), TASK_BATCH):
-                attention.update(model, seen, rows[i : i + TASK_BATCH], rate)
+        x, y = attention.stretches(ids, lengths, model.size)
+        order, each = rng.permutation(len(x)), TASK_BATCH // attention.RUN
+        for k in range(0, len(order), each):
+            some = order[k : k + each]
+            attention.descend(model, seen, attention.stretch_gradients(model.tables, model.tree, x[some], y[some]), rate)
 
 
 def averaged_rounds(encoded: DataFrame, windows: int, model: attention.Model, seen: dict[str, np.ndarray]) -> attention.Model:
@@ -156,8 +165,10 @@ def averaged_rounds(encoded: DataFrame, windows: int, model: attention.Model, se
             tree, tables, before = shared.value
             mine, own = attention.Model(tree, {k: v.copy() for k, v in tables.items()}), {k: v.copy() for k, v in before.items()}
             trained(mine, own, ((ids, lengths) for _, ids, lengths in texts_of(batches)), rate, number)
-            weight = attention.flat(own) - attention.flat(before)
-            moved = (attention.flat(mine.tables) - attention.flat(tables)) * weight
+            weight, moved = attention.flat(own), attention.flat(mine.tables)
+            weight -= attention.flat(before)
+            moved -= attention.flat(tables)
+            moved *= weight
             for n in range(buckets):
                 w = weight[n * BUCKET : (n + 1) * BUCKET]
                 at = np.flatnonzero(w)

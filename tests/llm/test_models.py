@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,6 +275,40 @@ def test_counts_and_windows_grow_with_the_corpus(spark, monkeypatch):
     assert lm_score.fit(encoded, n, 50).size == 50
 
 
+def test_words_are_counted_without_objects():
+    every = "".join(map(chr, range(128)))
+    texts = [f" {every}Ab{c}aB{c}É é\u00a0x\u2003y " for c in every] + [None, "", " \n", "A a\x1fA", "\x85 a"]
+    got = lm_score.counted(pa.array(texts, pa.string())).to_pylist()
+    assert {x["values"].encode(): x["counts"] for x in got} == Counter(w for t in texts for w in lm_score.words_of(t or ""))
+    assert lm_score.counted(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_stretches_train_as_their_windows_do():
+    """Keys are fetched once a block, not once a window that sees it; the gradients stay the same."""
+    rng = np.random.default_rng(12)
+    lengths = np.append(rng.integers(1, 900, 12), [1, attention.BLOCK, attention.BLOCK + 1, 3000])
+    ids = rng.integers(0, 200, lengths.sum())
+    tree = attention.huffman(np.bincount(ids, minlength=200) + 1.0)
+    t = attention.start_tables(200, tree, rng)
+    for name in "qkvr":
+        t[name][:, : attention.WIDTH] *= 5
+    t["u"] += 0.3 * rng.standard_normal(t["u"].shape).astype(np.float32)
+    rows = attention.windows(ids, lengths, 200)
+    x, y = attention.stretches(ids, lengths, 200)
+    pairs = np.concatenate([x[:, :-1], x[:, 1:], y], axis=2).reshape(-1, 3 * attention.BLOCK)
+    assert (pairs[(y < 200).any(2).reshape(-1)] == rows).all()
+    keys = np.take(t["k"], x.reshape(len(x), -1), axis=0)
+    seen = attention.overlapped(keys)
+    assert np.shares_memory(seen, keys) and (seen.reshape(-1, 2 * attention.BLOCK, keys.shape[2]) == t["k"][pairs[:, : 2 * attention.BLOCK]]).all()
+    b, target = attention.BLOCK, rows[:, 2 * attention.BLOCK :].reshape(-1)
+    hidden, kept = attention.attend(t, rows[:, :b], rows[:, b : 2 * b])
+    each, together = attention.gradients(t, tree, rows[:, b : 2 * b], hidden, kept, target, target < 200), attention.stretch_gradients(t, tree, x, y)
+    for name in t:
+        a, c = (np.zeros((len(t[name]), *g.shape[1:])) for g in (each[name][1], together[name][1]))
+        a[each[name][0]], c[together[name][0]] = each[name][1], together[name][1]
+        assert np.abs(a).max() > 1e-5 and c == pytest.approx(a, rel=1e-3, abs=1e-6), name
+
+
 def test_every_window_trains_the_model(spark, monkeypatch):
     """Each text has ids of its own, so that a window left out leaves rows as they began."""
     monkeypatch.setattr(attention, "STEPS", 1)
