@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..sources.storage import discard, stored
@@ -52,19 +53,22 @@ def article_keys(articles: DataFrame, threshold: float = 0.9, opening: int = 160
     newest on a tie.  What is compared doesn't depend on keys, so all runs are matched at
     once, and keys are then passed on along the matches.
 
-    Candidates come from an index by document, page (where known) and length: texts
-    whose ratio reaches the threshold are at most (2 - t) / t times as long, so they lie in the
-    same or a neighbouring class of lengths.  Of those go on the ones that share
-    enough sequences of three characters, and enough characters, bounds of the ratio too; equal texts need no comparison, and who has
-    an equal one nothing else; difflib sees the rest."""
+    An article with an equal text in an earlier run needs no comparison: texts are grouped,
+    one row a text and run, and each run is told of the one before; copies are no pairs.
+    For the others candidates come from an index by document, page (where known) and length:
+    texts whose ratio reaches the threshold are at most (2 - t) / t times as long, so they lie in
+    the same or a neighbouring class of lengths.  Of those go on the ones that share enough
+    sequences of three characters, and enough characters, bounds of the ratio too; difflib sees
+    the rest."""
     new_key = F.sha2(F.concat_ws("|", F.col("document_key").cast("string"), F.col("run_seq").cast("string"), F.col("article_id").cast("string")).cast("binary"), 256)
     named = articles.select("document_key", "run_seq", "article_id", tx.identity_text("title").alias("t"), tx.identity_text(F.substring("body_text", 1, opening)).alias("o"), F.array_distinct(F.filter(F.coalesce("pages", F.array().cast("array<int>")), lambda p: p > 0)).alias("pages"), new_key.alias("node"))
     named = stored(named, "identity-articles")
-    pairs = stored(_near_texts(named, threshold), "identity-pairs")
-    same = pairs.filter("same").select("node", "old", F.lit(1.0).alias("score"), "place")
-    rest = pairs.filter("not same").join(same.select("node").distinct(), "node", "left_anti")
-    compared = rest.select("node", "old", tx.similarity(F.col("text"), F.col("old_text")).alias("score"), "place").filter(F.col("score") >= threshold)
-    best = same.unionByName(compared).groupBy("node").agg(F.max_by("old", F.struct("score", "place")).alias("up"))
+    same = stored(_equal_texts(named), "identity-equal")
+    rest = named.join(same.select("node"), "node", "left_anti")
+    pairs = stored(_near_texts(named, threshold, rest), "identity-pairs")
+    said = pairs.select("text", "old_text").distinct()
+    said = said.withColumn("score", F.when(F.col("text") == F.col("old_text"), 1.0).otherwise(tx.similarity("text", "old_text"))).filter(F.col("score") >= threshold)
+    best = pairs.join(said, ["text", "old_text"]).groupBy("node").agg(F.max_by("old", F.struct("score", "place")).alias("up")).unionByName(same)
     up = stored(named.select("node").join(best, "node", "left").select("node", F.coalesce("up", "node").alias("up")), "identity-up")
     while True:  # as many rounds as the logarithm of the runs
         above = up.select(F.col("node").alias("mid"), F.col("up").alias("top"))
@@ -76,26 +80,60 @@ def article_keys(articles: DataFrame, threshold: float = 0.9, opening: int = 160
     return named.select("article_id", "node").join(up, "node").select("article_id", F.col("up").alias("article_key"))
 
 
-def _near_texts(named: DataFrame, threshold: float) -> DataFrame:
-    """(node, old, text, old_text, same, place): titles and openings of earlier runs that
-    a difflib ratio of ``threshold`` is possible with; ``place`` orders the older ones."""
-    texts = named.select("document_key", "run_seq", "article_id", "node", "pages", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("t").alias("text")), F.struct(F.lit("o").alias("kind"), F.col("o").alias("text")))).alias("x"))
-    texts = texts.select("document_key", "run_seq", "article_id", "node", "pages", "x.*").filter("text != ''").withColumns({"n": F.length("text"), "bits": tx.gram_bits("text")})
+def _texts(named: DataFrame) -> DataFrame:
+    """A row each title and opening that isn't empty."""
+    both = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("text")) for c in ("t", "o")])
+    return named.select("document_key", "run_seq", "article_id", "node", "pages", F.explode(both).alias("x")).select("document_key", "run_seq", "article_id", "node", "pages", "x.*").filter("text != ''")
+
+
+def _of_new(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("page", F.explode(F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array(F.lit(-1)))))
+
+
+def _of_old(texts: DataFrame) -> DataFrame:
+    """One row a text, page and run, for its last article.
+
+    Who knows no page is compared with all; so every older text is under -1 as well."""
+    rows = texts.withColumn("page", F.explode(F.concat("pages", F.array(F.lit(-1)))))
+    return rows.groupBy("document_key", "kind", "page", "text", "run_seq").agg(F.max(F.struct("run_seq", "article_id", "node")).alias("x"))
+
+
+def _equal_texts(named: DataFrame) -> DataFrame:
+    """(node, up): the newest article of earlier runs that has the same title or opening."""
+    texts = _texts(named)
+    keys = ["document_key", "kind", "page", "text"]
+    before = _of_old(texts).withColumn("x", F.lag("x").over(Window.partitionBy(*keys).orderBy("run_seq"))).filter("x is not null")
+    met = _of_new(texts).select(*keys, "run_seq", "node").join(before, [*keys, "run_seq"])
+    return met.groupBy("node").agg(F.max("x").alias("x")).select("node", F.col("x.node").alias("up"))
+
+
+def _near_texts(named: DataFrame, threshold: float, rest: DataFrame | None = None) -> DataFrame:
+    """(node, old, text, old_text, place): titles and openings of earlier runs that a difflib
+    ratio of ``threshold`` is possible with, for the articles of ``rest`` (all, if not given);
+    ``place`` orders the older ones. Texts that occur many times in a run meet once."""
     base = (2 - threshold) / threshold
-    texts = texts.withColumn("class", F.floor(F.log("n") / F.log(F.lit(base))).cast("int") if base > 1 else F.col("n"))
-    new = texts.withColumn("page", F.explode(F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array(F.lit(-1)))))
-    # Who knows no page is compared with all; so every older text is under -1 as well.
-    old = texts.withColumn("page", F.explode(F.concat("pages", F.array(F.lit(-1))))).withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
-    old = old.select("document_key", "kind", "page", "class", F.col("run_seq").alias("old_run"), F.col("node").alias("old"), F.col("text").alias("old_text"), F.col("n").alias("old_n"), F.col("bits").alias("old_bits"), F.struct("run_seq", "article_id").alias("place"))
+    n = F.length("text")
+    sized = lambda df: df.withColumns({"n": n, "class": F.floor(F.log(n) / F.log(F.lit(base))).cast("int") if base > 1 else n})
+    key, text = ["document_key", "kind", "page", "class"], ["document_key", "kind", "page", "text", "run_seq"]
+    rest = named if rest is None else rest
+    first = named.groupBy("document_key").agg(F.min("run_seq").alias("first"))
+    asked = stored(_of_new(_texts(rest.join(first, "document_key").filter(F.col("run_seq") > F.col("first")))).select(*text, "node"), "identity-asked")
+    if asked.isEmpty():  # then no older text is read either
+        return asked.select("node", F.col("node").alias("old"), "text", F.col("text").alias("old_text"), F.struct("run_seq", F.col("node").alias("article_id")).alias("place"))
+    new = sized(asked.select(*text).distinct())
+    old = sized(_of_old(_texts(named))).withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
+    old = old.join(new.select(*key).distinct(), key, "left_semi")
+    new, old = [df.withColumn("bits", tx.gram_bits("text")) for df in (new, old)]
+    old = old.select(*key, F.col("run_seq").alias("old_run"), F.col("text").alias("old_text"), F.col("n").alias("old_n"), F.col("bits").alias("old_bits"), "x")
     # m characters matched in at most (n + old_n - 2 m + 1) blocks hold m less two a block sequences
     # of three; a text lacks no more of the other's than the rest. Bits that meet hide some.
     both = F.col("n") + F.col("old_n")
     kept = threshold * both / 2 - 2 * ((1 - threshold) * both + 1)
     lacks = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(tx.GRAM_WORDS)), F.lit(0))
     like = (lacks("bits", "old_bits") <= F.col("n") - 2 - kept + 1e-6) & (lacks("old_bits", "bits") <= F.col("old_n") - 2 - kept + 1e-6)
-    met = new.join(old, ["document_key", "kind", "page", "class"]).filter((F.col("old_run") < F.col("run_seq")) & (2.0 * F.least("n", "old_n") >= threshold * (F.col("n") + F.col("old_n")) - 1e-6) & like)
-    met = met.groupBy("node", "old", "kind").agg(F.first(F.struct("text", "old_text", "n", "old_n", "place")).alias("x")).select("node", "old", "x.*")
+    met = new.join(old, key).filter((F.col("old_run") < F.col("run_seq")) & (2.0 * F.least("n", "old_n") >= threshold * both - 1e-6) & like)
     times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
     shared = F.aggregate(F.array_distinct(F.split("text", "")), F.lit(0), lambda n, c: n + F.least(times(F.col("text"), c), times(F.col("old_text"), c)))
-    same = F.col("text") == F.col("old_text")
-    return met.filter(same | (2.0 * shared >= threshold * (F.col("n") + F.col("old_n")) - 1e-6)).select("node", "old", "text", "old_text", same.alias("same"), "place")
+    met = met.filter((F.col("text") == F.col("old_text")) | (2.0 * shared >= threshold * both - 1e-6)).select(*text, "old_text", "x")
+    near = asked.join(met, text).groupBy("node", "text", "old_text").agg(F.max("x").alias("x"))
+    return near.select("node", F.col("x.node").alias("old"), "text", "old_text", F.struct("x.run_seq", "x.article_id").alias("place"))

@@ -90,6 +90,23 @@ def test_identity_of_many_runs(spark):
     assert all(got[f"12-{i:04d}"] == got[f"01-{i:04d}"] for i in range(400)) and len(set(got.values())) == 400
 
 
+def test_copies_are_no_pairs(spark, monkeypatch):
+    """Equal texts were paired one by one; near ones meet once, however often they occur."""
+    rng, kept, write = random.Random(9), {}, identity.stored
+
+    def noted(df, label):
+        kept[label] = write(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(identity, "stored", noted)
+    title = "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    equal = [("d", run, f"{run}-{i:02d}", f"{title}{run}{i % 2}", "the same body of all", [1, 2]) for run in (1, 2, 3) for i in range(20)]
+    near = [("d", run, f"{run}-{i:02d}", f"{title}{run}", "", [1, 2]) for run in (1, 2, 3) for i in range(20)]
+    for rows, pairs in ((equal, 0), (near, 40 * 1 + 20)):
+        got = {r.article_id: r.article_key for r in identity.article_keys(spark.createDataFrame(rows, ARTICLES)).collect()}
+        assert groups(got) == groups(plain_keys(rows)) and kept["identity-pairs"].count() == pairs
+
+
 def plain_headlines(rows):
     kept, parted = [], True
     for block, byline, page, height, title in sorted(rows):
