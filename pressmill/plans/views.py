@@ -239,6 +239,17 @@ def enriched(t: Tables) -> DataFrame:
     return rows.withColumn("tags", F.coalesce(F.array_join(F.transform(own, lambda x: x["tag"]), "|"), F.lit(""))).drop("enrichment_run_id", "tagged")
 
 
+def own_enrichment(rows: DataFrame) -> DataFrame:
+    """``rows`` with the newest usable one of their nested ``enrichments``, as ``translated`` has it:
+    ``enrichment_status``, and ``output``, a row each output of that run."""
+    order = ("finished_at", "seq", "enrichment_run_id", "status")
+    usable = F.filter("enrichments", lambda e: e["status"].isin(*USABLE))
+    rows = rows.withColumn("best", F.array_max(F.transform(usable, lambda e: F.struct(*[e[c].alias(c) for c in order]))))
+    wrote = lambda e: (e["enrichment_run_id"] == F.col("best.enrichment_run_id")) & e["status"].isin("succeeded", "partial")
+    rows = rows.withColumns({"enrichment_status": F.col("best.status"), "outputs": F.filter("enrichments", wrote)})
+    return rows.select("*", F.explode_outer("outputs").alias("output"))
+
+
 def article_detail(t: Tables) -> DataFrame:
     """Every article with its document, images in order (the first is the hero here),
     enrichment and the three states; its translated body without local images."""
@@ -259,13 +270,15 @@ def document_states(t: Tables) -> DataFrame:
 
 
 def processing_detail(t: Tables) -> DataFrame:
-    """Every queued article with its document, error summary and latest enrichment."""
-    rows = of_runs(t, t.leased_runs()).join(t.articles().select("article_id", "publication_date", "title"), "article_id").join(translated(t).select("article_id", "content_type", "reason", "enrichment_status"), "article_id", "left")
-    rows = rows.join(source_pages(t), "article_id", "left")
+    """Every queued article with its document, error summary and latest enrichment.
+
+    Articles come with what is nested in them, and move as numbers: once each by themselves, by key and by run."""
+    rows = own_enrichment(t.nested_queue(documents_of_runs(t))).select("*", F.explode("dates").alias("publication_date"))
+    pages = F.array_join(F.transform(F.sort_array("pages"), lambda p: p.cast("string")), "|")
     return rows.select(
-        F.coalesce("source_pages", F.lit("")).alias("source_pages"), "last_success_input_hash", "last_attempt_started_at", "last_attempt_finished_at", "locked_by", "lock_expires_at", "created_at",
+        pages.alias("source_pages"), "last_success_input_hash", "last_attempt_started_at", "last_attempt_finished_at", "locked_by", "lock_expires_at", "created_at",
         "article_key", "article_id", "document_key", "source_name", "original_filename", "publication_date", "title", "status", "current_step", "automatic_failure_count", "last_error_message", "updated_at", error_summary().alias("error_summary"),
-        F.coalesce("content_type", F.lit("article")).alias("content_type"), F.coalesce("reason", F.lit("")).alias("reason"), "enrichment_status")
+        F.coalesce("output.content_type", F.lit("article")).alias("content_type"), F.coalesce("output.reason", F.lit("")).alias("reason"), "enrichment_status")
 
 
 def lookup(rows: DataFrame, **key) -> Row:
@@ -327,10 +340,13 @@ def processing_rows(t: Tables) -> DataFrame:
     return of_runs(t, t.processing_runs())
 
 
+def documents_of_runs(t: Tables) -> DataFrame:
+    return t.parse_runs().select("parse_run_id", "document_key").join(t.documents().select("document_key", "source_name", "original_filename"), "document_key")
+
+
 def of_runs(t: Tables, queued: DataFrame) -> DataFrame:
     """Queued articles with the document of their run; runs, fewer than articles, are told first."""
-    runs = t.parse_runs().select("parse_run_id", "document_key").join(t.documents().select("document_key", "source_name", "original_filename"), "document_key")
-    return queued.join(runs, "parse_run_id")
+    return queued.join(documents_of_runs(t), "parse_run_id")
 
 
 def error_summary() -> Column:
