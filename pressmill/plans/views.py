@@ -252,15 +252,21 @@ def own_enrichment(rows: DataFrame) -> DataFrame:
 
 def article_detail(t: Tables) -> DataFrame:
     """Every article with its document, images in order (the first is the hero here),
-    enrichment and the three states; its translated body without local images."""
-    pictures = t.images().groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("image_order", "image_path"))), lambda x: x["image_path"]).alias("images"))
+    enrichment and the three states; its translated body without local images.
+
+    Articles come with what is nested in them, and move as numbers: once each by themselves, by run and by part."""
     runs = t.parse_runs().select("parse_run_id", "document_key", F.col("status").alias("parse_status"))
     # Runs are told of their documents first: fewer rows than articles.
     runs = runs.join(t.documents().select("document_key", "source_name"), "document_key", "left").join(document_states(t), "document_key", "left")
-    rows = t.articles().join(runs, "parse_run_id").join(enriched(t), "article_id", "left").join(pictures, "article_id", "left").join(t.bodies(), "article_id", "left")
+    rows = own_enrichment(t.nested_articles(runs))
+    rows = rows.select("*", F.explode("dates").alias("publication_date"))
+    pictures = F.transform(F.array_sort("images"), lambda x: x["image_path"])
+    # A run has the tags of its article's part once for each of its outputs.
+    tags = F.transform(F.array_sort(F.flatten(F.transform("outputs", lambda o: F.col("tags")))), lambda x: x["tag"])
+    body = F.col("output.body_zh")
     return rows.select(
-        "article_id", "document_key", F.coalesce("source_name", F.lit("")).alias("source_name"), "publication_date", "title", "body_en", "title_zh", "summary_zh", F.when(F.col("body_zh").isNotNull(), tx.clean_text(F.col("body_zh"))).alias("body_zh"), F.coalesce("tags", F.lit("")).alias("tags"),
-        F.array_join(F.coalesce("images", F.array().cast("array<string>")), "|").alias("images"), F.get("images", F.lit(0)).alias("hero_image"),
+        "article_id", "document_key", F.coalesce("source_name", F.lit("")).alias("source_name"), "publication_date", "title", "body_en", "output.title_zh", "output.summary_zh", F.when(body.isNotNull(), tx.clean_text(body)).alias("body_zh"), F.coalesce(F.array_join(tags, "|"), F.lit("")).alias("tags"),
+        F.array_join(pictures, "|").alias("images"), F.get(pictures, F.lit(0)).alias("hero_image"),
         F.coalesce("document_status", F.lit("unknown")).alias("document_status"), F.coalesce("parse_status", F.lit("unknown")).alias("parse_status"), F.coalesce("enrichment_status", F.lit("unavailable")).alias("enrichment_status"))
 
 

@@ -80,14 +80,14 @@ def test_details_without_tags_read_no_tags(spark):
         assert not [f for f in registry.queries()[name](spark, FOLDER).inputFiles() if f.endswith("/part.parquet")]
 
 
-@pytest.mark.parametrize("name", ["V9_processing_detail"])
+@pytest.mark.parametrize("name", ["V9_processing_detail", "V3_article_detail"])
 def test_details_do_not_move_by_article(spark, name):
     """Enrichment runs, outputs, images, pages, tags and bodies were each shuffled by the article's id, a text."""
     plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(" in plan and "hashpartitioning(article_id" not in plan and "hashpartitioning(article_key" not in plan
 
 
-@pytest.mark.parametrize("name", ["V9_processing_detail"])
+@pytest.mark.parametrize("name", ["V9_processing_detail", "V3_article_detail"])
 def test_details_of_odd_lines(spark, tmp_path, name):
     """Lines that occur twice, several lines of a part and supplier, values that lack, parts that aren't there."""
     con = duckdb.connect()
